@@ -138,3 +138,368 @@ def q_demand_hist(spark, sf):
 @register("inventory_histogram")
 def q_inventory_hist(spark, sf):
     return A.value_histogram(cleaned_catalog(spark, sf), "inventory", S.SIGNAL_BINS)
+
+
+# ---------------------------------------------------------------- search (P)
+from ..operators import features as Fe  # noqa: E402
+from ..operators import kpi as K  # noqa: E402
+from ..operators import scenarios as J  # noqa: E402
+from ..operators import search as P  # noqa: E402
+from ..operators.model import (feature_importance, feature_list, model_summary,  # noqa: E402
+                               score_catalog, top_drivers, train_price_model)
+from ..functions.stats import histogram  # noqa: E402
+from .whatif import optimizer_frame, playground_frame  # noqa: E402
+
+from .params import (ENCODED_LOOKUP_COLUMNS, FEATURES_FIXED, LINEAR_SIGNALS,  # noqa: E402
+                     NO_MATCH_TERM, SEARCH_REGEX, SEARCH_TERM, WEIGHTED_SIGNALS)
+
+
+@register("search_products")
+def q_search(spark, sf):
+    return P.search_products(cleaned_catalog(spark, sf), SEARCH_TERM).select(
+        "id", "productDisplayName")
+
+
+@register("search_products_regex")
+def q_search_regex(spark, sf):
+    return P.search_products(cleaned_catalog(spark, sf), SEARCH_REGEX).select(
+        "id", "productDisplayName")
+
+
+@register("distinct_names_first_n")
+def q_first_names(spark, sf):
+    return P.first_names(cleaned_catalog(spark, sf), S.NAME_LIST_SIZE)
+
+
+@register("search_with_fallback")
+def q_search_fallback(spark, sf):
+    return P.search_with_fallback(cleaned_catalog(spark, sf), SEARCH_TERM, S.NAME_LIST_SIZE)
+
+
+@register("search_fallback_first")
+def q_search_fallback_first(spark, sf):
+    return P.search_with_fallback(cleaned_catalog(spark, sf), NO_MATCH_TERM, S.NAME_LIST_SIZE)
+
+
+@register("search_fallback_popular")
+def q_search_fallback_popular(spark, sf):
+    return P.search_with_fallback(cleaned_catalog(spark, sf), NO_MATCH_TERM,
+                                  S.POPULAR_LIST_SIZE, fallback="popular")
+
+
+@register("popular_products")
+def q_popular(spark, sf):
+    return P.popular_products(cleaned_catalog(spark, sf), S.POPULAR_LIST_SIZE)
+
+
+@register("first_row_per_name")
+def q_first_row(spark, sf):
+    return P.first_row_per_name(cleaned_catalog(spark, sf))
+
+
+@register("product_card")
+def q_card(spark, sf):
+    return P.product_card(cleaned_catalog(spark, sf))
+
+
+@register("opportunity_products")
+def q_opportunity(spark, sf):
+    return P.opportunity_products(cleaned_catalog(spark, sf))
+
+
+@register("discount_candidates")
+def q_discount(spark, sf):
+    return P.discount_candidates(cleaned_catalog(spark, sf))
+
+
+@register("premium_candidates")
+def q_premium(spark, sf):
+    return P.premium_candidates(cleaned_catalog(spark, sf))
+
+
+# ---------------------------------------------------------------- features (F)
+INDICATORS_FIXED = [f for f in FEATURES_FIXED if Fe.split_feature(f)[0] is not None]
+
+
+@register("one_hot_encode")
+def q_one_hot(spark, sf):
+    return Fe.one_hot_encode(cleaned_catalog(spark, sf), FEATURES_FIXED).select(
+        "id", *INDICATORS_FIXED)
+
+
+@register("align_features")
+def q_align(spark, sf):
+    return Fe.prepare_encoded(cleaned_catalog(spark, sf), FEATURES_FIXED)
+
+
+@register("scenario_features")
+def q_scenario_features(spark, sf):
+    return Fe.scenario_features(cleaned_catalog(spark, sf), FEATURES_FIXED)
+
+
+def _playground(spark, sf):
+    return playground_frame(cleaned_catalog(spark, sf, flags="lenient"))
+
+
+def _optimizer(spark, sf):
+    return optimizer_frame(cleaned_catalog(spark, sf))
+
+
+@register("weighted_features")
+def q_weighted(spark, sf):
+    return Fe.weighted_features(_playground(spark, sf), FEATURES_FIXED)
+
+
+@register("weighted_features_calibrated")
+def q_weighted_cal(spark, sf):
+    return Fe.weighted_features(_playground(spark, sf), FEATURES_FIXED, S.CALIBRATED_WEIGHTS)
+
+
+@register("apply_weights")
+def q_apply_weights(spark, sf):
+    df = Fe.apply_weights(_playground(spark, sf), S.CALIBRATED_WEIGHTS)
+    return df.select("id", *[F.bround(c, 6).alias(c) for c in WEIGHTED_SIGNALS])
+
+
+@register("clip_features")
+def q_clip(spark, sf):
+    df = Fe.apply_weights(_playground(spark, sf), S.CALIBRATED_WEIGHTS)
+    return Fe.clip_features(df, WEIGHTED_SIGNALS).select(
+        "id", *[F.bround(c, 6).alias(c) for c in WEIGHTED_SIGNALS])
+
+
+@register("timing_scenarios")
+def q_timing(spark, sf):
+    df = _playground(spark, sf).drop("holiday", "weekend")
+    grid = Fe.timing_scenarios(df, keep=("id", "demand", "inventory", "clicks",
+                                         "search_volume", "ratings"))
+    scored = K.pricing_score(grid)
+    return scored.select("id", "timing", "holiday", "weekend",
+                         F.bround("score", 6).alias("score"), "score_level")
+
+
+# ---------------------------------------------------------------- scenarios (J)
+@register("scenario_grid")
+def q_scenario_grid(spark, sf):
+    g = J.scenario_grid(_playground(spark, sf))
+    return g.select("*", F.bround(J.closed_form_price(), 6).alias("prediction"))
+
+
+@register("sensitivity_sweep")
+def q_sweep(spark, sf):
+    base = cleaned_catalog(spark, sf).select("id", "demand", "inventory")
+    g = J.sensitivity_sweep(base, "demand", 0.0, 1.0, 0.01)
+    return g.select("id", "step", "demand",
+                    F.bround(J.closed_form_price(), 6).alias("prediction"))
+
+
+def _importances(spark):
+    imp = J.importance_table(spark)
+    return imp
+
+
+@register("signal_importance_join")
+def q_importance_join(spark, sf):
+    long = J.signal_values(_playground(spark, sf))
+    j = J.signal_importance_join(long, _importances(spark), model_features=FEATURES_FIXED)
+    return j.select("id", "signal", F.bround("value", 6).alias("value"), "importance")
+
+
+@register("encoded_lookup")
+def q_encoded_lookup(spark, sf):
+    clean = cleaned_catalog(spark, sf)
+    enc = Fe.prepare_encoded(clean, FEATURES_FIXED)
+    return J.encoded_lookup(clean, enc, ENCODED_LOOKUP_COLUMNS)
+
+
+# ---------------------------------------------------------------- KPIs (K, M)
+def _r6(*cols):
+    return [F.bround(c, 6).alias(c) for c in cols]
+
+
+@register("price_change")
+def q_price_change(spark, sf):
+    df = K.price_change(_playground(spark, sf))
+    return df.select("id", "current_price", *_r6("predicted_price", "price_change",
+                                                  "change_percent"))
+
+
+@register("price_direction")
+def q_direction(spark, sf):
+    return K.price_direction(K.price_change(_playground(spark, sf))).select("id", "direction")
+
+
+@register("revenue_impact_linear")
+def q_rev_linear(spark, sf):
+    df = K.revenue_impact_linear(K.price_change(_optimizer(spark, sf)))
+    return df.select("id", *_r6("revenue_impact"))
+
+
+@register("revenue_impact_clamped")
+def q_rev_clamped(spark, sf):
+    df = K.revenue_impact_clamped(K.price_change(_playground(spark, sf)))
+    return df.select("id", *_r6("volume_estimate", "revenue_impact"))
+
+
+@register("profit_margin")
+def q_margin(spark, sf):
+    return K.profit_margin(_optimizer(spark, sf)).select("id", *_r6("profit_margin"))
+
+
+@register("quality_margin")
+def q_quality_margin(spark, sf):
+    return K.quality_margin(_playground(spark, sf)).select("id", *_r6("gross_margin"))
+
+
+@register("price_tier")
+def q_tier(spark, sf):
+    return K.price_tier(_playground(spark, sf)).select("id", "current_price", "price_tier")
+
+
+@register("pricing_score")
+def q_score(spark, sf):
+    df = K.pricing_score(_playground(spark, sf))
+    return df.select("id", *_r6("score"), "score_level")
+
+
+@register("competitor_position")
+def q_position(spark, sf):
+    return K.competitor_position(_playground(spark, sf)).select("id", *_r6("competitor_position"))
+
+
+@register("signal_tiers")
+def q_signal_tiers(spark, sf):
+    df = K.signal_tiers(K.competitor_position(_playground(spark, sf)))
+    return df.select("id", "demand_level", "inventory_level", "clicks_level",
+                     "search_volume_level", "ratings_level", "competitor_level")
+
+
+@register("signal_tiers_legacy")
+def q_signal_tiers_legacy(spark, sf):
+    df = K.signal_tiers(K.competitor_position(_playground(spark, sf)), legacy=True)
+    return df.select("id", "competitor_level")
+
+
+def _impacts(spark, sf):
+    long = J.signal_values(_playground(spark, sf))
+    j = J.signal_importance_join(long, _importances(spark), model_features=FEATURES_FIXED)
+    return K.feature_impact(j)
+
+
+@register("feature_impact")
+def q_feature_impact(spark, sf):
+    df = _impacts(spark, sf)
+    return df.select("id", "signal", *_r6("value", "impact"), "importance", "impact_type")
+
+
+@register("impact_report")
+def q_impact_report(spark, sf):
+    """Explanation text per product and signal (wording of our own)."""
+    return K.impact_text(_impacts(spark, sf)).select("id", "signal", "explanation")
+
+
+def _linear_impacts(spark, sf):
+    df = K.price_change(_optimizer(spark, sf))
+    long = df.select("id", "price_change",
+                     *[F.col(c).cast("double").alias(c) for c in LINEAR_SIGNALS]) \
+        .unpivot(["id", "price_change"], LINEAR_SIGNALS, "signal", "value")
+    j = J.signal_importance_join(long, _importances(spark))
+    return K.feature_impact_linear(j)
+
+
+@register("feature_impact_linear")
+def q_impact_linear(spark, sf):
+    df = _linear_impacts(spark, sf)
+    return df.select("id", "signal", "value", "importance", *_r6("impact"), "impact_type")
+
+
+@register("impact_share")
+def q_impact_share(spark, sf):
+    df = K.impact_share(_linear_impacts(spark, sf))
+    return df.select("id", "signal", *_r6("weighted_impact", "share_percent"))
+
+
+@register("recommendation")
+def q_recommendation(spark, sf):
+    df = K.recommendation(K.price_change(_optimizer(spark, sf)))
+    return df.select("id", "recommendation", "confidence", "strategy")
+
+
+@register("bounded_price")
+def q_bounded(spark, sf):
+    df = K.bounded_price(cleaned_catalog(spark, sf).withColumn("prediction",
+                                                               J.closed_form_price()))
+    return df.select("id", *_r6("prediction", "floored_price", "clamped_price"))
+
+
+def _metrics(spark, sf):
+    df = cleaned_catalog(spark, sf).withColumn("prediction", J.closed_form_price())
+    return K.regression_metrics(df)
+
+
+@register("regression_metrics")
+def q_metrics(spark, sf):
+    return _metrics(spark, sf)
+
+
+@register("model_verdict")
+def q_verdict(spark, sf):
+    return K.model_verdict(_metrics(spark, sf))
+
+
+@register("seeded_sample")
+def q_sample(spark, sf):
+    return K.seeded_sample(cleaned_catalog(spark, sf)).select(
+        "id", "productDisplayName", "optimal_price")
+
+
+def _sample_residuals(spark, sf):
+    sample = K.seeded_sample(cleaned_catalog(spark, sf))
+    return K.residuals(sample.withColumn("prediction", J.closed_form_price()))
+
+
+@register("residuals")
+def q_residuals(spark, sf):
+    return _sample_residuals(spark, sf).select("id", "actual", *_r6("predicted", "residual"))
+
+
+@register("residual_histogram")
+def q_residual_hist(spark, sf):
+    return histogram(_sample_residuals(spark, sf), "residual", S.RESIDUAL_BINS)
+
+
+@register("prediction_trend")
+def q_prediction_trend(spark, sf):
+    """A13 (live form): OLS line of predicted on actual over the seeded sample."""
+    return A.demand_price_trend(_sample_residuals(spark, sf), x="actual", y="predicted")
+
+
+# ---------------------------------------------------------------- forest (rows only)
+def _forest(spark, sf):
+    clean = cleaned_catalog(spark, sf)
+    feats = feature_list(clean)
+    return clean, train_price_model(clean, feats)
+
+
+@register("score_catalog")
+def q_score_catalog(spark, sf):
+    clean, model = _forest(spark, sf)
+    return score_catalog(model, clean)
+
+
+@register("model_metrics")
+def q_model_metrics(spark, sf):
+    clean, model = _forest(spark, sf)
+    return model_summary(model, K.regression_metrics(score_catalog(model, clean)))
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf):
+    _, model = _forest(spark, sf)
+    return feature_importance(model)
+
+
+@register("top_drivers")
+def q_top_drivers(spark, sf):
+    _, model = _forest(spark, sf)
+    return top_drivers(feature_importance(model))
