@@ -324,3 +324,348 @@ SQL["threshold_counts"] = q(
     + " AS low_inventory_percent, count(*) FILTER (WHERE ratings >= 4.0) AS high_rating, "
     + r6("CAST(count(*) FILTER (WHERE ratings >= 4.0) AS DOUBLE) / CAST(count(*) AS DOUBLE) * 100.0e0")
     + " AS high_rating_percent, count(DISTINCT articleType) AS n_categories FROM clean")
+
+# ---------------------------------------------------------------- editions / frames
+from .plans.params import (ENCODED_LOOKUP_COLUMNS, FEATURES_FIXED, LINEAR_SIGNALS,  # noqa: E402
+                           NO_MATCH_TERM, SEARCH_REGEX, SEARCH_TERM, WEIGHTED_SIGNALS)
+
+_CLOSED = "(400.0e0 + 300.0e0 * demand + 100.0e0 * (1.0e0 - inventory))"
+FRAME_CTES = f""",
+clean_l AS (
+  SELECT id, coalesce(productDisplayName, 'Generic Product') AS productDisplayName,
+         articleType, baseColour, season, material, location, demand, inventory, clicks,
+         search_volume, reviews_count, ratings, discount_percentage, freight_price,
+         competitor_prices,
+         coalesce(TRY_CAST(holiday AS DOUBLE), 0.0e0) AS holiday,
+         coalesce(TRY_CAST(weekend AS DOUBLE), 0.0e0) AS weekend,
+         coalesce(TRY_CAST(weekday AS DOUBLE), 0.0e0) AS weekday,
+         customer_segment,
+         coalesce(TRY_CAST(optimal_price AS DOUBLE), 500.0e0) AS optimal_price,
+         coalesce(cpm0, (SELECT median(cpm0) FROM cm)) AS competitor_price_mean
+  FROM cm
+),
+pg AS (
+  SELECT * REPLACE (0.0e0 AS holiday, 0.0e0 AS weekend),
+         greatest(50.0e0, optimal_price) AS current_price,
+         {_CLOSED} AS prediction,
+         greatest(50.0e0, least(2000.0e0, {_CLOSED})) AS predicted_price
+  FROM clean_l
+),
+op AS (
+  SELECT *, optimal_price AS current_price, {_CLOSED} AS prediction,
+         greatest(100.0e0, {_CLOSED}) AS predicted_price
+  FROM clean
+)"""
+
+
+def qf(body: str, ctes: str = "") -> str:
+    return q(body, FRAME_CTES + ctes)
+
+
+def _match(term: str) -> str:
+    return f"coalesce(regexp_matches(productDisplayName, '{term}', 'i'), false)"
+
+
+# ---------------------------------------------------------------- search
+SQL["search_products"] = q(f"SELECT id, productDisplayName FROM clean WHERE {_match(SEARCH_TERM)}")
+SQL["search_products_regex"] = q(
+    f"SELECT id, productDisplayName FROM clean WHERE {_match(SEARCH_REGEX)}")
+_FIRST = ("SELECT productDisplayName, min(id) AS first_id FROM {src} WHERE productDisplayName "
+          "IS NOT NULL {extra} GROUP BY productDisplayName ORDER BY first_id LIMIT {n}")
+SQL["distinct_names_first_n"] = q(_FIRST.format(src="clean", extra="", n=50))
+
+
+def _fallback_first(term: str, n: int) -> str:
+    ctes = f""",
+m AS (SELECT *, {_match(term)} AS matched FROM clean),
+f AS (SELECT coalesce(max(CAST(matched AS INTEGER)), 0) = 1 AS found FROM m)"""
+    body = (f"SELECT productDisplayName, min(id) AS first_id, (SELECT found FROM f) AS from_search "
+            f"FROM m WHERE (matched OR NOT (SELECT found FROM f)) AND productDisplayName IS NOT NULL "
+            f"GROUP BY productDisplayName ORDER BY first_id LIMIT {n}")
+    return q(body, ctes)
+
+
+SQL["search_with_fallback"] = _fallback_first(SEARCH_TERM, 50)
+SQL["search_fallback_first"] = _fallback_first(NO_MATCH_TERM, 50)
+_POPULAR = ("SELECT productDisplayName, count(*) AS n_products, min(id) AS first_id FROM clean "
+            "WHERE productDisplayName IS NOT NULL GROUP BY productDisplayName "
+            "ORDER BY n_products DESC, first_id LIMIT {n}")
+SQL["search_fallback_popular"] = q(
+    f"""SELECT productDisplayName, first_id, true AS from_search FROM (
+          SELECT productDisplayName, min(id) AS first_id FROM m WHERE matched
+          AND productDisplayName IS NOT NULL GROUP BY 1 ORDER BY first_id LIMIT 25)
+        WHERE (SELECT found FROM f)
+        UNION ALL
+        SELECT productDisplayName, first_id, false FROM ({_POPULAR.format(n=25)})
+        WHERE NOT (SELECT found FROM f)""",
+    f""",
+m AS (SELECT *, {_match(NO_MATCH_TERM)} AS matched FROM clean),
+f AS (SELECT coalesce(max(CAST(matched AS INTEGER)), 0) = 1 AS found FROM m)""")
+SQL["popular_products"] = q(_POPULAR.format(n=25))
+SQL["first_row_per_name"] = q(
+    "SELECT * FROM clean WHERE id IN (SELECT min(id) FROM clean WHERE productDisplayName "
+    "IS NOT NULL GROUP BY productDisplayName)")
+SQL["product_card"] = q(
+    "SELECT id, productDisplayName, articleType, baseColour, season, material, location, demand,"
+    " inventory, ratings, greatest(50.0e0, coalesce(optimal_price, 500.0e0)) AS current_price "
+    "FROM clean")
+
+
+def _flagged(pred: str) -> str:
+    return q(f"SELECT id, productDisplayName, (SELECT count(*) FROM clean WHERE {pred}) "
+             f"AS n_matching FROM clean WHERE {pred} ORDER BY id LIMIT 3")
+
+
+SQL["opportunity_products"] = _flagged("demand > 0.7 AND inventory < 0.3")
+SQL["discount_candidates"] = _flagged("inventory > 0.7 AND demand < 0.3")
+SQL["premium_candidates"] = _flagged("ratings >= 4.0 AND competitor_price_mean < 400.0")
+
+# ---------------------------------------------------------------- features
+_CATS = ["articleType", "baseColour", "season", "material", "location"]
+
+
+def _split(f: str):
+    for c in _CATS:
+        if f.startswith(c + "_"):
+            return c, f[len(c) + 1:]
+    return None, f
+
+
+def _ind(c: str, v: str) -> str:
+    return f"CAST(coalesce({c} = '{v}', false) AS INTEGER)"
+
+
+_IND = [f for f in FEATURES_FIXED if _split(f)[0] is not None]
+SQL["one_hot_encode"] = q("SELECT id, " + ", ".join(
+    f'{_ind(*_split(f))} AS "{f}"' for f in _IND) + " FROM clean")
+_PRESENT = set(CLEAN_COLUMNS)
+SQL["align_features"] = q("SELECT " + ", ".join(
+    (f'{_ind(*_split(f))} AS "{f}"' if _split(f)[0] else
+     (f'{f}' if f in _PRESENT else f'0 AS "{f}"')) for f in FEATURES_FIXED)
+    + ", id, productDisplayName, optimal_price FROM clean")
+_SERV_W = ["demand", "inventory", "clicks", "search_volume", "competitor_price_mean",
+           "discount_percentage", "freight_price"]
+
+
+def _serving(f: str) -> str:
+    c, v = _split(f)
+    if c:
+        return f'CAST({_ind(c, v)} AS DOUBLE) AS "{f}"'
+    if f in _SERV_W:
+        return f"CAST({f} AS DOUBLE) * 1.0e0 AS {f}"
+    if f in ("holiday", "weekday", "weekend"):
+        return f"CAST(CAST({f} AS INTEGER) AS DOUBLE) AS {f}"
+    if f == "ratings":
+        return "CAST(ratings AS DOUBLE) AS ratings"
+    return f'0.0e0 AS "{f}"'
+
+
+SQL["scenario_features"] = q("SELECT id, " + ", ".join(_serving(f) for f in FEATURES_FIXED)
+                             + " FROM clean")
+_CAL = {"demand": 15.0, "inventory": 12.0, "clicks": 8.0, "search_volume": 8.0,
+        "competitor_price_mean": 10.0, "holiday": 9.0, "ratings": 4.0, "reviews_count": 3.5,
+        "weekend": 6.0, "month": 2.5, "weekday": 2.0, "customer_segment": 0.8}
+_PG_COLS = set(CLEAN_COLUMNS) | {"current_price", "prediction", "predicted_price"}
+
+
+def _clip(x: str) -> str:
+    return f"CASE WHEN ({x}) IS NOT NULL THEN greatest(-5.0e0, least(5.0e0, {x})) END"
+
+
+def _weighted(f: str, weights) -> str:
+    c, v = _split(f)
+    if f in ("holiday", "weekend"):
+        w = (weights or {}).get(f, 9.0 if f == "holiday" else 6.0) if weights else 1.0
+        e = f"coalesce(TRY_CAST(CAST({f} AS VARCHAR) AS DOUBLE), 0.0e0) * {w}e0"
+    elif f in _PG_COLS:
+        w = weights.get(f, 1.0) if weights else 1.0
+        e = f"CAST({f} AS DOUBLE) * {w}e0"
+    elif c == "season":
+        w = weights.get(f, 3.0) if weights else 1.0
+        e = f"CASE WHEN coalesce(season, 'Summer') = '{v}' THEN {w}e0 ELSE 0.0e0 END"
+    else:
+        e = "0.0e0"
+    return f'{_clip(e)} AS "{f}"'
+
+
+SQL["weighted_features"] = qf("SELECT id, " + ", ".join(_weighted(f, None) for f in FEATURES_FIXED)
+                              + " FROM pg")
+SQL["weighted_features_calibrated"] = qf(
+    "SELECT id, " + ", ".join(_weighted(f, _CAL) for f in FEATURES_FIXED) + " FROM pg")
+SQL["apply_weights"] = qf("SELECT id, " + ", ".join(
+    f"{r6(f'CAST({c} AS DOUBLE) * {_CAL[c]}e0')} AS {c}" for c in WEIGHTED_SIGNALS) + " FROM pg")
+SQL["clip_features"] = qf("SELECT id, " + ", ".join(
+    f"{r6(_clip(f'CAST({c} AS DOUBLE) * {_CAL[c]}e0'))} AS {c}" for c in WEIGHTED_SIGNALS)
+    + " FROM pg")
+
+
+def _score(h: str = "holiday", w: str = "weekend") -> str:
+    return (f"(demand / greatest(inventory, 0.01e0) * 0.3e0 + (clicks + search_volume) * 0.25e0 "
+            f"+ ({h} * 2.5e0 + {w} * 1.8e0) * 0.2e0 + coalesce(ratings, 0.0e0) / 5.0e0 * 0.25e0)")
+
+
+def _score_level(s: str) -> str:
+    return f"CASE WHEN {s} > 2.5 THEN 'ELITE' WHEN {s} > 1.5 THEN 'PREMIUM' ELSE 'OPTIMAL' END"
+
+
+SQL["timing_scenarios"] = qf(
+    f"SELECT id, timing, t.holiday, t.weekend, {r6(_score('t.holiday', 't.weekend'))} AS score, "
+    f"{_score_level(_score('t.holiday', 't.weekend'))} AS score_level "
+    "FROM (SELECT * EXCLUDE (holiday, weekend) FROM pg) p CROSS JOIN (VALUES "
+    "('Normal Day', 0.0e0, 0.0e0), ('Holiday/Event', 1.0e0, 0.0e0), ('Weekend Effect', 0.0e0, 1.0e0))"
+    " t(timing, holiday, weekend)")
+
+# ---------------------------------------------------------------- scenarios
+_OVR = ["demand", "inventory", "clicks", "search_volume", "competitor_price_mean", "ratings",
+        "holiday", "weekend"]
+SQL["scenario_grid"] = qf(
+    "SELECT id, scenario, " + ", ".join(f"coalesce(s_{c}, CAST({c} AS DOUBLE)) AS {c}" for c in _OVR)
+    + ", " + r6("400.0e0 + 300.0e0 * coalesce(s_demand, demand) + 100.0e0 * (1.0e0 - "
+                "coalesce(s_inventory, inventory))")
+    + " AS prediction FROM pg CROSS JOIN (VALUES "
+    "('unchanged', NULL, NULL, NULL), ('demand_up', 0.9e0, NULL, NULL), "
+    "('stock_low', NULL, 0.1e0, NULL), ('competitor_cut', NULL, NULL, 300.0e0)) "
+    "s(scenario, s_demand, s_inventory, s_competitor_price_mean), "
+    "(SELECT NULL::DOUBLE AS s_clicks, NULL::DOUBLE AS s_search_volume, NULL::DOUBLE AS s_ratings, "
+    "NULL::DOUBLE AS s_holiday, NULL::DOUBLE AS s_weekend)")
+SQL["sensitivity_sweep"] = q(
+    "SELECT id, step, demand, " + r6(_CLOSED) + " AS prediction FROM (SELECT id, inventory, "
+    "CAST(r.range AS INTEGER) AS step, 0.0e0 + CAST(r.range AS DOUBLE) / 100.0e0 AS demand "
+    "FROM clean CROSS JOIN range(0, 101) r)")
+_IMP = {"demand": 0.15, "inventory": 0.12, "competitor_price_mean": 0.10, "holiday": 0.09,
+        "clicks": 0.08, "search_volume": 0.08, "ratings": 0.04}
+_SIG_CTE = f""",
+sig AS (
+  SELECT id, 'demand' AS signal, CAST(demand AS DOUBLE) AS value FROM pg UNION ALL
+  SELECT id, 'inventory', 1.0e0 - inventory FROM pg UNION ALL
+  SELECT id, 'clicks', CAST(clicks AS DOUBLE) FROM pg UNION ALL
+  SELECT id, 'search_volume', CAST(search_volume AS DOUBLE) FROM pg UNION ALL
+  SELECT id, 'competitor_price_mean', CASE WHEN current_price > 0 THEN competitor_price_mean
+         / current_price ELSE 1.0e0 END FROM pg UNION ALL
+  SELECT id, 'ratings', ratings / 5.0e0 FROM pg UNION ALL
+  SELECT id, 'holiday', CAST(holiday AS DOUBLE) + CAST(weekend AS DOUBLE) FROM pg
+),
+imp AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {v}e0)" for k, v in _IMP.items())})
+        t(signal, importance)),
+sigimp AS (
+  SELECT sig.*, coalesce(CASE WHEN sig.signal IN ({", ".join(f"'{f}'" for f in FEATURES_FIXED)})
+                              THEN imp.importance END, 0.05e0) AS importance
+  FROM sig LEFT JOIN imp ON sig.signal = imp.signal
+)"""
+SQL["signal_importance_join"] = qf(
+    f"SELECT id, signal, {r6('value')} AS value, importance FROM sigimp", _SIG_CTE)
+SQL["encoded_lookup"] = q(
+    "SELECT c.id, c.productDisplayName, e.competitor_price_mean, e.demand, e.\"articleType_SMALL\" "
+    "FROM clean c JOIN (SELECT id, competitor_price_mean, demand, "
+    f"{_ind('articleType', 'SMALL')} AS \"articleType_SMALL\" FROM clean) e ON c.id = e.id")
+
+# ---------------------------------------------------------------- KPIs
+_CHG = "(predicted_price - current_price)"
+_PCT = f"(CASE WHEN current_price > 0 THEN {_CHG} / current_price * 100.0e0 ELSE 0.0e0 END)"
+SQL["price_change"] = qf(
+    f"SELECT id, current_price, {r6('predicted_price')} AS predicted_price, "
+    f"{r6(_CHG)} AS price_change, {r6(_PCT)} AS change_percent FROM pg")
+SQL["price_direction"] = qf(
+    f"SELECT id, CASE WHEN {_CHG} > 0 THEN 'INCREASE' WHEN {_CHG} < 0 THEN 'DECREASE' "
+    "ELSE 'ADJUSTMENT' END AS direction FROM pg")
+SQL["revenue_impact_linear"] = qf(
+    f"SELECT id, {r6(f'{_CHG} * demand * 100.0e0 * 1.0e0')} AS revenue_impact FROM op")
+_VOL = "greatest(1000.0e0, least(5000.0e0, demand * 6000.0e0))"
+SQL["revenue_impact_clamped"] = qf(
+    f"SELECT id, {r6(_VOL)} AS volume_estimate, {r6(f'{_CHG} * {_VOL}')} AS revenue_impact FROM pg")
+SQL["profit_margin"] = qf(
+    "SELECT id, " + r6("CASE WHEN predicted_price = 0 THEN NULL ELSE (predicted_price - "
+                       "predicted_price * 0.7e0) / predicted_price END * 100.0e0")
+    + " AS profit_margin FROM op")
+SQL["quality_margin"] = qf(
+    "SELECT id, " + r6("greatest(20.0e0, least(70.0e0, (1.0e0 - (0.4e0 - least(1.0e0, ratings / "
+                       "5.0e0 * 1.2e0) * 0.15e0)) * 100.0e0))") + " AS gross_margin FROM pg")
+SQL["price_tier"] = qf(
+    "SELECT id, current_price, CASE WHEN current_price > 700.0 THEN 'PREMIUM' "
+    "WHEN current_price > 400.0 THEN 'COMPETITIVE' ELSE 'OPPORTUNITY' END AS price_tier FROM pg")
+SQL["pricing_score"] = qf(
+    f"SELECT id, {r6(_score())} AS score, {_score_level(_score())} AS score_level FROM pg")
+_POS = "(CASE WHEN current_price > 0 THEN competitor_price_mean / current_price ELSE 1.0e0 END)"
+SQL["competitor_position"] = qf(f"SELECT id, {r6(_POS)} AS competitor_position FROM pg")
+
+
+def _lvl(c: str, hi: float, med: float, inverted: bool = False) -> str:
+    op = "<" if inverted else ">"
+    return (f"CASE WHEN {c} IS NULL THEN NULL WHEN {c} {op} {hi} THEN 'high' "
+            f"WHEN {c} {op} {med} THEN 'medium' ELSE 'low' END AS {c}_level")
+
+
+SQL["signal_tiers"] = qf(
+    "SELECT id, " + ", ".join([_lvl("demand", 0.7, 0.4), _lvl("inventory", 0.3, 0.7, True),
+                               _lvl("clicks", 0.6, 0.3), _lvl("search_volume", 0.6, 0.3),
+                               _lvl("ratings", 4.0, 3.5)])
+    + f", CASE WHEN {_POS} > 0.9 AND {_POS} < 1.1 THEN 'high' ELSE 'medium' END AS competitor_level"
+    " FROM pg")
+SQL["signal_tiers_legacy"] = qf(
+    f"SELECT id, CASE WHEN {_POS} / 500.0e0 > 0.9 AND {_POS} / 500.0e0 < 1.1 THEN 'high' "
+    "ELSE 'medium' END AS competitor_level FROM pg")
+_DAMP = "(CASE WHEN abs(value) > 2.0 THEN tanh(value / 2.0e0) ELSE value END)"
+_IMPACT = f"(({_DAMP} - 0.5e0) * importance * 150.0e0)"
+SQL["feature_impact"] = qf(
+    f"SELECT id, signal, {r6('value')} AS value, {r6(_IMPACT)} AS impact, importance, "
+    f"CASE WHEN {_IMPACT} > 0 THEN 'positive' WHEN {_IMPACT} < 0 THEN 'negative' "
+    "ELSE 'neutral' END AS impact_type FROM sigimp", _SIG_CTE)
+_LIN_CTE = f""",
+lin AS (
+  SELECT id, {_CHG} AS price_change, signal, value FROM op
+  UNPIVOT INCLUDE NULLS (value FOR signal IN ({", ".join(LINEAR_SIGNALS)}))
+),
+linimp AS (
+  SELECT lin.*, coalesce(imp.importance, 0.05e0) AS importance,
+         CASE WHEN lin.signal = 'competitor_price_mean'
+              THEN (value - 500.0e0) * coalesce(imp.importance, 0.05e0) * 0.8e0
+              ELSE (value - 0.5e0) * coalesce(imp.importance, 0.05e0) * 100.0e0 END AS impact
+  FROM lin LEFT JOIN (VALUES {", ".join(f"('{k}', {v}e0)" for k, v in _IMP.items())})
+       imp(signal, importance) ON lin.signal = imp.signal
+)"""
+SQL["feature_impact_linear"] = qf(
+    f"SELECT id, signal, value, importance, {r6('impact')} AS impact, "
+    "CASE WHEN impact > 0 THEN 'positive' WHEN impact < 0 THEN 'negative' ELSE 'neutral' END "
+    "AS impact_type FROM linimp", _LIN_CTE)
+SQL["impact_share"] = qf(
+    f"SELECT id, signal, {r6('impact * 1.0e0')} AS weighted_impact, "
+    + r6("CASE WHEN abs(price_change) = 0 THEN NULL ELSE abs(impact * 1.0e0) / abs(price_change) "
+         "END * 100.0e0") + " AS share_percent FROM linimp", _LIN_CTE)
+SQL["recommendation"] = qf(
+    f"SELECT id, CASE WHEN {_CHG} > 0 THEN 'Price Increase Recommended' WHEN {_CHG} < 0 THEN "
+    "'Price Reduction Recommended' ELSE 'Price Stable' END AS recommendation, "
+    f"CASE WHEN abs({_PCT}) < 20.0 THEN 'High' WHEN abs({_PCT}) < 50.0 THEN 'Medium' ELSE 'Low' END"
+    " AS confidence, CASE WHEN demand > 0.7 AND ratings > 4.0 THEN 'Premium Positioning' "
+    "WHEN competitor_price_mean < 400.0 THEN 'Competitive Pricing' ELSE 'Market Standard' END "
+    "AS strategy FROM op")
+SQL["bounded_price"] = q(
+    f"SELECT id, {r6(_CLOSED)} AS prediction, {r6(f'greatest(100.0e0, {_CLOSED})')} AS floored_price,"
+    f" {r6(f'greatest(50.0e0, least(2000.0e0, {_CLOSED}))')} AS clamped_price FROM clean")
+_MET_CTE = f""",
+met0 AS (SELECT avg(abs(optimal_price - p)) AS mae, avg((optimal_price - p) * (optimal_price - p))
+         AS mse, sum((optimal_price - p) * (optimal_price - p)) AS sse,
+         regr_syy(optimal_price, p) AS sst, count(*) AS n_rows
+         FROM (SELECT CAST(optimal_price AS DOUBLE) AS optimal_price, {_CLOSED} AS p FROM clean)),
+met AS (SELECT {r6('mae')} AS mae, {r6('mse')} AS mse, {r6('sqrt(mse)')} AS rmse,
+        {r6('1.0e0 - CASE WHEN sst = 0 THEN NULL ELSE sse / sst END')} AS r2, n_rows FROM met0)"""
+SQL["regression_metrics"] = q("SELECT * FROM met", _MET_CTE)
+SQL["model_verdict"] = q(
+    "SELECT r2, mae, CASE WHEN coalesce(r2, 0.0) > 0.7 THEN 'Excellent Model Fit' "
+    "WHEN coalesce(r2, 0.0) > 0.5 THEN 'Good Model Fit' ELSE 'Fair Model Fit' END AS fit_verdict, "
+    "CASE WHEN coalesce(mae, 0.0) < 100.0 THEN 'High Accuracy' ELSE 'Moderate Accuracy' END "
+    "AS accuracy_verdict FROM met", _MET_CTE)
+_SAMPLE = ("SELECT * FROM clean ORDER BY md5(CAST(id AS VARCHAR) || ':42'), id LIMIT 500")
+SQL["seeded_sample"] = q(f"SELECT id, productDisplayName, optimal_price FROM ({_SAMPLE})")
+_RES_CTE = f""",
+res AS (SELECT id, coalesce(CAST(optimal_price AS DOUBLE), 500.0e0) AS actual,
+        {_CLOSED} AS predicted,
+        coalesce(CAST(optimal_price AS DOUBLE), 500.0e0) - {_CLOSED} AS residual
+        FROM ({_SAMPLE}))"""
+SQL["residuals"] = q(f"SELECT id, actual, {r6('predicted')} AS predicted, "
+                     f"{r6('residual')} AS residual FROM res", _RES_CTE)
+SQL["residual_histogram"] = q(histogram_sql("res", "residual", 30), _RES_CTE)
+SQL["prediction_trend"] = q(
+    f"SELECT {r6('regr_slope(predicted, actual)')} AS slope, "
+    f"{r6('regr_intercept(predicted, actual)')} AS intercept, "
+    f"{r6('regr_r2(predicted, actual)')} AS r2, regr_count(predicted, actual) AS n_pairs FROM res",
+    _RES_CTE)
