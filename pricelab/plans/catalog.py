@@ -1,18 +1,81 @@
-"""Entry points shared by the registered queries: the raw and cleaned catalog."""
+"""Catalog inputs shared by the registered queries.
+
+The raw catalog is derived from the driver's tables and the cleaned catalog
+from it; both are written once per Spark application and input folder to the
+shared checkpoint folder (parquet) and every report reads that table, the way
+the application reads its catalog file.  The cache key includes the input
+files' sizes and modification times, so changed inputs are rebuilt.
+"""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.cleaning import clean_catalog
+from ..session import write_shared
 from ..sources.catalog import catalog_from_tables
 
+SOURCE_TABLES = ["part", "lineitem", "events", "supplier", "nation", "region"]
+_CACHE: dict[tuple, str] = {}
+
+
+def _fingerprint(sf_dir: str) -> tuple:
+    out = []
+    for t in SOURCE_TABLES:
+        try:
+            st = os.stat(f"{sf_dir}/{t}.parquet")
+            out.append((t, st.st_size, st.st_mtime_ns))
+        except OSError:
+            out.append((t, None, None))
+    return tuple(out)
+
+
+def _key(spark: SparkSession, sf_dir: str, kind: str) -> tuple:
+    return (spark.sparkContext.applicationId, os.path.abspath(sf_dir), kind, _fingerprint(sf_dir))
+
 
-def raw_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _cached(spark: SparkSession, key: tuple) -> DataFrame | None:
+    path = _CACHE.get(key)
+    if path is None:
+        return None
+    try:
+        return spark.read.parquet(path)
+    except Exception:  # noqa: BLE001 - the folder was removed: rebuild
+        _CACHE.pop(key, None)
+        return None
+
+
+def _store(df: DataFrame, key: tuple, name: str) -> DataFrame:
+    path = write_shared(df, name)
+    _CACHE[key] = path
+    return df.sparkSession.read.parquet(path)
+
+
+def raw_catalog(spark: SparkSession, sf_dir: str, cache: bool = True) -> DataFrame:
     """The dirty catalog derived from the test tables."""
-    return catalog_from_tables(spark, sf_dir)
+    if not cache:
+        return catalog_from_tables(spark, sf_dir)
+    key = _key(spark, sf_dir, "raw")
+    hit = _cached(spark, key)
+    if hit is not None:
+        return hit
+    return _store(catalog_from_tables(spark, sf_dir), key, "catalog-raw")
 
 
-def cleaned_catalog(spark: SparkSession, sf_dir: str, flags: str = "strict") -> DataFrame:
+def cleaned_catalog(spark: SparkSession, sf_dir: str, flags: str = "strict",
+                    cache: bool = True) -> DataFrame:
     """Catalog after load-time cleaning (strict flags = optimizer edition)."""
-    return clean_catalog(raw_catalog(spark, sf_dir), flags=flags)
+    if not cache:
+        return clean_catalog(raw_catalog(spark, sf_dir, cache=False), flags=flags)
+    key = _key(spark, sf_dir, f"clean-{flags}")
+    hit = _cached(spark, key)
+    if hit is not None:
+        return hit
+    return _store(clean_catalog(raw_catalog(spark, sf_dir), flags=flags), key,
+                  f"catalog-clean-{flags}")
+
+
+def clear_cache() -> None:
+    _CACHE.clear()

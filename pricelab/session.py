@@ -57,3 +57,19 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared folder (never reused, never deleted)."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df, name: str):
+    """Write ``df`` as parquet to a fresh path in the shared folder and read it back.
+
+    Cuts the lineage (a lost executor re-reads the files instead of
+    recomputing the inputs) and gives the optimizer real statistics.
+    """
+    return df.sparkSession.read.parquet(write_shared(df, name))
+
+
+def write_shared(df, name: str) -> str:
+    """Write ``df`` as parquet to a fresh path in the shared folder; return the path."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return path
