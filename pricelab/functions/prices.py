@@ -50,10 +50,19 @@ def nan_to_null(c) -> Column:
     return F.nanvl(_col(c), F.lit(None).cast("double"))
 
 
-def clip(c, lo: float, hi: float) -> Column:
-    """Clip to [lo, hi]; NULL stays NULL (``greatest``/``least`` would give hi)."""
+def clip(c, lo: float | None, hi: float | None) -> Column:
+    """Clip to [lo, hi] (either bound may be None); NULL stays NULL.
+
+    ``greatest``/``least`` skip NULL arguments, so an unguarded clip would turn
+    a missing value into a bound.
+    """
     x = _col(c)
-    return F.when(x.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), x)))
+    y = x
+    if hi is not None:
+        y = F.least(F.lit(float(hi)), y)
+    if lo is not None:
+        y = F.greatest(F.lit(float(lo)), y)
+    return F.when(x.isNotNull(), y)
 
 
 def flag_strict(c) -> Column:

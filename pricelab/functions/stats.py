@@ -25,18 +25,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
+from .prices import clip
 
 
 def safe_corr(y, x) -> Column:
     """Pearson correlation over pairwise-complete rows.
 
     NULL when either side is constant or there is fewer than two pairs (where
-    ``corr`` would raise under ANSI); clamped to [-1, 1].
+    ``corr`` would raise under ANSI); clamped to [-1, 1] with NULL kept NULL.
     """
     y = F.col(y) if isinstance(y, str) else y
     x = F.col(x) if isinstance(x, str) else x
     r = F.try_divide(F.regr_sxy(y, x), F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x)))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+    return clip(r, -1.0, 1.0)
 
 
 def unpivot_values(df: DataFrame, columns: Sequence[str], key: str = "column",

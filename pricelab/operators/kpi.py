@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.prices import sign_label, tiers
+from ..functions.prices import clip, sign_label, tiers
 
 PRED, CUR = "predicted_price", "current_price"
 
@@ -45,7 +45,7 @@ def revenue_impact_clamped(df: DataFrame, change: str = "price_change",
                            factor: float = S.VOLUME_FACTOR,
                            clamp=S.VOLUME_CLAMP) -> DataFrame:
     """Change x clamp(6000 x demand, 1000, 5000)."""
-    volume = F.greatest(F.lit(clamp[0]), F.least(F.lit(clamp[1]), F.col("demand") * F.lit(factor)))
+    volume = clip(F.col("demand") * F.lit(factor), clamp[0], clamp[1])
     return df.withColumns({"volume_estimate": volume,
                            "revenue_impact": _c(change) * volume})
 
@@ -59,10 +59,9 @@ def profit_margin(df: DataFrame, predicted: str = PRED, cost_rate: float = S.COS
 
 def quality_margin(df: DataFrame, rating: str = "ratings") -> DataFrame:
     """q = min(1, 1.2 r / 5); cost = 0.4 - 0.15 q; clamp(100 (1 - cost), 20, 70)."""
-    q = F.least(F.lit(1.0), _c(rating) / F.lit(5.0) * F.lit(1.2))
+    q = clip(_c(rating) / F.lit(5.0) * F.lit(1.2), None, 1.0)
     cost = F.lit(0.4) - q * F.lit(0.15)
-    return df.withColumn("gross_margin",
-                         F.greatest(F.lit(20.0), F.least(F.lit(70.0), (F.lit(1.0) - cost) * F.lit(100.0))))
+    return df.withColumn("gross_margin", clip((F.lit(1.0) - cost) * F.lit(100.0), 20.0, 70.0))
 
 
 def price_tier(df: DataFrame, current: str = CUR) -> DataFrame:
@@ -77,7 +76,7 @@ def pricing_score(df: DataFrame, holiday: str | float = "holiday", weekend: str
     w = F.lit(float(weekend)) if isinstance(weekend, (int, float)) else F.col(weekend).cast("double")
     r = F.col("ratings") if missing_rating is None else F.coalesce(F.col("ratings"),
                                                                    F.lit(float(missing_rating)))
-    scarcity = F.col("demand") / F.greatest(F.col("inventory"), F.lit(S.SCARCITY_FLOOR))
+    scarcity = F.col("demand") / clip(F.col("inventory"), S.SCARCITY_FLOOR, None)
     engagement = F.col("clicks") + F.col("search_volume")
     timing = h * F.lit(S.HOLIDAY_TIMING) + w * F.lit(S.WEEKEND_TIMING)
     quality = r / F.lit(5.0)
@@ -179,8 +178,8 @@ def bounded_price(df: DataFrame, prediction: str = "prediction") -> DataFrame:
     p = F.col(prediction)
     lo, hi = S.PREDICTION_CLAMP
     return df.withColumns({
-        "floored_price": F.greatest(F.lit(S.PREDICTION_FLOOR), p),
-        "clamped_price": F.greatest(F.lit(lo), F.least(F.lit(hi), p))})
+        "floored_price": clip(p, S.PREDICTION_FLOOR, None),
+        "clamped_price": clip(p, lo, hi)})
 
 
 def regression_metrics(df: DataFrame, label: str = "optimal_price",

@@ -234,7 +234,7 @@ SQL["price_range"] = q("SELECT min(optimal_price) AS min_price, max(optimal_pric
 def _corr(y: str, x: str) -> str:
     r = (f"CASE WHEN regr_sxx({y}, {x}) * regr_syy({y}, {x}) > 0 THEN regr_sxy({y}, {x}) / "
          f"sqrt(regr_sxx({y}, {x}) * regr_syy({y}, {x})) END")
-    return f"greatest(-1.0e0, least(1.0e0, {r}))"
+    return f"CASE WHEN ({r}) IS NOT NULL THEN greatest(-1.0e0, least(1.0e0, {r})) END"
 
 
 _CORR = ["demand", "clicks", "search_volume", "inventory", "ratings", "discount_percentage",
@@ -348,12 +348,13 @@ pg AS (
   SELECT * REPLACE (0.0e0 AS holiday, 0.0e0 AS weekend),
          greatest(50.0e0, optimal_price) AS current_price,
          {_CLOSED} AS prediction,
-         greatest(50.0e0, least(2000.0e0, {_CLOSED})) AS predicted_price
+         CASE WHEN {_CLOSED} IS NOT NULL THEN greatest(50.0e0, least(2000.0e0, {_CLOSED})) END
+           AS predicted_price
   FROM clean_l
 ),
 op AS (
   SELECT *, optimal_price AS current_price, {_CLOSED} AS prediction,
-         greatest(100.0e0, {_CLOSED}) AS predicted_price
+         CASE WHEN {_CLOSED} IS NOT NULL THEN greatest(100.0e0, {_CLOSED}) END AS predicted_price
   FROM clean
 )"""
 
@@ -500,7 +501,7 @@ SQL["clip_features"] = qf("SELECT id, " + ", ".join(
 
 
 def _score(h: str = "holiday", w: str = "weekend") -> str:
-    return (f"(demand / greatest(inventory, 0.01e0) * 0.3e0 + (clicks + search_volume) * 0.25e0 "
+    return (f"(demand / (CASE WHEN inventory IS NOT NULL THEN greatest(inventory, 0.01e0) END) * 0.3e0 + (clicks + search_volume) * 0.25e0 "
             f"+ ({h} * 2.5e0 + {w} * 1.8e0) * 0.2e0 + coalesce(ratings, 0.0e0) / 5.0e0 * 0.25e0)")
 
 
@@ -570,7 +571,7 @@ SQL["price_direction"] = qf(
     "ELSE 'ADJUSTMENT' END AS direction FROM pg")
 SQL["revenue_impact_linear"] = qf(
     f"SELECT id, {r6(f'{_CHG} * demand * 100.0e0 * 1.0e0')} AS revenue_impact FROM op")
-_VOL = "greatest(1000.0e0, least(5000.0e0, demand * 6000.0e0))"
+_VOL = "CASE WHEN demand IS NOT NULL THEN greatest(1000.0e0, least(5000.0e0, demand * 6000.0e0)) END"
 SQL["revenue_impact_clamped"] = qf(
     f"SELECT id, {r6(_VOL)} AS volume_estimate, {r6(f'{_CHG} * {_VOL}')} AS revenue_impact FROM pg")
 SQL["profit_margin"] = qf(
@@ -578,8 +579,9 @@ SQL["profit_margin"] = qf(
                        "predicted_price * 0.7e0) / predicted_price END * 100.0e0")
     + " AS profit_margin FROM op")
 SQL["quality_margin"] = qf(
-    "SELECT id, " + r6("greatest(20.0e0, least(70.0e0, (1.0e0 - (0.4e0 - least(1.0e0, ratings / "
-                       "5.0e0 * 1.2e0) * 0.15e0)) * 100.0e0))") + " AS gross_margin FROM pg")
+    "SELECT id, " + r6("CASE WHEN ratings IS NOT NULL THEN greatest(20.0e0, least(70.0e0, (1.0e0 - "
+                       "(0.4e0 - least(1.0e0, ratings / 5.0e0 * 1.2e0) * 0.15e0)) * 100.0e0)) END")
+    + " AS gross_margin FROM pg")
 SQL["price_tier"] = qf(
     "SELECT id, current_price, CASE WHEN current_price > 700.0 THEN 'PREMIUM' "
     "WHEN current_price > 400.0 THEN 'COMPETITIVE' ELSE 'OPPORTUNITY' END AS price_tier FROM pg")
@@ -639,8 +641,10 @@ SQL["recommendation"] = qf(
     "WHEN competitor_price_mean < 400.0 THEN 'Competitive Pricing' ELSE 'Market Standard' END "
     "AS strategy FROM op")
 SQL["bounded_price"] = q(
-    f"SELECT id, {r6(_CLOSED)} AS prediction, {r6(f'greatest(100.0e0, {_CLOSED})')} AS floored_price,"
-    f" {r6(f'greatest(50.0e0, least(2000.0e0, {_CLOSED}))')} AS clamped_price FROM clean")
+    f"SELECT id, {r6(_CLOSED)} AS prediction, "
+    f"{r6(f'CASE WHEN {_CLOSED} IS NOT NULL THEN greatest(100.0e0, {_CLOSED}) END')} AS floored_price,"
+    f" {r6(f'CASE WHEN {_CLOSED} IS NOT NULL THEN greatest(50.0e0, least(2000.0e0, {_CLOSED})) END')}"
+    " AS clamped_price FROM clean")
 _MET_CTE = f""",
 met0 AS (SELECT avg(abs(optimal_price - p)) AS mae, avg((optimal_price - p) * (optimal_price - p))
          AS mse, sum((optimal_price - p) * (optimal_price - p)) AS sse,
