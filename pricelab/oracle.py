@@ -673,3 +673,14 @@ SQL["prediction_trend"] = q(
     f"{r6('regr_intercept(predicted, actual)')} AS intercept, "
     f"{r6('regr_r2(predicted, actual)')} AS r2, regr_count(predicted, actual) AS n_pairs FROM res",
     _RES_CTE)
+
+# ---------------------------------------------------------------- sinks, streaming
+SQL["report_sink"] = SQL["price_stats_by_category"]
+SQL["stream_pricing_kpis"] = qf(
+    f"SELECT id, current_price, {r6('predicted_price')} AS predicted_price, "
+    f"{r6(_CHG)} AS price_change, {r6(_PCT)} AS change_percent, "
+    f"CASE WHEN {_CHG} > 0 THEN 'INCREASE' WHEN {_CHG} < 0 THEN 'DECREASE' ELSE 'ADJUSTMENT' END "
+    "AS direction, CASE WHEN current_price > 700.0 THEN 'PREMIUM' WHEN current_price > 400.0 "
+    "THEN 'COMPETITIVE' ELSE 'OPPORTUNITY' END AS price_tier, "
+    f"{r6(_score())} AS score, {_score_level(_score())} AS score_level, "
+    f"{r6(_POS)} AS competitor_position FROM pg")

@@ -503,3 +503,60 @@ def q_feature_importance(spark, sf):
 def q_top_drivers(spark, sf):
     _, model = _forest(spark, sf)
     return top_drivers(feature_importance(model))
+
+
+# ---------------------------------------------------------------- sinks, model i/o, streaming
+from pyspark.ml import PipelineModel  # noqa: E402
+
+from ..functions.stats import exact_quantiles  # noqa: E402
+from ..session import write_shared  # noqa: E402
+from ..sources.catalog import write_report  # noqa: E402
+from ..streaming.pricing import catalog_stream, pricing_kpi_stream, run_available  # noqa: E402
+from .catalog import _CACHE, _key  # noqa: E402
+from .whatif import forest_prediction  # noqa: E402
+
+
+@register("report_sink")
+def q_report_sink(spark, sf):
+    """S3: a report written to the shared folder as parquet and read back."""
+    path = scratch_path(spark, "report-price-stats")
+    write_report(A.price_stats_by_category(cleaned_catalog(spark, sf)), path)
+    return spark.read.parquet(path)
+
+
+@register("model_roundtrip")
+def q_model_roundtrip(spark, sf):
+    """Save the trained pipeline (feature list inside), load it, score the catalog."""
+    clean, model = _forest(spark, sf)
+    path = scratch_path(spark, "price-model")
+    model.save(path)
+    return score_catalog(PipelineModel.load(path), clean)
+
+
+@register("forest_pricing")
+def q_forest_pricing(spark, sf):
+    """Train the forest, score every product, then the playground KPIs on its prices."""
+    clean = cleaned_catalog(spark, sf, flags="lenient")
+    model = train_price_model(clean, feature_list(clean))
+    scored = forest_prediction(model, clean)
+    df = playground_frame(scored.withColumnRenamed("prediction", "forest_prediction"),
+                          predictor=F.col("forest_prediction"))
+    df = K.recommendation(K.price_tier(K.price_direction(K.price_change(df))))
+    return df.select("id", "current_price", "predicted_price", "price_change", "change_percent",
+                     "direction", "price_tier", "recommendation", "confidence", "strategy")
+
+
+@register("stream_pricing_kpis")
+def q_stream_kpis(spark, sf):
+    """Streaming: the raw catalog files as a stream -> cleaning -> KPIs -> parquet sink."""
+    raw = raw_catalog(spark, sf)
+    source = _CACHE[_key(spark, sf, "raw")]
+    long = C.competitor_mean(raw).select(F.lit("m").alias("column"),
+                                         F.col("competitor_price_mean").alias("value"))
+    med_rows = exact_quantiles(long, [0.5]).collect()   # one row: the exact median
+    median = med_rows[0]["quantile"] if med_rows else None
+    sink = scratch_path(spark, "stream-kpis")
+    ckpt = scratch_path(spark, "stream-kpis-checkpoint")
+    run_available(pricing_kpi_stream(catalog_stream(spark, source, max_files_per_trigger=1),
+                                     median), sink, ckpt)
+    return spark.read.parquet(sink)
