@@ -13,7 +13,7 @@ Scale notes
   ranks are kept.  The range-partitioned slices are checkpointed to the
   shared checkpoint folder so the slice assignment is fixed and survives the
   loss of an executor.
-* ``histogram`` uses scalar subqueries for the bounds and a zero-filled
+* ``histogram`` uses one scalar subquery for the bounds and a zero-filled
   ``range(nbins)`` for the bin list.
 """
 
@@ -121,8 +121,8 @@ def histogram(df: DataFrame, column: str, nbins: int) -> DataFrame:
     """
     x = F.col(column).cast("double")
     vals = df.select(x.alias("x")).where(F.col("x").isNotNull())
-    lo = vals.select(F.min("x")).scalar()
-    hi = vals.select(F.max("x")).scalar()
+    bounds = vals.select(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
+    lo, hi = bounds.getField("lo"), bounds.getField("hi")  # one subquery, reused
     width = hi - lo
     raw_bin = F.floor(F.try_divide(F.col("x") - lo, width) * F.lit(float(nbins)))
     b = F.least(F.lit(nbins - 1), F.coalesce(raw_bin, F.lit(0))).cast("int")

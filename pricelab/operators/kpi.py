@@ -134,10 +134,11 @@ def feature_impact_linear(long: DataFrame, value: str = "value",
                           importance: str = "importance") -> DataFrame:
     """(v - 0.5) x importance x 100; competitor price: (p - 500) x importance x 0.8."""
     v, imp = F.col(value), F.col(importance)
-    impact = F.when(F.col("signal") == "competitor_price_mean",
-                    (v - F.lit(S.LINEAR_COMPETITOR_BASE)) * imp * F.lit(S.LINEAR_COMPETITOR_SCALE)) \
-        .otherwise((v - F.lit(S.IMPACT_BASE)) * imp * F.lit(S.LINEAR_IMPACT_SCALE))
-    return long.withColumns({"impact": impact, "impact_type": sign_label(impact)})
+    is_comp = F.col("signal") == "competitor_price_mean"
+    base = F.when(is_comp, F.lit(S.LINEAR_COMPETITOR_BASE)).otherwise(F.lit(S.IMPACT_BASE))
+    scale = F.when(is_comp, F.lit(S.LINEAR_COMPETITOR_SCALE)).otherwise(F.lit(S.LINEAR_IMPACT_SCALE))
+    out = long.withColumn("impact", (v - base) * imp * scale)
+    return out.withColumn("impact_type", sign_label(F.col("impact")))
 
 
 def impact_share(long: DataFrame, change: str = "price_change",
