@@ -121,22 +121,33 @@ def nan_clean(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def clean_catalog(raw: DataFrame, flags: str = "strict", price: bool = True,
+def clean_catalog(raw: DataFrame, flags: str | None = "strict", price: bool = True,
                   impute: bool = True) -> DataFrame:
     """Load-time cleaning: names, competitor mean (+median fill), flags, price.
 
     ``flags="strict"`` is the optimizer application's rule (int, clipped),
-    ``flags="lenient"`` the playground's (double, unparsable to 0).
+    ``flags="lenient"`` the playground's (double, unparsable to 0), ``None``
+    leaves the flag text as is (see ``clean_flags``).
     """
     df = nan_clean(raw)
     df = clean_names(df)
     df = competitor_mean(df)
     if impute:
         df = impute_competitor_mean(df)
-    df = clean_flags_strict(df) if flags == "strict" else clean_flags_lenient(df)
     if price:
         df = clean_price(df)
-    return df
+    return clean_flags(df, flags)
+
+
+def clean_flags(df: DataFrame, flags: str | None) -> DataFrame:
+    """Apply one edition's flag rule (``strict``, ``lenient`` or ``None``)."""
+    if flags is None:
+        return df
+    if flags == "strict":
+        return clean_flags_strict(df)
+    if flags == "lenient":
+        return clean_flags_lenient(df)
+    raise ValueError(f"unknown flag rule {flags!r}")
 
 
 def clip_columns(df: DataFrame, columns: Sequence[str], lo: float = S.CLIP_LOW,

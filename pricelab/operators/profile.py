@@ -207,7 +207,10 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] = S.CORRELATION_COL
                        digits: int | None = 6) -> DataFrame:
     """A10: pairwise-complete Pearson matrix as (a, b, r); empty below ``min_columns``.
 
-    All pairs (diagonal included) are computed in one aggregate, then mirrored.
+    Every row is expanded into one ``(pair, x, y)`` row per column pair
+    (diagonal included) and grouped by pair: a narrow, code-generated partial
+    aggregate with one group per pair, instead of one very wide aggregate that
+    falls out of whole-stage codegen.  The result is mirrored.
     """
     cols = [c for c in columns if c in df.columns]
     spark = df.sparkSession
@@ -215,18 +218,19 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] = S.CORRELATION_COL
         return spark.range(0).select(F.lit("").alias("a"), F.lit("").alias("b"),
                                      F.lit(0.0).alias("r"))
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    aggs = [safe_corr(F.col(cols[j]).cast("double"), F.col(cols[i]).cast("double"))
-            .alias(f"c{i}_{j}") for i, j in pairs]
-    one = df.select(*aggs)
-    cells = []
-    for i, j in pairs:
-        cells.append(F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"),
-                              F.col(f"c{i}_{j}").alias("r")))
-        if i != j:
-            cells.append(F.struct(F.lit(cols[j]).alias("a"), F.lit(cols[i]).alias("b"),
-                                  F.col(f"c{i}_{j}").alias("r")))
-    out = one.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
-    return out.select("a", "b", _r(F.col("r"), digits).alias("r"))
+    cells = F.array(*[F.struct(F.lit(k).alias("pair"), F.col(cols[i]).cast("double").alias("x"),
+                               F.col(cols[j]).cast("double").alias("y"))
+                      for k, (i, j) in enumerate(pairs)])
+    long = df.select(F.explode(cells).alias("c")).select("c.*")
+    per = long.groupBy("pair").agg(safe_corr(F.col("y"), F.col("x")).alias("r"))
+    a_names = F.array(*[F.lit(cols[i]) for i, _ in pairs])
+    b_names = F.array(*[F.lit(cols[j]) for _, j in pairs])
+    idx = (F.col("pair") + 1).cast("int")
+    named = per.select(F.element_at(a_names, idx).alias("a"), F.element_at(b_names, idx).alias("b"),
+                       _r(F.col("r"), digits).alias("r"))
+    mirrored = named.where(F.col("a") != F.col("b")).select(
+        F.col("b").alias("a"), F.col("a").alias("b"), "r")
+    return named.unionByName(mirrored)
 
 
 def demand_price_corr(df: DataFrame, x: str = "demand", y: str = "optimal_price",

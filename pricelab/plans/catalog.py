@@ -13,7 +13,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.cleaning import clean_catalog
+from ..operators.cleaning import clean_catalog, clean_flags
 from ..session import write_shared
 from ..sources.catalog import catalog_from_tables
 
@@ -66,15 +66,19 @@ def raw_catalog(spark: SparkSession, sf_dir: str, cache: bool = True) -> DataFra
 
 def cleaned_catalog(spark: SparkSession, sf_dir: str, flags: str = "strict",
                     cache: bool = True) -> DataFrame:
-    """Catalog after load-time cleaning (strict flags = optimizer edition)."""
+    """Catalog after load-time cleaning (strict flags = optimizer edition).
+
+    Both editions share one written core (names, imputed competitor mean,
+    price; the median is computed once); the flag rule is a projection.
+    """
     if not cache:
         return clean_catalog(raw_catalog(spark, sf_dir, cache=False), flags=flags)
-    key = _key(spark, sf_dir, f"clean-{flags}")
-    hit = _cached(spark, key)
-    if hit is not None:
-        return hit
-    return _store(clean_catalog(raw_catalog(spark, sf_dir), flags=flags), key,
-                  f"catalog-clean-{flags}")
+    key = _key(spark, sf_dir, "clean-core")
+    core = _cached(spark, key)
+    if core is None:
+        core = _store(clean_catalog(raw_catalog(spark, sf_dir), flags=None), key,
+                      "catalog-clean-core")
+    return clean_flags(core, flags)
 
 
 def clear_cache() -> None:
