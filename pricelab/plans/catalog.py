@@ -64,6 +64,12 @@ def raw_catalog(spark: SparkSession, sf_dir: str, cache: bool = True) -> DataFra
     return _store(catalog_from_tables(spark, sf_dir), key, "catalog-raw")
 
 
+def raw_catalog_path(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the written raw catalog files (built on first use)."""
+    raw_catalog(spark, sf_dir)
+    return _CACHE[_key(spark, sf_dir, "raw")]
+
+
 def cleaned_catalog(spark: SparkSession, sf_dir: str, flags: str = "strict",
                     cache: bool = True) -> DataFrame:
     """Catalog after load-time cleaning (strict flags = optimizer edition).

@@ -8,15 +8,27 @@ from __future__ import annotations
 
 from typing import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions.stats import exact_quantiles, histogram
 from ..operators import cleaning as C
+from ..operators import features as Fe
+from ..operators import kpi as K
 from ..operators import profile as A
+from ..operators import scenarios as J
+from ..operators import search as P
+from ..operators.model import (feature_importance, feature_list, model_summary, score_catalog,
+                               top_drivers, train_price_model)
 from ..session import scratch_path
-from ..sources.catalog import read_catalog_csv, write_catalog_csv
-from .catalog import cleaned_catalog, raw_catalog
+from ..sources.catalog import read_catalog_csv, write_catalog_csv, write_report
+from ..streaming.pricing import catalog_stream, pricing_kpi_stream, run_available
+from .catalog import cleaned_catalog, raw_catalog, raw_catalog_path
+from .params import (ENCODED_LOOKUP_COLUMNS, FEATURES_FIXED, LINEAR_SIGNALS, NO_MATCH_TERM,
+                     SEARCH_REGEX, SEARCH_TERM, WEIGHTED_SIGNALS)
+from .whatif import forest_prediction, optimizer_frame, playground_frame
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -141,17 +153,6 @@ def q_inventory_hist(spark, sf):
 
 
 # ---------------------------------------------------------------- search (P)
-from ..operators import features as Fe  # noqa: E402
-from ..operators import kpi as K  # noqa: E402
-from ..operators import scenarios as J  # noqa: E402
-from ..operators import search as P  # noqa: E402
-from ..operators.model import (feature_importance, feature_list, model_summary,  # noqa: E402
-                               score_catalog, top_drivers, train_price_model)
-from ..functions.stats import histogram  # noqa: E402
-from .whatif import optimizer_frame, playground_frame  # noqa: E402
-
-from .params import (ENCODED_LOOKUP_COLUMNS, FEATURES_FIXED, LINEAR_SIGNALS,  # noqa: E402
-                     NO_MATCH_TERM, SEARCH_REGEX, SEARCH_TERM, WEIGHTED_SIGNALS)
 
 
 @register("search_products")
@@ -506,14 +507,6 @@ def q_top_drivers(spark, sf):
 
 
 # ---------------------------------------------------------------- sinks, model i/o, streaming
-from pyspark.ml import PipelineModel  # noqa: E402
-
-from ..functions.stats import exact_quantiles  # noqa: E402
-from ..session import write_shared  # noqa: E402
-from ..sources.catalog import write_report  # noqa: E402
-from ..streaming.pricing import catalog_stream, pricing_kpi_stream, run_available  # noqa: E402
-from .catalog import _CACHE, _key  # noqa: E402
-from .whatif import forest_prediction  # noqa: E402
 
 
 @register("report_sink")
@@ -550,7 +543,7 @@ def q_forest_pricing(spark, sf):
 def q_stream_kpis(spark, sf):
     """Streaming: the raw catalog files as a stream -> cleaning -> KPIs -> parquet sink."""
     raw = raw_catalog(spark, sf)
-    source = _CACHE[_key(spark, sf, "raw")]
+    source = raw_catalog_path(spark, sf)
     long = C.competitor_mean(raw).select(F.lit("m").alias("column"),
                                          F.col("competitor_price_mean").alias("value"))
     med_rows = exact_quantiles(long, [0.5]).collect()   # one row: the exact median
