@@ -39,13 +39,8 @@ def _share(num: Column, den: Column) -> Column:
     return F.try_divide(num.cast("double"), den.cast("double"))
 
 
-def catalog_from_tables(spark: SparkSession, sf_dir: str, materialize_base: bool = True) -> DataFrame:
-    """Raw (dirty) catalog with ``CATALOG_SCHEMA`` derived from the test tables.
-
-    ``materialize_base`` writes the per-part aggregate once (parquet in the
-    shared folder) so the normalisation maxima and the final projection do
-    not both recompute the lineitem aggregation.
-    """
+def catalog_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-part aggregate of the test tables (lazy): one row per part."""
     part = read_table(spark, sf_dir, "part")
     li = read_table(spark, sf_dir, "lineitem")
     ev = read_table(spark, sf_dir, "events")
@@ -94,10 +89,21 @@ def catalog_from_tables(spark: SparkSession, sf_dir: str, materialize_base: bool
             .join(sup, F.col("sk") == F.col("s_suppkey"), "left")
             .join(nat, F.col("s_nationkey") == F.col("n_nationkey"), "left")
             .join(reg, F.col("n_regionkey") == F.col("r_regionkey"), "left"))
+    return base.select(
+        "p_partkey", "p_name", "p_type", "p_brand", "p_size", "p_retailprice", "n_lines",
+        "qty", "disc", "freight", "n_ret", "mm", "units", "c", "v", "r_name")
+
+
+def catalog_from_tables(spark: SparkSession, sf_dir: str, materialize_base: bool = True) -> DataFrame:
+    """Raw (dirty) catalog with ``CATALOG_SCHEMA`` derived from the test tables.
+
+    ``materialize_base`` writes the per-part aggregate once (parquet in the
+    shared folder) so the normalisation maxima and the final projection do
+    not both recompute the lineitem aggregation.
+    """
+    base = catalog_base(spark, sf_dir)
     if materialize_base:
-        base = materialize(base.select(
-            "p_partkey", "p_name", "p_type", "p_brand", "p_size", "p_retailprice", "n_lines",
-            "qty", "disc", "freight", "n_ret", "mm", "units", "c", "v", "r_name"), "catalog-base")
+        base = materialize(base, "catalog-base")
 
     # one scalar subquery (a single row) for all normalisation maxima
     mx = base.select(F.struct(F.max("qty").alias("q"), F.max("c").alias("c"),
