@@ -12,7 +12,8 @@ Scale notes
   counts, slice totals give offsets, and only the rows holding the target
   ranks are kept.  The range-partitioned slices are checkpointed to the
   shared checkpoint folder so the slice assignment is fixed and survives the
-  loss of an executor.
+  loss of an executor.  The slice offsets (keys x slices rows) and rank
+  targets (keys x probabilities) are broadcast only after counting the keys.
 * ``histogram`` uses one scalar subquery for the bounds and a zero-filled
   ``range(nbins)`` for the bin list.
 """
@@ -27,6 +28,9 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 from .prices import clip
 
+# Largest lookup table (rows) broadcast on our own initiative.
+BROADCAST_ROW_LIMIT = 1_000_000
+
 
 def safe_corr(y, x) -> Column:
     """Pearson correlation over pairwise-complete rows.
@@ -69,8 +73,12 @@ def exact_quantiles(long: DataFrame, probs: Sequence[float], key: str = "column"
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = ranged.withColumn("run", F.sum("cnt").over(w_local))
 
-    # per-slice totals: at most (keys x slices) rows
+    # per-slice totals: (keys x slices) rows.  Broadcast the small lookup
+    # tables only behind a size check; beyond it the planner/AQE choose.
     totals = ranged.groupBy("k", "slice").agg(F.sum("cnt").alias("slice_n"))
+    n_keys = ranged.select("k").distinct().count()
+    small = n_keys * max(n_slices, len(probs)) <= BROADCAST_ROW_LIMIT
+    maybe_broadcast = F.broadcast if small else (lambda d: d)
     w_before = (Window.partitionBy("k").orderBy("slice")
                 .rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select(
@@ -78,7 +86,7 @@ def exact_quantiles(long: DataFrame, probs: Sequence[float], key: str = "column"
         F.coalesce(F.sum("slice_n").over(w_before), F.lit(0)).alias("offset"),
         F.sum("slice_n").over(Window.partitionBy("k")).alias("n"),
     )
-    ranks = local.join(F.broadcast(offsets), ["k", "slice"]).select(
+    ranks = local.join(maybe_broadcast(offsets), ["k", "slice"]).select(
         "k", "v",
         (F.col("offset") + F.col("run") - F.col("cnt")).alias("first"),
         (F.col("offset") + F.col("run") - 1).alias("last"),
@@ -91,7 +99,7 @@ def exact_quantiles(long: DataFrame, probs: Sequence[float], key: str = "column"
                        F.floor(pos).cast("long").alias("lo"),
                        F.ceil(pos).cast("long").alias("hi"),
                        (pos - F.floor(pos)).alias("frac")))
-    t = F.broadcast(targets.alias("t"))
+    t = maybe_broadcast(targets.alias("t"))
     r = ranks.alias("r")
     lo_hit = (F.col("t.lo") >= F.col("r.first")) & (F.col("t.lo") <= F.col("r.last"))
     hi_hit = (F.col("t.hi") >= F.col("r.first")) & (F.col("t.hi") <= F.col("r.last"))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions.stats import BROADCAST_ROW_LIMIT
 
 OVERRIDABLE = ["demand", "inventory", "clicks", "search_volume", "competitor_price_mean",
                "ratings", "holiday", "weekend"]
@@ -80,13 +81,15 @@ def signal_importance_join(long: DataFrame, importances: DataFrame,
                            fallback: float = S.IMPORTANCE_FALLBACK) -> DataFrame:
     """Attach each signal's importance; ``fallback`` when the model lacks it.
 
-    ``importances`` is a per-feature table (bounded by the feature list), so it
-    is broadcast.
+    ``importances`` is a per-feature table (bounded by the feature list); it is
+    broadcast after its row count is checked, otherwise left to the planner.
     """
     imp = importances
     if model_features is not None:
         imp = imp.where(F.col("signal").isin(list(model_features)))
-    j = long.join(F.broadcast(imp), "signal", "left")
+    if imp.count() <= BROADCAST_ROW_LIMIT:   # checked size: broadcast the lookup
+        imp = F.broadcast(imp)
+    j = long.join(imp, "signal", "left")
     return j.select(*[c for c in long.columns],
                     F.coalesce(F.col("importance"), F.lit(float(fallback))).alias("importance"))
 
