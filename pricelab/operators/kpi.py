@@ -227,9 +227,28 @@ def residuals(df: DataFrame, label: str = "optimal_price", prediction: str = "pr
                      (y - F.col(prediction)).alias("residual"))
 
 
-def impact_text(long: DataFrame) -> DataFrame:
-    """A one-line explanation per (product, signal) with value and impact (own wording)."""
-    text = F.format_string("%s at %.2f moves the price by %+.0f (%s)",
-                           F.initcap(F.regexp_replace("signal", "_", " ")),
-                           F.col("value"), F.bround("impact", 0), F.col("impact_type"))
+# Explanation sentence per signal (our own wording); each takes (value, impact).
+IMPACT_TEMPLATES = {
+    "demand": "Demand level %.2f moves the recommended price by %+.0f",
+    "inventory": "Stock scarcity %.2f moves the recommended price by %+.0f",
+    "clicks": "Click engagement %.2f moves the recommended price by %+.0f",
+    "search_volume": "Search momentum %.2f moves the recommended price by %+.0f",
+    "competitor_price_mean": "Competitor price position %.2f moves the recommended price by %+.0f",
+    "ratings": "Rating score %.2f moves the recommended price by %+.0f",
+    "holiday": "Timing context %.2f moves the recommended price by %+.0f",
+}
+IMPACT_TEMPLATE_OTHER = "Signal level %.2f moves the recommended price by %+.0f"
+
+
+def impact_text(long: DataFrame, templates=None) -> DataFrame:
+    """One explanation sentence per (product, signal) with value and impact.
+
+    The template is looked up per row from a literal map (no join); the
+    impact is rounded half-even before formatting.
+    """
+    templates = templates or IMPACT_TEMPLATES
+    tmap = F.create_map(*[x for k, v in templates.items() for x in (F.lit(k), F.lit(v))])
+    tmpl = F.coalesce(F.element_at(tmap, F.col("signal")), F.lit(IMPACT_TEMPLATE_OTHER))
+    text = F.when(F.col("value").isNotNull() & F.col("impact").isNotNull(),
+                  F.printf(tmpl, F.col("value"), F.bround("impact", 0)))
     return long.withColumn("explanation", text)

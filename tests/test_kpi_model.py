@@ -130,3 +130,19 @@ def test_model_save_load_roundtrip(spark, clean_small, forest):
 def test_vocabulary_limit(spark, clean_small):
     with pytest.raises(ValueError):
         M.category_vocabulary(clean_small, max_levels=3)
+
+
+def test_impact_report_matches_python_formatting(spark, clean_small):
+    """K11 has no SQL twin: check every sentence against Python formatting (brute force)."""
+    import __spark_entry__ as E
+    from pricelab.plans import registry as R
+    rows = R._impacts(spark, "/root/testdata/sf0.001").collect()
+    texts = {(r.id, r.signal): r.explanation
+             for r in E.queries()["impact_report"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(texts) == len(rows) > 0
+    for r in rows:
+        want = None
+        if r.value is not None and r.impact is not None:
+            tmpl = K.IMPACT_TEMPLATES.get(r.signal, K.IMPACT_TEMPLATE_OTHER)
+            want = tmpl % (r.value, round(r.impact))
+        assert texts[(r.id, r.signal)] == want
