@@ -50,18 +50,22 @@ def catalog_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     # Phase 1: one scan of lineitem, a code-generated hash aggregate keyed by
     # (part, unit price) holding only additive partials (map-side combined).
-    # Phase 2: combine per part and collect the distinct unit prices, on
-    # roughly one row per part instead of one row per line.
+    # Money and quantities are summed as exact integer cents (long); only the
+    # price x tax product is summed as a wide decimal so a part holding a third
+    # of all lines cannot overflow.  Phase 2 combines per part and collects the
+    # distinct unit prices, on roughly one row per part instead of one per line.
     n = F.count(F.lit(1))
-    unit = (F.round(F.try_divide(F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")),
-                                 F.lit(10.0)), 0)
-            .cast("bigint").cast("string"))
+
+    def cents(c: str) -> Column:
+        return F.round(F.col(c) * F.lit(100.0), 0).cast("long")
+
+    unit = F.round(F.try_divide(F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")),
+                                F.lit(10.0)), 0).cast("bigint")
     per_unit = li.groupBy("l_partkey", unit.alias("unit")).agg(
         n.alias("n_lines"),
-        F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("qty"),
-        F.sum(F.col("l_discount").cast("decimal(18,2)")).alias("disc_sum"),
-        F.sum(F.col("l_extendedprice").cast("decimal(12,2)")
-              * F.col("l_tax").cast("decimal(4,2)")).alias("freight_sum"),
+        F.sum(cents("l_quantity")).alias("qty_c"),
+        F.sum(cents("l_discount")).alias("disc_c"),
+        F.sum((cents("l_extendedprice") * cents("l_tax")).cast("decimal(38,0)")).alias("freight_c2"),
         F.count_if(F.col("l_returnflag") == "R").alias("n_ret"),
         F.min("l_suppkey").alias("sk"),
         F.sum(F.month("l_shipdate")).alias("mm"),
@@ -69,13 +73,14 @@ def catalog_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     nl = F.sum("n_lines")
     li_agg = per_unit.groupBy("l_partkey").agg(
         nl.alias("n_lines"),
-        F.sum("qty").alias("qty"),
-        (F.sum("disc_sum").cast("double") / nl.cast("double")).alias("disc"),
-        (F.sum("freight_sum").cast("double") / nl.cast("double") / F.lit(100.0)).alias("freight"),
+        (F.sum("qty_c").cast("double") / F.lit(100.0)).alias("qty"),
+        (F.sum("disc_c").cast("double") / F.lit(100.0) / nl.cast("double")).alias("disc"),
+        (F.sum("freight_c2").cast("double") / F.lit(10000.0) / nl.cast("double")
+         / F.lit(100.0)).alias("freight"),
         F.sum("n_ret").alias("n_ret"),
         F.min("sk").alias("sk"),
         F.sum("mm").alias("mm"),
-        F.array_sort(F.collect_list("unit")).alias("units"),
+        F.array_sort(F.collect_list(F.col("unit").cast("string"))).alias("units"),
     )
 
     n_part = part.select(F.count(F.lit(1))).scalar()
