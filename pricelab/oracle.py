@@ -145,6 +145,7 @@ SQL: dict[str, str] = {}
 
 # ---------------------------------------------------------------- sources, cleaning
 SQL["catalog_scan"] = q("SELECT * FROM raw_catalog")
+SQL["catalog_scan_parquet"] = q("SELECT * FROM raw_catalog")
 SQL["clean_names"] = q("SELECT id, coalesce(productDisplayName, 'Generic Product') "
                        "AS productDisplayName FROM raw_catalog")
 SQL["competitor_mean"] = q("SELECT id, competitor_prices, cpm0 AS competitor_price_mean FROM cm")

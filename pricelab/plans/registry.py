@@ -23,7 +23,8 @@ from ..operators import search as P
 from ..operators.model import (feature_importance, feature_list, model_summary, score_catalog,
                                top_drivers, train_price_model)
 from ..session import scratch_path
-from ..sources.catalog import read_catalog_csv, write_catalog_csv, write_report
+from ..sources.catalog import (read_catalog_csv, read_catalog_parquet, write_catalog_csv,
+                               write_report)
 from ..streaming.pricing import catalog_stream, pricing_kpi_stream, run_available
 from .catalog import cleaned_catalog, raw_catalog, raw_catalog_path
 from .params import (ENCODED_LOOKUP_COLUMNS, FEATURES_FIXED, LINEAR_SIGNALS, NO_MATCH_TERM,
@@ -50,6 +51,14 @@ def q_catalog_scan(spark, sf):
     return read_catalog_csv(spark, path)
 
 
+@register("catalog_scan_parquet")
+def q_catalog_scan_parquet(spark, sf):
+    """S1 (parquet): write the catalog as parquet to the shared folder, scan it with the schema."""
+    path = scratch_path(spark, "catalog-parquet")
+    raw_catalog(spark, sf).write.mode("overwrite").parquet(path)
+    return read_catalog_parquet(spark, path)
+
+
 # ---------------------------------------------------------------- cleaning
 @register("clean_names")
 def q_clean_names(spark, sf):

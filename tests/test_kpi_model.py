@@ -146,3 +146,28 @@ def test_impact_report_matches_python_formatting(spark, clean_small):
             tmpl = K.IMPACT_TEMPLATES.get(r.signal, K.IMPACT_TEMPLATE_OTHER)
             want = tmpl % (r.value, round(r.impact))
         assert texts[(r.id, r.signal)] == want
+
+
+def test_position_and_trend_edge_cases(spark):
+    from pricelab.operators import profile as A
+    df = spark.createDataFrame([(1, 0.0, 300.0), (2, -5.0, 300.0), (3, 600.0, 300.0)],
+                               "id long, current_price double, competitor_price_mean double")
+    got = {r.id: r.competitor_position for r in K.competitor_position(df).collect()}
+    assert got == {1: 1.0, 2: 1.0, 3: 0.5}
+    one = spark.createDataFrame([(0.5, 100.0)], "demand double, optimal_price double")
+    t = A.demand_price_trend(one).collect()[0]
+    assert t.slope is None and t.n_pairs == 1
+    const = spark.createDataFrame([(0.5, 100.0), (0.5, 120.0)], "demand double, optimal_price double")
+    assert A.demand_price_trend(const).collect()[0].slope is None
+    assert A.demand_price_corr(const).collect()[0].correlation is None
+
+
+def test_numeric_summary_approx_close_to_exact(spark, clean_small):
+    from pricelab.operators import profile as A
+    ex = {r.column: r for r in A.numeric_summary(clean_small, ["demand", "optimal_price"]).collect()}
+    ap = {r.column: r for r in A.numeric_summary(clean_small, ["demand", "optimal_price"],
+                                                 approx=True).collect()}
+    for c in ex:
+        span = ex[c]["max"] - ex[c]["min"]
+        for q in ("q25", "q50", "q75"):
+            assert abs(ex[c][q] - ap[c][q]) <= 0.02 * span
