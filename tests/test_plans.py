@@ -34,3 +34,36 @@ def test_no_cartesian_in_reports(clean_small):
                A.correlation_matrix(clean_small), A.category_distribution(clean_small)):
         plan = _plan(df)
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+# Keys whose callable writes or trains (their final plan is a plain read or an ML
+# transform); they are covered by their own tests.
+_SKIP = {"catalog_scan", "catalog_scan_parquet", "report_sink", "model_roundtrip",
+         "stream_pricing_kpis", "score_catalog", "model_metrics", "feature_importance",
+         "top_drivers", "forest_pricing"}
+
+
+def test_no_global_windows_or_cartesian_anywhere(spark):
+    """Scale guard over every registered query's final plan."""
+    import re
+
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+    bad = []
+    for key, fn in E.queries().items():
+        if key in _SKIP:
+            continue
+        df = fn(spark, SF_SMALL)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
+            bad.append((key, "cartesian/nested-loop join"))
+        for line in plan.splitlines():
+            line = line.strip()
+            if "Window [" not in line:
+                continue
+            # "Window [exprs], [partition spec]" or "..., [partition spec], [order spec]"
+            m = re.search(r"\], \[([^\[\]]*)\](?:, \[([^\[\]]*)\])?$", line)
+            if m is None or m.group(1).strip() == "":
+                bad.append((key, "window without partitioning"))
+    assert not bad, bad
