@@ -88,6 +88,19 @@ def score_catalog(model: PipelineModel, df: DataFrame, label: str = "optimal_pri
     return scored.select("id", label, "prediction")
 
 
+def predict_features(model: PipelineModel, features_df: DataFrame) -> DataFrame:
+    """Score a prepared feature frame (``id`` + the model's feature columns).
+
+    Used for the serving rows of the what-if flows (F3/F4), which differ from
+    the training design matrix; a missing feature value is 0, the same fill
+    rule as the training matrix (C8).  Returns ``(id, prediction)``.
+    """
+    feats = model_features(model)
+    filled = features_df.select(
+        "id", *[F.coalesce(F.col(f).cast("double"), F.lit(S.FEATURE_FILL)).alias(f) for f in feats])
+    return model.transform(filled).select("id", "prediction")
+
+
 def feature_importance(model: PipelineModel) -> DataFrame:
     """``(feature, importance)`` from the forest, descending (bounded by the feature list)."""
     feats = model_features(model)

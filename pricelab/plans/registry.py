@@ -29,7 +29,8 @@ from ..streaming.pricing import catalog_stream, pricing_kpi_stream, run_availabl
 from .catalog import cleaned_catalog, raw_catalog, raw_catalog_path
 from .params import (ENCODED_LOOKUP_COLUMNS, FEATURES_FIXED, LINEAR_SIGNALS, NO_MATCH_TERM,
                      SEARCH_REGEX, SEARCH_TERM, WEIGHTED_SIGNALS)
-from .whatif import forest_prediction, optimizer_frame, playground_frame
+from .whatif import (forest_optimizer_pricing, forest_playground_pricing, optimizer_frame,
+                     playground_frame)
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -537,15 +538,24 @@ def q_model_roundtrip(spark, sf):
 
 @register("forest_pricing")
 def q_forest_pricing(spark, sf):
-    """Train the forest, score every product, then the playground KPIs on its prices."""
+    """Playground flow with the trained forest: weighted vector (F4, calibrated
+    weights) scored by the model, clamped, then the pricing KPIs."""
     clean = cleaned_catalog(spark, sf, flags="lenient")
     model = train_price_model(clean, feature_list(clean))
-    scored = forest_prediction(model, clean)
-    df = playground_frame(scored.withColumnRenamed("prediction", "forest_prediction"),
-                          predictor=F.col("forest_prediction"))
-    df = K.recommendation(K.price_tier(K.price_direction(K.price_change(df))))
+    df = forest_playground_pricing(model, clean, S.CALIBRATED_WEIGHTS)
     return df.select("id", "current_price", "predicted_price", "price_change", "change_percent",
-                     "direction", "price_tier", "recommendation", "confidence", "strategy")
+                     "direction", "price_tier", "revenue_impact", "score", "score_level")
+
+
+@register("forest_optimizer_pricing")
+def q_forest_optimizer_pricing(spark, sf):
+    """Optimizer flow with the trained forest: serving rows (F3) scored by the
+    model, floored at 100, then change, revenue impact, margin, recommendation."""
+    clean = cleaned_catalog(spark, sf)
+    model = train_price_model(clean, feature_list(clean))
+    df = forest_optimizer_pricing(model, clean)
+    return df.select("id", "current_price", "predicted_price", "price_change", "change_percent",
+                     "revenue_impact", "profit_margin", "recommendation", "confidence", "strategy")
 
 
 @register("stream_pricing_kpis")

@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..operators import kpi as K
 from ..operators.cleaning import current_price, with_reviews_default
-from ..operators.model import score_catalog
+from ..operators.features import scenario_features, weighted_features
+from ..operators.model import model_features, predict_features, score_catalog
 from ..operators.scenarios import closed_form_price
 
 
@@ -48,3 +49,28 @@ def forest_prediction(model: PipelineModel, clean: DataFrame) -> DataFrame:
     """Catalog joined with the forest's prediction (scored in JVM tasks)."""
     scored = score_catalog(model, clean).select("id", "prediction")
     return clean.join(scored, "id")
+
+
+def forest_optimizer_pricing(model: PipelineModel, clean: DataFrame,
+                             weights: dict | None = None) -> DataFrame:
+    """Optimizer flow for every product: serving row (F3) -> forest -> floor 100 -> KPIs."""
+    serving = scenario_features(clean, model_features(model), weights)
+    pred = predict_features(model, serving)
+    df = optimizer_frame(clean.join(pred, "id"), predictor=F.col("prediction"))
+    df = K.profit_margin(K.revenue_impact_linear(K.price_change(df)))
+    return K.recommendation(df)
+
+
+def forest_playground_pricing(model: PipelineModel, clean_lenient: DataFrame,
+                              weights: dict | None = None,
+                              timing: tuple[str, float, float] = S.TIMING_OPTIONS[0]) -> DataFrame:
+    """Playground flow: timing applied, weighted clipped vector (F4) -> forest ->
+    clamp [50, 2000] -> KPIs, for every product."""
+    base = playground_frame(clean_lenient, timing=timing).drop(
+        "prediction", "floored_price", "clamped_price", "predicted_price")
+    vec = weighted_features(base, model_features(model), weights)
+    pred = predict_features(model, vec)
+    df = playground_frame(clean_lenient.join(pred, "id"), predictor=F.col("prediction"),
+                          timing=timing)
+    df = K.price_tier(K.price_direction(K.price_change(df)))
+    return K.pricing_score(K.revenue_impact_clamped(df))

@@ -171,3 +171,17 @@ def test_numeric_summary_approx_close_to_exact(spark, clean_small):
         span = ex[c]["max"] - ex[c]["min"]
         for q in ("q25", "q50", "q75"):
             assert abs(ex[c][q] - ap[c][q]) <= 0.02 * span
+
+
+def test_forest_what_if_flows(spark, clean_small, forest):
+    from pricelab import schema as S
+    from pricelab.operators.cleaning import clean_flags_lenient
+    from pricelab.plans.whatif import forest_optimizer_pricing, forest_playground_pricing
+    opt = forest_optimizer_pricing(forest, clean_small).collect()
+    assert len(opt) == clean_small.count()
+    assert all(r.predicted_price >= 100.0 for r in opt)
+    lenient = clean_flags_lenient(clean_small)
+    play = forest_playground_pricing(forest, lenient, S.CALIBRATED_WEIGHTS).collect()
+    assert len(play) == clean_small.count()
+    assert all(50.0 <= r.predicted_price <= 2000.0 for r in play)
+    assert {r.direction for r in play} <= {"INCREASE", "DECREASE", "ADJUSTMENT"}

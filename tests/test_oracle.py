@@ -36,7 +36,8 @@ def con():
 
 # Keys without an SQL twin: forest outputs, formatted text, model and stream round trips.
 ROWS_ONLY = {"impact_report", "score_catalog", "model_metrics", "feature_importance",
-             "top_drivers", "model_roundtrip", "forest_pricing", "stream_pricing_kpis"}
+             "top_drivers", "model_roundtrip", "forest_pricing", "forest_optimizer_pricing",
+             "stream_pricing_kpis"}
 
 
 def test_every_query_has_a_twin_or_is_rows_only():
