@@ -134,7 +134,9 @@ def histogram(df: DataFrame, column: str, nbins: int) -> DataFrame:
     width = hi - lo
     raw_bin = F.floor(F.try_divide(F.col("x") - lo, width) * F.lit(float(nbins)))
     b = F.least(F.lit(nbins - 1), F.coalesce(raw_bin, F.lit(0))).cast("int")
-    counts = vals.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    # bin in a projection, then group by the column: the bounds subquery may be
+    # non-deterministic (e.g. over model scores), which a grouping expression forbids
+    counts = vals.select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
     spark = df.sparkSession
     bins = spark.range(nbins).select(F.col("id").cast("int").alias("bin"))
     edges = bins.select(

@@ -42,3 +42,18 @@ def test_catalog_base_scans_lineitem_once(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     # the per-line phase is a plain (code-generated) hash aggregate
     assert "HashAggregate(keys=[l_partkey" in plan
+
+
+def test_report_bundles_write_and_read(spark, clean_small):
+    from pricelab.operators import model as M
+    from pricelab.operators.cleaning import clean_flags_lenient
+    from pricelab.plans.reports import (model_reports, pricing_reports, profile_reports,
+                                        write_reports)
+    model = M.train_price_model(clean_small, M.feature_list(clean_small), num_trees=5, max_depth=3)
+    bundle = {**profile_reports(clean_small), **model_reports(clean_small, model),
+              **pricing_reports(clean_small, clean_flags_lenient(clean_small), model)}
+    paths = write_reports(bundle, scratch_path(spark, "reports"))
+    assert set(paths) == set(bundle)
+    assert spark.read.parquet(paths["overview"]).first()["n_rows"] == clean_small.count()
+    assert spark.read.parquet(paths["playground"]).count() == clean_small.count()
+    assert spark.read.parquet(paths["residuals"]).count() == min(500, clean_small.count())
