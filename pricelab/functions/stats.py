@@ -52,12 +52,14 @@ def unpivot_values(df: DataFrame, columns: Sequence[str], key: str = "column",
 
 
 def exact_quantiles(long: DataFrame, probs: Sequence[float], key: str = "column",
-                    value: str = "value", slices: int | None = None) -> DataFrame:
+                    value: str = "value", slices: int | None = None,
+                    max_keys: int | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles per key: ``(key, p, quantile, n)``.
 
     Matches ``percentile``/``median`` (pandas ``quantile``, DuckDB
     ``quantile_cont``).  NULL and NaN values are skipped; a key with no value
-    yields no rows.
+    yields no rows.  ``max_keys`` is a caller-known bound on the number of
+    keys (e.g. the number of columns); without it the keys are counted.
     """
     spark = long.sparkSession
     shared_dir(spark)  # make sure a reliable checkpoint folder is registered
@@ -76,7 +78,7 @@ def exact_quantiles(long: DataFrame, probs: Sequence[float], key: str = "column"
     # per-slice totals: (keys x slices) rows.  Broadcast the small lookup
     # tables only behind a size check; beyond it the planner/AQE choose.
     totals = ranged.groupBy("k", "slice").agg(F.sum("cnt").alias("slice_n"))
-    n_keys = ranged.select("k").distinct().count()
+    n_keys = max_keys if max_keys is not None else ranged.select("k").distinct().count()
     small = n_keys * max(n_slices, len(probs)) <= BROADCAST_ROW_LIMIT
     maybe_broadcast = F.broadcast if small else (lambda d: d)
     w_before = (Window.partitionBy("k").orderBy("slice")
@@ -117,7 +119,7 @@ def exact_quantiles(long: DataFrame, probs: Sequence[float], key: str = "column"
 def exact_median(df: DataFrame, column: str) -> Column:
     """Scalar-subquery column holding the exact median of ``column`` (NULL if none)."""
     long = df.select(F.lit(column).alias("column"), F.col(column).alias("value"))
-    med = exact_quantiles(long, [0.5])
+    med = exact_quantiles(long, [0.5], max_keys=1)
     return med.select(F.max("quantile")).scalar()
 
 

@@ -144,7 +144,7 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None,
         quart = qs.select("column", *[F.col("qs")[i].alias(n)
                                       for i, n in enumerate(["q25", "q50", "q75"])])
     else:
-        q = exact_quantiles(long, probs)
+        q = exact_quantiles(long, probs, max_keys=len(columns))
         quart = q.groupBy("column").agg(*[
             F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(n)
             for p, n in zip(probs, ["q25", "q50", "q75"])])
