@@ -565,7 +565,7 @@ def q_stream_kpis(spark, sf):
     source = raw_catalog_path(spark, sf)
     long = C.competitor_mean(raw).select(F.lit("m").alias("column"),
                                          F.col("competitor_price_mean").alias("value"))
-    med_rows = exact_quantiles(long, [0.5]).collect()   # one row: the exact median
+    med_rows = exact_quantiles(long, [0.5], max_keys=1).collect()   # one row: the median
     median = med_rows[0]["quantile"] if med_rows else None
     sink = scratch_path(spark, "stream-kpis")
     ckpt = scratch_path(spark, "stream-kpis-checkpoint")

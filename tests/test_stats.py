@@ -66,3 +66,24 @@ def test_reports_unchanged_by_repartitioning(spark, clean_small):
     c = sorted(A.categorical_summary(clean_small).collect())
     d = sorted(A.categorical_summary(clean_small.repartition(5)).collect())
     assert c == d
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.integers(-5, 5).map(float),
+                          st.floats(-100, 100, allow_nan=False)), min_size=1, max_size=60),
+       st.integers(1, 6))
+def test_exact_quantiles_property(spark, values, slices):
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = {r["p"]: r["quantile"] for r in
+           exact_quantiles(unpivot_values(df, ["x"]), [0.0, 0.3, 0.5, 0.9, 1.0],
+                           slices=slices).collect()}
+    data = [v for v in values if v is not None]
+    if not data:
+        assert got == {}
+        return
+    for p, q in got.items():
+        assert q == pytest.approx(float(np.quantile(np.array(data), p)), abs=1e-9)
