@@ -1,7 +1,7 @@
 """Pricing KPIs (K1-K13) and model-output checks (M3-M7).
 
 Everything here is a projection or a single aggregate over the whole catalog;
-the predicted price is any column (forest score or a fixed stand-in).
+the predicted price is any column (forest score or the fitted linear stand-in).
 """
 
 from __future__ import annotations

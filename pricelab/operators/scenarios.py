@@ -125,12 +125,31 @@ def apply_overrides(df: DataFrame, overrides: Mapping[str, float | None]) -> Dat
                            for c, v in overrides.items()})
 
 
-def closed_form_price(demand: Column | None = None, inventory: Column | None = None) -> Column:
-    """The fixed linear predictor used for SQL-checkable pricing outputs.
+def fit_price_line(df: DataFrame, x: str = "demand", y: str = "optimal_price",
+                   digits: int = 6) -> tuple[Column, Column]:
+    """OLS line of ``y`` on ``x`` fitted over the whole frame: ``(intercept, slope)``.
 
-    ``400 + 300 * demand + 100 * (1 - inventory)``: a stand-in model so the
-    KPI operators can be checked against an SQL engine.
+    A linear stand-in for the forest that an SQL engine can reproduce.  One
+    scalar subquery (a single row of partial-aggregated moments); the
+    coefficients are rounded to ``digits`` places like a stored model artifact.
     """
-    d = F.col("demand") if demand is None else demand
-    v = F.col("inventory") if inventory is None else inventory
-    return F.lit(400.0) + F.lit(300.0) * d + F.lit(100.0) * (F.lit(1.0) - v)
+    xc, yc = F.col(x).cast("double"), F.col(y).cast("double")
+    fit = df.select(F.struct(F.bround(F.regr_intercept(yc, xc), digits).alias("a"),
+                             F.bround(F.regr_slope(yc, xc), digits).alias("b"))).scalar()
+    return fit.getField("a"), fit.getField("b")
+
+
+def fit_price_line_values(df: DataFrame, x: str = "demand", y: str = "optimal_price",
+                          digits: int = 6) -> tuple[float | None, float | None]:
+    """The fitted coefficients as two numbers (one collected row), for streams."""
+    xc, yc = F.col(x).cast("double"), F.col(y).cast("double")
+    r = df.select(F.bround(F.regr_intercept(yc, xc), digits).alias("a"),
+                  F.bround(F.regr_slope(yc, xc), digits).alias("b")).first()
+    return r["a"], r["b"]
+
+
+def linear_price(intercept, slope, x: Column | None = None) -> Column:
+    """``intercept + slope * x`` (x defaults to ``demand``); coefficients may be columns."""
+    a = intercept if isinstance(intercept, Column) else F.lit(intercept).cast("double")
+    b = slope if isinstance(slope, Column) else F.lit(slope).cast("double")
+    return a + b * (F.col("demand") if x is None else x)

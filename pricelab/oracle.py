@@ -129,6 +129,11 @@ clean AS (
          coalesce(TRY_CAST(optimal_price AS DOUBLE), 500.0e0) AS optimal_price,
          coalesce(cpm0, (SELECT median(cpm0) FROM cm)) AS competitor_price_mean
   FROM cm
+),
+fit AS (
+  SELECT round_even(regr_intercept(optimal_price, demand), 6) AS a,
+         round_even(regr_slope(optimal_price, demand), 6) AS b
+  FROM clean
 )"""
 
 
@@ -330,7 +335,7 @@ SQL["threshold_counts"] = q(
 from .plans.params import (ENCODED_LOOKUP_COLUMNS, FEATURES_FIXED, LINEAR_SIGNALS,  # noqa: E402
                            NO_MATCH_TERM, SEARCH_REGEX, SEARCH_TERM, WEIGHTED_SIGNALS)
 
-_CLOSED = "(400.0e0 + 300.0e0 * demand + 100.0e0 * (1.0e0 - inventory))"
+_CLOSED = "((SELECT a FROM fit) + (SELECT b FROM fit) * demand)"
 FRAME_CTES = f""",
 clean_l AS (
   SELECT id, coalesce(productDisplayName, 'Generic Product') AS productDisplayName,
@@ -522,8 +527,7 @@ _OVR = ["demand", "inventory", "clicks", "search_volume", "competitor_price_mean
         "holiday", "weekend"]
 SQL["scenario_grid"] = qf(
     "SELECT id, scenario, " + ", ".join(f"coalesce(s_{c}, CAST({c} AS DOUBLE)) AS {c}" for c in _OVR)
-    + ", " + r6("400.0e0 + 300.0e0 * coalesce(s_demand, demand) + 100.0e0 * (1.0e0 - "
-                "coalesce(s_inventory, inventory))")
+    + ", " + r6("(SELECT a FROM fit) + (SELECT b FROM fit) * coalesce(s_demand, demand)")
     + " AS prediction FROM pg CROSS JOIN (VALUES "
     "('unchanged', NULL, NULL, NULL), ('demand_up', 0.9e0, NULL, NULL), "
     "('stock_low', NULL, 0.1e0, NULL), ('competitor_cut', NULL, NULL, 300.0e0)) "

@@ -292,16 +292,18 @@ def q_timing(spark, sf):
 # ---------------------------------------------------------------- scenarios (J)
 @register("scenario_grid")
 def q_scenario_grid(spark, sf):
-    g = J.scenario_grid(_playground(spark, sf))
-    return g.select("*", F.bround(J.closed_form_price(), 6).alias("prediction"))
+    pg = _playground(spark, sf)
+    a, b = J.fit_price_line(pg)
+    g = J.scenario_grid(pg)
+    return g.select("*", F.bround(J.linear_price(a, b), 6).alias("prediction"))
 
 
 @register("sensitivity_sweep")
 def q_sweep(spark, sf):
-    base = cleaned_catalog(spark, sf).select("id", "demand", "inventory")
-    g = J.sensitivity_sweep(base, "demand", 0.0, 1.0, 0.01)
-    return g.select("id", "step", "demand",
-                    F.bround(J.closed_form_price(), 6).alias("prediction"))
+    clean = cleaned_catalog(spark, sf)
+    a, b = J.fit_price_line(clean)
+    g = J.sensitivity_sweep(clean.select("id", "demand", "inventory"), "demand", 0.0, 1.0, 0.01)
+    return g.select("id", "step", "demand", F.bround(J.linear_price(a, b), 6).alias("prediction"))
 
 
 def _importances(spark):
@@ -438,13 +440,14 @@ def q_recommendation(spark, sf):
 
 @register("bounded_price")
 def q_bounded(spark, sf):
-    df = K.bounded_price(cleaned_catalog(spark, sf).withColumn("prediction",
-                                                               J.closed_form_price()))
+    clean = cleaned_catalog(spark, sf)
+    df = K.bounded_price(clean.withColumn("prediction", J.linear_price(*J.fit_price_line(clean))))
     return df.select("id", *_r6("prediction", "floored_price", "clamped_price"))
 
 
 def _metrics(spark, sf):
-    df = cleaned_catalog(spark, sf).withColumn("prediction", J.closed_form_price())
+    clean = cleaned_catalog(spark, sf)
+    df = clean.withColumn("prediction", J.linear_price(*J.fit_price_line(clean)))
     return K.regression_metrics(df)
 
 
@@ -465,8 +468,9 @@ def q_sample(spark, sf):
 
 
 def _sample_residuals(spark, sf):
-    sample = K.seeded_sample(cleaned_catalog(spark, sf))
-    return K.residuals(sample.withColumn("prediction", J.closed_form_price()))
+    clean = cleaned_catalog(spark, sf)
+    a, b = J.fit_price_line(clean)   # fitted on the whole catalog, applied to the sample
+    return K.residuals(K.seeded_sample(clean).withColumn("prediction", J.linear_price(a, b)))
 
 
 @register("residuals")
@@ -569,6 +573,7 @@ def q_stream_kpis(spark, sf):
     median = med_rows[0]["quantile"] if med_rows else None
     sink = scratch_path(spark, "stream-kpis")
     ckpt = scratch_path(spark, "stream-kpis-checkpoint")
+    line = J.fit_price_line_values(cleaned_catalog(spark, sf, flags="lenient"))  # one row
     run_available(pricing_kpi_stream(catalog_stream(spark, source, max_files_per_trigger=1),
-                                     median), sink, ckpt)
+                                     median, line), sink, ckpt)
     return spark.read.parquet(sink)

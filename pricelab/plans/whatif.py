@@ -9,8 +9,9 @@ Two editions, as in the reproduced applications:
   prediction clamped to [50, 2000].
 
 The predicted price comes from ``predictor`` (a Column over the frame); the
-default is the fixed linear stand-in so the KPIs can be checked in SQL.  Use
-``forest_prediction`` for the trained model.
+default is a linear model fitted in Spark on the same catalog (OLS of price on
+demand) so the KPIs can be checked in SQL.  The forest flows below score the
+serving vectors with the trained model instead.
 """
 
 from __future__ import annotations
@@ -24,12 +25,14 @@ from ..operators import kpi as K
 from ..operators.cleaning import current_price, with_reviews_default
 from ..operators.features import scenario_features, weighted_features
 from ..operators.model import model_features, predict_features, score_catalog
-from ..operators.scenarios import closed_form_price
+from ..operators.scenarios import fit_price_line, linear_price
 
 
 def optimizer_frame(clean: DataFrame, predictor: Column | None = None) -> DataFrame:
+    if predictor is None:
+        predictor = linear_price(*fit_price_line(clean))
     df = current_price(clean, floor=None)
-    df = df.withColumn("prediction", closed_form_price() if predictor is None else predictor)
+    df = df.withColumn("prediction", predictor)
     df = K.bounded_price(df)
     return df.withColumn("predicted_price", F.col("floored_price"))
 
@@ -37,10 +40,12 @@ def optimizer_frame(clean: DataFrame, predictor: Column | None = None) -> DataFr
 def playground_frame(clean: DataFrame, predictor: Column | None = None,
                      timing: tuple[str, float, float] = S.TIMING_OPTIONS[0]) -> DataFrame:
     _, holiday, weekend = timing
+    if predictor is None:
+        predictor = linear_price(*fit_price_line(clean))
     df = clean.withColumns({"holiday": F.lit(float(holiday)), "weekend": F.lit(float(weekend))})
     df = with_reviews_default(df)
     df = current_price(df)
-    df = df.withColumn("prediction", closed_form_price() if predictor is None else predictor)
+    df = df.withColumn("prediction", predictor)
     df = K.bounded_price(df)
     return df.withColumn("predicted_price", F.col("clamped_price"))
 

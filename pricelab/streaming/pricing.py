@@ -1,9 +1,9 @@
 """Structured Streaming: the stateless pricing operators over arriving catalog files.
 
 Cleaning, features and KPIs are per-row projections, so the batch operators
-apply unchanged to a streaming DataFrame.  The two catalog-wide constants
-(the competitor-mean median used for imputation and the normalisation already
-applied upstream) are computed in batch and passed in as literals; nothing
+apply unchanged to a streaming DataFrame.  The catalog-wide constants (the
+competitor-mean median used for imputation and the fitted price line) are
+computed in batch and passed in as literals; nothing
 here keeps state, so there is no watermark and each micro-batch is
 independent.  Progress lives in the checkpoint location (shared folder), so a
 restarted query resumes where it stopped.
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..operators import cleaning as C
 from ..operators import kpi as K
+from ..operators.scenarios import linear_price
 from ..plans.whatif import playground_frame
 
 
@@ -43,9 +44,15 @@ def clean_stream(raw: DataFrame, competitor_median: float | None) -> DataFrame:
     return C.clean_price(df)
 
 
-def pricing_kpi_stream(raw: DataFrame, competitor_median: float | None) -> DataFrame:
-    """Per-product pricing KPIs (playground edition) for every arriving product."""
-    df = playground_frame(clean_stream(raw, competitor_median))
+def pricing_kpi_stream(raw: DataFrame, competitor_median: float | None,
+                       price_line: tuple[float | None, float | None]) -> DataFrame:
+    """Per-product pricing KPIs (playground edition) for every arriving product.
+
+    ``price_line`` is the (intercept, slope) of the linear price model fitted
+    in batch (``scenarios.fit_price_line_values``).
+    """
+    df = playground_frame(clean_stream(raw, competitor_median),
+                          predictor=linear_price(*price_line))
     df = K.price_tier(K.price_direction(K.price_change(df)))
     df = K.pricing_score(K.competitor_position(df))
     return df.select("id", "current_price", F.bround("predicted_price", 6).alias("predicted_price"),

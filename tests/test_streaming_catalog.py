@@ -9,16 +9,21 @@ from pricelab.session import scratch_path
 from pricelab.sources.catalog import catalog_base
 from pricelab.streaming import catalog_stream, pricing_kpi_stream, run_available
 
+from pricelab.operators.scenarios import fit_price_line_values
+
 from conftest import SF_SMALL
 
+LINE = (400.0, 300.0)  # an arbitrary fixed price line for the stream plumbing tests
+
 
 def test_stream_equals_batch(spark):
     clean = cleaned_catalog(spark, SF_SMALL, flags="lenient")
     med = C.competitor_mean(spark.read.parquet(raw_catalog_path(spark, SF_SMALL))) \
         .select(F.median("competitor_price_mean")).first()[0]
     sink, ckpt = scratch_path(spark, "t-sink"), scratch_path(spark, "t-ckpt")
+    line = fit_price_line_values(clean)
     run_available(pricing_kpi_stream(catalog_stream(spark, raw_catalog_path(spark, SF_SMALL),
-                                                    max_files_per_trigger=1), med), sink, ckpt)
+                                                    max_files_per_trigger=1), med, line), sink, ckpt)
     streamed = spark.read.parquet(sink)
     batch = K.price_tier(K.price_direction(K.price_change(playground_frame(clean))))
     a = sorted((r.id, r.direction, r.price_tier) for r in streamed.collect())
@@ -29,9 +34,9 @@ def test_stream_equals_batch(spark):
 def test_stream_restart_processes_nothing_twice(spark):
     sink, ckpt = scratch_path(spark, "t-sink2"), scratch_path(spark, "t-ckpt2")
     src = raw_catalog_path(spark, SF_SMALL)
-    run_available(pricing_kpi_stream(catalog_stream(spark, src), 0.0), sink, ckpt)
+    run_available(pricing_kpi_stream(catalog_stream(spark, src), 0.0, LINE), sink, ckpt)
     n1 = spark.read.parquet(sink).count()
-    run_available(pricing_kpi_stream(catalog_stream(spark, src), 0.0), sink, ckpt)
+    run_available(pricing_kpi_stream(catalog_stream(spark, src), 0.0, LINE), sink, ckpt)
     assert spark.read.parquet(sink).count() == n1
 
 
@@ -65,9 +70,9 @@ def test_csv_stream_matches_parquet_stream(spark):
     src = scratch_path(spark, "t-csv-src")
     write_catalog_csv(raw_catalog(spark, SF_SMALL), src)
     sink_c, ck_c = scratch_path(spark, "t-csv-sink"), scratch_path(spark, "t-csv-ck")
-    run_available(pricing_kpi_stream(catalog_stream(spark, src, fmt="csv"), 0.0), sink_c, ck_c)
+    run_available(pricing_kpi_stream(catalog_stream(spark, src, fmt="csv"), 0.0, LINE), sink_c, ck_c)
     sink_p, ck_p = scratch_path(spark, "t-pq-sink"), scratch_path(spark, "t-pq-ck")
-    run_available(pricing_kpi_stream(catalog_stream(spark, raw_catalog_path(spark, SF_SMALL)), 0.0),
+    run_available(pricing_kpi_stream(catalog_stream(spark, raw_catalog_path(spark, SF_SMALL)), 0.0, LINE),
                   sink_p, ck_p)
     a = sorted(tuple(r) for r in spark.read.parquet(sink_c).collect())
     b = sorted(tuple(r) for r in spark.read.parquet(sink_p).collect())
