@@ -97,6 +97,18 @@ def tiers(c, levels, otherwise) -> Column:
     return expr.otherwise(F.lit(otherwise))
 
 
+def round_to(c, digits: int) -> Column:
+    """Round half away from zero at ``digits`` places: ``round(x * 10^d) / 10^d``.
+
+    The scaling is one exact IEEE multiply and the integer rounding of a value
+    below 2^52 is exact, so any engine that follows IEEE arithmetic gets the same
+    digits (rounding the decimal form directly differs between engines on values
+    whose shortest decimal form ends in 5).
+    """
+    scale = F.lit(float(10 ** digits))
+    return F.round(_col(c) * scale, 0) / scale
+
+
 def round6(c) -> Column:
-    """Half-even rounding to 6 places for reported doubles (engine-stable digits)."""
-    return F.bround(_col(c), 6)
+    """Reported doubles: 6 places (order-dependent last bits of sums do not leak)."""
+    return round_to(c, 6)

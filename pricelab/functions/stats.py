@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from .prices import clip
+from .prices import clip, round_to
 
 # Largest lookup table (rows) broadcast on our own initiative.
 BROADCAST_ROW_LIMIT = 1_000_000
@@ -147,6 +147,6 @@ def histogram(df: DataFrame, column: str, nbins: int) -> DataFrame:
         (lo + width * (F.col("bin") + 1) / F.lit(float(nbins))).alias("bin_hi"),
     ).where(lo.isNotNull())
     return (edges.join(counts, "bin", "left")
-            .select("bin", F.bround("bin_lo", 6).alias("bin_lo"),
-                    F.bround("bin_hi", 6).alias("bin_hi"),
+            .select("bin", round_to(F.col("bin_lo"), 6).alias("bin_lo"),
+                    round_to(F.col("bin_hi"), 6).alias("bin_hi"),
                     F.coalesce(F.col("count"), F.lit(0)).alias("count")))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.prices import clip, sign_label, tiers
+from ..functions.prices import clip, round_to, sign_label, tiers
 
 PRED, CUR = "predicted_price", "current_price"
 
@@ -194,7 +194,7 @@ def regression_metrics(df: DataFrame, label: str = "optimal_price",
     r2 = F.lit(1.0) - F.try_divide(F.col("sse"), F.col("sst"))
 
     def rd(c):
-        return c if digits is None else F.bround(c, digits)
+        return c if digits is None else round_to(c, digits)
     return agg.select(rd(F.col("mae")).alias("mae"), rd(F.col("mse")).alias("mse"),
                       rd(F.sqrt("mse")).alias("rmse"), rd(r2).alias("r2"), "n_rows")
 

@@ -3,8 +3,9 @@
 Plan shape: each report is a single aggregation job over the catalog (per
 column reports unpivot once and group once instead of one job per column).
 Top-k reports are ``orderBy().limit()`` (TakeOrderedAndProject: each task
-keeps k rows).  Reported doubles are rounded half-even to ``digits`` places
-so that the last bits of order-dependent floating sums do not leak out.
+keeps k rows).  Reported doubles are rounded to ``digits`` places
+(``round_to``) so that the last bits of order-dependent floating sums do not
+leak out.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
-from ..functions.prices import tiers
+from ..functions.prices import round_to, tiers
 from ..functions.stats import exact_quantiles, histogram, safe_corr, unpivot_values
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
@@ -24,7 +25,7 @@ NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType
 
 
 def _r(c: Column, digits: int | None) -> Column:
-    return c if digits is None else F.bround(c, digits)
+    return c if digits is None else round_to(c, digits)
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -258,10 +259,10 @@ def value_histogram(df: DataFrame, column: str, nbins: int) -> DataFrame:
 
 
 def group_means(df: DataFrame, key: str, columns: Sequence[str], digits: int = 2) -> DataFrame:
-    """Per-group means rounded half-even to ``digits`` places."""
+    """Per-group means rounded to ``digits`` places."""
     g = df.where(F.col(key).isNotNull()).groupBy(key).agg(
         *[F.avg(c).alias(f"mean_{c}") for c in columns])
-    return g.select(key, *[F.bround(F.col(f"mean_{c}"), digits).alias(f"mean_{c}")
+    return g.select(key, *[round_to(F.col(f"mean_{c}"), digits).alias(f"mean_{c}")
                            for c in columns])
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions.prices import round_to
 from ..functions.stats import BROADCAST_ROW_LIMIT
 
 OVERRIDABLE = ["demand", "inventory", "clicks", "search_volume", "competitor_price_mean",
@@ -134,8 +135,8 @@ def fit_price_line(df: DataFrame, x: str = "demand", y: str = "optimal_price",
     coefficients are rounded to ``digits`` places like a stored model artifact.
     """
     xc, yc = F.col(x).cast("double"), F.col(y).cast("double")
-    fit = df.select(F.struct(F.bround(F.regr_intercept(yc, xc), digits).alias("a"),
-                             F.bround(F.regr_slope(yc, xc), digits).alias("b"))).scalar()
+    fit = df.select(F.struct(round_to(F.regr_intercept(yc, xc), digits).alias("a"),
+                             round_to(F.regr_slope(yc, xc), digits).alias("b"))).scalar()
     return fit.getField("a"), fit.getField("b")
 
 
@@ -143,8 +144,8 @@ def fit_price_line_values(df: DataFrame, x: str = "demand", y: str = "optimal_pr
                           digits: int = 6) -> tuple[float | None, float | None]:
     """The fitted coefficients as two numbers (one collected row), for streams."""
     xc, yc = F.col(x).cast("double"), F.col(y).cast("double")
-    r = df.select(F.bround(F.regr_intercept(yc, xc), digits).alias("a"),
-                  F.bround(F.regr_slope(yc, xc), digits).alias("b")).first()
+    r = df.select(round_to(F.regr_intercept(yc, xc), digits).alias("a"),
+                  round_to(F.regr_slope(yc, xc), digits).alias("b")).first()
     return r["a"], r["b"]
 
 

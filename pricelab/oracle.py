@@ -131,8 +131,8 @@ clean AS (
   FROM cm
 ),
 fit AS (
-  SELECT round_even(regr_intercept(optimal_price, demand), 6) AS a,
-         round_even(regr_slope(optimal_price, demand), 6) AS b
+  SELECT round(regr_intercept(optimal_price, demand) * 1000000.0e0, 0) / 1000000.0e0 AS a,
+         round(regr_slope(optimal_price, demand) * 1000000.0e0, 0) / 1000000.0e0 AS b
   FROM clean
 )"""
 
@@ -143,7 +143,12 @@ def q(body: str, ctes: str = "") -> str:
 
 
 def r6(x: str) -> str:
-    return f"round_even({x}, 6)"
+    """6 places, half away from zero on the exactly scaled value (as ``round_to``)."""
+    return f"(round(({x}) * 1000000.0e0, 0) / 1000000.0e0)"
+
+
+def r2(x: str) -> str:
+    return f"(round(({x}) * 100.0e0, 0) / 100.0e0)"
 
 
 SQL: dict[str, str] = {}
@@ -285,12 +290,12 @@ SQL["price_histogram"] = q(histogram_sql("clean", "optimal_price", 50))
 SQL["demand_histogram"] = q(histogram_sql("clean", "demand", 20))
 SQL["inventory_histogram"] = q(histogram_sql("clean", "inventory", 20))
 SQL["season_summary"] = q(
-    "SELECT season, round_even(avg(optimal_price), 2) AS mean_optimal_price, "
-    "round_even(avg(demand), 2) AS mean_demand, round_even(avg(inventory), 2) AS mean_inventory "
+    f"SELECT season, {r2('avg(optimal_price)')} AS mean_optimal_price, "
+    f"{r2('avg(demand)')} AS mean_demand, {r2('avg(inventory)')} AS mean_inventory "
     "FROM clean WHERE season IS NOT NULL GROUP BY season")
 SQL["location_summary"] = q(
-    "SELECT location, round_even(avg(optimal_price), 2) AS mean_optimal_price, "
-    "round_even(avg(demand), 2) AS mean_demand FROM clean WHERE location IS NOT NULL GROUP BY location")
+    f"SELECT location, {r2('avg(optimal_price)')} AS mean_optimal_price, "
+    f"{r2('avg(demand)')} AS mean_demand FROM clean WHERE location IS NOT NULL GROUP BY location")
 SQL["top_season"] = q(
     f"SELECT season, {r6('mean_price')} AS mean_price FROM (SELECT season, avg(optimal_price) AS "
     "mean_price FROM clean WHERE season IS NOT NULL GROUP BY season) ORDER BY mean_price DESC, season "

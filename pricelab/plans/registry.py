@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions.prices import round6
 from ..functions.stats import exact_quantiles, histogram
 from ..operators import cleaning as C
 from ..operators import features as Fe
@@ -75,7 +76,7 @@ def q_competitor_mean(spark, sf):
 @register("competitor_mean_imputed")
 def q_competitor_mean_imputed(spark, sf):
     df = C.impute_competitor_mean(C.competitor_mean(raw_catalog(spark, sf)))
-    return df.select("id", F.bround("competitor_price_mean", 6).alias("competitor_price_mean"))
+    return df.select("id", round6("competitor_price_mean").alias("competitor_price_mean"))
 
 
 @register("clean_flags_clipped")
@@ -269,14 +270,14 @@ def q_weighted_cal(spark, sf):
 @register("apply_weights")
 def q_apply_weights(spark, sf):
     df = Fe.apply_weights(_playground(spark, sf), S.CALIBRATED_WEIGHTS)
-    return df.select("id", *[F.bround(c, 6).alias(c) for c in WEIGHTED_SIGNALS])
+    return df.select("id", *[round6(c).alias(c) for c in WEIGHTED_SIGNALS])
 
 
 @register("clip_features")
 def q_clip(spark, sf):
     df = Fe.apply_weights(_playground(spark, sf), S.CALIBRATED_WEIGHTS)
     return Fe.clip_features(df, WEIGHTED_SIGNALS).select(
-        "id", *[F.bround(c, 6).alias(c) for c in WEIGHTED_SIGNALS])
+        "id", *[round6(c).alias(c) for c in WEIGHTED_SIGNALS])
 
 
 @register("timing_scenarios")
@@ -286,7 +287,7 @@ def q_timing(spark, sf):
                                          "search_volume", "ratings"))
     scored = K.pricing_score(grid)
     return scored.select("id", "timing", "holiday", "weekend",
-                         F.bround("score", 6).alias("score"), "score_level")
+                         round6("score").alias("score"), "score_level")
 
 
 # ---------------------------------------------------------------- scenarios (J)
@@ -295,7 +296,7 @@ def q_scenario_grid(spark, sf):
     pg = _playground(spark, sf)
     a, b = J.fit_price_line(pg)
     g = J.scenario_grid(pg)
-    return g.select("*", F.bround(J.linear_price(a, b), 6).alias("prediction"))
+    return g.select("*", round6(J.linear_price(a, b)).alias("prediction"))
 
 
 @register("sensitivity_sweep")
@@ -303,7 +304,7 @@ def q_sweep(spark, sf):
     clean = cleaned_catalog(spark, sf)
     a, b = J.fit_price_line(clean)
     g = J.sensitivity_sweep(clean.select("id", "demand", "inventory"), "demand", 0.0, 1.0, 0.01)
-    return g.select("id", "step", "demand", F.bround(J.linear_price(a, b), 6).alias("prediction"))
+    return g.select("id", "step", "demand", round6(J.linear_price(a, b)).alias("prediction"))
 
 
 def _importances(spark):
@@ -315,7 +316,7 @@ def _importances(spark):
 def q_importance_join(spark, sf):
     long = J.signal_values(_playground(spark, sf))
     j = J.signal_importance_join(long, _importances(spark), model_features=FEATURES_FIXED)
-    return j.select("id", "signal", F.bround("value", 6).alias("value"), "importance")
+    return j.select("id", "signal", round6("value").alias("value"), "importance")
 
 
 @register("encoded_lookup")
@@ -327,7 +328,7 @@ def q_encoded_lookup(spark, sf):
 
 # ---------------------------------------------------------------- KPIs (K, M)
 def _r6(*cols):
-    return [F.bround(c, 6).alias(c) for c in cols]
+    return [round6(c).alias(c) for c in cols]
 
 
 @register("price_change")

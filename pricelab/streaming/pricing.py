@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions.prices import round6
 from ..operators import cleaning as C
 from ..operators import kpi as K
 from ..operators.scenarios import linear_price
@@ -55,11 +56,11 @@ def pricing_kpi_stream(raw: DataFrame, competitor_median: float | None,
                           predictor=linear_price(*price_line))
     df = K.price_tier(K.price_direction(K.price_change(df)))
     df = K.pricing_score(K.competitor_position(df))
-    return df.select("id", "current_price", F.bround("predicted_price", 6).alias("predicted_price"),
-                     F.bround("price_change", 6).alias("price_change"),
-                     F.bround("change_percent", 6).alias("change_percent"), "direction",
-                     "price_tier", F.bround("score", 6).alias("score"), "score_level",
-                     F.bround("competitor_position", 6).alias("competitor_position"))
+    return df.select("id", "current_price", round6("predicted_price").alias("predicted_price"),
+                     round6("price_change").alias("price_change"),
+                     round6("change_percent").alias("change_percent"), "direction",
+                     "price_tier", round6("score").alias("score"), "score_level",
+                     round6("competitor_position").alias("competitor_position"))
 
 
 def run_available(stream_df: DataFrame, sink_dir: str, checkpoint_dir: str) -> str:
