@@ -77,3 +77,10 @@ def test_csv_stream_matches_parquet_stream(spark):
     a = sorted(tuple(r) for r in spark.read.parquet(sink_c).collect())
     b = sorted(tuple(r) for r in spark.read.parquet(sink_p).collect())
     assert a == b and len(a) > 0
+
+
+def test_catalog_lazy_and_materialized_paths_agree(spark):
+    from pricelab.sources.catalog import catalog_from_tables
+    a = sorted(tuple(r) for r in catalog_from_tables(spark, SF_SMALL).collect())
+    b = sorted(tuple(r) for r in catalog_from_tables(spark, SF_SMALL, materialize_base=False).collect())
+    assert a == b and len(a) > 0
