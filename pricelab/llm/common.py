@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 MAX_ID = 2**63 - 1
 #: Rows of an Arrow batch handed to Python; a batch of average documents is a few MB.
-BATCH_ROWS = 500
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
