@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, merkle, simhash, tokencount
-from .common import table
+from . import bpe, langid, merkle, simhash, tokencount
+from .common import crc_mod, table
 
 
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 4) == 2
+    model = langid.train(docs, ~held_out)
+    return (langid.identify(docs, model).withColumn("held_out", held_out)
+            .select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
 
@@ -30,6 +38,7 @@ def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op4_bpe_round_trip,
     op5_token_counts,
+    op6_language_id,
     op7_simhash_near_dedup,
     op10_merkle_fingerprints,
 )}
