@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 MAX_ID = 2**63 - 1
 #: Rows of an Arrow batch handed to Python; a batch of average documents is a few MB.
@@ -48,22 +50,20 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
-def map_docs(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """mapInArrow with ``fn`` giving a batch's output columns in the order of ``schema``.
+def map_docs(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str | StructType) -> DataFrame:
+    """mapInArrow with ``fn`` giving a batch's output columns by the names of ``schema``.
 
     Batches that give no rows are skipped.
     """
     small_batches(df.sparkSession)
-    empty = df.sparkSession.createDataFrame([], schema).schema
-    from pyspark.sql.pandas.types import to_arrow_schema
-    arrow = to_arrow_schema(empty)
+    arrow = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 cols = fn(b)
                 out = pa.RecordBatch.from_arrays(
-                    [pa.array(cols[f.name], f.type) for f in arrow], schema=arrow)
+                    [c if isinstance(c := cols[f.name], pa.Array) else pa.array(c, f.type) for f in arrow], schema=arrow)
                 if out.num_rows:
                     yield out
 

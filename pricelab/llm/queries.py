@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, merkle, simhash, tokencount
+from . import bpe, langid, merkle, phrases, simhash, tokencount
 from .common import crc_mod, table
 
 
@@ -31,6 +31,11 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (phrases.cut_repeats(table(spark, sf_dir, "documents"), span=20)
+            .select("doc_id", "n_words", "n_removed", "kept_sha256"))
+
+
 def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -40,8 +45,23 @@ QUERIES = {f.__name__: f for f in (
     op5_token_counts,
     op6_language_id,
     op7_simhash_near_dedup,
+    op8_substring_dedup,
     op10_merkle_fingerprints,
 )}
 
 #: DuckDB twins of the queries that SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+        windows AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS phrase
+                    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+        later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY phrase ORDER BY doc_id, i) AS n
+                                         FROM windows) WHERE n > 1),
+        gone AS (SELECT DISTINCT doc_id, i + j AS p FROM later, range(20) AS t(j)),
+        word AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS s FROM word
+                 WHERE (doc_id, p) NOT IN (SELECT doc_id, p FROM gone) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(s, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
+}
