@@ -75,7 +75,7 @@ def shared_anchors(docs: DataFrame, k: int, span: int) -> tuple[DataFrame, DataF
     """Which documents (doc_id, text) may share ``span`` consecutive words with others or themselves.
 
     Returns two tables of documents of at least ``span`` words: copies (did,
-    th, first_did, first_th) whose word sequence is that of the earlier,
+    th, n_words, first_did, first_th) whose word sequence is that of the earlier,
     first document; and candidates (did, th, anchors): of the other documents
     those with anchors that recur, within the document or in one of another
     word sequence.  Exact copies count once, so a large group of them costs a
@@ -88,7 +88,8 @@ def shared_anchors(docs: DataFrame, k: int, span: int) -> tuple[DataFrame, DataF
         long = [i for i, t in enumerate(found) if len(t) >= span]
         digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(found[i])) for i in long), np.int64)
         at = pa.array(long, pa.int64())
-        return {"did": b.column(0).take(at), "th": b.column(1).take(at), "c1": digests[0::2], "c2": digests[1::2]}
+        return {"did": b.column(0).take(at), "th": b.column(1).take(at), "n_words": [len(found[i]) for i in long],
+                "c1": digests[0::2], "c2": digests[1::2]}
 
     def anchors(b: pa.RecordBatch) -> dict:
         hashes, owners, often = [], [], []
@@ -110,10 +111,11 @@ def shared_anchors(docs: DataFrame, k: int, span: int) -> tuple[DataFrame, DataF
         return {"anchor": cat(hashes, np.uint64).view(np.int64), "c1": cat(owners, np.int64),
                 "n": cat(often, np.int64).astype(np.int8)}
 
-    contents = materialize(map_docs(rows, content, "did long, th long, c1 long, c2 long"), "contents")
+    contents = materialize(map_docs(rows, content, "did long, th long, n_words int, c1 long, c2 long"),
+                           "contents")
     first = contents.groupBy("c1", "c2").agg(F.min(F.struct("did", "th")).alias("first"))
     copies = (contents.join(first, ["c1", "c2"]).where(F.struct("did", "th") != F.col("first"))
-              .select("did", "th", F.col("first.did").alias("first_did"), F.col("first.th").alias("first_th")))
+              .select("did", "th", "n_words", F.col("first.did").alias("first_did"), F.col("first.th").alias("first_th")))
     places = map_docs(rows, anchors, "anchor long, c1 long, n byte")
     recurring = (places.groupBy("anchor").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi"), F.max("n").alias("n"))
                  .where("lo <> hi or n > 1").select("anchor"))
