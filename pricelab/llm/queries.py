@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, merkle, phrases, simhash, suffixes, tokencount
+from . import bpe, decontaminate, langid, merkle, phrases, simhash, suffixes, tokencount, toxicity
 from .common import crc_mod, table
 
 
@@ -18,6 +19,15 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
                                       threshold=0.8, shingle=5)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 5) == 0
+    lexicon = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = toxicity.score(docs, lexicon)
+    return scored.select("doc_id", held_out.alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"),
                           public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -52,6 +62,7 @@ def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_suffix_array_dedup,
     op2_benchmark_decontamination,
+    op3_toxicity,
     op4_bpe_round_trip,
     op5_token_counts,
     op6_language_id,
