@@ -68,3 +68,18 @@ def map_docs(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str |
                     yield out
 
     return df.mapInArrow(run, schema)
+
+
+def filter_docs(df: DataFrame, keep: Callable[[list], list[bool]], text: str = "text") -> DataFrame:
+    """Rows of ``df`` whose text ``keep`` accepts, batch by batch, with all their columns."""
+    small_batches(df.sparkSession)
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                out = b.filter(pa.array(keep(b.column(at).to_pylist()), pa.bool_()))
+                if out.num_rows:
+                    yield out
+
+    return df.mapInArrow(run, df.schema)

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import run_hashes, word_hashes
-from .common import map_docs
+from .common import filter_docs, map_docs
 
 RADIUS = 15
 BLOCKS = 8
@@ -148,31 +149,44 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     schema = "doc_id long, item_id long, start_word int, n_words int, similarity double, bits int"
-    out = None
-    block: list[tuple[int, list[bytes]]] = []
-    size = 0
+    out = spark.createDataFrame([], schema)
+    for index in _blocks(benchmark, shingle, block_words):
+        out = out.unionByName(map_docs(rows, _search(spark.sparkContext.broadcast(index), threshold), schema))
+    return out
+
 
-    def search(items: list[tuple[int, list[bytes]]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(Index([i for i, _ in items], [t for _, t in items], shingle))
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, shingle: int = 5,
+          block_words: int = 2_000_000) -> DataFrame:
+    """Rows of ``docs`` with all their columns, without the documents that contaminated() finds."""
+    for index in _blocks(benchmark, shingle, block_words):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        docs = filter_docs(docs, lambda texts, shared=shared: [not shared.value.leaks(t, threshold) for t in texts])
+    return docs
 
-        def run(b: pa.RecordBatch) -> dict:
-            found = [(d, *leak) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
-                     for leak in shared.value.leaks(t, threshold)]
-            cols = list(zip(*found)) or [()] * 6
-            return dict(zip(("doc_id", "item_id", "start_word", "n_words", "similarity", "bits"), cols))
 
-        return map_docs(rows, run, schema)
+def _search(shared, threshold: float):
+    def run(b: pa.RecordBatch) -> dict:
+        found = [(d, *leak) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+                 for leak in shared.value.leaks(t, threshold)]
+        cols = list(zip(*found)) or [()] * 6
+        return dict(zip(("doc_id", "item_id", "start_word", "n_words", "similarity", "bits"), cols))
 
+    return run
+
+
+def _blocks(benchmark: DataFrame, shingle: int, block_words: int) -> Iterator[Index]:
+    """Indexes of the items, at most ``block_words`` words (or one item) in each."""
+    block: list[tuple[int, list[bytes]]] = []
+    size = 0
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text")
     for item_id, text in items.toLocalIterator():
         tokens = normal_words(text)
         if len(tokens) < shingle:
             continue
         if block and size + len(tokens) > block_words:
-            out = search(block) if out is None else out.unionByName(search(block))
+            yield Index([i for i, _ in block], [t for _, t in block], shingle)
             block, size = [], 0
         block.append((item_id, tokens))
         size += len(tokens)
     if block:
-        out = search(block) if out is None else out.unionByName(search(block))
-    return out if out is not None else spark.createDataFrame([], schema)
+        yield Index([i for i, _ in block], [t for _, t in block], shingle)

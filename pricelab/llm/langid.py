@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_docs
+from .common import filter_docs, map_docs
 
 ORDER = 4
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -265,3 +265,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     return map_docs(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run,
                     "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """Rows of ``docs`` with all their columns, without those that identify() rejects."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return filter_docs(docs, lambda texts: [not r for r in shared.value.predict(texts)[3]])

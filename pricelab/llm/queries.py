@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, merkle, phrases, simhash, suffixes, tokencount, toxicity
+from . import bpe, decontaminate, langid, lbl, merkle, phrases, simhash, suffixes, tokencount, toxicity
 from .common import crc_mod, table
 
 
@@ -55,6 +55,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "n_words", "n_removed", "kept_sha256"))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod("doc_id", 10) == 0
+    scored = lbl.score(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -68,6 +74,7 @@ QUERIES = {f.__name__: f for f in (
     op6_language_id,
     op7_simhash_near_dedup,
     op8_substring_dedup,
+    op9_lm_scores,
     op10_merkle_fingerprints,
 )}
 
