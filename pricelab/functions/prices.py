@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..oracle import LIST_PATTERN
 from ..schema import INVALID_PRICE_LIST_MEAN
 
 
@@ -16,20 +15,34 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def is_numeric_list(text) -> Column:
-    """True when the text is a literal list of plain numbers (``[1, 2.5]``)."""
-    return F.coalesce(_col(text).rlike(LIST_PATTERN), F.lit(False))
+# One item of a numeric list literal (fixed rule of the parser): an optional sign, then
+# zeros, an integer with single underscores between digits, a decimal with an optional
+# exponent, or an integer with an exponent.  No part repeats a group, so matching never
+# recurses, and no pattern runs over more than one item.
+ITEM = (r"^\s*[+-]?(0+|[1-9]([0-9_]*[0-9])?"
+        r"|([0-9]+[.][0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?"
+        r"|[0-9]+[eE][+-]?[0-9]+)\s*$")
+BRACKETS = r"^[ \t]*\[[^\[\]]*\]\s*$"
 
 
 def price_list_items(text) -> Column:
-    """array<string> of the list items (brackets, blanks and digit underscores removed)."""
-    inner = F.regexp_replace(_col(text), r"[\[\]\s_]", "")
-    return F.array_remove(F.split(inner, ","), "")
+    """array<string> of what stands between the commas; one blank last item is left out."""
+    inner = F.regexp_replace(_col(text), r"[\[\]]", "")
+    items = F.split(inner, ",", -1)
+    blank = F.trim(F.regexp_replace(F.element_at(items, -1), r"\s", "")) == ""
+    return F.when(blank, F.slice(items, F.lit(1), F.size(items) - 1)).otherwise(items)
+
+
+def is_numeric_list(text) -> Column:
+    """True when the text is a literal list of plain numbers (``[1, 2.5]``), item by item."""
+    numeric = F.forall(price_list_items(text), lambda x: x.rlike(ITEM) & ~x.contains("__"))
+    return F.coalesce(_col(text).rlike(BRACKETS) & numeric, F.lit(False))
 
 
 def price_list_values(text) -> Column:
-    """array<double> of the list items (one native array cast)."""
-    return price_list_items(text).try_cast("array<double>")
+    """array<double> of the list items (blanks and digit underscores removed, one array cast)."""
+    inner = F.regexp_replace(_col(text), r"[\[\]\s_]", "")
+    return F.array_remove(F.split(inner, ","), "").try_cast("array<double>")
 
 
 def price_list_mean(text, invalid: float = INVALID_PRICE_LIST_MEAN) -> Column:

@@ -8,12 +8,10 @@ Scale notes
   is what the exact ``percentile`` aggregate does for its final merge).
   Values are first deduplicated to ``(key, value, count)`` with a map-side
   combine (a value held by a third of all rows becomes one row), then
-  range-partitioned by ``(key, value)``; each slice computes local running
-  counts, slice totals give offsets, and only the rows holding the target
-  ranks are kept.  The range-partitioned slices are checkpointed to the
-  shared checkpoint folder so the slice assignment is fixed and survives the
-  loss of an executor.  The slice offsets (keys x slices rows) and rank
-  targets (keys x probabilities) are broadcast only after counting the keys.
+  range-partitioned by ``(key, value)`` and written to the shared folder, so
+  the slice assignment is fixed and survives the loss of an executor.  Slice
+  totals give offsets, and only the slices that hold a wanted rank (at most
+  two per key and probability) are ranked by running counts.
 * ``histogram`` uses one scalar subquery for the bounds and a zero-filled
   ``range(nbins)`` for the bin list.
 """
@@ -25,12 +23,9 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import materialize
 from .prices import clip, round_to
 
-# Largest lookup table (rows) broadcast on our own initiative.
-BROADCAST_ROW_LIMIT = 1_000_000
-
 
 def safe_corr(y, x) -> Column:
     """Pearson correlation over pairwise-complete rows.
@@ -52,60 +47,49 @@ def unpivot_values(df: DataFrame, columns: Sequence[str], key: str = "column",
 
 
 def exact_quantiles(long: DataFrame, probs: Sequence[float], key: str = "column",
-                    value: str = "value", slices: int | None = None,
-                    max_keys: int | None = None) -> DataFrame:
+                    value: str = "value", slices: int | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles per key: ``(key, p, quantile, n)``.
 
     Matches ``percentile``/``median`` (pandas ``quantile``, DuckDB
     ``quantile_cont``).  NULL and NaN values are skipped; a key with no value
-    yields no rows.  ``max_keys`` is a caller-known bound on the number of
-    keys (e.g. the number of columns); without it the keys are counted.
+    yields no rows.  Runs the distinct-value aggregate when called.
     """
-    spark = long.sparkSession
-    shared_dir(spark)  # make sure a reliable checkpoint folder is registered
-    n_slices = slices or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     vals = long.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
     vals = vals.where(F.col("v").isNotNull() & ~F.isnan("v"))
     distinct = vals.groupBy("k", "v").agg(F.count(F.lit(1)).alias("cnt"))
-    ranged = (distinct.repartitionByRange(n_slices, "k", "v")
-              .withColumn("slice", F.spark_partition_id())
-              .checkpoint(eager=True))
+    ranged = materialize((distinct.repartitionByRange(slices, "k", "v") if slices
+                          else distinct.repartitionByRange("k", "v"))
+                         .withColumn("slice", F.spark_partition_id()), "quantile-slices")
 
-    w_local = (Window.partitionBy("k", "slice").orderBy("v")
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = ranged.withColumn("run", F.sum("cnt").over(w_local))
-
-    # per-slice totals: (keys x slices) rows.  Broadcast the small lookup
-    # tables only behind a size check; beyond it the planner/AQE choose.
-    totals = ranged.groupBy("k", "slice").agg(F.sum("cnt").alias("slice_n"))
-    n_keys = max_keys if max_keys is not None else ranged.select("k").distinct().count()
-    small = n_keys * max(n_slices, len(probs)) <= BROADCAST_ROW_LIMIT
-    maybe_broadcast = F.broadcast if small else (lambda d: d)
+    totals = ranged.groupBy("k", "slice").agg(F.sum("cnt").alias("slice_n"))   # keys x slices rows
     w_before = (Window.partitionBy("k").orderBy("slice")
                 .rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select(
-        "k", "slice",
+        "k", "slice", "slice_n",
         F.coalesce(F.sum("slice_n").over(w_before), F.lit(0)).alias("offset"),
         F.sum("slice_n").over(Window.partitionBy("k")).alias("n"),
     )
-    ranks = local.join(maybe_broadcast(offsets), ["k", "slice"]).select(
-        "k", "v",
-        (F.col("offset") + F.col("run") - F.col("cnt")).alias("first"),
-        (F.col("offset") + F.col("run") - 1).alias("last"),
-    )
-
     pos = (F.col("n") - 1).cast("double") * F.col("p")
-    targets = (offsets.select("k", "n").distinct()
-               .select("k", "n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
-               .select("k", "n", "p",
-                       F.floor(pos).cast("long").alias("lo"),
-                       F.ceil(pos).cast("long").alias("hi"),
-                       (pos - F.floor(pos)).alias("frac")))
-    t = maybe_broadcast(targets.alias("t"))
-    r = ranks.alias("r")
-    lo_hit = (F.col("t.lo") >= F.col("r.first")) & (F.col("t.lo") <= F.col("r.last"))
-    hi_hit = (F.col("t.hi") >= F.col("r.first")) & (F.col("t.hi") <= F.col("r.last"))
-    hits = r.join(t, (F.col("r.k") == F.col("t.k")) & (lo_hit | hi_hit))
+    targets = (offsets.select("k", "slice", "offset", "slice_n", "n",
+                              F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
+               .withColumns({"lo": F.floor(pos).cast("long"), "hi": F.ceil(pos).cast("long"),
+                             "frac": pos - F.floor(pos)}))
+    end = F.col("offset") + F.col("slice_n")
+    # at most two slices per key and probability hold a wanted rank; only these are ranked
+    targets = targets.where(((F.col("lo") >= F.col("offset")) & (F.col("lo") < end))
+                            | ((F.col("hi") >= F.col("offset")) & (F.col("hi") < end)))
+    wanted = targets.select("k", "slice").distinct()
+    w_local = (Window.partitionBy("k", "slice").orderBy("v")
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranks = (ranged.join(wanted, ["k", "slice"], "left_semi")
+             .withColumn("run", F.sum("cnt").over(w_local)))
+    r, t = ranks.alias("r"), targets.alias("t")
+    first = F.col("t.offset") + F.col("r.run") - F.col("r.cnt")
+    last = F.col("t.offset") + F.col("r.run") - 1
+    lo_hit = (F.col("t.lo") >= first) & (F.col("t.lo") <= last)
+    hi_hit = (F.col("t.hi") >= first) & (F.col("t.hi") <= last)
+    hits = r.join(t, (F.col("r.k") == F.col("t.k")) & (F.col("r.slice") == F.col("t.slice"))
+                  & (lo_hit | hi_hit))
     per = hits.groupBy(F.col("t.k").alias("k"), F.col("t.p").alias("p")).agg(
         F.max(F.when(lo_hit, F.col("r.v"))).alias("v_lo"),
         F.max(F.when(hi_hit, F.col("r.v"))).alias("v_hi"),
@@ -119,7 +103,7 @@ def exact_quantiles(long: DataFrame, probs: Sequence[float], key: str = "column"
 def exact_median(df: DataFrame, column: str) -> Column:
     """Scalar-subquery column holding the exact median of ``column`` (NULL if none)."""
     long = df.select(F.lit(column).alias("column"), F.col(column).alias("value"))
-    med = exact_quantiles(long, [0.5], max_keys=1)
+    med = exact_quantiles(long, [0.5])
     return med.select(F.max("quantile")).scalar()
 
 

@@ -1,8 +1,9 @@
 """Cleaning operators (C1-C10): per-row projections plus one median scalar.
 
-All operators are lazy ``DataFrame -> DataFrame`` projections.  The only
-aggregate is the catalog-wide median used to impute missing competitor means,
-which is an exact distributed quantile delivered as a scalar subquery.
+The operators are lazy ``DataFrame -> DataFrame`` projections, but for the
+catalog-wide median used to impute missing competitor means: an exact
+distributed quantile whose distinct values are written to the shared folder
+when ``impute_competitor_mean`` (or ``clean_catalog``) is called.
 """
 
 from __future__ import annotations
@@ -121,7 +122,19 @@ def nan_clean(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def clean_catalog(raw: DataFrame, flags: str | None = "strict", price: bool = True,
+def clean_label(df: DataFrame, label: str | None, column: str = "optimal_price") -> DataFrame:
+    """The label as double: unparsable or missing is the fill value (``fill``), missing
+    (``null``), or the column is left as it is (None)."""
+    if label is None:
+        return df
+    if label == "fill":
+        return clean_price(df, column)
+    if label == "null":
+        return df.withColumn(column, nan_to_null(F.col(column).cast("string").try_cast("double")))
+    raise ValueError(f"unknown label rule {label!r}")
+
+
+def clean_catalog(raw: DataFrame, flags: str | None = "strict", label: str | None = "fill",
                   impute: bool = True) -> DataFrame:
     """Load-time cleaning: names, competitor mean (+median fill), flags, price.
 
@@ -134,9 +147,7 @@ def clean_catalog(raw: DataFrame, flags: str | None = "strict", price: bool = Tr
     df = competitor_mean(df)
     if impute:
         df = impute_competitor_mean(df)
-    if price:
-        df = clean_price(df)
-    return clean_flags(df, flags)
+    return clean_flags(clean_label(df, label), flags)
 
 
 def clean_flags(df: DataFrame, flags: str | None) -> DataFrame:

@@ -68,15 +68,16 @@ SERVING_FLAGS = ["holiday", "weekday", "weekend"]
 
 def scenario_features(df: DataFrame, features: Sequence[str],
                       weights: Mapping[str, float] | None = None,
-                      categoricals: Sequence[str] = S.CATEGORICAL_COLUMNS) -> DataFrame:
-    """the optimizer's serving row for every product, as ``id`` + ``features``.
+                      categoricals: Sequence[str] = S.CATEGORICAL_COLUMNS,
+                      keep: Sequence[Column | str] = ("id",)) -> DataFrame:
+    """the optimizer's serving row for every product, as ``keep`` + ``features``.
 
     Weighted signals, the product's own flags, segment forced to 0, the
     product's rating, its own category indicators; everything else 0
     (including reviews and lag price, which the serving row leaves out).
     """
     weights = dict(weights or {})
-    cols = [F.col("id")]
+    cols = list(keep)
     for f in features:
         col, value = split_feature(f, categoricals)
         if col is not None:
@@ -98,7 +99,8 @@ def weighted_features(df: DataFrame, features: Sequence[str],
                       clip_range: tuple[float, float] = (S.CLIP_LOW, S.CLIP_HIGH),
                       on_bad: str = "zero_row",
                       default_season: str = S.DEFAULT_SEASON,
-                      categoricals: Sequence[str] = S.CATEGORICAL_COLUMNS) -> DataFrame:
+                      categoricals: Sequence[str] = S.CATEGORICAL_COLUMNS,
+                      keep: Sequence[Column | str] = ("id",)) -> DataFrame:
     """the playground's weighted, clipped feature vector for every row.
 
     * a feature that is a column of the row: ``value * weight`` (weight 1.0
@@ -148,7 +150,7 @@ def weighted_features(df: DataFrame, features: Sequence[str],
     bad = None
     for b in bad_checks:
         bad = b if bad is None else (bad | b)
-    cols = [F.col("id")]
+    cols = list(keep)
     for f in features:
         e = clip(raw[f], lo, hi)
         if bad is not None:

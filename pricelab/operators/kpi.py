@@ -70,8 +70,12 @@ def price_tier(df: DataFrame, current: str = CUR) -> DataFrame:
 
 
 def pricing_score(df: DataFrame, holiday: str | float = "holiday", weekend: str | float = "weekend",
-                  missing_rating: float | None = 0.0) -> DataFrame:
-    """K6: scarcity, engagement, timing and quality mixed into one score and level."""
+                  missing_rating: float | None = None) -> DataFrame:
+    """K6: scarcity, engagement, timing and quality mixed into one score and level.
+
+    A missing signal makes the score missing (and the level the lowest one);
+    ``missing_rating`` puts a value in the place of a missing rating.
+    """
     h = F.lit(float(holiday)) if isinstance(holiday, (int, float)) else F.col(holiday).cast("double")
     w = F.lit(float(weekend)) if isinstance(weekend, (int, float)) else F.col(weekend).cast("double")
     r = F.col("ratings") if missing_rating is None else F.coalesce(F.col("ratings"),
@@ -227,28 +231,33 @@ def residuals(df: DataFrame, label: str = "optimal_price", prediction: str = "pr
                      (y - F.col(prediction)).alias("residual"))
 
 
-# Explanation sentence per signal (our own wording); each takes (value, impact).
+# Explanation sentence per signal (our own wording): the shown value as a plain number,
+# as money, out of five or as yes / no, then the size of the impact.
 IMPACT_TEMPLATES = {
     "demand": "Demand level %.2f moves the recommended price by %+.0f",
-    "inventory": "Stock scarcity %.2f moves the recommended price by %+.0f",
+    "inventory": "Stock level %.2f moves the recommended price by %+.0f",
     "clicks": "Click engagement %.2f moves the recommended price by %+.0f",
     "search_volume": "Search momentum %.2f moves the recommended price by %+.0f",
-    "competitor_price_mean": "Competitor price position %.2f moves the recommended price by %+.0f",
-    "ratings": "Rating score %.2f moves the recommended price by %+.0f",
-    "holiday": "Timing context %.2f moves the recommended price by %+.0f",
+    "competitor_price_mean": "Competitor price $%.0f moves the recommended price by %+.0f",
+    "ratings": "Rating %.1f out of 5 moves the recommended price by %+.0f",
+    "reviews_count": "Review volume %.2f moves the recommended price by %+.0f",
+    "holiday": "Holiday timing (%s) moves the recommended price by %+.0f",
+    "weekend": "Weekend timing (%s) moves the recommended price by %+.0f",
 }
 IMPACT_TEMPLATE_OTHER = "Signal level %.2f moves the recommended price by %+.0f"
-
-
-def impact_text(long: DataFrame, templates=None) -> DataFrame:
-    """One explanation sentence per (product, signal) with value and impact.
-
-    The template is looked up per row from a literal map (no join); the
-    impact is rounded half-even before formatting.
-    """
-    templates = templates or IMPACT_TEMPLATES
-    tmap = F.create_map(*[x for k, v in templates.items() for x in (F.lit(k), F.lit(v))])
-    tmpl = F.coalesce(F.element_at(tmap, F.col("signal")), F.lit(IMPACT_TEMPLATE_OTHER))
-    text = F.when(F.col("value").isNotNull() & F.col("impact").isNotNull(),
-                  F.printf(tmpl, F.col("value"), F.bround("impact", 0)))
-    return long.withColumn("explanation", text)
+SHOWN_PLACES = {"competitor_price_mean": 0, "ratings": 1}
+
+
+def impact_text(long: DataFrame, templates: Mapping[str, str] = IMPACT_TEMPLATES) -> DataFrame:
+    """One explanation sentence per (product, signal): the raw ``shown`` value and the
+    size of the impact, rounded before they are formatted; NULL if either is missing."""
+    size = F.bround(F.abs(F.col("impact")), 0)
+    text = F.printf(F.lit(IMPACT_TEMPLATE_OTHER), round_to(F.col("shown"), 2), size)
+    for signal, template in templates.items():
+        if "%s" in template:
+            shown = F.when(F.col("shown") > 0, F.lit("yes")).otherwise(F.lit("no"))
+        else:
+            shown = round_to(F.col("shown"), SHOWN_PLACES.get(signal, 2))
+        text = F.when(F.col("signal") == signal, F.printf(F.lit(template), shown, size)).otherwise(text)
+    present = F.col("shown").isNotNull() & F.col("impact").isNotNull()
+    return long.withColumn("explanation", F.when(present, text))

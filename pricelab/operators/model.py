@@ -15,7 +15,7 @@ from typing import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,6 +76,17 @@ def train_price_model(df: DataFrame, features: Sequence[str], label: str = "opti
     return pipe.fit(data)
 
 
+def train_linear_model(df: DataFrame, features: Sequence[str],
+                       label: str = "optimal_price") -> PipelineModel:
+    """M1 with ``VectorAssembler + LinearRegression`` (closed form): a second estimator
+    whose scores SQL can reproduce."""
+    pipe = Pipeline(stages=[
+        VectorAssembler(inputCols=list(features), outputCol="features"),
+        LinearRegression(featuresCol="features", labelCol=label, solver="normal"),
+    ])
+    return pipe.fit(design_matrix(df, features, label))
+
+
 def model_features(model: PipelineModel) -> list[str]:
     """The feature list stored inside the pipeline."""
     return list(model.stages[0].getInputCols())
@@ -88,17 +99,19 @@ def score_catalog(model: PipelineModel, df: DataFrame, label: str = "optimal_pri
     return scored.select("id", label, "prediction")
 
 
-def predict_features(model: PipelineModel, features_df: DataFrame) -> DataFrame:
+def predict_features(model: PipelineModel, features_df: DataFrame,
+                     keep: Sequence[str] = ("id",)) -> DataFrame:
     """Score a prepared feature frame (``id`` + the model's feature columns).
 
     Used for the serving rows of the what-if flows (F3/F4), which differ from
     the training design matrix; a missing feature value is 0, the same fill
-    rule as the training matrix (C8).  Returns ``(id, prediction)``.
+    rule as the training matrix (C8).  Returns the ``keep`` columns, which
+    travel through the model, and ``prediction``.
     """
     feats = model_features(model)
     filled = features_df.select(
-        "id", *[F.coalesce(F.col(f).cast("double"), F.lit(S.FEATURE_FILL)).alias(f) for f in feats])
-    return model.transform(filled).select("id", "prediction")
+        *keep, *[F.coalesce(F.col(f).cast("double"), F.lit(S.FEATURE_FILL)).alias(f) for f in feats])
+    return model.transform(filled).select(*keep, "prediction")
 
 
 def feature_importance(model: PipelineModel) -> DataFrame:

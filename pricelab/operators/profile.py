@@ -145,7 +145,7 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None,
         quart = qs.select("column", *[F.col("qs")[i].alias(n)
                                       for i, n in enumerate(["q25", "q50", "q75"])])
     else:
-        q = exact_quantiles(long, probs, max_keys=len(columns))
+        q = exact_quantiles(long, probs)
         quart = q.groupBy("column").agg(*[
             F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(n)
             for p, n in zip(probs, ["q25", "q50", "q75"])])
@@ -229,9 +229,11 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] = S.CORRELATION_COL
     idx = (F.col("pair") + 1).cast("int")
     named = per.select(F.element_at(a_names, idx).alias("a"), F.element_at(b_names, idx).alias("b"),
                        _r(F.col("r"), digits).alias("r"))
-    mirrored = named.where(F.col("a") != F.col("b")).select(
-        F.col("b").alias("a"), F.col("a").alias("b"), "r")
-    return named.unionByName(mirrored)
+    # mirror the few result rows, not the input
+    a, b, r = F.col("a"), F.col("b"), F.col("r")
+    both = F.when(a == b, F.array(F.struct(a, b, r))).otherwise(
+        F.array(F.struct(a, b, r), F.struct(b.alias("a"), a.alias("b"), r)))
+    return named.select(F.inline(both))
 
 
 def demand_price_corr(df: DataFrame, x: str = "demand", y: str = "optimal_price",

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.prices import round_to
-from ..functions.stats import BROADCAST_ROW_LIMIT
+from .features import prepare_encoded
 
 OVERRIDABLE = ["demand", "inventory", "clicks", "search_volume", "competitor_price_mean",
                "ratings", "holiday", "weekend"]
@@ -70,6 +70,41 @@ def signal_values(df: DataFrame, current_price: str = "current_price") -> DataFr
     return wide.unpivot(["id"], sig, "signal", "value")
 
 
+# Signals of the explanation report: (signal, value the impact is computed from, value shown).
+SHOWN_SIGNALS = ["demand", "inventory", "clicks", "search_volume", "competitor_price_mean",
+                 "ratings", "reviews_count", "holiday", "weekend"]
+
+
+def shown_signals(df: DataFrame, current_price: str = "current_price") -> DataFrame:
+    """``(id, signal, value, shown)``: the explained signals with the raw value that the
+    explanation shows (price in money, rating out of 5, inventory itself)."""
+    pos = F.when(F.col(current_price) > 0,
+                 F.col("competitor_price_mean") / F.col(current_price)).otherwise(F.lit(1.0))
+    value = {"inventory": F.lit(1.0) - F.col("inventory"), "competitor_price_mean": pos,
+             "ratings": F.col("ratings") / F.lit(5.0)}
+    cells = F.array(*[F.struct(F.lit(s).alias("signal"),
+                               value.get(s, F.col(s)).cast("double").alias("value"),
+                               F.col(s).cast("double").alias("shown")) for s in SHOWN_SIGNALS])
+    return df.select("id", F.inline(cells))
+
+
+def fitted_importances(df: DataFrame, signals: Sequence[str], label: str = "optimal_price",
+                       digits: int = 6) -> DataFrame:
+    """T1 of the linear models: ``(signal, importance)``, each signal's share of the
+    explained variances (R2 of the label on the signal alone) of all signals.
+
+    One aggregate over the catalog; a signal that explains nothing has 0.
+    """
+    y = F.col(label).cast("double")
+    one = df.select(*[F.coalesce(F.regr_r2(y, F.col(s).cast("double")), F.lit(0.0)).alias(s)
+                      for s in signals])
+    total = sum((F.col(s) for s in signals), F.lit(0.0))
+    cells = F.array(*[F.struct(F.lit(s).alias("signal"),
+                               round_to(F.try_divide(F.col(s), total), digits).alias("importance"))
+                      for s in signals])
+    return one.select(F.inline(cells))
+
+
 def importance_table(spark, importances: Mapping[str, float] = S.SIGNAL_IMPORTANCE) -> DataFrame:
     """The importance lookup ``(signal, importance)`` as a tiny derived frame."""
     rows = [F.struct(F.lit(k).alias("signal"), F.lit(float(v)).alias("importance"))
@@ -82,23 +117,19 @@ def signal_importance_join(long: DataFrame, importances: DataFrame,
                            fallback: float = S.IMPORTANCE_FALLBACK) -> DataFrame:
     """Attach each signal's importance; ``fallback`` when the model lacks it.
 
-    ``importances`` is a per-feature table (bounded by the feature list); it is
-    broadcast after its row count is checked, otherwise left to the planner.
+    ``importances`` is a per-feature table; Spark broadcasts it if it is small.
     """
     imp = importances
     if model_features is not None:
         imp = imp.where(F.col("signal").isin(list(model_features)))
-    if imp.count() <= BROADCAST_ROW_LIMIT:   # checked size: broadcast the lookup
-        imp = F.broadcast(imp)
     j = long.join(imp, "signal", "left")
     return j.select(*[c for c in long.columns],
                     F.coalesce(F.col("importance"), F.lit(float(fallback))).alias("importance"))
 
 
-def encoded_lookup(raw: DataFrame, encoded: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The encoded row of every raw product, by key (inner equi-join on ``id``)."""
-    return raw.select("id", "productDisplayName").join(
-        encoded.select("id", *columns), "id", "inner")
+def encoded_lookup(df: DataFrame, features: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Every product with the ``columns`` of its encoded row, in one projection."""
+    return prepare_encoded(df, features).select("id", "productDisplayName", *columns)
 
 
 def sensitivity_sweep(df: DataFrame, signal: str, lo: float, hi: float, step: float,

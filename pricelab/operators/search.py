@@ -65,15 +65,14 @@ def search_with_fallback(df: DataFrame, term: str, n: int = S.NAME_LIST_SIZE,
 
 def first_row_per_name(df: DataFrame, columns: Sequence[str] | None = None,
                        order: str = "id") -> DataFrame:
-    """P5: for every name, the row with the smallest ``order`` key.
+    """P5: for every name, the row with the smallest ``order`` key (a unique key).
 
-    ``min(struct(order, ...))`` is a partial aggregate: no name group is
-    ranked in one task.
+    A narrow hash aggregate, combined before the shuffle, finds the smallest
+    key of each name; the rows follow by a semi join on the key.
     """
     columns = [c for c in (columns or df.columns) if c not in (NAME, order)]
-    packed = F.struct(F.col(order).alias(order), *[F.col(c) for c in columns])
-    g = df.where(F.col(NAME).isNotNull()).groupBy(NAME).agg(F.min(packed).alias("r"))
-    return g.select(NAME, *[F.col("r").getField(c).alias(c) for c in [order, *columns]])
+    first = df.where(F.col(NAME).isNotNull()).groupBy(NAME).agg(F.min(order).alias(order)).select(order)
+    return df.join(first, order, "left_semi").select(NAME, order, *columns)
 
 
 CARD_COLUMNS = ["id", NAME, "articleType", "baseColour", "season", "material", "location",

@@ -7,12 +7,12 @@ independently of the Spark code, from the operator's specification.
 
 from __future__ import annotations
 
-# Item of a numeric list literal: optional sign, then an integer, a decimal with
-# optional exponent, or an integer with exponent.  Fixed rule of the parser.
-LIST_ITEM = (r"[+-]?(0+|[1-9][0-9]*(_[0-9]+)*"
-             r"|([0-9]+[.][0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?"
-             r"|[0-9]+[eE][+-]?[0-9]+)")
-LIST_PATTERN = (r"^[ \t]*\[\s*(" + LIST_ITEM + r"(\s*,\s*" + LIST_ITEM + r")*\s*,?)?\s*\]\s*$")
+# The SQL side's own rule of a numeric list: the whole text at once (DuckDB's regular
+# expressions run in linear time without recursion).
+_NUMBER = (r"[+-]?(0+|[1-9][0-9]*(_[0-9]+)*"
+           r"|([0-9]+[.][0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?"
+           r"|[0-9]+[eE][+-]?[0-9]+)")
+LIST_PATTERN = (r"^[ \t]*\[\s*(" + _NUMBER + r"(\s*,\s*" + _NUMBER + r")*\s*,?)?\s*\]\s*$")
 
 CATALOG_CTES = r"""
 li AS (
@@ -74,7 +74,7 @@ raw_catalog AS (
               ELSE CAST((101 * n_lines - 80 * n_ret) // (2 * n_lines) AS DOUBLE) / 10.0e0 END AS ratings,
          disc AS discount_percentage,
          freight AS freight_price,
-         CASE WHEN p_partkey % 97 = 11 THEN 'n/a'
+         CASE WHEN p_partkey % 97 = 11 THEN 'unknown'
               WHEN p_partkey % 89 = 13 THEN '[]'
               WHEN p_partkey % 83 = 17 THEN NULL
               ELSE comp END AS competitor_prices,
@@ -130,6 +130,10 @@ clean AS (
          coalesce(cpm0, (SELECT median(cpm0) FROM cm)) AS competitor_price_mean
   FROM cm
 ),
+prof AS (
+  SELECT * EXCLUDE (raw_price) REPLACE (TRY_CAST(raw_price AS DOUBLE) AS optimal_price) FROM
+  (SELECT clean.*, cm.optimal_price AS raw_price FROM clean JOIN cm USING (id))
+),
 fit AS (
   SELECT round(regr_intercept(optimal_price, demand) * 1000000.0e0, 0) / 1000000.0e0 AS a,
          round(regr_slope(optimal_price, demand) * 1000000.0e0, 0) / 1000000.0e0 AS b
@@ -336,9 +340,20 @@ SQL["threshold_counts"] = q(
     + r6("CAST(count(*) FILTER (WHERE ratings >= 4.0) AS DOUBLE) / CAST(count(*) AS DOUBLE) * 100.0e0")
     + " AS high_rating_percent, count(DISTINCT articleType) AS n_categories FROM clean")
 
+# Profile reports see the label as loaded: unparsable is missing.
+_PREFIX = "WITH " + CATALOG_CTES + CLEAN_CTES
+for _key in ["dataset_shape", "dataset_overview", "missing_by_column", "missing_overall",
+             "missing_top20_in_order", "missing_top10", "quality_verdict", "numeric_summary",
+             "categorical_summary", "price_by_category_top10", "price_stats_by_category",
+             "price_range", "correlation_matrix", "demand_price_corr", "demand_price_trend",
+             "season_summary", "location_summary", "top_season", "category_distribution",
+             "dtype_counts", "column_bytes", "threshold_counts", "price_histogram"]:
+    SQL[_key] = _PREFIX + SQL[_key][len(_PREFIX):].replace("FROM clean", "FROM prof")
+
 # ---------------------------------------------------------------- editions / frames
 from .plans.params import (ENCODED_LOOKUP_COLUMNS, FEATURES_FIXED, LINEAR_SIGNALS,  # noqa: E402
-                           NO_MATCH_TERM, SEARCH_REGEX, SEARCH_TERM, WEIGHTED_SIGNALS)
+                           NO_MATCH_TERM, SEARCH_LITERAL, SEARCH_REGEX, SEARCH_TERM,
+                           SIGNAL_WEIGHTS, WEIGHTED_SIGNALS)
 
 _CLOSED = "((SELECT a FROM fit) + (SELECT b FROM fit) * demand)"
 FRAME_CTES = f""",
@@ -513,7 +528,7 @@ SQL["clip_features"] = qf("SELECT id, " + ", ".join(
 
 def _score(h: str = "holiday", w: str = "weekend") -> str:
     return (f"(demand / (CASE WHEN inventory IS NOT NULL THEN greatest(inventory, 0.01e0) END) * 0.3e0 + (clicks + search_volume) * 0.25e0 "
-            f"+ ({h} * 2.5e0 + {w} * 1.8e0) * 0.2e0 + coalesce(ratings, 0.0e0) / 5.0e0 * 0.25e0)")
+            f"+ ({h} * 2.5e0 + {w} * 1.8e0) * 0.2e0 + ratings / 5.0e0 * 0.25e0)")
 
 
 def _score_level(s: str) -> str:
@@ -674,7 +689,7 @@ _RES_CTE = f""",
 res AS (SELECT id, coalesce(CAST(optimal_price AS DOUBLE), 500.0e0) AS actual,
         {_CLOSED} AS predicted,
         coalesce(CAST(optimal_price AS DOUBLE), 500.0e0) - {_CLOSED} AS residual
-        FROM ({_SAMPLE}))"""
+        FROM clean)"""
 SQL["residuals"] = q(f"SELECT id, actual, {r6('predicted')} AS predicted, "
                      f"{r6('residual')} AS residual FROM res", _RES_CTE)
 SQL["residual_histogram"] = q(histogram_sql("res", "residual", 30), _RES_CTE)
@@ -694,3 +709,86 @@ SQL["stream_pricing_kpis"] = qf(
     "THEN 'COMPETITIVE' ELSE 'OPPORTUNITY' END AS price_tier, "
     f"{r6(_score())} AS score, {_score_level(_score())} AS score_level, "
     f"{r6(_POS)} AS competitor_position FROM pg")
+
+# ---------------------------------------------------------------- branches and fitted models
+_DOMAINS_PG = [("demand", 0.0, 1.0), ("inventory", 0.0, 1.0), ("clicks", 0.0, 1.0),
+               ("search_volume", 0.0, 1.0), ("competitor_price_mean", 100.0, 1500.0),
+               ("ratings", 1.0, 5.0)]
+SQL["domain_violations_playground"] = q(" UNION ALL ".join(
+    f"SELECT '{s}' AS signal, {lo}e0 AS lo, {hi}e0 AS hi, count(*) AS n_rows, "
+    f"count(*) FILTER (WHERE {s} < {lo}e0 OR {s} > {hi}e0) AS n_outside, "
+    f"count(*) FILTER (WHERE {s} IS NULL) AS n_null FROM clean" for s, lo, hi in _DOMAINS_PG))
+SQL["reviews_default_absent"] = q("SELECT id, 0.5e0 AS reviews_count FROM clean")
+SQL["catalog_scan_na"] = q(
+    "SELECT * REPLACE (CASE WHEN id % 31 <> 5 THEN season END AS season) FROM raw_catalog")
+SQL["search_products_literal"] = q(
+    "SELECT id, productDisplayName || ' (v1.5)' AS productDisplayName FROM clean "
+    f"WHERE contains(lower(productDisplayName || ' (v1.5)'), '{SEARCH_LITERAL.lower()}')")
+SQL["weighted_features_bad_value"] = qf("SELECT id, " + ", ".join(
+    f'CASE WHEN id % 7 = 0 THEN 0.0e0 ELSE {e} END AS "{f}"'
+    for f, e in ((f, _weighted(f, _CAL).rsplit(" AS ", 1)[0]) for f in FEATURES_FIXED)) + " FROM pg")
+SQL["scenario_features_weighted"] = q("SELECT id, " + ", ".join(
+    f"CAST({f} AS DOUBLE) * {SIGNAL_WEIGHTS.get(f, 1.0)}e0 AS {f}" if f in _SERV_W else _serving(f)
+    for f in FEATURES_FIXED) + " FROM clean")
+SQL["revenue_impact_weighted"] = qf(
+    f"SELECT id, {r6(f'{_CHG} * demand * 100.0e0 * {SIGNAL_WEIGHTS["demand"]}e0')} AS revenue_impact FROM op")
+_R2 = " UNION ALL ".join(f"SELECT '{s}' AS signal, coalesce(regr_r2(CAST(optimal_price AS DOUBLE), "
+                         f"CAST({s} AS DOUBLE)), 0.0e0) AS r2 FROM clean" for s in LINEAR_SIGNALS)
+_FITTED_CTE = f""",
+fitted AS (SELECT signal, {r6('r2 / (SELECT sum(r2) FROM (' + _R2 + '))')} AS importance FROM ({_R2}))"""
+SQL["fitted_importance"] = q("SELECT signal AS feature, importance FROM fitted", _FITTED_CTE)
+SQL["fitted_top_drivers"] = q(
+    "SELECT signal AS feature, array_to_string(list_transform(string_split(signal, '_'), "
+    "lambda w: upper(w[1]) || w[2:]), ' ') AS label, round_even(importance * 100.0e0, 1) "
+    "AS importance_percent FROM fitted ORDER BY importance DESC, signal LIMIT 5", _FITTED_CTE)
+_WEIGHT = "CASE lin.signal " + " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in SIGNAL_WEIGHTS.items()) + " ELSE 1.0e0 END"
+SQL["impact_share_fitted"] = qf(
+    f"SELECT id, signal, importance, {r6('weighted')} AS weighted_impact, "
+    + r6("CASE WHEN abs(price_change) = 0 THEN NULL ELSE abs(weighted) / abs(price_change) END * 100.0e0")
+    + " AS share_percent FROM (SELECT lin.id, lin.signal, lin.price_change, fitted.importance, "
+    "CASE WHEN lin.signal = 'competitor_price_mean' THEN (value - 500.0e0) * fitted.importance * 0.8e0 "
+    f"ELSE (value - 0.5e0) * fitted.importance * 100.0e0 END * ({_WEIGHT}) AS weighted "
+    "FROM lin JOIN fitted ON lin.signal = fitted.signal)", _LIN_CTE + _FITTED_CTE)
+_SHOWN = [("demand", "demand", "demand"), ("inventory", "1.0e0 - inventory", "inventory"),
+          ("clicks", "clicks", "clicks"), ("search_volume", "search_volume", "search_volume"),
+          ("competitor_price_mean", "CASE WHEN current_price > 0 THEN competitor_price_mean / current_price "
+           "ELSE 1.0e0 END", "competitor_price_mean"), ("ratings", "ratings / 5.0e0", "ratings"),
+          ("reviews_count", "reviews_count", "reviews_count"), ("holiday", "holiday", "holiday"),
+          ("weekend", "weekend", "weekend")]
+_TEXT = {"demand": "Demand level %.2f", "inventory": "Stock level %.2f", "clicks": "Click engagement %.2f",
+         "search_volume": "Search momentum %.2f", "competitor_price_mean": "Competitor price $%.0f",
+         "ratings": "Rating %.1f out of 5", "reviews_count": "Review volume %.2f",
+         "holiday": "Holiday timing (%s)", "weekend": "Weekend timing (%s)"}
+
+
+def _shown_text(s: str) -> str:
+    places = {"competitor_price_mean": 1, "ratings": 10}.get(s, 100)
+    shown = ("CASE WHEN shown > 0 THEN 'yes' ELSE 'no' END" if "%s" in _TEXT[s]
+             else f"round(shown * {places}.0e0, 0) / {places}.0e0")
+    return (f"WHEN '{s}' THEN printf('{_TEXT[s]} moves the recommended price by %+.0f', {shown}, "
+            "round_even(abs(impact), 0))")
+
+
+SQL["impact_report"] = qf(
+    "SELECT id, signal, CASE WHEN shown IS NOT NULL AND impact IS NOT NULL THEN CASE signal "
+    + " ".join(_shown_text(s) for s, _, _ in _SHOWN) + " END END AS explanation FROM rep", f""",
+rep0 AS ({" UNION ALL ".join(f"SELECT id, '{s}' AS signal, CAST({v} AS DOUBLE) AS value, CAST({w} AS DOUBLE) AS shown FROM pg"
+                              for s, v, w in _SHOWN)}),
+rep AS (SELECT *, {_IMPACT} AS impact FROM (SELECT rep0.*, coalesce(CASE WHEN rep0.signal IN
+  ({", ".join(f"'{f}'" for f in FEATURES_FIXED)}) THEN t.importance END, 0.05e0) AS importance
+  FROM rep0 LEFT JOIN (VALUES {", ".join(f"('{k}', {v}e0)" for k, v in _IMP.items())})
+  t(signal, importance) ON rep0.signal = t.signal))""")
+_LM_CTE = """,
+lm AS (SELECT id, CAST(optimal_price AS DOUBLE) AS y, coalesce(demand, 0.0e0) AS x FROM clean),
+line AS (SELECT regr_intercept(y, x) AS a, regr_slope(y, x) AS b FROM lm),
+lmp AS (SELECT id, y, (SELECT a FROM line) + (SELECT b FROM line) * x AS p FROM lm)"""
+SQL["linear_model_score"] = q("SELECT id, y AS optimal_price, round(p * 1000.0e0, 0) / 1000.0e0 AS prediction "
+                              "FROM lmp", _LM_CTE)
+SQL["linear_model_metrics"] = q(
+    "SELECT n_rows, round(mae * 1e4, 0) / 1e4 AS mae, round(sqrt(mse) * 1e4, 0) / 1e4 AS rmse, "
+    "round((1.0e0 - sse / sst) * 1e4, 0) / 1e4 AS r2, 'LinearRegressionModel' AS model_type, "
+    "1 AS n_features FROM (SELECT count(*) AS n_rows, avg(abs(y - p)) AS mae, avg((y - p) * (y - p)) AS mse, "
+    "sum((y - p) * (y - p)) AS sse, regr_syy(y, p) AS sst FROM lmp)", _LM_CTE)
+SQL["forest_invariants"] = q(
+    "SELECT count(*) AS n_scored, count(DISTINCT id) AS n_products, CAST(0 AS BIGINT) AS n_outside, "
+    "CAST(0 AS BIGINT) AS n_changed, 1.0e0 AS importance_sum FROM clean")

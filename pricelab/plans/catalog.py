@@ -4,36 +4,25 @@ The raw catalog is derived from the driver's tables and the cleaned catalog
 from it; both are written once per Spark application and input folder to the
 shared checkpoint folder (parquet) and every report reads that table, the way
 the application reads its catalog file.  The cache key includes the input
-files' sizes and modification times, so changed inputs are rebuilt.
+files' sizes and modification times, taken from the store that holds them, so
+changed inputs are rebuilt.  ``pricelab.session.clean_up`` deletes the tables.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.cleaning import clean_catalog, clean_flags
-from ..session import write_shared
+from ..operators.cleaning import clean_catalog, clean_flags, clean_label
+from ..session import input_version, write_shared
 from ..sources.catalog import catalog_from_tables
 
 SOURCE_TABLES = ["part", "lineitem", "events", "supplier", "nation", "region"]
 _CACHE: dict[tuple, str] = {}
 
 
-def _fingerprint(sf_dir: str) -> tuple:
-    out = []
-    for t in SOURCE_TABLES:
-        try:
-            st = os.stat(f"{sf_dir}/{t}.parquet")
-            out.append((t, st.st_size, st.st_mtime_ns))
-        except OSError:
-            out.append((t, None, None))
-    return tuple(out)
-
-
-def _key(spark: SparkSession, sf_dir: str, kind: str) -> tuple:
-    return (spark.sparkContext.applicationId, os.path.abspath(sf_dir), kind, _fingerprint(sf_dir))
+def catalog_key(spark: SparkSession, sf_dir: str, kind: str) -> tuple:
+    versions = tuple(input_version(spark, f"{sf_dir}/{t}.parquet") for t in SOURCE_TABLES)
+    return (spark.sparkContext.applicationId, sf_dir, kind, versions)
 
 
 def _cached(spark: SparkSession, key: tuple) -> DataFrame | None:
@@ -57,7 +46,7 @@ def raw_catalog(spark: SparkSession, sf_dir: str, cache: bool = True) -> DataFra
     """The dirty catalog derived from the test tables."""
     if not cache:
         return catalog_from_tables(spark, sf_dir)
-    key = _key(spark, sf_dir, "raw")
+    key = catalog_key(spark, sf_dir, "raw")
     hit = _cached(spark, key)
     if hit is not None:
         return hit
@@ -67,24 +56,26 @@ def raw_catalog(spark: SparkSession, sf_dir: str, cache: bool = True) -> DataFra
 def raw_catalog_path(spark: SparkSession, sf_dir: str) -> str:
     """Folder of the written raw catalog files (built on first use)."""
     raw_catalog(spark, sf_dir)
-    return _CACHE[_key(spark, sf_dir, "raw")]
+    return _CACHE[catalog_key(spark, sf_dir, "raw")]
 
 
 def cleaned_catalog(spark: SparkSession, sf_dir: str, flags: str = "strict",
-                    cache: bool = True) -> DataFrame:
+                    cache: bool = True, label: str = "fill") -> DataFrame:
     """Catalog after load-time cleaning (strict flags = optimizer edition).
 
-    Both editions share one written core (names, imputed competitor mean,
-    price; the median is computed once); the flag rule is a projection.
+    The editions share one written core (names, imputed competitor mean; the
+    median is computed once); the flag rule and the label's fill value are a
+    projection.  ``label="null"`` leaves an unparsable label missing, as the
+    data profile shows it.
     """
     if not cache:
-        return clean_catalog(raw_catalog(spark, sf_dir, cache=False), flags=flags)
-    key = _key(spark, sf_dir, "clean-core")
+        return clean_catalog(raw_catalog(spark, sf_dir, cache=False), flags=flags, label=label)
+    key = catalog_key(spark, sf_dir, "clean-core")
     core = _cached(spark, key)
     if core is None:
-        core = _store(clean_catalog(raw_catalog(spark, sf_dir), flags=None), key,
+        core = _store(clean_catalog(raw_catalog(spark, sf_dir), flags=None, label="null"), key,
                       "catalog-clean-core")
-    return clean_flags(core, flags)
+    return clean_flags(clean_label(core, label), flags)
 
 
 def clear_cache() -> None:

@@ -2,6 +2,7 @@
 
 SEARCH_TERM = "ring"
 SEARCH_REGEX = "^(RED|blue) r.ng$"
+SEARCH_LITERAL = "g (V1.5)"
 NO_MATCH_TERM = "zzz-no-such-product"
 
 # A model's feature list (an artifact of training): numeric signals, one signal
@@ -25,3 +26,11 @@ LINEAR_SIGNALS = ["demand", "inventory", "clicks", "search_volume", "competitor_
                   "ratings", "discount_percentage"]
 
 ENCODED_LOOKUP_COLUMNS = ["competitor_price_mean", "demand", "articleType_SMALL"]
+
+# Per-signal weights that are not one.
+SIGNAL_WEIGHTS = {"demand": 1.5, "inventory": 0.5, "clicks": 2.0, "search_volume": 1.2,
+                  "competitor_price_mean": 0.8, "discount_percentage": 0.1, "freight_price": 3.0}
+
+# Missing cells of a CSV catalog, written as the markers that such files carry.
+NA_CELLS = {"productDisplayName": "NA", "ratings": "NaN", "competitor_prices": "n/a",
+            "holiday": "None", "demand": "null", "location": "N/A"}

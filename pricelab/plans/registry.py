@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.prices import round6
+from ..functions.prices import round6, round_to
 from ..functions.stats import exact_quantiles, histogram
 from ..operators import cleaning as C
 from ..operators import features as Fe
@@ -22,14 +22,14 @@ from ..operators import profile as A
 from ..operators import scenarios as J
 from ..operators import search as P
 from ..operators.model import (feature_importance, feature_list, model_summary, score_catalog,
-                               top_drivers, train_price_model)
-from ..session import scratch_path
+                               top_drivers, train_linear_model, train_price_model)
+from ..session import materialize, scratch_path
 from ..sources.catalog import (read_catalog_csv, read_catalog_parquet, write_catalog_csv,
                                write_report)
 from ..streaming.pricing import catalog_stream, pricing_kpi_stream, run_available
-from .catalog import cleaned_catalog, raw_catalog, raw_catalog_path
-from .params import (ENCODED_LOOKUP_COLUMNS, FEATURES_FIXED, LINEAR_SIGNALS, NO_MATCH_TERM,
-                     SEARCH_REGEX, SEARCH_TERM, WEIGHTED_SIGNALS)
+from .catalog import catalog_key, cleaned_catalog, raw_catalog, raw_catalog_path
+from .params import (ENCODED_LOOKUP_COLUMNS, FEATURES_FIXED, LINEAR_SIGNALS, NA_CELLS, NO_MATCH_TERM,
+                     SEARCH_LITERAL, SEARCH_REGEX, SEARCH_TERM, SIGNAL_WEIGHTS, WEIGHTED_SIGNALS)
 from .whatif import (forest_optimizer_pricing, forest_playground_pricing, optimizer_frame,
                      playground_frame)
 
@@ -116,9 +116,34 @@ def q_domain_violations(spark, sf):
     return C.domain_violations(cleaned_catalog(spark, sf), S.DOMAINS_OPTIMIZER)
 
 
+@register("domain_violations_playground")
+def q_domain_violations_playground(spark, sf):
+    return C.domain_violations(cleaned_catalog(spark, sf), S.DOMAINS_PLAYGROUND)
+
+
+@register("reviews_default_absent")
+def q_reviews_default(spark, sf):
+    """C9 on a catalog without the column."""
+    df = cleaned_catalog(spark, sf).drop("reviews_count")
+    return C.with_reviews_default(df).select("id", "reviews_count")
+
+
+@register("catalog_scan_na")
+def q_catalog_scan_na(spark, sf):
+    """A CSV whose cells carry missing-value markers; they are missing after the scan."""
+    raw = raw_catalog(spark, sf)
+    marked = raw.select(*[F.col(c).cast("string").alias(c) for c in raw.columns]).withColumns({
+        c: F.coalesce(F.col(c), F.lit(m)) for c, m in NA_CELLS.items()})
+    marked = marked.withColumn("season", F.when(F.col("id") % 31 == 5, F.lit("nan")).otherwise(F.col("season")))
+    path = scratch_path(spark, "catalog-csv-na")
+    write_catalog_csv(marked, path)
+    return read_catalog_csv(spark, path)
+
+
 # ---------------------------------------------------------------- profile
 def _profile(fn):
-    return lambda spark, sf: fn(cleaned_catalog(spark, sf))
+    """Profile reports see the label as loaded: unparsable is missing, not filled."""
+    return lambda spark, sf: fn(cleaned_catalog(spark, sf, label="null"))
 
 
 for _name, _fn in {
@@ -150,7 +175,7 @@ for _name, _fn in {
 
 @register("price_histogram")
 def q_price_hist(spark, sf):
-    return A.value_histogram(cleaned_catalog(spark, sf), "optimal_price", S.PRICE_BINS)
+    return A.value_histogram(cleaned_catalog(spark, sf, label="null"), "optimal_price", S.PRICE_BINS)
 
 
 @register("demand_histogram")
@@ -178,6 +203,14 @@ def q_search_regex(spark, sf):
         "id", "productDisplayName")
 
 
+@register("search_products_literal")
+def q_search_literal(spark, sf):
+    """P1 with a literal term: its signs are no pattern."""
+    df = cleaned_catalog(spark, sf)
+    df = df.withColumn("productDisplayName", F.concat("productDisplayName", F.lit(" (v1.5)")))
+    return P.search_products(df, SEARCH_LITERAL, literal=True).select("id", "productDisplayName")
+
+
 @register("distinct_names_first_n")
 def q_first_names(spark, sf):
     return P.first_names(cleaned_catalog(spark, sf), S.NAME_LIST_SIZE)
@@ -267,6 +300,20 @@ def q_weighted_cal(spark, sf):
     return Fe.weighted_features(_playground(spark, sf), FEATURES_FIXED, S.CALIBRATED_WEIGHTS)
 
 
+@register("weighted_features_bad_value")
+def q_weighted_bad(spark, sf):
+    """a row with a feature that is no number is all zero."""
+    df = _playground(spark, sf)
+    text = F.when(F.col("id") % 7 == 0, F.lit("bad")).otherwise(F.col("ratings").cast("string"))
+    return Fe.weighted_features(df.withColumn("ratings", text), FEATURES_FIXED, S.CALIBRATED_WEIGHTS)
+
+
+@register("scenario_features_weighted")
+def q_scenario_features_weighted(spark, sf):
+    """F3 with per-signal weights."""
+    return Fe.scenario_features(cleaned_catalog(spark, sf), FEATURES_FIXED, SIGNAL_WEIGHTS)
+
+
 @register("apply_weights")
 def q_apply_weights(spark, sf):
     df = Fe.apply_weights(_playground(spark, sf), S.CALIBRATED_WEIGHTS)
@@ -321,9 +368,7 @@ def q_importance_join(spark, sf):
 
 @register("encoded_lookup")
 def q_encoded_lookup(spark, sf):
-    clean = cleaned_catalog(spark, sf)
-    enc = Fe.prepare_encoded(clean, FEATURES_FIXED)
-    return J.encoded_lookup(clean, enc, ENCODED_LOOKUP_COLUMNS)
+    return J.encoded_lookup(cleaned_catalog(spark, sf), FEATURES_FIXED, ENCODED_LOOKUP_COLUMNS)
 
 
 # ---------------------------------------------------------------- KPIs (K, M)
@@ -349,6 +394,14 @@ def q_rev_linear(spark, sf):
     return df.select("id", *_r6("revenue_impact"))
 
 
+@register("revenue_impact_weighted")
+def q_rev_weighted(spark, sf):
+    """K3a with a demand weight."""
+    df = K.revenue_impact_linear(K.price_change(_optimizer(spark, sf)),
+                                 demand_weight=SIGNAL_WEIGHTS["demand"])
+    return df.select("id", *_r6("revenue_impact"))
+
+
 @register("revenue_impact_clamped")
 def q_rev_clamped(spark, sf):
     df = K.revenue_impact_clamped(K.price_change(_playground(spark, sf)))
@@ -409,7 +462,9 @@ def q_feature_impact(spark, sf):
 @register("impact_report")
 def q_impact_report(spark, sf):
     """Explanation text per product and signal (wording of our own)."""
-    return K.impact_text(_impacts(spark, sf)).select("id", "signal", "explanation")
+    long = J.shown_signals(_playground(spark, sf))
+    j = J.signal_importance_join(long, _importances(spark), model_features=FEATURES_FIXED)
+    return K.impact_text(K.feature_impact(j)).select("id", "signal", "explanation")
 
 
 def _linear_impacts(spark, sf):
@@ -433,6 +488,34 @@ def q_impact_share(spark, sf):
     return df.select("id", "signal", *_r6("weighted_impact", "share_percent"))
 
 
+def _fitted(spark, sf):
+    return J.fitted_importances(cleaned_catalog(spark, sf), LINEAR_SIGNALS)
+
+
+@register("fitted_importance")
+def q_fitted_importance(spark, sf):
+    """T1 of the linear models fitted on the catalog."""
+    return _fitted(spark, sf).withColumnRenamed("signal", "feature")
+
+
+@register("fitted_top_drivers")
+def q_fitted_drivers(spark, sf):
+    """T2 of the linear models fitted on the catalog."""
+    return top_drivers(_fitted(spark, sf).withColumnRenamed("signal", "feature"), k=5)
+
+
+@register("impact_share_fitted")
+def q_impact_share_fitted(spark, sf):
+    """J1, K8b and K13 with importances taken from the fitted models and per-signal weights."""
+    df = K.price_change(_optimizer(spark, sf))
+    long = df.select("id", "price_change",
+                     *[F.col(c).cast("double").alias(c) for c in LINEAR_SIGNALS]) \
+        .unpivot(["id", "price_change"], LINEAR_SIGNALS, "signal", "value")
+    j = K.feature_impact_linear(J.signal_importance_join(long, _fitted(spark, sf)))
+    share = K.impact_share(j, weights=SIGNAL_WEIGHTS)
+    return share.select("id", "signal", "importance", *_r6("weighted_impact", "share_percent"))
+
+
 @register("recommendation")
 def q_recommendation(spark, sf):
     df = K.recommendation(K.price_change(_optimizer(spark, sf)))
@@ -468,33 +551,87 @@ def q_sample(spark, sf):
         "id", "productDisplayName", "optimal_price")
 
 
-def _sample_residuals(spark, sf):
+def _residuals(spark, sf):
     clean = cleaned_catalog(spark, sf)
-    a, b = J.fit_price_line(clean)   # fitted on the whole catalog, applied to the sample
-    return K.residuals(K.seeded_sample(clean).withColumn("prediction", J.linear_price(a, b)))
+    a, b = J.fit_price_line(clean)
+    return K.residuals(clean.withColumn("prediction", J.linear_price(a, b)))
 
 
 @register("residuals")
 def q_residuals(spark, sf):
-    return _sample_residuals(spark, sf).select("id", "actual", *_r6("predicted", "residual"))
+    return _residuals(spark, sf).select("id", "actual", *_r6("predicted", "residual"))
 
 
 @register("residual_histogram")
 def q_residual_hist(spark, sf):
-    return histogram(_sample_residuals(spark, sf), "residual", S.RESIDUAL_BINS)
+    return histogram(_residuals(spark, sf), "residual", S.RESIDUAL_BINS)
 
 
 @register("prediction_trend")
 def q_prediction_trend(spark, sf):
-    """A13 (live form): OLS line of predicted on actual over the seeded sample."""
-    return A.demand_price_trend(_sample_residuals(spark, sf), x="actual", y="predicted")
+    """A13 (live form): OLS line of predicted on actual over all products."""
+    return A.demand_price_trend(_residuals(spark, sf), x="actual", y="predicted")
 
 
-# ---------------------------------------------------------------- forest (rows only)
-def _forest(spark, sf):
+# ---------------------------------------------------------------- linear pipeline
+def _linear(spark, sf):
+    """One-signal linear pipeline, trained, saved and loaded."""
     clean = cleaned_catalog(spark, sf)
-    feats = feature_list(clean)
-    return clean, train_price_model(clean, feats)
+    path = scratch_path(spark, "linear-model")
+    train_linear_model(clean, ["demand"]).save(path)
+    return clean, PipelineModel.load(path)
+
+
+@register("linear_model_score")
+def q_linear_score(spark, sf):
+    """M1, S2, M2 end to end with an estimator that SQL can reproduce."""
+    clean, model = _linear(spark, sf)
+    return score_catalog(model, clean).select("id", "optimal_price", round_to("prediction", 3).alias("prediction"))
+
+
+@register("linear_model_metrics")
+def q_linear_metrics(spark, sf):
+    """M3 of the saved and loaded linear pipeline."""
+    clean, model = _linear(spark, sf)
+    metrics = K.regression_metrics(score_catalog(model, clean))
+    return model_summary(model, metrics.select("n_rows", *[round_to(c, 4).alias(c) for c in ("mae", "rmse", "r2")]))
+
+
+# ---------------------------------------------------------------- forest
+_MODELS: dict[tuple, str] = {}
+
+
+def _forest(spark, sf, flags: str = "strict"):
+    """The catalog and the forest trained on it: trained once per application and input,
+    saved to the shared folder, loaded by every query."""
+    clean = cleaned_catalog(spark, sf, flags=flags)
+    key = catalog_key(spark, sf, f"forest-{flags}")
+    if key not in _MODELS:
+        path = scratch_path(spark, "price-model")
+        train_price_model(clean, feature_list(clean)).save(path)
+        _MODELS[key] = path
+    return clean, PipelineModel.load(_MODELS[key])
+
+
+@register("forest_invariants")
+def q_forest_invariants(spark, sf):
+    """M1, M2, S2, T1 of the forest, as facts with a fixed answer: every product is scored
+    once, no prediction leaves the label's range, the importances sum to 1, and the model
+    predicts the same after it was saved and loaded again."""
+    clean, model = _forest(spark, sf)
+    path = scratch_path(spark, "price-model-copy")
+    model.save(path)
+    again = score_catalog(PipelineModel.load(path), clean).select("id", F.col("prediction").alias("again"))
+    scored = materialize(score_catalog(model, clean).join(again, "id"), "forest-scores")
+    label = scored.select(F.struct(F.min("optimal_price").alias("lo"), F.max("optimal_price").alias("hi"))).scalar()
+    p, near = F.col("prediction"), F.lit(1e-9)
+    outside = (p < label.getField("lo") - near) | (p > label.getField("hi") + near)
+    total = feature_importance(model).select(F.sum("importance")).scalar()
+    return scored.select(
+        F.count(F.lit(1)).alias("n_scored"), F.count_distinct("id").alias("n_products"),
+        F.count_if(outside | p.isNull()).alias("n_outside"),
+        F.count_if(p != F.col("again")).alias("n_changed"),
+        F.max(round6(total)).alias("importance_sum"))
 
 
 @register("score_catalog")
@@ -528,7 +665,7 @@ def q_top_drivers(spark, sf):
 def q_report_sink(spark, sf):
     """S3: a report written to the shared folder as parquet and read back."""
     path = scratch_path(spark, "report-price-stats")
-    write_report(A.price_stats_by_category(cleaned_catalog(spark, sf)), path)
+    write_report(A.price_stats_by_category(cleaned_catalog(spark, sf, label="null")), path)
     return spark.read.parquet(path)
 
 
@@ -536,7 +673,7 @@ def q_report_sink(spark, sf):
 def q_model_roundtrip(spark, sf):
     """Save the trained pipeline (feature list inside), load it, score the catalog."""
     clean, model = _forest(spark, sf)
-    path = scratch_path(spark, "price-model")
+    path = scratch_path(spark, "price-model-copy")
     model.save(path)
     return score_catalog(PipelineModel.load(path), clean)
 
@@ -545,8 +682,7 @@ def q_model_roundtrip(spark, sf):
 def q_forest_pricing(spark, sf):
     """Playground flow with the trained forest: weighted vector (F4, calibrated
     weights) scored by the model, clamped, then the pricing KPIs."""
-    clean = cleaned_catalog(spark, sf, flags="lenient")
-    model = train_price_model(clean, feature_list(clean))
+    clean, model = _forest(spark, sf, flags="lenient")
     df = forest_playground_pricing(model, clean, S.CALIBRATED_WEIGHTS)
     return df.select("id", "current_price", "predicted_price", "price_change", "change_percent",
                      "direction", "price_tier", "revenue_impact", "score", "score_level")
@@ -556,8 +692,7 @@ def q_forest_pricing(spark, sf):
 def q_forest_optimizer_pricing(spark, sf):
     """Optimizer flow with the trained forest: serving rows (F3) scored by the
     model, floored at 100, then change, revenue impact, margin, recommendation."""
-    clean = cleaned_catalog(spark, sf)
-    model = train_price_model(clean, feature_list(clean))
+    clean, model = _forest(spark, sf)
     df = forest_optimizer_pricing(model, clean)
     return df.select("id", "current_price", "predicted_price", "price_change", "change_percent",
                      "revenue_impact", "profit_margin", "recommendation", "confidence", "strategy")
@@ -570,11 +705,11 @@ def q_stream_kpis(spark, sf):
     source = raw_catalog_path(spark, sf)
     long = C.competitor_mean(raw).select(F.lit("m").alias("column"),
                                          F.col("competitor_price_mean").alias("value"))
-    med_rows = exact_quantiles(long, [0.5], max_keys=1).collect()   # one row: the median
+    med_rows = exact_quantiles(long, [0.5]).collect()   # one row: the median
     median = med_rows[0]["quantile"] if med_rows else None
     sink = scratch_path(spark, "stream-kpis")
     ckpt = scratch_path(spark, "stream-kpis-checkpoint")
     line = J.fit_price_line_values(cleaned_catalog(spark, sf, flags="lenient"))  # one row
-    run_available(pricing_kpi_stream(catalog_stream(spark, source, max_files_per_trigger=1),
+    run_available(pricing_kpi_stream(catalog_stream(spark, source),
                                      median, line), sink, ckpt)
     return spark.read.parquet(sink)

@@ -48,11 +48,11 @@ def profile_reports(clean: DataFrame) -> dict[str, DataFrame]:
 
 
 def model_reports(clean: DataFrame, model: PipelineModel) -> dict[str, DataFrame]:
-    """Model analytics tab: metrics, verdict, drivers, sampled residuals and trend."""
+    """Model analytics tab: metrics, verdict, drivers, residuals of every product and their
+    trend; the seeded sample is a table of its own, for a scatter chart."""
     scored = score_catalog(model, clean)
     metrics = K.regression_metrics(scored)
-    sample = K.seeded_sample(scored)
-    res = K.residuals(sample)
+    res = K.residuals(scored)
     importances = feature_importance(model)
     return {
         "metrics": model_summary(model, metrics),
@@ -60,6 +60,7 @@ def model_reports(clean: DataFrame, model: PipelineModel) -> dict[str, DataFrame
         "feature_importance": importances,
         "top_drivers": top_drivers(importances),
         "residuals": res,
+        "residual_sample": K.seeded_sample(res),
         "residual_histogram": histogram(res, "residual", S.RESIDUAL_BINS),
         "prediction_trend": A.demand_price_trend(res, x="actual", y="predicted"),
     }

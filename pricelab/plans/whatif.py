@@ -24,7 +24,7 @@ from .. import schema as S
 from ..operators import kpi as K
 from ..operators.cleaning import current_price, with_reviews_default
 from ..operators.features import scenario_features, weighted_features
-from ..operators.model import model_features, predict_features, score_catalog
+from ..operators.model import model_features, predict_features
 from ..operators.scenarios import fit_price_line, linear_price
 
 
@@ -50,18 +50,21 @@ def playground_frame(clean: DataFrame, predictor: Column | None = None,
     return df.withColumn("predicted_price", F.col("clamped_price"))
 
 
-def forest_prediction(model: PipelineModel, clean: DataFrame) -> DataFrame:
-    """Catalog joined with the forest's prediction (scored in JVM tasks)."""
-    scored = score_catalog(model, clean).select("id", "prediction")
-    return clean.join(scored, "id")
+def _row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct that travels beside the feature columns."""
+    return F.struct(*[F.col(c) for c in df.columns]).alias("product_row")
+
+
+def _with_prediction(model: PipelineModel, vectors: DataFrame) -> DataFrame:
+    scored = predict_features(model, vectors, keep=("product_row",))
+    return scored.select("product_row.*", "prediction")
 
 
 def forest_optimizer_pricing(model: PipelineModel, clean: DataFrame,
                              weights: dict | None = None) -> DataFrame:
     """Optimizer flow for every product: serving row (F3) -> forest -> floor 100 -> KPIs."""
-    serving = scenario_features(clean, model_features(model), weights)
-    pred = predict_features(model, serving)
-    df = optimizer_frame(clean.join(pred, "id"), predictor=F.col("prediction"))
+    serving = scenario_features(clean, model_features(model), weights, keep=(_row(clean),))
+    df = optimizer_frame(_with_prediction(model, serving), predictor=F.col("prediction"))
     df = K.profit_margin(K.revenue_impact_linear(K.price_change(df)))
     return K.recommendation(df)
 
@@ -71,11 +74,10 @@ def forest_playground_pricing(model: PipelineModel, clean_lenient: DataFrame,
                               timing: tuple[str, float, float] = S.TIMING_OPTIONS[0]) -> DataFrame:
     """Playground flow: timing applied, weighted clipped vector (F4) -> forest ->
     clamp [50, 2000] -> KPIs, for every product."""
-    base = playground_frame(clean_lenient, timing=timing).drop(
+    base = playground_frame(clean_lenient, predictor=F.lit(0.0), timing=timing).drop(
         "prediction", "floored_price", "clamped_price", "predicted_price")
-    vec = weighted_features(base, model_features(model), weights)
-    pred = predict_features(model, vec)
-    df = playground_frame(clean_lenient.join(pred, "id"), predictor=F.col("prediction"),
+    vectors = weighted_features(base, model_features(model), weights, keep=(_row(clean_lenient),))
+    df = playground_frame(_with_prediction(model, vectors), predictor=F.col("prediction"),
                           timing=timing)
     df = K.price_tier(K.price_direction(K.price_change(df)))
     return K.pricing_score(K.revenue_impact_clamped(df))

@@ -36,6 +36,10 @@ CATALOG_SCHEMA = T.StructType([
     T.StructField("optimal_price", T.StringType(), True),
 ])
 
+# Cell texts that count as missing in a CSV file.
+NA_MARKERS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
+              "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
 CATEGORICAL_COLUMNS = ["articleType", "baseColour", "season", "material", "location"]
 SIGNAL_COLUMNS = ["demand", "inventory", "clicks", "search_volume"]
 FLAG_COLUMNS = ["holiday", "weekday", "weekend"]

@@ -1,13 +1,15 @@
 """Session helpers: a local session for tests/bench, and the shared folder.
 
 Library code never invents a machine-local folder on a cluster: it reads
-``spark.checkpoint.dir`` from the session.  Only when that setting is unset
-(local tests) do we create a scratch folder and register it.
+``spark.checkpoint.dir`` from the session and raises if that is unset.  Only a
+``local`` master (tests) gets a scratch folder of its own.  What the library
+writes there is kept until ``clean_up`` is called.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -40,7 +42,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 def shared_dir(spark: SparkSession) -> str:
     """Folder shared by all executors: the session's ``spark.checkpoint.dir``.
 
-    Set our own (a fresh scratch folder) only where the setting is unset.
+    With a ``local`` master and no such setting, a fresh scratch folder is
+    registered; on a cluster a missing setting is an error, as executors do not
+    share a machine-local folder.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -49,14 +53,48 @@ def shared_dir(spark: SparkSession) -> str:
         return d
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="pricelab-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the shared folder (never reused, never deleted)."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh, unique path under the shared folder; it stays until ``clean_up``."""
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Delete the intermediate folders that this application wrote; returns how many.
+
+    Frames that still read them are invalid afterwards.
+    """
+    n = 0
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        hadoop, fs = _file_system(spark, path)
+        n += bool(fs.delete(hadoop, True))
+    return n
+
+
+def input_version(spark: SparkSession, path: str) -> tuple | None:
+    """(name, size, modification time) of the files at ``path`` in whatever store holds
+    it; None if there is nothing."""
+    hadoop, fs = _file_system(spark, path)
+    if not fs.exists(hadoop):
+        return None
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime())
+                        for f in fs.listStatus(hadoop)))
 
 
 def materialize(df, name: str):

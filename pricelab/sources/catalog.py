@@ -17,10 +17,13 @@ Dimension tables are joined by key and left to Spark's size-checked broadcast.
 
 from __future__ import annotations
 
+from typing import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from ..schema import CATALOG_SCHEMA
+from ..schema import CATALOG_SCHEMA, NA_MARKERS
 from ..session import materialize
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -143,7 +146,7 @@ def catalog_from_tables(spark: SparkSession, sf_dir: str, materialize_base: bool
         F.when(pid % 41 != 3, ratings).alias("ratings"),
         F.col("disc").alias("discount_percentage"),
         F.col("freight").alias("freight_price"),
-        F.when(pid % 97 == 11, F.lit("n/a"))
+        F.when(pid % 97 == 11, F.lit("unknown"))
          .when(pid % 89 == 13, F.lit("[]"))
          .when(pid % 83 == 17, F.lit(None).cast("string"))
          .otherwise(comp).alias("competitor_prices"),
@@ -158,11 +161,20 @@ def catalog_from_tables(spark: SparkSession, sf_dir: str, materialize_base: bool
     return out
 
 
-def read_catalog_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Catalog CSV scan with the declared schema (no inference, quoted list cells)."""
-    return (spark.read.schema(CATALOG_SCHEMA)
+def read_catalog_csv(spark: SparkSession, path: str, na_values: Sequence[str] = NA_MARKERS,
+                     multi_line: bool = False) -> DataFrame:
+    """Catalog CSV scan with the declared schema (no inference, quoted list cells).
+
+    Cells whose text is one of ``na_values`` are missing; any other text that
+    does not fit its column's type fails the query.  ``multi_line`` reads
+    quoted line breaks (a file is then not split).
+    """
+    text = StructType([StructField(f.name, StringType(), True) for f in CATALOG_SCHEMA])
+    rows = (spark.read.schema(text)
             .option("header", True).option("escape", '"').option("mode", "FAILFAST")
-            .csv(path))
+            .option("multiLine", multi_line).csv(path))
+    return rows.select(*[F.when(~F.col(f.name).isin(list(na_values)), F.col(f.name))
+                         .cast(f.dataType).alias(f.name) for f in CATALOG_SCHEMA])
 
 
 def read_catalog_parquet(spark: SparkSession, path: str) -> DataFrame:

@@ -47,10 +47,10 @@ def test_no_global_windows_or_cartesian_anywhere(spark):
     """Scale guard over every registered query's final plan."""
     import re
 
-    import __spark_entry__ as E
     from conftest import SF_SMALL
+    from pricelab.plans.registry import REGISTRY
     bad = []
-    for key, fn in E.queries().items():
+    for key, fn in REGISTRY.items():
         if key in _SKIP:
             continue
         df = fn(spark, SF_SMALL)
@@ -67,3 +67,42 @@ def test_no_global_windows_or_cartesian_anywhere(spark):
             if m is None or m.group(1).strip() == "":
                 bad.append((key, "window without partitioning"))
     assert not bad, bad
+
+
+def _without_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+
+
+def test_no_shuffle_in_forest_flows_and_lookup(spark, clean_small):
+    """The product travels through the model: no self join, no exchange."""
+    from pricelab.operators import model as M
+    from pricelab.operators.cleaning import clean_flags_lenient
+    from pricelab.plans.params import ENCODED_LOOKUP_COLUMNS, FEATURES_FIXED
+    from pricelab.plans.whatif import forest_optimizer_pricing, forest_playground_pricing
+    model = M.train_price_model(clean_small, M.feature_list(clean_small), num_trees=3, max_depth=2)
+    _without_broadcast(spark)
+    try:
+        for df in (forest_optimizer_pricing(model, clean_small),
+                   forest_playground_pricing(model, clean_flags_lenient(clean_small), {"demand": 2.0}),
+                   J.encoded_lookup(clean_small, FEATURES_FIXED, ENCODED_LOOKUP_COLUMNS)):
+            plan = _plan(df)
+            assert "Exchange" not in plan and "Join" not in plan
+            assert df.count() == clean_small.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_correlation_matrix_reads_once(spark, clean_small):
+    plan = _plan(A.correlation_matrix(clean_small)).split("== Initial Plan ==")[0]
+    assert plan.count("Scan parquet") == 1 and "Union" not in plan
+
+
+def test_importance_lookup_runs_no_job(spark, clean_small):
+    tracker, group = spark.sparkContext.statusTracker(), "importance-plan"
+    spark.sparkContext.setJobGroup(group, "plan only")
+    try:
+        J.signal_importance_join(J.signal_values(clean_small.withColumn("current_price", clean_small.optimal_price)),
+                                 J.importance_table(spark))
+        assert list(tracker.getJobIdsForGroup(group)) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -35,6 +35,19 @@ CASES = [
 ]
 
 
+def test_long_lists(spark, tmp_path):
+    """Lists of any length, read from files, are parsed item by item."""
+    sizes = [1, 600, 5_000, 100_000]
+    path = str(tmp_path / "lists")
+    spark.createDataFrame([(n, "[" + ", ".join(str(i % 900 + 1) for i in range(n)) + "]") for n in sizes]
+                          + [(-1, "[" + "1, " * 50_000 + "x]"), (-2, "[" + "1_" * 30_000 + "1]")],
+                          "n int, t string").write.parquet(path)
+    got = {r["n"]: r["m"] for r in spark.read.parquet(path).select("n", price_list_mean("t").alias("m")).collect()}
+    for n in sizes:
+        assert math.isclose(got[n], sum(i % 900 + 1 for i in range(n)) / n)
+    assert got[-1] == 500.0
+
+
 def _eval(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     rows = df.select("i", price_list_mean(F.col("t")).alias("m")).orderBy("i").collect()

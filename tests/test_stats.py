@@ -89,17 +89,18 @@ def test_exact_quantiles_property(spark, values, slices):
         assert q == pytest.approx(float(np.quantile(np.array(data), p)), abs=1e-9)
 
 
-def test_broadcast_fallback_same_results(spark, clean_small, monkeypatch):
-    """Beyond the size check the lookups are joined without a hint: same answers."""
-    import pricelab.functions.stats as ST
+def test_same_results_without_broadcast(spark, clean_small):
+    """Lookups joined by a shuffle give the same answers."""
     import pricelab.operators.scenarios as SC
     long = unpivot_values(clean_small, ["demand", "optimal_price", "ratings"])
-    with_hint = sorted(exact_quantiles(long, [0.1, 0.5, 0.9]).collect())
+    small = sorted(exact_quantiles(long, [0.1, 0.5, 0.9]).collect())
     sig = spark.createDataFrame([(1, "demand", 0.5), (2, "ratings", 0.8), (3, "other", 0.1)],
                                 "id long, signal string, value double")
-    imp_hint = sorted(SC.signal_importance_join(sig, SC.importance_table(spark)).collect())
-    monkeypatch.setattr(ST, "BROADCAST_ROW_LIMIT", 0)
-    monkeypatch.setattr(SC, "BROADCAST_ROW_LIMIT", 0)
-    q = exact_quantiles(long, [0.1, 0.5, 0.9])
-    assert sorted(q.collect()) == with_hint
-    assert sorted(SC.signal_importance_join(sig, SC.importance_table(spark)).collect()) == imp_hint
+    imp = sorted(SC.signal_importance_join(sig, SC.importance_table(spark)).collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(exact_quantiles(long, [0.1, 0.5, 0.9]).collect()) == small
+        assert sorted(exact_quantiles(long, [0.1, 0.5, 0.9], slices=40).collect()) == small
+        assert sorted(SC.signal_importance_join(sig, SC.importance_table(spark)).collect()) == imp
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -61,7 +61,8 @@ def test_report_bundles_write_and_read(spark, clean_small):
     assert set(paths) == set(bundle)
     assert spark.read.parquet(paths["overview"]).first()["n_rows"] == clean_small.count()
     assert spark.read.parquet(paths["playground"]).count() == clean_small.count()
-    assert spark.read.parquet(paths["residuals"]).count() == min(500, clean_small.count())
+    assert spark.read.parquet(paths["residuals"]).count() == clean_small.count()
+    assert spark.read.parquet(paths["residual_sample"]).count() == min(500, clean_small.count())
 
 
 def test_csv_stream_matches_parquet_stream(spark):
