@@ -21,7 +21,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pricelab.plans.catalog import clear_cache, cleaned_catalog  # noqa: E402
-from pricelab.operators.model import feature_list, score_catalog, train_price_model  # noqa: E402
+from pricelab.operators.model import score_catalog, train_price_model  # noqa: E402
 from pricelab.plans.registry import REGISTRY  # noqa: E402
 from pricelab.session import local_session  # noqa: E402
 
@@ -57,7 +57,7 @@ def train_once(spark, sf_dir: str):
     """M1: fit the 50-tree forest on the cleaned catalog; returns (seconds, model)."""
     clean = cleaned_catalog(spark, sf_dir)
     t0 = time.perf_counter()
-    model = train_price_model(clean, feature_list(clean))
+    model = train_price_model(clean)
     return time.perf_counter() - t0, model
 
 

@@ -4,9 +4,8 @@ Training is a distributed random forest over the encoded catalog; scoring is
 ``PipelineModel.transform`` (tree evaluation inside JVM tasks, no Python).
 The feature list travels with the saved pipeline.
 
-The only driver-side collection is the category vocabulary used to name the
-one-hot features; its size is counted first and must stay under
-``max_levels`` (an error otherwise, never a silent cut).
+The category vocabulary is a stage of the pipeline (index, then sparse one-hot),
+so no expression or column per category is ever built.
 """
 
 from __future__ import annotations
@@ -14,66 +13,58 @@ from __future__ import annotations
 from typing import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from .cleaning import model_matrix_fill
-from .features import one_hot_encode
 
 DEFAULT_NUMERIC = ["demand", "inventory", "clicks", "search_volume", "reviews_count",
                    "ratings", "discount_percentage", "freight_price",
                    "competitor_price_mean", "holiday", "weekday", "weekend"]
 
 
-def category_vocabulary(df: DataFrame, categoricals: Sequence[str] = S.CATEGORICAL_COLUMNS,
-                        max_levels: int = 10_000) -> list[str]:
-    """Sorted one-hot feature names ``<column>_<value>`` seen in the data.
+ONE_HOT = "_onehot"
 
-    Distinct (column, value) pairs are computed in Spark; the count is checked
-    before anything is collected.
+
+def numeric_features(df: DataFrame, numeric: Sequence[str] = DEFAULT_NUMERIC) -> list[str]:
+    """The numeric signals of the training feature list that ``df`` has, in order."""
+    return [c for c in numeric if c in df.columns]
+
+
+def design_matrix(df: DataFrame, numeric: Sequence[str], categoricals: Sequence[str] = (),
+                  label: str = "optimal_price") -> DataFrame:
+    """Training rows: filled numeric signals and label (C8) and the categories as they are."""
+    return model_matrix_fill(df, numeric, label, keep=("id", *categoricals))
+
+
+def train_price_model(df: DataFrame, numeric: Sequence[str] | None = None,
+                      categoricals: Sequence[str] = S.CATEGORICAL_COLUMNS,
+                      label: str = "optimal_price", num_trees: int = S.FOREST_TREES,
+                      max_depth: int = 6, seed: int = S.SAMPLE_SEED) -> PipelineModel:
+    """M1: fit the forest on filled signals and one-hot categories.
+
+    The vocabulary is a stage of the pipeline: categories are indexed and become
+    sparse one-hot vectors, however many levels there are; a missing or unseen
+    category is a row of zeros.
     """
-    cols = [c for c in categoricals if c in df.columns]
-    if not cols:
-        return []
-    long = (df.select(*[F.col(c).cast("string") for c in cols])
-            .unpivot([], cols, "column", "value").where(F.col("value").isNotNull())
-            .distinct())
-    n = long.count()
-    if n > max_levels:
-        raise ValueError(f"{n} category levels exceed max_levels={max_levels}; "
-                         "pass an explicit feature list")
-    pairs = long.orderBy("column", "value").collect()
-    return [f"{r['column']}_{r['value']}" for r in pairs]
-
-
-def feature_list(df: DataFrame, numeric: Sequence[str] = DEFAULT_NUMERIC,
-                 categoricals: Sequence[str] = S.CATEGORICAL_COLUMNS,
-                 max_levels: int = 10_000) -> list[str]:
-    """Ordered training feature list: numeric signals then one-hot names."""
-    return [c for c in numeric if c in df.columns] + \
-        category_vocabulary(df, categoricals, max_levels)
-
-
-def design_matrix(df: DataFrame, features: Sequence[str], label: str = "optimal_price") -> DataFrame:
-    """Encoded matrix: indicators for the listed categories, NULLs filled."""
-    enc = one_hot_encode(df, features)
-    return model_matrix_fill(enc, features, label, keep=("id",))
-
-
-def train_price_model(df: DataFrame, features: Sequence[str], label: str = "optimal_price",
-                      num_trees: int = S.FOREST_TREES, max_depth: int = 6,
-                      seed: int = S.SAMPLE_SEED) -> PipelineModel:
-    """M1: fit ``VectorAssembler + RandomForestRegressor`` on the design matrix."""
-    data = design_matrix(df, features, label)
+    numeric = list(numeric) if numeric is not None else numeric_features(df)
+    cats = [c for c in categoricals if c in df.columns]
+    stages = []
+    if cats:
+        index = [f"{c}_index" for c in cats]
+        stages = [StringIndexer(inputCols=cats, outputCols=index, handleInvalid="keep",
+                                stringOrderType="alphabetAsc"),
+                  OneHotEncoder(inputCols=index, outputCols=[c + ONE_HOT for c in cats])]
     pipe = Pipeline(stages=[
-        VectorAssembler(inputCols=list(features), outputCol="features"),
+        *stages,
+        VectorAssembler(inputCols=[*numeric, *[c + ONE_HOT for c in cats]], outputCol="features"),
         RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=num_trees,
                               maxDepth=max_depth, seed=seed),
     ])
-    return pipe.fit(data)
+    return pipe.fit(design_matrix(df, numeric, cats, label))
 
 
 def train_linear_model(df: DataFrame, features: Sequence[str],
@@ -84,44 +75,51 @@ def train_linear_model(df: DataFrame, features: Sequence[str],
         VectorAssembler(inputCols=list(features), outputCol="features"),
         LinearRegression(featuresCol="features", labelCol=label, solver="normal"),
     ])
-    return pipe.fit(design_matrix(df, features, label))
+    return pipe.fit(design_matrix(df, features, label=label))
+
+
+def numeric_inputs(model: PipelineModel) -> list[str]:
+    """The numeric signals stored inside the pipeline."""
+    return [c for c in model.stages[-2].getInputCols() if not c.endswith(ONE_HOT)]
+
+
+def categorical_inputs(model: PipelineModel) -> list[str]:
+    """The category columns stored inside the pipeline."""
+    return list(model.stages[0].getInputCols()) if len(model.stages) > 2 else []
 
 
 def model_features(model: PipelineModel) -> list[str]:
-    """The feature list stored inside the pipeline."""
-    return list(model.stages[0].getInputCols())
+    """The feature list stored inside the pipeline: signals, then ``<column>_<category>``."""
+    labels = dict(zip(categorical_inputs(model), model.stages[0].labelsArray if len(model.stages) > 2 else []))
+    return numeric_inputs(model) + [f"{c}_{v}" for c, values in labels.items() for v in values]
 
 
 def score_catalog(model: PipelineModel, df: DataFrame, label: str = "optimal_price") -> DataFrame:
     """M2: batch score every product: ``(id, <label>, prediction)``."""
-    feats = model_features(model)
-    scored = model.transform(design_matrix(df, feats, label))
-    return scored.select("id", label, "prediction")
+    rows = design_matrix(df, numeric_inputs(model), categorical_inputs(model), label)
+    return model.transform(rows).select("id", label, "prediction")
 
 
 def predict_features(model: PipelineModel, features_df: DataFrame,
                      keep: Sequence[str] = ("id",)) -> DataFrame:
-    """Score a prepared feature frame (``id`` + the model's feature columns).
+    """Score a prepared feature frame (the model's signals and category columns).
 
     Used for the serving rows of the what-if flows (F3/F4), which differ from
-    the training design matrix; a missing feature value is 0, the same fill
-    rule as the training matrix (C8).  Returns the ``keep`` columns, which
-    travel through the model, and ``prediction``.
+    the training design matrix; a missing signal is 0, the same fill rule as
+    the training matrix (C8).  Returns the ``keep`` columns, which travel
+    through the model, and ``prediction``.
     """
-    feats = model_features(model)
     filled = features_df.select(
-        *keep, *[F.coalesce(F.col(f).cast("double"), F.lit(S.FEATURE_FILL)).alias(f) for f in feats])
+        *keep, *categorical_inputs(model),
+        *[F.coalesce(F.col(f).cast("double"), F.lit(S.FEATURE_FILL)).alias(f) for f in numeric_inputs(model)])
     return model.transform(filled).select(*keep, "prediction")
 
 
 def feature_importance(model: PipelineModel) -> DataFrame:
     """``(feature, importance)`` from the forest, descending (bounded by the feature list)."""
-    feats = model_features(model)
     imp = model.stages[-1].featureImportances.toArray().tolist()
-    spark = _session()
-    rows = [F.struct(F.lit(f).alias("feature"), F.lit(float(v)).alias("importance"))
-            for f, v in zip(feats, imp)]
-    return (spark.range(1).select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+    rows = list(zip(model_features(model), map(float, imp)))
+    return (_session().createDataFrame(rows, "feature string, importance double")
             .orderBy(F.desc("importance"), "feature"))
 
 

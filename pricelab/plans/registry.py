@@ -21,8 +21,8 @@ from ..operators import kpi as K
 from ..operators import profile as A
 from ..operators import scenarios as J
 from ..operators import search as P
-from ..operators.model import (feature_importance, feature_list, model_summary, score_catalog,
-                               top_drivers, train_linear_model, train_price_model)
+from ..operators.model import (feature_importance, model_summary, score_catalog, top_drivers,
+                               train_linear_model, train_price_model)
 from ..session import materialize, scratch_path
 from ..sources.catalog import (read_catalog_csv, read_catalog_parquet, write_catalog_csv,
                                write_report)
@@ -608,7 +608,7 @@ def _forest(spark, sf, flags: str = "strict"):
     key = catalog_key(spark, sf, f"forest-{flags}")
     if key not in _MODELS:
         path = scratch_path(spark, "price-model")
-        train_price_model(clean, feature_list(clean)).save(path)
+        train_price_model(clean).save(path)
         _MODELS[key] = path
     return clean, PipelineModel.load(_MODELS[key])
 

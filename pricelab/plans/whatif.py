@@ -24,7 +24,7 @@ from .. import schema as S
 from ..operators import kpi as K
 from ..operators.cleaning import current_price, with_reviews_default
 from ..operators.features import scenario_features, weighted_features
-from ..operators.model import model_features, predict_features
+from ..operators.model import categorical_inputs, numeric_inputs, predict_features
 from ..operators.scenarios import fit_price_line, linear_price
 
 
@@ -60,10 +60,20 @@ def _with_prediction(model: PipelineModel, vectors: DataFrame) -> DataFrame:
     return scored.select("product_row.*", "prediction")
 
 
+def _season_on(weights: dict | None) -> Column:
+    """The season whose indicator the weighted vector (F4) sets: the product's own, Summer if
+    missing.  The forest was trained on 0 / 1 indicators, so it splits them at one half: a
+    weight above that counts as set, a lower one as not set."""
+    season = F.coalesce(F.col("season"), F.lit(S.DEFAULT_SEASON))
+    low = [f[len("season_"):] for f, w in (weights or {}).items() if f.startswith("season_") and w <= 0.5]
+    return F.when(~season.isin(low), season) if low else season
+
+
 def forest_optimizer_pricing(model: PipelineModel, clean: DataFrame,
                              weights: dict | None = None) -> DataFrame:
     """Optimizer flow for every product: serving row (F3) -> forest -> floor 100 -> KPIs."""
-    serving = scenario_features(clean, model_features(model), weights, keep=(_row(clean),))
+    serving = scenario_features(clean, numeric_inputs(model), weights,
+                                keep=(_row(clean), *categorical_inputs(model)))
     df = optimizer_frame(_with_prediction(model, serving), predictor=F.col("prediction"))
     df = K.profit_margin(K.revenue_impact_linear(K.price_change(df)))
     return K.recommendation(df)
@@ -76,7 +86,9 @@ def forest_playground_pricing(model: PipelineModel, clean_lenient: DataFrame,
     clamp [50, 2000] -> KPIs, for every product."""
     base = playground_frame(clean_lenient, predictor=F.lit(0.0), timing=timing).drop(
         "prediction", "floored_price", "clamped_price", "predicted_price")
-    vectors = weighted_features(base, model_features(model), weights, keep=(_row(clean_lenient),))
+    cats = [_season_on(weights).alias(c) if c == "season" else F.lit(None).cast("string").alias(c)
+            for c in categorical_inputs(model)]
+    vectors = weighted_features(base, numeric_inputs(model), weights, keep=(_row(clean_lenient), *cats))
     df = playground_frame(_with_prediction(model, vectors), predictor=F.col("prediction"),
                           timing=timing)
     df = K.price_tier(K.price_direction(K.price_change(df)))

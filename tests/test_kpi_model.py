@@ -1,4 +1,6 @@
 """KPI thresholds and boundaries (K, M); model tests."""
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,8 +95,7 @@ def test_sweep_positions(spark):
 
 @pytest.fixture(scope="module")
 def forest(spark, clean_small):
-    feats = M.feature_list(clean_small)
-    return M.train_price_model(clean_small, feats, num_trees=10, max_depth=4)
+    return M.train_price_model(clean_small, num_trees=10, max_depth=4)
 
 
 def test_forest_scores_every_row(spark, clean_small, forest):
@@ -106,7 +107,8 @@ def test_forest_scores_every_row(spark, clean_small, forest):
 def test_forest_importances_and_determinism(spark, clean_small, forest):
     imp = M.feature_importance(forest).collect()
     assert sum(r.importance for r in imp) == pytest.approx(1.0)
-    again = M.train_price_model(clean_small, M.model_features(forest), num_trees=10, max_depth=4)
+    again = M.train_price_model(clean_small, num_trees=10, max_depth=4)
+    assert [r.feature for r in imp if r.importance > 0][0] in M.model_features(forest)
     assert M.feature_importance(again).collect() == imp
 
 
@@ -127,25 +129,36 @@ def test_model_save_load_roundtrip(spark, clean_small, forest):
     assert a == b
 
 
-def test_vocabulary_limit(spark, clean_small):
-    with pytest.raises(ValueError):
-        M.category_vocabulary(clean_small, max_levels=3)
+def test_wide_vocabulary(spark):
+    """50,000 categories train and score; a missing or unseen one is a row of zeros."""
+    df = spark.range(50_000).select(
+        "id", (F.col("id") % 10 / 10).alias("demand"), F.concat(F.lit("c"), F.col("id")).alias("articleType"),
+        (F.col("id") % 10 * 50.0 + 100).alias("optimal_price"))
+    model = M.train_price_model(df, ["demand"], num_trees=1, max_depth=3)
+    assert len(M.model_features(model)) == 50_001
+    odd = df.limit(20).withColumn("articleType", F.when(F.col("id") % 2 == 0, F.lit("never seen")))
+    for rows in (df, odd):
+        scored = M.score_catalog(model, rows)
+        assert scored.where("prediction BETWEEN 100 AND 550").count() == rows.count()
 
 
 def test_impact_report_matches_python_formatting(spark, clean_small):
-    """K11 has no SQL twin: check every sentence against Python formatting (brute force)."""
-    import __spark_entry__ as E
+    """Every sentence against Python formatting (brute force)."""
+    from pricelab.operators import scenarios as J
     from pricelab.plans import registry as R
-    rows = R._impacts(spark, "/root/testdata/sf0.001").collect()
-    texts = {(r.id, r.signal): r.explanation
-             for r in E.queries()["impact_report"](spark, "/root/testdata/sf0.001").collect()}
-    assert len(texts) == len(rows) > 0
+    from pricelab.plans.params import FEATURES_FIXED
+    long = J.signal_importance_join(J.shown_signals(R._playground(spark, "/root/testdata/sf0.001")),
+                                    J.importance_table(spark), model_features=FEATURES_FIXED)
+    rows = K.impact_text(K.feature_impact(long)).collect()
+    assert {r.signal for r in rows} == set(K.IMPACT_TEMPLATES)
     for r in rows:
         want = None
-        if r.value is not None and r.impact is not None:
-            tmpl = K.IMPACT_TEMPLATES.get(r.signal, K.IMPACT_TEMPLATE_OTHER)
-            want = tmpl % (r.value, round(r.impact))
-        assert texts[(r.id, r.signal)] == want
+        if r.shown is not None and r.impact is not None:
+            tmpl = K.IMPACT_TEMPLATES[r.signal]
+            places = K.SHOWN_PLACES.get(r.signal, 2)
+            shown = ("yes" if r.shown > 0 else "no") if "%s" in tmpl else math.floor(r.shown * 10**places + 0.5) / 10**places
+            want = tmpl % (shown, round(abs(r.impact)))
+        assert r.explanation == want
 
 
 def test_position_and_trend_edge_cases(spark):

@@ -79,7 +79,7 @@ def test_no_shuffle_in_forest_flows_and_lookup(spark, clean_small):
     from pricelab.operators.cleaning import clean_flags_lenient
     from pricelab.plans.params import ENCODED_LOOKUP_COLUMNS, FEATURES_FIXED
     from pricelab.plans.whatif import forest_optimizer_pricing, forest_playground_pricing
-    model = M.train_price_model(clean_small, M.feature_list(clean_small), num_trees=3, max_depth=2)
+    model = M.train_price_model(clean_small, num_trees=3, max_depth=2)
     _without_broadcast(spark)
     try:
         for df in (forest_optimizer_pricing(model, clean_small),

@@ -54,7 +54,7 @@ def test_report_bundles_write_and_read(spark, clean_small):
     from pricelab.operators.cleaning import clean_flags_lenient
     from pricelab.plans.reports import (model_reports, pricing_reports, profile_reports,
                                         write_reports)
-    model = M.train_price_model(clean_small, M.feature_list(clean_small), num_trees=5, max_depth=3)
+    model = M.train_price_model(clean_small, num_trees=5, max_depth=3)
     bundle = {**profile_reports(clean_small), **model_reports(clean_small, model),
               **pricing_reports(clean_small, clean_flags_lenient(clean_small), model)}
     paths = write_reports(bundle, scratch_path(spark, "reports"))
