@@ -7,13 +7,18 @@ local[$BENCH_CPUS] and prints ONE JSON line:
 and both cleaned editions once (as a user would before running reports);
 each report then runs on that table and is fully executed (``noop`` write,
 no collection of large results).  ``train_model`` fits the 50-tree forest and
-``score_catalog`` batch-scores every product with it.  Per-key values are
-medians of $BENCH_RUNS runs after one warm-up; ``value`` is their sum.
+``score_catalog`` batch-scores every product with it; the two what-if flows
+run every product through it.  Per-key values are medians of $BENCH_RUNS runs
+after one warm-up; ``value`` is their sum.  ``plans`` gives each key's scans and
+exchanges.
 """
 from __future__ import annotations
 
+import contextlib
+import io
 import json
 import os
+import re
 import statistics
 import sys
 import time
@@ -23,6 +28,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pricelab.plans.catalog import clear_cache, cleaned_catalog  # noqa: E402
 from pricelab.operators.model import score_catalog, train_price_model  # noqa: E402
 from pricelab.plans.registry import REGISTRY  # noqa: E402
+from pricelab.plans.whatif import forest_optimizer_pricing, forest_playground_pricing  # noqa: E402
 from pricelab.session import local_session  # noqa: E402
 
 HEADLINE = [
@@ -41,6 +47,9 @@ HEADLINE = [
     "feature_impact",
     "recommendation",
     "regression_metrics",
+    "residuals",
+    "impact_report",
+    "stream_pricing_kpis",
 ]
 
 
@@ -75,6 +84,22 @@ def run_once(spark, name: str, sf_dir: str) -> float:
     return time.perf_counter() - t0
 
 
+def flow_once(spark, flow, flags: str, sf_dir: str, model) -> float:
+    """A what-if flow (F3 / F4, forest, KPIs) for every product."""
+    t0 = time.perf_counter()
+    flow(model, cleaned_catalog(spark, sf_dir, flags)).write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - t0
+
+
+def plan_counts(spark, name: str, sf_dir: str) -> dict:
+    buffer = io.StringIO()
+    with contextlib.redirect_stdout(buffer):
+        REGISTRY[name](spark, sf_dir).explain("formatted")
+    names = re.findall(r"^\(\d+\) (\w+)", buffer.getvalue(), re.M)
+    return {"scans": sum(n == "Scan" for n in names),
+            "exchanges": sum(n in ("Exchange", "BroadcastExchange") for n in names)}
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -94,9 +119,14 @@ def main() -> None:
     score_once(spark, sf_dir, model)  # warm-up
     per["score_catalog"] = round(statistics.median(score_once(spark, sf_dir, model)
                                                    for _ in range(runs)), 3)
+    flows = {"forest_optimizer_flow": (forest_optimizer_pricing, "strict"),
+             "forest_playground_flow": (forest_playground_pricing, "lenient")}
+    for name, (flow, flags) in flows.items():
+        flow_once(spark, flow, flags, sf_dir, model)  # warm-up
+        per[name] = round(statistics.median(flow_once(spark, flow, flags, sf_dir, model) for _ in range(runs)), 3)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "total_sec", "value": round(sum(per.values()), 3), "unit": "sec",
-                      "queries": per, "sf": sf, "cpus": cpus, "runs": runs,
+                      "queries": per, "plans": {k: plan_counts(spark, k, sf_dir) for k in HEADLINE}, "sf": sf, "cpus": cpus, "runs": runs,
                       "spark": spark.version}))
 
 

@@ -70,7 +70,7 @@ def test_part_with_a_third_of_all_lines(spark, tables):
         "l_extendedprice": (F.monotonically_increasing_id() % 100_000 * 10 + 5000) * F.col("l_quantity")})
     both = lines.where("l_orderkey % 3 <> 0").unionByName(
         hot.select(*[F.col(c).cast(lines.schema[c].dataType).alias(c) for c in lines.columns]))
-    both.toPandas().to_parquet(tables / "l2")
+    both.toPandas().to_parquet(tables / "l2", coerce_timestamps="us", allow_truncated_timestamps=True)
     os.replace(tables / "l2", tables / "lineitem.parquet")
     sf = str(tables)
     row = REGISTRY["competitor_mean"](spark, sf).where(F.col("id") == part).first()
