@@ -82,45 +82,49 @@ def shared_anchors(docs: DataFrame, k: int, span: int) -> tuple[DataFrame, DataF
     row each; anchors are combined before the shuffle.
     """
     rows = docs.select(did().alias("did"), F.xxhash64(_text()).alias("th"), _text().alias("text"))
+    # one pass over the texts: a row for each document, written once
+    table = materialize(map_docs(rows, _of_documents(k, span), "did long, th long, n_words int, c1 long, c2 long, "
+                                 "anchors array<long>, again array<long>"), "anchors")
+    first = table.groupBy("c1", "c2").agg(F.min(F.struct("did", "th")).alias("first"))
+    copies = (table.select("did", "th", "n_words", "c1", "c2").join(first, ["c1", "c2"])
+              .where(F.struct("did", "th") != F.col("first"))
+              .select("did", "th", "n_words", F.col("first.did").alias("first_did"), F.col("first.th").alias("first_th")))
+    places = table.select("c1", F.explode("anchors").alias("anchor"))
+    within = table.select(F.explode("again").alias("anchor")).distinct()
+    across = (places.groupBy("anchor").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi"))
+              .where("lo <> hi").select("anchor"))
+    recurring = across.union(within).distinct()
+    of_content = (places.join(recurring, "anchor").groupBy("c1")
+                  .agg(F.collect_set("anchor").alias("anchors")))
+    candidates = (of_content.join(first, "c1")
+                  .select(F.col("first.did").alias("did"), F.col("first.th").alias("th"), "anchors"))
+    return copies, materialize(candidates, "candidates")
 
-    def content(b: pa.RecordBatch) -> dict:
-        found = [words(t) for t in as_bytes(b.column(2))]
-        long = [i for i, t in enumerate(found) if len(t) >= span]
-        digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(found[i])) for i in long), np.int64)
-        at = pa.array(long, pa.int64())
-        return {"did": b.column(0).take(at), "th": b.column(1).take(at), "n_words": [len(found[i]) for i in long],
-                "c1": digests[0::2], "c2": digests[1::2]}
 
-    def anchors(b: pa.RecordBatch) -> dict:
-        hashes, owners, often = [], [], []
+def _of_documents(k: int, span: int):
+    """Per document of at least ``span`` words: the 128-bit digest of its word sequence, its
+    distinct anchors, and those of them that occur again in it.  Of copies within a batch
+    one has the anchors."""
+    def run(b: pa.RecordBatch) -> dict:
+        at: list[int] = []
+        out: dict[str, list] = {c: [] for c in ("n_words", "c1", "c2", "anchors", "again")}
         seen = set()
-        for t in as_bytes(b.column(2)):
+        for i, t in enumerate(as_bytes(b.column(2))):
             tokens = words(t)
             if len(tokens) < span:
                 continue
             digest = xxhash.xxh3_128_digest(b" ".join(tokens))
-            if digest in seen:                       # copies within a batch count once
-                continue
-            seen.add(digest)
-            place, runs = minimisers(tokens, k, span)
-            own, n = np.unique(runs[np.unique(place)], return_counts=True)
-            hashes.append(own)
-            often.append(np.minimum(n, 2))
-            owners.append(np.full(len(own), np.frombuffer(digest, np.int64)[0]))
-        cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        return {"anchor": cat(hashes, np.uint64).view(np.int64), "c1": cat(owners, np.int64),
-                "n": cat(often, np.int64).astype(np.int8)}
-
-    contents = materialize(map_docs(rows, content, "did long, th long, n_words int, c1 long, c2 long"),
-                           "contents")
-    first = contents.groupBy("c1", "c2").agg(F.min(F.struct("did", "th")).alias("first"))
-    copies = (contents.join(first, ["c1", "c2"]).where(F.struct("did", "th") != F.col("first"))
-              .select("did", "th", "n_words", F.col("first.did").alias("first_did"), F.col("first.th").alias("first_th")))
-    places = map_docs(rows, anchors, "anchor long, c1 long, n byte")
-    recurring = (places.groupBy("anchor").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi"), F.max("n").alias("n"))
-                 .where("lo <> hi or n > 1").select("anchor"))
-    of_content = (places.join(recurring, "anchor").groupBy("c1")
-                  .agg(F.collect_set("anchor").alias("anchors")))
-    candidates = (of_content.join(first, "c1")
-                  .select(F.col("first.did").alias("did"), F.col("first.th").alias("th"), "anchors"))
-    return copies, materialize(candidates, "candidates")
+            c1, c2 = np.frombuffer(digest, np.int64).tolist()
+            own = again = np.zeros(0, np.int64)
+            if digest not in seen:
+                seen.add(digest)
+                place, runs = minimisers(tokens, k, span)
+                own, n = np.unique(runs[np.unique(place)].view(np.int64), return_counts=True)
+                again = own[n > 1]
+            at.append(i)
+            for c, v in zip(out, (len(tokens), c1, c2, own, again)):
+                out[c].append(v)
+        at_rows = pa.array(at, pa.int64())
+        return {"did": b.column(0).take(at_rows), "th": b.column(1).take(at_rows), **out}
+
+    return run
