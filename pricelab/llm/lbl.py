@@ -155,6 +155,24 @@ def count_words(docs: DataFrame) -> DataFrame:
     return map_docs(docs.select(_text().alias("text")), run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def frequent_words(counts: DataFrame, most: int) -> list:
+    """Rows (word, c) of the words from some count on, at most ``most``, the most frequent first.
+
+    The count is found from a histogram of some hundred classes, so no more
+    than the words themselves come to the driver.
+    """
+    size = F.floor(F.log2("c") * 8).cast("int")
+    sizes = counts.groupBy(size.alias("size")).agg(F.count("*").alias("n")).collect()
+    least, n = None, 0
+    for r in sorted(sizes, key=lambda r: -r["size"]):
+        n += r.n
+        if n > most:
+            break
+        least = r["size"]
+    rows = counts.where(size >= least).collect() if least is not None else []
+    return sorted(rows, key=lambda r: (-r.c, r.word))
+
+
 def train(docs: DataFrame, counts: DataFrame, n_docs: int, n_words: int = 160, n_classes: int = 95,
           table_words: int = 100_000, sample_docs: int = 1_200, sample_tokens: int = 400_000) -> Model:
     """Model from the training documents ``docs`` (doc_id, text), their word ``counts`` and number.
@@ -164,7 +182,7 @@ def train(docs: DataFrame, counts: DataFrame, n_docs: int, n_words: int = 160, n
     (as many of them as have ``sample_tokens`` tokens).
     """
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(table_words).collect()
+    top = frequent_words(counts, table_words)
     single = {r.word for r in top[:n_words]}
     grouped = (counts.where(~F.col("word").isin(list(single))) if single else counts)
     # classes by the first two letters: all sums, of which the largest classes stand alone
