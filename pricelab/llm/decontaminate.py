@@ -7,9 +7,10 @@ fingerprints within 15 bits one block differs in at most one bit, so the
 lookup meets every item within that radius.  Candidates of the window's size
 are then verified by the exact weighted Jaccard similarity of their shingles.
 
-A window can only verify if at least 40 % of its places begin a shingle of
-some item (shingle weights lie between 1 and 2); places of windows below that
-are passed over before fingerprints are made, which loses nothing.
+A window can only verify if the weights of the shingles in it that some item
+has sum to the threshold times the weight of an item of its size: the shingles
+in common are among them.  Windows below that are passed over before
+fingerprints are made, which loses nothing.
 """
 from __future__ import annotations
 
@@ -69,28 +70,43 @@ class Index:
         df = Counter(s for c in self.counts for s in c)
         top = math.log(len(self.tokens) + 1)
         self.weight = {s: 1 + math.log((len(self.tokens) + 1) / n) / top for s, n in df.items()}
+        of_hash: dict[int, float] = {}
+        for t, r in zip(self.tokens, runs):
+            for s, h in zip(zip(*(t[i:] for i in range(k))), r.tolist()):
+                of_hash[h] = max(of_hash.get(h, 0.0), self.weight[s])
+        self.known_weight = np.array([of_hash[h] for h in self.known.tolist()])
+        self.total = np.array([sum(n * self.weight[s] for s, n in c.items()) for c in self.counts])
+        self.by_size = {size: np.flatnonzero(self.sizes == size) for size in np.unique(self.sizes).tolist()}
+        self.multi = {size: self._multi_index(items) for size, items in self.by_size.items()}
+
+    def _multi_index(self, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per block and value the items whose block has this value or differs in one bit:
+        (item lists one after another, where each list starts)."""
         bits = 64 // BLOCKS
         changes = np.array([0, *(1 << b for b in range(bits))], np.int64)
         entries: list[np.ndarray] = []
         for block in range(BLOCKS):
-            value = (self.items >> np.uint64(block * bits)).astype(np.int64) & ((1 << bits) - 1)
+            value = (self.items[items] >> np.uint64(block * bits)).astype(np.int64) & ((1 << bits) - 1)
             entries.append(((block << bits) + (value[:, None] ^ changes)).ravel())
         keys = np.concatenate(entries)
-        owner = np.tile(np.repeat(np.arange(len(self.items)), len(changes)), BLOCKS)
+        owner = np.tile(np.repeat(items, len(changes)), BLOCKS)
         order = np.argsort(keys, kind="stable")
-        self.owner = owner[order]
-        self.at = np.searchsorted(keys[order], np.arange((BLOCKS << bits) + 1))
+        return owner[order], np.searchsorted(keys[order], np.arange((BLOCKS << bits) + 1))
 
-    def near(self, fingerprint: int, size: int) -> np.ndarray:
-        """Items of ``size`` words within RADIUS bits."""
+    def near(self, fingerprints: np.ndarray, size: int) -> list[tuple[int, int]]:
+        """(place in ``fingerprints``, item of ``size`` words) of all pairs within RADIUS bits."""
+        owner, at = self.multi[size]
         bits = 64 // BLOCKS
-        lists = []
+        pairs = []
         for block in range(BLOCKS):
-            key = (block << bits) + (fingerprint >> block * bits & (1 << bits) - 1)
-            lists.append(self.owner[self.at[key]:self.at[key + 1]])
-        found = np.unique(np.concatenate(lists))
-        found = found[self.sizes[found] == size]
-        return found[np.bitwise_count(self.items[found] ^ np.uint64(fingerprint)) <= RADIUS]
+            key = (block << bits) + ((fingerprints >> np.uint64(block * bits)).astype(np.int64) & ((1 << bits) - 1))
+            n = at[key + 1] - at[key]
+            place = np.repeat(np.arange(len(key)), n)
+            inside = np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)
+            item = owner[at[key][place] + inside]
+            ok = np.bitwise_count(self.items[item] ^ fingerprints[place]) <= RADIUS
+            pairs += zip(place[ok].tolist(), item[ok].tolist())
+        return sorted(set(pairs))
 
     def similarity(self, item: int, window: list[bytes]) -> float:
         """Weighted Jaccard similarity of the shingles, repeats included; a shingle of no item weighs 2."""
@@ -110,23 +126,24 @@ class Index:
         at = np.searchsorted(self.known, shingles)
         at[at == len(self.known)] = 0
         hits = self.known[at] == shingles
-        least = threshold / 2
-        if hits.sum() < least * max(int(self.sizes.min()) - k + 1, 1):
+        if not hits.any():
             return []
-        sums = np.concatenate([[0], np.cumsum(hits)])
+        sums = np.concatenate([[0.0], np.cumsum(np.where(hits, self.known_weight[at], 0.0))])
         best: dict[int, tuple] = {}
-        for size in np.unique(self.sizes).tolist():
+        for size, items in self.by_size.items():
             n = size - k + 1
             if size > len(tokens):
                 continue
-            starts = np.flatnonzero(sums[n:] - sums[:-n] >= least * n)
+            least = threshold * self.total[items].min() - 1e-6
+            starts = np.flatnonzero(sums[n:] - sums[:-n] >= least)
             if not len(starts):
                 continue
-            for s, f in zip(starts.tolist(), window_fingerprints(shingles, starts, n).tolist()):
-                for item in self.near(f, size).tolist():
-                    sim = self.similarity(item, tokens[s:s + size])
-                    if sim >= threshold and sim > best.get(item, (0.0,))[0]:
-                        best[item] = sim, s, size, (int(self.items[item]) ^ f).bit_count()
+            found = window_fingerprints(shingles, starts, n)
+            for place, item in self.near(found, size):
+                s = int(starts[place])
+                sim = self.similarity(item, tokens[s:s + size])
+                if sim >= threshold and sim > best.get(item, (0.0,))[0]:
+                    best[item] = sim, s, size, (int(self.items[item]) ^ int(found[place])).bit_count()
         return [(self.ids[i], s, size, sim, bits) for i, (sim, s, size, bits) in sorted(best.items())]
 
 
