@@ -25,7 +25,7 @@ ORDER = 4
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 LETTERS = re.compile(r"[^\W\d_]+").findall
 UNKNOWN = "und"
-BLOCK = 1_500_000        # characters scored at once
+BLOCK = 500_000          # characters scored at once
 
 
 def characters(text: str | None) -> np.ndarray:
@@ -216,9 +216,9 @@ def train(docs: DataFrame, learn: Column, sample_docs: int = 1500, max_grams: in
     sample = usable.withColumn("__draw", draw).where(F.col("__draw") < share[F.col("lang")])
     aside = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("aside")), F.lit(5)) == 0
     counts = (count_grams(sample.where(~aside)).orderBy(F.desc("n"), "lang", "a", "b", "c", "d")
-              .limit(max_grams).toPandas())
+              .limit(max_grams).toArrow().to_pandas())
     if counts.empty:
-        counts = count_grams(sample).limit(max_grams).toPandas()
+        counts = count_grams(sample).limit(max_grams).toArrow().to_pandas()
     model = kneser_ney(counts, sorted(counts["lang"].unique()))
     held = sample.where(aside).select("lang", "text").orderBy(F.xxhash64("text")).limit(2000).toPandas()
     held = held[held["lang"].isin(model.langs)]
