@@ -7,7 +7,7 @@ to one shard and are sorted there; neighbours in that order have the longest
 common beginnings, and neighbours in the order of the words read backwards
 from the anchor the longest common left contexts.  The two lengths say how far
 a match can reach to the right and to the left; inside that reach the stretches
-are compared exactly and every occurrence is linked to the first.
+are compared exactly and every occurrence is linked to an earlier one.
 """
 from __future__ import annotations
 
@@ -130,20 +130,21 @@ def _matches(span: int):
 def repeated_passages(docs: DataFrame, min_words: int = 50, group_limit: int = 5_000) -> DataFrame:
     """(doc_id, start_word, n_words, first_doc_id, first_start): passages of ``docs`` (doc_id, text)
     of at least ``min_words`` words that occur before, in a document of a smaller doc_id or
-    further up in the same one, each with its first occurrence.
+    further up in the same one, each with an earlier occurrence.
 
     Every stretch of ``min_words`` words that has occurred before is inside a
-    returned passage; stretches next to each other with neighbouring first
-    occurrences are one passage.  A document whose word sequence equals an
+    returned passage, linked to the first one (for a frequent anchor, to the
+    first with the same context); stretches next to each other with
+    neighbouring earlier occurrences are one passage.  A document whose word sequence equals an
     earlier document's is one passage, all of it.  Words are ``[^\\x20\\x09-\\x0D]+``,
     unchanged.  Null, empty and shorter texts give no rows.  A null doc_id
     counts as the largest and is returned as null; documents of one doc_id and
     different texts follow each other by text hash; fully repeated rows are
     one document.  Other columns are not looked at; an empty table gives no rows.
 
-    An anchor with more than ``group_limit`` suffixes has them dealt out by
-    whole stretches, so no task holds more than equal stretches of it, of
-    which repeated ones are combined to their first before the shuffle.
+    Of an anchor with more than ``group_limit`` suffixes, equal contexts are
+    combined to their first before the shuffle, and the different ones are
+    dealt out stretch by stretch.
     """
     small_batches(docs.sparkSession)
     copies, candidates = shared_anchors(docs, ANCHOR_WORDS, min_words)
@@ -156,14 +157,26 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, group_limit: int = 5
              .repartition("anchor").sortWithinPartitions("anchor")
              .mapInArrow(_matches(min_words), "did long, th long, start int, n int, first_did long, first_th long, first_start int"))
     if some_big:
-        single = map_docs(rows.join(big, "anchor", "left_semi"), _single_stretches(min_words), _COLUMNS)
+        # equal contexts of a frequent anchor are one: each later occurrence links to the first
+        same = rows.join(big, "anchor", "left_semi").withColumn(
+            "context", F.sha2(F.concat_ws("|", F.hex("left"), F.hex("right")), 256))
+        heads = materialize(same.groupBy("context").agg(
+            F.min(F.struct("did", "th", "lo", "place", "hi")).alias("head"), F.any_value("anchor").alias("anchor"),
+            F.any_value("left").alias("left"), F.any_value("right").alias("right")), "contexts")
+        later = (same.join(heads.select("context", "head"), "context")
+                 .where(F.struct("did", "th", "lo") != F.struct("head.did", "head.th", "head.lo"))
+                 .select("did", "th", F.col("lo").alias("start"), (F.col("hi") - F.col("lo")).alias("n"),
+                         F.col("head.did").alias("first_did"), F.col("head.th").alias("first_th"),
+                         F.col("head.lo").alias("first_start")))
+        single = map_docs(heads.select("anchor", "head.did", "head.th", "head.place", "left", "right", "head.lo", "head.hi"),
+                          _single_stretches(min_words), _COLUMNS)
         single = single.select(F.sha2(F.concat_ws(" ", "left", "right"), 256).alias("stretch"), "did", "th",
                                F.col("lo").alias("start"))
         first = single.groupBy("stretch").agg(F.min(F.struct("did", "th", "start")).alias("first"), F.count("*").alias("n"))
         again = (single.join(first.where("n > 1"), "stretch").where(F.struct("did", "th", "start") != F.col("first"))
                  .select("did", "th", "start", F.lit(1).alias("n"), F.col("first.did").alias("first_did"),
                          F.col("first.th").alias("first_th"), F.col("first.start").alias("first_start")))
-        found = found.unionByName(again)
+        found = found.unionByName(later).unionByName(again)
     line = Window.partitionBy("did", "th", "first_did", "first_th", "diagonal").orderBy("start")
     new = F.coalesce(F.col("start") > F.max(F.col("start") + F.col("n")).over(line.rowsBetween(Window.unboundedPreceding, -1)),
                      F.lit(True))
