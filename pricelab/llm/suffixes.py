@@ -24,14 +24,18 @@ from .common import MAX_ID, map_docs, small_batches, words
 
 ANCHOR_WORDS = 8
 _COLUMNS = "anchor long, did long, th long, place int, left binary, right binary, lo int, hi int"
+#: Rows without an anchor: a suffix whose context came before in its batch, and where.
+_FOUND = _COLUMNS + ", first_did long, first_th long, first_start int"
 
 
 def _suffixes(span: int):
     """Kept suffixes: their place, up to ``span`` words from there on, the words before,
     and the range lo..hi of starts of the stretches that chose this place."""
     def run(b: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {c: [] for c in ("anchor", "did", "th", "place", "left", "right", "lo", "hi")}
-        for d, th, z, anchors in zip(*(b.column(i).to_pylist() for i in range(4))):
+        out: dict[str, list] = {c: [] for c in ("anchor", "did", "th", "place", "left", "right", "lo", "hi",
+                                                "first_did", "first_th", "first_start")}
+        seen: dict[tuple, tuple] = {}
+        for d, th, z, anchors in sorted(zip(*(b.column(i).to_pylist() for i in range(4))), key=lambda x: x[:2]):
             tokens = words(unpack(z))
             place, runs = minimisers(tokens, ANCHOR_WORDS, span)
             first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
@@ -40,8 +44,12 @@ def _suffixes(span: int):
             for i in np.flatnonzero(np.isin(keys, np.array(anchors, np.int64))).tolist():
                 lo, hi = int(first[i]), int(ends[i])
                 p = int(place[lo])
-                for c, v in zip(out, (int(keys[i]), d, th, p, b" ".join(tokens[lo:p]),
-                                      b" ".join(tokens[p:hi + span - 1]), lo, hi)):
+                left, right = b" ".join(tokens[lo:p]), b" ".join(tokens[p:hi + span - 1])
+                met = seen.setdefault((left, right), (d, th, lo))
+                again = met != (d, th, lo)
+                row = (None, d, th, p, None, None, lo, hi, *met) if again else \
+                    (int(keys[i]), d, th, p, left, right, lo, hi, None, None, None)
+                for c, v in zip(out, row):
                     out[c].append(v)
         return out
 
@@ -149,7 +157,10 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, group_limit: int = 5
     small_batches(docs.sparkSession)
     copies, candidates = shared_anchors(docs, ANCHOR_WORDS, min_words)
     joined = packed(docs).join(candidates, ["did", "th"]).select("did", "th", "z", "anchors")
-    rows = materialize(map_docs(joined, _suffixes(min_words), _COLUMNS), "suffixes")
+    rows = materialize(map_docs(joined, _suffixes(min_words), _FOUND), "suffixes")
+    known = rows.where("anchor is null").select("did", "th", F.col("lo").alias("start"), (F.col("hi") - F.col("lo")).alias("n"),
+                                                "first_did", "first_th", "first_start")
+    rows = rows.where("anchor is not null").drop("first_did", "first_th", "first_start")
     big = materialize(rows.groupBy("anchor").count().where(F.col("count") > group_limit).select("anchor"), "big-anchors")
     some_big = not big.isEmpty()
     few = rows.join(big, "anchor", "left_anti") if some_big else rows
@@ -177,6 +188,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, group_limit: int = 5
                  .select("did", "th", "start", F.lit(1).alias("n"), F.col("first.did").alias("first_did"),
                          F.col("first.th").alias("first_th"), F.col("first.start").alias("first_start")))
         found = found.unionByName(later).unionByName(again)
+    found = found.unionByName(known)
     line = Window.partitionBy("did", "th", "first_did", "first_th", "diagonal").orderBy("start")
     new = F.coalesce(F.col("start") > F.max(F.col("start") + F.col("n")).over(line.rowsBetween(Window.unboundedPreceding, -1)),
                      F.lit(True))
