@@ -14,11 +14,14 @@ by the word's hash, summed per document.
 """
 from __future__ import annotations
 
+import copy
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +32,14 @@ from .common import as_bytes, map_docs, words
 CONTEXT = 4
 SMOOTH = 0.1
 SEED = 42
-BLOCK = 4096
+#: Scores held at a time when texts are scored.
+BLOCK = 1 << 18
+#: Training: outputs of a piece, tokens of a task, tokens mixed in a task, rounds, columns of a row of
+#: parameters, and the updates below which pieces are used in more than one round.
+PIECE, TASK_TOKENS, SHUFFLED, ROUNDS, WIDTH = 2048, 4_000_000, 200_000, 4, 32
+LEAST_UPDATES = 1_600_000
+#: Training tokens up to which the given numbers of words and classes hold; above they grow.
+BASE_TOKENS, GROWTH = 400_000, 0.25
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
@@ -37,56 +47,154 @@ def tokens_of(text: bytes | None) -> list[bytes]:
     return words(text.lower()) if text else []
 
 
-def train_nce(texts: list[np.ndarray], n_out: int, end: int, size: int = 24, noise: int = 10, epochs: int = 4,
-              rate: float = 0.15, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Log-bilinear model of output sequences (each ends in ``end``), by NCE with Adagrad.
-
-    Returns (tables, bias): the score of output w after outputs c1.. is
-    bias[w] + sum of tables[i, c_i, w].  The noise is the smoothed unigram.
+class Network:
+    """Log-bilinear model of output sequences: the score of output w after outputs c1.. is
+    bias[w] + q[w] . sum of r[c_i] @ c[i].  Trained by NCE with Adagrad; the noise is the unigram.
     """
-    rng = np.random.default_rng(seed)
-    pad = np.full(CONTEXT, end, np.int32)
-    stream = np.concatenate([x for t in texts for x in (pad, t)]) if texts else pad
-    inside = np.concatenate([x for t in texts for x in (np.zeros(CONTEXT, bool), np.ones(len(t), bool))]) \
-        if texts else np.zeros(CONTEXT, bool)
-    at = np.flatnonzero(inside)
-    unigram = np.bincount(stream[at], minlength=n_out) + 0.5
-    unigram = unigram / unigram.sum()
-    log_noise = np.log(noise * unigram).astype(np.float32)
-    r = (rng.standard_normal((n_out, size)) * 0.1).astype(np.float32)      # context words
-    q = (rng.standard_normal((n_out, size)) * 0.1).astype(np.float32)      # predicted words
-    c = np.stack([np.eye(size, dtype=np.float32)] * CONTEXT) / CONTEXT
-    bias = np.log(unigram).astype(np.float32)
-    past = [np.full_like(x, 1e-2) for x in (r, q, c, bias)]
-
-    def step(k: int, x: np.ndarray, grad: np.ndarray) -> None:
-        past[k] += grad * grad
-        x += rate * grad / np.sqrt(past[k])
-
-    for _ in range(epochs if len(at) else 0):
+    #: Outputs drawn as noise for a batch of places, which share them.
+    NOISE, BATCH, RATE = 64, 512, 0.15
+
+    def __init__(self, counts: np.ndarray, end: int, size: int = 24, seed: int = 7):
+        rng = np.random.default_rng(seed)
+        n = len(counts)
+        self.end = end
+        self.unigram = (counts + 0.5) / (counts + 0.5).sum()
+        self.params = [(rng.standard_normal((n, size)) * 0.1).astype(np.float32),     # r: context words
+                       (rng.standard_normal((n, size)) * 0.1).astype(np.float32),     # q: predicted words
+                       np.stack([np.eye(size, dtype=np.float32)] * CONTEXT) / CONTEXT,
+                       np.log(self.unigram).astype(np.float32)]
+        self.past = [np.full_like(x, 1e-2) for x in self.params]
+
+    def sweep(self, stream: np.ndarray, at: np.ndarray, rng: np.random.Generator) -> None:
+        """One pass over the places ``at`` of ``stream``, each with CONTEXT outputs before it."""
+        r, q, c, bias = self.params
+        log_noise = np.log(self.NOISE * self.unigram).astype(np.float32)
+        bound = np.cumsum(self.unigram)
         order = rng.permutation(at)
-        for i in range(0, len(order), 1024):
-            places = order[i:i + 1024]
-            context = stream[places[:, None] - np.arange(1, CONTEXT + 1)]
-            rc = r[context]
-            hidden = np.einsum("bid,ide->be", rc, c)
-            other = rng.choice(n_out, (len(places), noise), p=unigram)
-            out = np.concatenate([stream[places][:, None], other], axis=1)
-            qo = q[out]
-            s = np.einsum("be,boe->bo", hidden, qo) + bias[out] - log_noise[out]
-            g = -1 / (1 + np.exp(-np.clip(s, -30, 30)))
-            g[:, 0] += 1
-            g = (g / np.sqrt(len(places))).astype(np.float32)
-            gh = np.einsum("bo,boe->be", g, qo)
-            gq, gr, gb = np.zeros_like(q), np.zeros_like(r), np.zeros_like(bias)
-            np.add.at(gq, out.ravel(), (g[:, :, None] * hidden[:, None, :]).reshape(-1, size))
-            np.add.at(gb, out.ravel(), g.ravel())
-            np.add.at(gr, context.ravel(), np.einsum("be,ide->bid", gh, c).reshape(-1, size))
-            step(2, c, np.einsum("bid,be->ide", rc, gh))
-            step(0, r, gr)
-            step(1, q, gq)
-            step(3, bias, gb)
-    return np.stack([r @ c[i] @ q.T for i in range(CONTEXT)]), bias
+        for i in range(0, len(order), self.BATCH):
+            places = order[i:i + self.BATCH]
+            n, target = len(places), stream[places]
+            context = [stream[places - k] for k in range(1, CONTEXT + 1)]
+            rc = [r[x] for x in context]
+            hidden = sum(x @ w for x, w in zip(rc, c))
+            noise = np.searchsorted(bound, rng.random(self.NOISE) * bound[-1]).clip(0, len(bias) - 1)
+            qt, qn = q[target], q[noise]
+            s = np.einsum("be,be->b", hidden, qt) + bias[target] - log_noise[target]
+            gt = 1 / (1 + np.exp(np.clip(s, -30, 30))) / np.float32(np.sqrt(n))
+            s = hidden @ qn.T + (bias - log_noise)[noise]
+            gn = np.exp(-np.clip(s, -30, 30, out=s), out=s)
+            gn += 1
+            gn = np.divide(np.float32(-1 / np.sqrt(n)), gn, out=gn)
+            gh = gt[:, None] * qt + gn @ qn
+            gr = np.concatenate([gh @ w.T for w in c])
+            gc = np.stack([x.T @ gh for x in rc])
+            out = np.concatenate([target, noise])
+            gq = np.concatenate([gt[:, None] * hidden, gn.T @ hidden])
+            gb = np.concatenate([gt, gn.sum(axis=0)])
+            self._step(0, *_summed(np.concatenate(context), gr))
+            rows, gq, gb = _summed(out, gq, gb)
+            self._step(1, rows, gq)
+            self._step(2, slice(None), gc)
+            self._step(3, rows, gb)
+
+    def _step(self, k: int, rows, grad: np.ndarray) -> None:
+        past = self.past[k][rows] + grad * grad
+        self.past[k][rows] = past
+        self.params[k][rows] += self.RATE * grad / np.sqrt(past)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in (*self.params, *self.past)])
+
+    def take(self, values: np.ndarray) -> None:
+        at = 0
+        for x in (*self.params, *self.past):
+            x[...] = values[at:at + x.size].reshape(x.shape)
+            at += x.size
+
+    def result(self) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+        """((context words by their place, predicted words), bias) for Model."""
+        r, q, c, bias = self.params
+        return (np.stack([r @ w for w in c]), q), bias
+
+
+def _summed(rows: np.ndarray, *grads: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct rows, and of each gradient the sum for each of them."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    return (rows[first], *(np.add.reduceat(g[order], first, axis=0) for g in grads))
+
+
+def pieces(out: np.ndarray, end: int, most: int = PIECE) -> list[np.ndarray]:
+    """A sequence in pieces of at most ``most`` outputs, each after the CONTEXT outputs before it."""
+    padded = np.concatenate([np.full(CONTEXT, end, out.dtype), out])
+    return [padded[i:i + CONTEXT + most] for i in range(0, len(out), most)]
+
+
+def _stream(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces one after another, and the places in it to predict."""
+    inside = np.concatenate([np.arange(len(p)) >= CONTEXT for p in parts])
+    return np.concatenate(parts), np.flatnonzero(inside)
+
+
+def train_nce(texts: list[np.ndarray], n_out: int, end: int, epochs: int = 4):
+    """Network.result() of a network trained here on a few output sequences (each ends in ``end``)."""
+    net = Network(np.bincount(np.concatenate(texts), minlength=n_out) if texts else np.zeros(n_out), end)
+    if texts:
+        stream, at = _stream([p for t in texts for p in pieces(t, end)])
+        rng = np.random.default_rng(SEED)
+        for _ in range(epochs):
+            net.sweep(stream, at, rng)
+    return net.result()
+
+
+def fit(sequences: DataFrame, net: Network, n_tokens: int) -> None:
+    """Train ``net`` on all pieces ``out`` of ``sequences``, in ROUNDS rounds of Spark tasks.
+
+    In a round every task trains a copy of the network on its share of the
+    pieces, and the copies' weighted mean is the next round's network.  Each
+    piece is used in at least one round, and in up to all of them while there
+    are few tokens.  The figures depend on how the rows are dealt out.
+    """
+    spark = sequences.sparkSession
+    rows = sequences.repartition(max(1, round(n_tokens / TASK_TOKENS)))
+    rows = materialize(rows.withColumn("round", F.pmod(F.xxhash64("out"), F.lit(ROUNDS))), "lm-pieces")
+    passes = min(ROUNDS, -(-LEAST_UPDATES // max(n_tokens, 1)))
+    schema = "i int, w double, " + ", ".join(f"v{k} double" for k in range(WIDTH))
+    for j in range(ROUNDS):
+        shared = spark.sparkContext.broadcast(net)
+
+        def run(batches: Iterator[pa.RecordBatch], j: int = j, shared=shared) -> Iterator[pa.RecordBatch]:
+            own = copy.deepcopy(shared.value)
+            rng, done, held, size = np.random.default_rng([SEED, j]), 0, [], 0
+            for b in batches:
+                column = b.column(0)
+                values, ends = column.flatten().to_numpy(), np.cumsum(pa.compute.list_value_length(column).to_numpy())
+                for p in np.split(values, ends[:-1]) if len(ends) else ():
+                    held.append(p)
+                    size += len(p)
+                    if size >= SHUFFLED:
+                        stream, at = _stream(held)
+                        own.sweep(stream, at, rng)
+                        done, held, size = done + len(at), [], 0
+            if held:
+                stream, at = _stream(held)
+                own.sweep(stream, at, rng)
+                done += len(at)
+            if done:
+                flat = own.flat().astype(float) * done
+                flat = np.concatenate([flat, np.zeros(-len(flat) % WIDTH)]).reshape(-1, WIDTH)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(len(flat)), pa.int32()), pa.array(np.full(len(flat), float(done))),
+                     *(pa.array(flat[:, k]) for k in range(WIDTH))], names=["i", "w", *(f"v{k}" for k in range(WIDTH))])
+
+        used = rows.where(F.pmod(F.col("round") - j, F.lit(ROUNDS)) < passes).select("out")
+        mean = (used.mapInArrow(run, schema).groupBy("i")
+                .agg(*[(F.sum(f"v{k}") / F.sum("w")).alias(f"v{k}") for k in range(WIDTH)]).collect())
+        shared.unpersist()
+        if mean:
+            mean = np.array(sorted(tuple(r) for r in mean))
+            net.take(mean[:, 1:].ravel().astype(np.float32))
 
 
 @dataclass
@@ -102,7 +210,7 @@ class Model:
     end: int                        # output of the end of a text
     n_words: int                    # outputs below this are single words
     class_total: np.ndarray         # smoothed count of each output's class; 1 for single words
-    tables: np.ndarray | None = None
+    tables: tuple[np.ndarray, np.ndarray] | None = None     # Network.result()
     bias: np.ndarray | None = None
 
     @property
@@ -127,16 +235,19 @@ class Model:
         owner = np.concatenate([x for i, s in enumerate(sequences) for x in (np.full(CONTEXT, -1), np.full(len(s), i))])
         at = np.flatnonzero(owner >= 0)
         own = np.empty(len(at))
-        for i in range(0, len(at), BLOCK):
-            places = at[i:i + BLOCK]
-            s = self.tables[0][stream[places - 1]]
+        left, predicted = self.tables
+        block = max(64, BLOCK // self.n_out)
+        for i in range(0, len(at), block):
+            places = at[i:i + block]
+            hidden = left[0][stream[places - 1]]
             for k in range(1, CONTEXT):
-                s += self.tables[k][stream[places - 1 - k]]
+                hidden += left[k][stream[places - 1 - k]]
+            s = hidden @ predicted.T
             s += self.bias
             s -= s.max(axis=1, keepdims=True)
-            own[i:i + BLOCK] = s[np.arange(len(places)), stream[places]]
+            own[i:i + block] = s[np.arange(len(places)), stream[places]]
             np.exp(s, out=s)
-            own[i:i + BLOCK] -= np.log(s.sum(axis=1))
+            own[i:i + block] -= np.log(s.sum(axis=1))
         return np.bincount(owner[at], weights=own, minlength=len(sequences)) / np.log(10)
 
 
@@ -174,15 +285,17 @@ def frequent_words(counts: DataFrame, most: int) -> list:
 
 
 def train(docs: DataFrame, counts: DataFrame, n_docs: int, n_words: int = 160, n_classes: int = 95,
-          table_words: int = 100_000, sample_docs: int = 1_200, sample_tokens: int = 400_000) -> Model:
+          table_words: int = 100_000) -> Model:
     """Model from the training documents ``docs`` (doc_id, text), their word ``counts`` and number.
 
-    The counts cover all training documents; the network is fitted on a
-    bounded sample, about ``sample_docs`` documents drawn by a hash of doc_id
-    (as many of them as have ``sample_tokens`` tokens).
+    The counts and the network cover every token of all training documents;
+    long texts are cut into pieces.  ``n_words`` and ``n_classes`` outputs hold
+    up to BASE_TOKENS training tokens and grow with their fourth root above.
     """
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    top = frequent_words(counts, table_words)
+    grown = max(1.0, ((sums.n or 0) + n_docs) / BASE_TOKENS) ** GROWTH
+    n_words, n_classes = int(n_words * grown), int(n_classes * grown)
+    top = frequent_words(counts, max(table_words, n_words))
     single = {r.word for r in top[:n_words]}
     grouped = (counts.where(~F.col("word").isin(list(single))) if single else counts)
     # classes by the first two letters: all sums, of which the largest classes stand alone
@@ -201,22 +314,22 @@ def train(docs: DataFrame, counts: DataFrame, n_docs: int, n_words: int = 160, n
     model = Model(total=int(sums.n or 0) + n_docs, types=int(sums.v) + (n_docs > 0), end_count=n_docs,
                   index={r.word.encode(): i for i, r in enumerate(top)}, counts=np.array([r.c for r in top], float),
                   outputs=outputs, classes=classes, other=other, end=end, n_words=len(single), class_total=class_total)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("lbl")), F.lit(1_000_000))
-    sample = docs.where(draw < int(1e6 * min(1.0, sample_docs / max(n_docs, 1))) + 1)
-
-    def run(b: pa.RecordBatch) -> dict:
-        return {"out": [np.append(shared.value.look_up(tokens_of(t))[0], end).astype(np.int32) for t in as_bytes(b.column(0))]}
-
-    drawn = map_docs(sample.select(_text().alias("text")), run, "out array<int>")
-    drawn = drawn.withColumn("n", F.size("out")).where(F.col("n") <= sample_tokens // 20).orderBy(F.xxhash64("out"))
-    texts, size = [], 0
-    for r in drawn.limit(2 * sample_docs).toLocalIterator():
-        if size + r.n > sample_tokens:
-            break
-        texts.append(np.array(r.out, np.int32))
-        size += r.n
-    model.tables, model.bias = train_nce(texts, model.n_out, end)
+    count = np.zeros(model.n_out)
+    count[:end] = [r.c for r in top[:end]]
+    count[end] = n_docs
+    for r in large:
+        count[classes[r["first"]]] = r.c
+    count[other] = (rest.c or 0) - sum(r.c for r in large)
+    net = Network(count, end)
+    if n_docs:
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+
+        def run(b: pa.RecordBatch) -> dict:
+            return {"out": [p for t in as_bytes(b.column(0)) for p in
+                            pieces(np.append(shared.value.look_up(tokens_of(t))[0], end).astype(np.int32), end)]}
+
+        fit(map_docs(docs.select(_text().alias("text")), run, "out array<int>"), net, model.total)
+    model.tables, model.bias = net.result()
     return model
 
 

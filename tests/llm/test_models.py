@@ -152,3 +152,23 @@ def test_nce_learns_what_follows():
     assert m.log_probs([texts[0]])[0] / len(texts[0]) > -0.1
     total = sum(10 ** (m.log_probs([np.array([0, 1, x])])[0] - m.log_probs([np.array([0, 1])])[0]) for x in range(5))
     assert abs(total - 1) < 1e-4
+
+
+def test_op9_fits_long_texts_and_grows(spark):
+    rows = [(i, "alpha beta gamma delta " * 12_500) for i in range(10)]          # 500,000 tokens, all in long texts
+    docs = spark.createDataFrame(rows + [(99, "alpha beta gamma delta " * 50)], "doc_id long, text string")
+    scored = {r.doc_id: r for r in lbl.score(docs, F.col("doc_id") < 50, n_words=8).collect()}
+    assert scored[99].score > 0.1 * scored[99].base_score                        # near-certain words, not shares
+    learned = docs.where("doc_id < 50")
+    model = lbl.train(learned, lbl.count_words(learned), 10, n_words=3, n_classes=1)
+    assert model.n_words == 3
+    more = learned.unionByName(learned.selectExpr("doc_id + 100 AS doc_id", "text")).unionByName(
+        learned.selectExpr("doc_id + 200 AS doc_id", "text"))
+    assert lbl.train(more, lbl.count_words(more), 30, n_words=3, n_classes=1).n_words == 4
+
+
+def test_pieces_keep_every_token():
+    out = np.arange(5000, dtype=np.int32)
+    parts = lbl.pieces(out, 9999)
+    assert np.array_equal(np.concatenate([p[lbl.CONTEXT:] for p in parts]), out)
+    assert all(np.array_equal(p[:lbl.CONTEXT], q[-lbl.CONTEXT:]) for p, q in zip(parts[1:], parts))
