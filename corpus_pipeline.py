@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelab.llm import bpe, decontaminate, langid, phrases, simhash
+from pricelab.llm import bpe, common, decontaminate, langid, phrases, simhash
 from pricelab.llm.common import table
 from pricelab.session import materialize
 
@@ -19,17 +19,18 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def one_row_each(kept: DataFrame) -> DataFrame:
-    """One row of each doc_id: the one of the smallest text hash, if ids repeat."""
-    key = F.struct(F.xxhash64("text").alias("th"), F.xxhash64(*kept.columns).alias("rh"))
-    often = kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    often = materialize(often, "repeated-ids")
+    """One row of each document (doc_id and text): the one of the smallest hash, if rows repeat."""
+    did, th = common.did(), simhash.text_hash()
+    often = kept.groupBy(did.alias("__did"), th.alias("__th")).agg(F.count("*").alias("n")).where("n > 1")
+    often = materialize(often.select("__did", "__th"), "repeated-rows")
     if often.isEmpty():
         return kept
-    single = kept.join(often, kept.doc_id.eqNullSafe(often.doc_id), "left_anti")
-    many = kept.join(often, kept.doc_id.eqNullSafe(often.doc_id), "left_semi")
-    first = (many.groupBy("doc_id").agg(F.min_by(F.struct(*kept.columns), key).alias("row"))
+    same = (did == often["__did"]) & (th == often["__th"])
+    many = kept.join(often, same, "left_semi")
+    first = (many.groupBy(did.alias("__did"), th.alias("__th"))
+             .agg(F.min_by(F.struct(*kept.columns), F.xxhash64(*kept.columns)).alias("row"))
              .select("row.*"))
-    return single.unionByName(first)
+    return kept.join(often, same, "left_anti").unionByName(first)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,12 +44,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates stays: its smallest doc_id."""
-    groups = simhash.near_duplicates(docs, shingle=3, max_bits=3)
-    keep = (groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("keep_id")).distinct())
-    kept = docs.join(keep, docs.doc_id.eqNullSafe(keep.keep_id), "left_semi")
-    return one_row_each(kept)
+    """One document of each group of SimHash near-duplicates stays: its smallest doc_id (a null one
+    counts as the largest), of rows that share that id the smallest text hash."""
+    keep = simhash.representatives(docs, shingle=3, max_bits=3).toDF("__did", "__th")
+    same = (common.did() == keep["__did"]) & (simhash.text_hash() == keep["__th"])
+    return one_row_each(docs.join(keep, same, "left_semi"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

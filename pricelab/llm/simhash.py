@@ -17,11 +17,11 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import as_bytes, map_docs, small_batches, words
+from .common import as_bytes, did, map_docs, small_batches, words
 from .components import connected_components
 
 SEED = 42
@@ -51,13 +51,17 @@ def simhash(tokens: list[bytes], shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row of ``docs``: fp is the fingerprint as a signed long."""
+    """(doc_id, th, fp) of every row of ``docs``: th is the text's hash, fp the fingerprint as a signed long."""
     def run(b: pa.RecordBatch) -> dict:
         fps = [simhash(words(t.lower() if t else t), shingle) for t in as_bytes(b.column(1))]
-        return {"doc_id": b.column(0), "fp": np.array(fps, np.uint64).view(np.int64)}
+        return {"doc_id": b.column(0), "th": b.column(2), "fp": np.array(fps, np.uint64).view(np.int64)}
 
-    return map_docs(docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")), run,
-                    "doc_id long, fp long")
+    return map_docs(docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string"), text_hash(text)), run,
+                    "doc_id long, th long, fp long")
+
+
+def text_hash(text: str = "text") -> Column:
+    return F.xxhash64(F.col(text).cast("string"))
 
 
 def counts_in_unary(fp: np.ndarray) -> np.ndarray:
@@ -235,7 +239,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3,
     component_id.  Repeated rows are returned as often as given; other columns
     are not looked at.  An empty table gives no rows.
     """
-    fps = materialize(fingerprints(docs, shingle), "simhash-docs")
+    fps = materialize(fingerprints(docs, shingle).select("doc_id", "fp"), "simhash-docs")
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
     links = fingerprint_links(classes, max_bits, cell_limit)
     roots = connected_components(links)
@@ -247,3 +251,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3,
     return (fps.join(reps, "fp")
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                     "component_id"))
+
+
+def representatives(docs: DataFrame, shingle: int = 3, max_bits: int = 3, cell_limit: int = 20_000) -> DataFrame:
+    """(did, th): the first document, by id and text hash, of each component of near_duplicates().
+
+    Rows that share a doc_id, or have none, stay apart if their texts are in different components.
+    """
+    fps = fingerprints(docs, shingle).select(did().alias("did"), "th", "fp")
+    classes = materialize(fps.groupBy("fp").agg(F.min(F.struct("did", "th")).alias("rep")), "simhash-classes")
+    roots = connected_components(fingerprint_links(classes, max_bits, cell_limit))
+    return (classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
+            .groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("rep").alias("rep"))
+            .select("rep.did", "rep.th"))

@@ -56,3 +56,13 @@ def test_odd_rows_go_through(spark, tmp_path):
         kept = [r.doc_id for r in docs.collect()]
         assert P.STAGES[-1][1](spark, docs, "").count() == len(kept)
         assert kept == [] if not data else set(kept) == {1}
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    text = ["the cat sat on the mat and so did the dog", "der hund sitzt auf der matte und bellt laut",
+            "seven ships sailed past seven grey islands before noon", "ein ganz anderer satz ohne jede wiederholung darin"]
+    rows = [(1, text[0], 1), (0, text[1], 2), (1, text[1], 3),        # the second row of id 1 is a duplicate of id 0
+            (None, text[2], 4), (None, text[3], 5), (None, text[3], 5), (None, text[0], 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    kept = sorted((r.row, r.doc_id, r.text) for r in P.simhash_near_dedup(spark, docs, SF).collect())
+    assert kept == [(1, 1, text[0]), (2, 0, text[1]), (4, None, text[2]), (5, None, text[3])]
