@@ -8,6 +8,9 @@
    word, and compiled into Aho-Corasick automata over word numbers.
 3. The shard's segments stream through the automaton in document order; of
    each phrase's occurrences the first is kept and the others are cut.
+
+Anchors with very many segments go no such way: the first occurrence of each of
+their windows is an aggregate, and the others are cut by a join with it.
 """
 from __future__ import annotations
 
@@ -18,6 +21,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -60,20 +64,36 @@ def _segments(span: int):
     return run
 
 
-def _split_windows(span: int):
-    """Each window of a segment as a segment of its own."""
+def _window_digests(span: int):
+    """Each window of a segment by the 128-bit digest of its words."""
     def run(b: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {c: [] for c in ("anchor", "did", "th", "start", "n", "segment")}
-        for anchor, d, th, s, n, segment in zip(*(c.to_pylist() for c in b.columns)):
+        out: dict[str, list] = {c: [] for c in ("did", "th", "start")}
+        digests: list[bytes] = []
+        for d, th, s, n, segment in zip(*(c.to_pylist() for c in b.columns)):
             tokens = segment.split(b" ")
-            for i in range(n):
-                for c, v in zip(out, (anchor, d, th, s + i, 1, b" ".join(tokens[i:i + span]))):
-                    out[c].append(v)
-        return out
+            digests += [xxhash.xxh3_128_digest(b" ".join(tokens[i:i + span])) for i in range(n)]
+            out["did"] += [d] * n
+            out["th"] += [th] * n
+            out["start"] += range(s, s + n)
+        both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        return {"w1": both[:, 0], "w2": both[:, 1], **out}
 
     return run
 
 
+def _later_windows(segments: DataFrame, span: int) -> DataFrame:
+    """Cuts (did, th, start, n) among segments of any number for an anchor: of each window all
+    occurrences but the first, which is found by a partial aggregate."""
+    windows = map_docs(segments.select("did", "th", "start", "n", "segment"), _window_digests(span),
+                       "w1 long, w2 long, did long, th long, start int")
+    windows = materialize(windows, "frequent-windows")
+    place = F.struct("did", "th", "start")
+    first = (windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+             .where("first <> last").select("w1", "w2", "first"))
+    return (windows.join(first, ["w1", "w2"]).where(place != F.col("first"))
+            .select("did", "th", "start").distinct().withColumn("n", F.lit(1)))
+
+
 def _locate(span: int):
     """Cuts (did, th, start, n) among the segments of whole groups that arrive in order."""
     def cuts_of(rows: list[tuple]) -> list[tuple]:
@@ -105,14 +125,14 @@ def _locate(span: int):
         key, size = None, 0
         for b in batches:
             out: list[tuple] = []
-            for anchor, part, *row in zip(*(c.to_pylist() for c in b.columns)):
-                if (anchor, part) == key and held and held[-1][:3] == tuple(row[:3]):
+            for anchor, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if anchor == key and held and held[-1][:3] == tuple(row[:3]):
                     continue                 # a repeated row of the table
-                if (anchor, part) != key:
+                if anchor != key:
                     if size >= AUTOMATON_WINDOWS:
                         out += cuts_of(held)
                         held, size = [], 0
-                    key = anchor, part
+                    key = anchor
                 held.append(tuple(row))
                 size += row[3]
             if out:
@@ -133,7 +153,8 @@ def repeated_windows(docs: DataFrame, span: int = 20, group_limit: int = 5_000)
     """Rows (did, th, start, n): the n windows of ``span`` words from ``start`` on also start earlier,
     in a document before or further up in the same one.  n = -1: all words, as the document is a copy.
 
-    An anchor with more than ``group_limit`` segments has them dealt out window by window.
+    The windows of an anchor with more than ``group_limit`` segments are held against their first
+    occurrences by a join, so no task holds such a group.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -144,15 +165,13 @@ def repeated_windows(docs: DataFrame, span: int = 20, group_limit: int = 5_000)
     known = segments.where("segment is null").select("did", "th", "start", "n")
     segments = segments.where("segment is not null")
     big = materialize(segments.groupBy("anchor").count().where(F.col("count") > group_limit).select("anchor"), "big-anchors")
-    parts = segments.withColumn("part", F.lit(0).cast("long"))
+    few = segments
     if not big.isEmpty():
-        few = segments.join(big, "anchor", "left_anti").withColumn("part", F.lit(0).cast("long"))
-        many = map_docs(segments.join(big, "anchor", "left_semi").select("anchor", "did", "th", "start", "n", "segment"),
-                        _split_windows(span), columns)
-        parts = few.unionByName(many.withColumn("part", F.xxhash64("segment")))
-    found = (parts.select("anchor", "part", "did", "th", "start", "n", "segment")
-             .repartition(F.col("anchor"), F.col("part"))
-             .sortWithinPartitions("anchor", "part", "did", "th", "start")
+        few = segments.join(big, "anchor", "left_anti")
+        known = known.unionByName(_later_windows(segments.join(big, "anchor", "left_semi"), span))
+    found = (few.select("anchor", "did", "th", "start", "n", "segment")
+             .repartition(F.col("anchor"))
+             .sortWithinPartitions("anchor", "did", "th", "start")
              .mapInArrow(_locate(span), "did long, th long, start int, n int"))
     whole = copies.select("did", "th", F.lit(0).alias("start"), F.lit(-1).alias("n"))
     return found.unionByName(known).unionByName(whole)

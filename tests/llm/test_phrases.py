@@ -71,3 +71,28 @@ def test_shared_passages_and_edge_rows(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_no_task_holds_a_frequent_group(spark, monkeypatch):
+    passage = [f"p{i}" for i in range(25)]
+    rows = [(i, " ".join([f"a{i}", *passage, f"b{i}"])) for i in range(400)]
+    locate = phrases._locate
+
+    def watched(span):
+        run = locate(span)
+
+        def checked(batches):
+            def counted():
+                n = 0
+                for b in batches:
+                    n += b.num_rows
+                    if n > 100:
+                        raise AssertionError("a frequent group in one task")
+                    yield b
+
+            yield from run(counted())
+
+        return checked
+
+    monkeypatch.setattr(phrases, "_locate", watched)
+    assert run(spark, rows, group_limit=50) == brute(rows)
