@@ -2,8 +2,8 @@
 
 Every window of a document that has as many words as a benchmark item gets a
 SimHash over its word shingles.  The items' fingerprints are indexed by eight
-blocks of eight bits, each block with its one-bit neighbours: of two
-fingerprints within 15 bits one block differs in at most one bit, so the
+blocks of eight bits, each block with its two-bit neighbours: of two
+fingerprints within 23 bits one block differs in at most two bits, so the
 lookup meets every item within that radius.  Candidates of the window's size
 are then verified by the exact weighted Jaccard similarity of their shingles.
 
@@ -18,6 +18,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .anchors import run_hashes, word_hashes
 from .common import filter_docs, map_docs
 
-RADIUS = 15
+RADIUS = 23
 BLOCKS = 8
 _PUNCTUATION = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
@@ -80,10 +81,11 @@ class Index:
         self.multi = {size: self._multi_index(items) for size, items in self.by_size.items()}
 
     def _multi_index(self, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per block and value the items whose block has this value or differs in one bit:
+        """Per block and value the items whose block has this value or differs in one or two bits:
         (item lists one after another, where each list starts)."""
         bits = 64 // BLOCKS
-        changes = np.array([0, *(1 << b for b in range(bits))], np.int64)
+        ones = [1 << b for b in range(bits)]
+        changes = np.array([0, *ones, *(a | b for a, b in combinations(ones, 2))], np.int64)
         entries: list[np.ndarray] = []
         for block in range(BLOCKS):
             value = (self.items[items] >> np.uint64(block * bits)).astype(np.int64) & ((1 << bits) - 1)

@@ -77,3 +77,16 @@ def test_edits_and_edge_rows(spark):
     assert {r.item_id for r in alone} == {i for i in range(4)}
     assert decontaminate.contaminated(df.limit(0), bench).count() == 0
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0
+
+
+def test_no_window_at_the_threshold_is_lost():
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    items = [[word() for _ in range(rng.choice([25, 50, 59]))] for _ in range(1500)]
+    index = decontaminate.Index(list(range(len(items))), [[w.encode() for w in t] for t in items], 5)
+    for i, t in enumerate(items):
+        text = list(t)
+        text[0 if len(t) == 25 else len(t) // 2] = word()
+        got = {x[0]: x[3] for x in index.leaks(" ".join(text), 0.8)}
+        want = brute([(0, " ".join(text))], [(i, " ".join(t))])
+        assert got.keys() == {x[1] for x in want} == {i}
