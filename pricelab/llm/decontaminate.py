@@ -1,7 +1,7 @@
 """Operator 2: benchmark decontamination by SimHash of item-sized windows.
 
-Every window of a document that has as many words as a benchmark item gets a
-SimHash over its word shingles.  The items' fingerprints are indexed by eight
+Every window of a document that has as many words as a benchmark item (the
+whole document, if it has fewer) gets a SimHash over its word shingles.  The items' fingerprints are indexed by eight
 blocks of eight bits, each block with its two-bit neighbours: of two
 fingerprints within 23 bits one block differs in at most two bits, so the
 lookup meets every item within that radius.  Candidates of the window's size
@@ -132,16 +132,15 @@ class Index:
             return []
         sums = np.concatenate([[0.0], np.cumsum(np.where(hits, self.known_weight[at], 0.0))])
         best: dict[int, tuple] = {}
-        for size, items in self.by_size.items():
+        for item_size, items in self.by_size.items():
+            size = min(item_size, len(tokens))
             n = size - k + 1
-            if size > len(tokens):
-                continue
             least = threshold * self.total[items].min() - 1e-6
             starts = np.flatnonzero(sums[n:] - sums[:-n] >= least)
             if not len(starts):
                 continue
             found = window_fingerprints(shingles, starts, n)
-            for place, item in self.near(found, size):
+            for place, item in self.near(found, item_size):
                 s = int(starts[place])
                 sim = self.similarity(item, tokens[s:s + size])
                 if sim >= threshold and sim > best.get(item, (0.0,))[0]:
@@ -152,7 +151,8 @@ class Index:
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, shingle: int = 5,
                  block_words: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, similarity, bits): documents (doc_id, text) with a window
-    that holds a benchmark item (item_id, text), one row for each document and item.
+    that holds a benchmark item (item_id, text), one row for each document and item.  A document of
+    fewer words than an item is one window, of all its words.
 
     Words are lower-cased, without ASCII punctuation.  Items of fewer words
     than a shingle, null and empty ones match nothing; a null or empty text

@@ -90,3 +90,14 @@ def test_no_window_at_the_threshold_is_lost():
         got = {x[0]: x[3] for x in index.leaks(" ".join(text), 0.8)}
         want = brute([(0, " ".join(text))], [(i, " ".join(t))])
         assert got.keys() == {x[1] for x in want} == {i}
+
+
+def test_documents_shorter_than_an_item(spark):
+    item = [f"w{i}" for i in range(50)]
+    docs = [(1, " ".join(item[:-1])), (2, " ".join(item[4:])), (3, " ".join(item[:30])), (4, "w0 w1"), (5, " ".join(item))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(f"z{i}" for i in range(60)))], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.start_word, r.n_words, round(r.similarity, 4))
+                 for r in decontaminate.contaminated(df, bench).collect())
+    assert got == [(1, 7, 0, 49, round(45 / 46, 4)), (2, 7, 0, 46, round(42 / 46, 4)), (5, 7, 0, 50, 1.0)]
+    assert sorted(r.doc_id for r in decontaminate.clean(df, bench).collect()) == [3, 4]
