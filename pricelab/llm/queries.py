@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, lbl, merkle, phrases, simhash, suffixes, tokencount, toxicity
+from . import bpe, decontaminate, langid, lbl, merkle, packing, phrases, simhash, suffixes, tokencount, toxicity
 from .common import crc_mod, table
 
 
@@ -65,6 +65,13 @@ def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.cut_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                public_tokenizers.PATTERN, size=1024, end_id=2)
+    digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "part", "number")
+    return packing.place(digests, size=1024)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_array_dedup,
     op2_benchmark_decontamination,
@@ -76,6 +83,7 @@ QUERIES = {f.__name__: f for f in (
     op8_substring_dedup,
     op9_lm_scores,
     op10_merkle_fingerprints,
+    op12_best_fit_packing,
 )}
 
 #: DuckDB twins of the queries that SQL can express.
