@@ -9,7 +9,7 @@ import __spark_entry__ as E
 from pricelab.plans.registry import REGISTRY
 from pricelab.sources.catalog import TABLES
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 SQL = {k: v for k, v in E.oracle_sql().items() if k in REGISTRY}
 QUERIES = REGISTRY

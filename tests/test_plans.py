@@ -47,7 +47,7 @@ def test_no_global_windows_or_cartesian_anywhere(spark):
     """Scale guard over every registered query's final plan."""
     import re
 
-    from conftest import SF_SMALL
+    from paths import SF_SMALL
     from pricelab.plans.registry import REGISTRY
     bad = []
     for key, fn in REGISTRY.items():

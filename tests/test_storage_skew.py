@@ -10,7 +10,7 @@ from pricelab.plans.catalog import cleaned_catalog, raw_catalog
 from pricelab.plans.registry import REGISTRY
 from pricelab.sources.catalog import read_catalog_csv
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 class _Context:

@@ -11,7 +11,7 @@ from pricelab.streaming import catalog_stream, pricing_kpi_stream, run_available
 
 from pricelab.operators.scenarios import fit_price_line_values
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 LINE = (400.0, 300.0)  # an arbitrary fixed price line for the stream plumbing tests
 
