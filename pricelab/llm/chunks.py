@@ -109,6 +109,8 @@ class ByteTokens:
 class PieceTokens:
     """Ids of chunks, each beginning with a space, by a SentencePiece file (.model)."""
 
+    LEAD = "a"
+
     def __init__(self, path: str):
         self.library = m = sentencepiece.SentencePieceProcessor(model_file=path)
         if m.normalize(" A  Å ") != SPACE * 2 + "A" + SPACE * 2 + "Å" + SPACE:
@@ -117,16 +119,21 @@ class PieceTokens:
         if any(SPACE in m.id_to_piece(i).lstrip(SPACE) for i, s in enumerate(special) if not s):
             raise ValueError("a piece of this model crosses from a word into spaces")
         self.n_ids = m.vocab_size()
+        self.lead = len(m.encode(self.LEAD, num_threads=1))
         self.token = [bytes([int(m.id_to_piece(i)[3:-1], 16)]) if m.is_byte(i)
                       else m.id_to_piece(i).replace(SPACE, " ").encode() for i in range(self.n_ids)]
         self.width = np.array([len(t) for t in self.token], np.int64)
 
+    def _behind_lead(self, text: str) -> list[int]:
+        """Ids of ``text`` as it stands behind another word: a lone space has one too."""
+        return self.library.encode(self.LEAD + text, num_threads=1)[self.lead:]
+
     def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all chunks, each chunk's number of them, and whether they give back its bytes."""
         ids, counts, same = [], np.zeros(len(chunks), np.int64), np.ones(len(chunks), bool)
         for i, j in blocks(chunks):
             text = "".join(chunks[i:j])
-            got = self.library.encode(text[1:], num_threads=1)
+            got = self._behind_lead(text)
             if b"".join(map(self.token.__getitem__, got)) == text.encode():
                 ids.append(np.array(got, np.int64))
                 ends = np.cumsum(self.width[ids[-1]])
@@ -134,7 +141,7 @@ class PieceTokens:
                 counts[i:j] = np.diff(last, prepend=0)
                 continue
             for k in range(i, j):                              # some chunk does not come back: one by one
-                got = self.library.encode(chunks[k][1:], num_threads=1)
+                got = self._behind_lead(chunks[k])
                 ids.append(np.array(got, np.int64))
                 counts[k] = len(got)
                 same[k] = b"".join(map(self.token.__getitem__, got)) == chunks[k].encode()

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, lbl, merkle, packing, phrases, simhash, suffixes, tokencount, toxicity
+from . import alignment, bpe, conversations, decontaminate, langid, lbl, merkle, packing, phrases, simhash, suffixes, tokencount, toxicity
 from .common import crc_mod, table
 
 
@@ -65,6 +65,11 @@ def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damage(given), ids=given)
+
+
 def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
                                 public_tokenizers.PATTERN, size=1024, end_id=2)
@@ -72,6 +77,12 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.place(digests, size=1024)
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = alignment.linked(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                            public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+    return rows.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_array_dedup,
     op2_benchmark_decontamination,
@@ -83,7 +94,9 @@ QUERIES = {f.__name__: f for f in (
     op8_substring_dedup,
     op9_lm_scores,
     op10_merkle_fingerprints,
+    op11_conversation_repair,
     op12_best_fit_packing,
+    op13_tokenizer_alignment,
 )}
 
 #: DuckDB twins of the queries that SQL can express.
