@@ -19,6 +19,7 @@ import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +83,7 @@ class Aligner:
 
     def __init__(self, path_a: str, pattern: str, path_b: str):
         self.a, self.b = ByteTokens(path_a, pattern), PieceTokens(path_b)
+        self.names = [[str(i) for i in range(side.n_ids)] for side in (self.a, self.b)]
         self.recent = Recent(self.REMEMBER)
 
     def _learn(self, keys: set) -> None:
@@ -98,31 +100,50 @@ class Aligner:
         ids_b, n_b = ids_b[keep], n_b[same]
         new = [k for k, s in zip(new, same.tolist()) if s]
         ids_a, n_a = self.a.encode([c for c, s in zip(chunks, same.tolist()) if s])
-        to_a, to_b = aligned(np.cumsum(self.a.width[ids_a]).tolist(), np.cumsum(self.b.width[ids_b]).tolist())
-        ids_a, ids_b, width = ids_a.tolist(), ids_b.tolist(), self.b.n_ids
-        g = i = j = end_a = 0
-        for k, n, m in zip(new, n_a.tolist(), n_b.tolist()):
-            end_a += n
-            texts, pairs, links = [], [], 0
-            first = g
-            while i < end_a:
-                u, v = to_a[g], to_b[g]
-                g += 1
-                if u - i == 1 and v - j == 1:
-                    x, y = ids_a[i], ids_b[j]
-                    texts.append(f"{x}|{y}")
-                    pairs.append((x * width + y, 1))
-                    links += 1
-                else:
-                    xs, ys = ids_a[i:u], ids_b[j:v]
-                    texts.append(f"{','.join(map(str, xs))}|{','.join(map(str, ys))}")
-                    links += len(xs) * len(ys)
-                    ys = Counter(ys).items()
-                    pairs += [(x * width + y, p * q) for x, p in Counter(xs).items() for y, q in ys]
-                i, j = u, v
-            codes, times = zip(*pairs) if pairs else ((), ())
-            put[k] = (n, m, g - first, links, ";".join(texts),
-                      np.array(codes, np.int64).tobytes(), np.array(times, np.int64).tobytes())
+        to_a, to_b = (np.array(x, np.int64) for x in aligned(
+            np.cumsum(self.a.width[ids_a]).tolist(), np.cumsum(self.b.width[ids_b]).tolist()))
+        texts, codes, times, ends = self._groups(ids_a, ids_b, to_a, to_b)
+        last = np.searchsorted(to_a, np.cumsum(n_a), side="right")        # groups up to each chunk's end
+        cuts = np.concatenate([[0], ends])[last]
+        total = np.concatenate([[0], np.cumsum(times)])[cuts]
+        codes, times = codes.tobytes(), times.tobytes()
+        g = low = links = 0
+        for k, n, m, h, high, upto in zip(new, n_a.tolist(), n_b.tolist(), last.tolist(), cuts.tolist(), total.tolist()):
+            put[k] = n, m, h - g, upto - links, ";".join(texts[g:h]), codes[8 * low:8 * high], times[8 * low:8 * high]
+            g, low, links = h, high, upto
+
+    def _groups(self, ids_a: np.ndarray, ids_b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray):
+        """Of groups that end at ``to_a`` and ``to_b``: each one's text; the codes of all groups' id
+        pairs one after another, how often each is linked, and each group's end among them."""
+        from_a, from_b = (np.concatenate([[0], x[:-1]]) for x in (to_a, to_b))
+        sizes = np.ones(len(to_a), np.int64)
+        irregular = np.flatnonzero((to_a - from_a != 1) | (to_b - from_b != 1))
+        lead_a, lead_b = (ids[x] if len(x) else x for ids, x in ((ids_a, from_a), (ids_b, from_b)))
+        name_a, name_b, width = self.names[0], self.names[1], self.b.n_ids
+        texts = [f"{name_a[x]}|{name_b[y]}" for x, y in zip(lead_a.tolist(), lead_b.tolist())]
+        list_a, list_b = ids_a.tolist(), ids_b.tolist()
+        more, often, size = [], [], []
+        for g, i, u, j, v in zip(*(x.tolist() for x in (irregular, from_a[irregular], to_a[irregular],
+                                                        from_b[irregular], to_b[irregular]))):
+            xs, ys = list_a[i:u], list_b[j:v]
+            texts[g] = f"{','.join([name_a[x] for x in xs])}|{','.join([name_b[y] for y in ys])}"
+            if len(set(xs)) == len(xs) and len(set(ys)) == len(ys):
+                pairs = [x * width + y for x in xs for y in ys]
+                often += [1] * len(pairs)
+            else:
+                ys = Counter(ys).items()
+                pairs, counts = zip(*((x * width + y, p * q) for x, p in Counter(xs).items() for y, q in ys))
+                often += counts
+            more += pairs
+            size.append(len(pairs))
+        sizes[irregular] = size
+        ends = np.cumsum(sizes)
+        codes, times = np.repeat(lead_a * width + lead_b, sizes), np.ones(int(sizes.sum()), np.int64)
+        if size:
+            size = np.array(size)
+            at = np.repeat(ends[irregular] - np.cumsum(size), size) + np.arange(len(more))
+            codes[at], times[at] = more, often
+        return texts, codes, times, ends
 
     def documents(self, texts: list[str]) -> Iterator[tuple]:
         """Of each text (n_a, n_b, n_groups, n_links, groups, pairs, times), pairs rising and
@@ -152,9 +173,9 @@ class Aligner:
         known = list(map(get, freq))
         if not known or None in known:
             return 0, 0, 0, 0, "", [], []
-        n_a, n_b, groups, links, _, pairs, times = zip(*known)
+        *counts, _, pairs, times = zip(*known)
+        counts = [sum(map(mul, c, freq.values())) for c in counts]
         often = np.fromiter(freq.values(), np.int64, len(freq))
-        counts = (often @ np.array([n_a, n_b, groups, links], np.int64).T).tolist()
         codes = np.frombuffer(b"".join(pairs), np.int64)
         weight = np.frombuffer(b"".join(times), np.int64) * np.repeat(often, [len(p) // 8 for p in pairs])
         codes, at = np.unique(codes, return_inverse=True)
