@@ -1,12 +1,14 @@
 """Operator 9: language-model scores by a log-bilinear model trained with
 noise-contrastive estimation.
 
-Counts.  Spark counts every word of every training document.  The model's
-outputs are the most frequent words, the end of a text, and classes of all
-other words by their first two letters.  A word's probability given the
-``CONTEXT`` outputs before it is its output's probability, normalised over all
-outputs, times for a class the word's smoothed share of the class; unseen words
-of a class share one more type of it.  So a text's probability is normalised.
+Counts.  Spark counts every word of every training document.  The most
+frequent words are outputs of their own.  In alphabetical order they are cut
+into classes of equal size, and every other word belongs to the class it
+would stand in: it shares that class's one output for the rest.  A word's
+probability given the ``CONTEXT`` outputs before it is that of its class, times
+that of its output within the class, each normalised (two short products in
+place of one over all outputs), times for a rest its smoothed share of the rest; unseen
+words of a class share one more type of it.  So a text's probability is normalised.
 
 Word counts needed for a document come from two places: a broadcast table of
 at most ``table_words`` most frequent words, and for all other words a join
@@ -15,6 +17,8 @@ by the word's hash, summed per document.
 from __future__ import annotations
 
 import copy
+import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,19 +31,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import as_bytes, map_docs, words
+from .common import as_bytes, map_docs, small_batches, words
 
 CONTEXT = 4
 SMOOTH = 0.1
 SEED = 42
 #: Scores held at a time when texts are scored.
-BLOCK = 1 << 18
-#: Training: outputs of a piece, tokens of a task, tokens mixed in a task, rounds, columns of a row of
-#: parameters, and the updates below which pieces are used in more than one round.
-PIECE, TASK_TOKENS, SHUFFLED, ROUNDS, WIDTH = 2048, 4_000_000, 200_000, 4, 32
-LEAST_UPDATES = 1_600_000
-#: Training tokens up to which the given numbers of words and classes hold; above they grow.
-BASE_TOKENS, GROWTH = 400_000, 0.25
+BLOCK = 1 << 20
+#: Training: outputs of a piece, tokens of a task, tokens mixed in a task, rounds, columns of a row of parameters.
+PIECE, TASK_TOKENS, SHUFFLED, ROUNDS, WIDTH = 2048, 10_000_000, 400_000, 4, 32
+#: Parameters are summed as whole multiples of this, so that their mean does not depend on the order.
+UNIT = 2.0 ** -16
+#: Words with an output of their own up to so many training tokens; their number grows with the fourth root.
+BASE_TOKENS, BASE_WORDS, GROWTH = 400_000, 5000, 0.25
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
@@ -48,54 +52,75 @@ def tokens_of(text: bytes | None) -> list[bytes]:
 
 
 class Network:
-    """Log-bilinear model of output sequences: the score of output w after outputs c1.. is
-    bias[w] + q[w] . sum of r[c_i] @ c[i].  Trained by NCE with Adagrad; the noise is the unigram.
+    """Log-bilinear model of output sequences.  The output k of class c has the number c * width + k,
+    the end of a text is a class and an output of its own and the last number.  After the outputs
+    c1.. the hidden vector is the sum of r[c_i] * c[i]; class and output score bias + q . hidden.
+    Both levels are trained by NCE with Adagrad; the noise is the unigram of classes and of outputs.
     """
-    #: Outputs drawn as noise for a batch of places, which share them.
-    NOISE, BATCH, RATE = 64, 512, 0.15
+    #: Noise drawn for a batch of places, which share it: outputs and classes.
+    NOISE, CLASS_NOISE, RATE, SIZE = 48, 24, 0.15, 24
+    #: Places of a batch: a share of those seen before, within bounds.
+    SHARE, BATCH = 0.001, (16, 2048)
 
-    def __init__(self, counts: np.ndarray, end: int, size: int = 24, seed: int = 7):
+    def __init__(self, counts: np.ndarray, width: int, seed: int = 7):
         rng = np.random.default_rng(seed)
-        n = len(counts)
-        self.end = end
+        n, size = len(counts), self.SIZE
+        self.width, self.end, self.seen = width, n - 1, 0
+        self.small = np.uint16 if n <= 1 << 16 else np.int64       # short numbers sort by radix
         self.unigram = (counts + 0.5) / (counts + 0.5).sum()
-        self.params = [(rng.standard_normal((n, size)) * 0.1).astype(np.float32),     # r: context words
-                       (rng.standard_normal((n, size)) * 0.1).astype(np.float32),     # q: predicted words
-                       np.stack([np.eye(size, dtype=np.float32)] * CONTEXT) / CONTEXT,
-                       np.log(self.unigram).astype(np.float32)]
+        self.groups = np.add.reduceat(self.unigram, np.arange(0, n, width))
+        self.params = [(rng.standard_normal((n, size)) * 0.1).astype(np.float32),     # r: context outputs
+                       np.full((CONTEXT, size), 1 / CONTEXT, np.float32),
+                       (rng.standard_normal((n, size)) * 0.1).astype(np.float32),     # q: outputs
+                       np.log(self.unigram).astype(np.float32),
+                       (rng.standard_normal((len(self.groups), size)) * 0.1).astype(np.float32),     # q: classes
+                       np.log(self.groups).astype(np.float32)]
         self.past = [np.full_like(x, 1e-2) for x in self.params]
 
     def sweep(self, stream: np.ndarray, at: np.ndarray, rng: np.random.Generator) -> None:
         """One pass over the places ``at`` of ``stream``, each with CONTEXT outputs before it."""
-        r, q, c, bias = self.params
-        log_noise = np.log(self.NOISE * self.unigram).astype(np.float32)
-        bound = np.cumsum(self.unigram)
+        r, c, *_ = self.params
+        levels = [(2, np.log(self.NOISE * self.unigram).astype(np.float32), np.cumsum(self.unigram), self.NOISE),
+                  (4, np.log(self.CLASS_NOISE * self.groups).astype(np.float32), np.cumsum(self.groups), self.CLASS_NOISE)]
+        stream = stream.astype(self.small)
+        group_of = (stream // self.width).astype(self.small)
         order = rng.permutation(at)
-        for i in range(0, len(order), self.BATCH):
-            places = order[i:i + self.BATCH]
-            n, target = len(places), stream[places]
-            context = [stream[places - k] for k in range(1, CONTEXT + 1)]
-            rc = [r[x] for x in context]
-            hidden = sum(x @ w for x, w in zip(rc, c))
-            noise = np.searchsorted(bound, rng.random(self.NOISE) * bound[-1]).clip(0, len(bias) - 1)
-            qt, qn = q[target], q[noise]
-            s = np.einsum("be,be->b", hidden, qt) + bias[target] - log_noise[target]
-            gt = 1 / (1 + np.exp(np.clip(s, -30, 30))) / np.float32(np.sqrt(n))
-            s = hidden @ qn.T + (bias - log_noise)[noise]
-            gn = np.exp(-np.clip(s, -30, 30, out=s), out=s)
-            gn += 1
-            gn = np.divide(np.float32(-1 / np.sqrt(n)), gn, out=gn)
-            gh = gt[:, None] * qt + gn @ qn
-            gr = np.concatenate([gh @ w.T for w in c])
-            gc = np.stack([x.T @ gh for x in rc])
-            out = np.concatenate([target, noise])
-            gq = np.concatenate([gt[:, None] * hidden, gn.T @ hidden])
-            gb = np.concatenate([gt, gn.sum(axis=0)])
-            self._step(0, *_summed(np.concatenate(context), gr))
-            rows, gq, gb = _summed(out, gq, gb)
-            self._step(1, rows, gq)
-            self._step(2, slice(None), gc)
-            self._step(3, rows, gb)
+        before = np.arange(1, CONTEXT + 1)[:, None]
+        i = 0
+        while i < len(order):
+            places = order[i:i + int(np.clip(self.seen * self.SHARE, *self.BATCH))]
+            i += len(places)
+            self.seen += len(places)
+            context = stream[places - before]
+            rc = r[context]
+            hidden = np.einsum("kbe,ke->be", rc, c)
+            gh = 0
+            for (k, log_noise, bound, n_noise), target in zip(levels, (stream[places], group_of[places])):
+                noise = np.searchsorted(bound, rng.random(n_noise) * bound[-1]).clip(0, len(bound) - 1)
+                gh = gh + self._contrast(k, log_noise, target, noise, hidden)
+            gc = np.einsum("kbe,be->ke", rc, gh)
+            gr = gh[None] * c[:, None]
+            self._step(0, *_summed(context.ravel(), gr.reshape(-1, self.SIZE)))
+            self._step(1, slice(None), gc)
+
+    def _contrast(self, k: int, log_noise: np.ndarray, target: np.ndarray, noise: np.ndarray, hidden: np.ndarray) -> np.ndarray:
+        """One update of outputs ``k`` and their bias; returns the gradient of ``hidden``."""
+        q, bias = self.params[k:k + 2]
+        scale = np.float32(1 / np.sqrt(len(target)))
+        qt, qn = q[target], q[noise]
+        s = np.einsum("be,be->b", hidden, qt) + (bias[target] - log_noise[target])
+        gt = scale / (1 + np.exp(np.clip(s, -30, 30)))
+        s = hidden @ qn.T + (bias[noise] - log_noise[noise])
+        gn = np.exp(-np.clip(s, -30, 30, out=s), out=s)
+        gn += 1
+        gn = np.divide(-scale, gn, out=gn)
+        gh = gt[:, None] * qt + gn @ qn
+        rows, gq, gb = _summed(target, gt[:, None] * hidden, gt)
+        rows, gq, gb = _summed(np.concatenate([rows, noise.astype(rows.dtype)]), np.concatenate([gq, gn.T @ hidden]),
+                               np.concatenate([gb, gn.sum(axis=0)]))
+        self._step(k, rows, gq)
+        self._step(k + 1, rows, gb)
+        return gh
 
     def _step(self, k: int, rows, grad: np.ndarray) -> None:
         past = self.past[k][rows] + grad * grad
@@ -111,11 +136,6 @@ class Network:
             x[...] = values[at:at + x.size].reshape(x.shape)
             at += x.size
 
-    def result(self) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-        """((context words by their place, predicted words), bias) for Model."""
-        r, q, c, bias = self.params
-        return (np.stack([r @ w for w in c]), q), bias
-
 
 def _summed(rows: np.ndarray, *grads: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct rows, and of each gradient the sum for each of them."""
@@ -137,30 +157,19 @@ def _stream(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.flatnonzero(inside)
 
 
-def train_nce(texts: list[np.ndarray], n_out: int, end: int, epochs: int = 4):
-    """Network.result() of a network trained here on a few output sequences (each ends in ``end``)."""
-    net = Network(np.bincount(np.concatenate(texts), minlength=n_out) if texts else np.zeros(n_out), end)
-    if texts:
-        stream, at = _stream([p for t in texts for p in pieces(t, end)])
-        rng = np.random.default_rng(SEED)
-        for _ in range(epochs):
-            net.sweep(stream, at, rng)
-    return net.result()
-
-
 def fit(sequences: DataFrame, net: Network, n_tokens: int) -> None:
-    """Train ``net`` on all pieces ``out`` of ``sequences``, in ROUNDS rounds of Spark tasks.
+    """Train ``net`` on all pieces ``out`` of ``sequences`` (doc_id, out), each in one of ROUNDS rounds of Spark tasks.
 
     In a round every task trains a copy of the network on its share of the
-    pieces, and the copies' weighted mean is the next round's network.  Each
-    piece is used in at least one round, and in up to all of them while there
-    are few tokens.  The figures depend on how the rows are dealt out.
+    pieces, and the copies' weighted mean is the next round's network.  Pieces
+    are dealt by hash and sorted, and the mean is taken of whole numbers, so
+    the network does not depend on how the rows came.
     """
     spark = sequences.sparkSession
-    rows = sequences.repartition(max(1, round(n_tokens / TASK_TOKENS)))
-    rows = materialize(rows.withColumn("round", F.pmod(F.xxhash64("out"), F.lit(ROUNDS))), "lm-pieces")
-    passes = min(ROUNDS, -(-LEAST_UPDATES // max(n_tokens, 1)))
-    schema = "i int, w double, " + ", ".join(f"v{k} double" for k in range(WIDTH))
+    rows = materialize(sequences.select("out", F.xxhash64("doc_id", "out").alias("key")), "lm-pieces")
+    tasks = max(1, round(n_tokens / TASK_TOKENS))
+    names = ["i", "w", *(f"v{k}" for k in range(WIDTH))]
+    schema = "i int, " + ", ".join(f"{x} long" for x in names[1:])
     for j in range(ROUNDS):
         shared = spark.sparkContext.broadcast(net)
 
@@ -182,19 +191,19 @@ def fit(sequences: DataFrame, net: Network, n_tokens: int) -> None:
                 own.sweep(stream, at, rng)
                 done += len(at)
             if done:
-                flat = own.flat().astype(float) * done
-                flat = np.concatenate([flat, np.zeros(-len(flat) % WIDTH)]).reshape(-1, WIDTH)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(len(flat)), pa.int32()), pa.array(np.full(len(flat), float(done))),
-                     *(pa.array(flat[:, k]) for k in range(WIDTH))], names=["i", "w", *(f"v{k}" for k in range(WIDTH))])
-
-        used = rows.where(F.pmod(F.col("round") - j, F.lit(ROUNDS)) < passes).select("out")
-        mean = (used.mapInArrow(run, schema).groupBy("i")
-                .agg(*[(F.sum(f"v{k}") / F.sum("w")).alias(f"v{k}") for k in range(WIDTH)]).collect())
+                flat = np.rint(own.flat().astype(float) * (done / UNIT)).astype(np.int64)
+                flat = np.concatenate([flat, np.zeros(-len(flat) % WIDTH, np.int64)]).reshape(-1, WIDTH)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(np.full(len(flat), done)),
+                                                  *(pa.array(flat[:, k]) for k in range(WIDTH))], names=names)
+
+        dealt = (rows.where(F.pmod(F.shiftright("key", 32), F.lit(ROUNDS)) == j)
+                 .repartition(tasks, "key").sortWithinPartitions("key", "out").select("out"))
+        mean = dealt.mapInArrow(run, schema).groupBy("i").agg(*[F.sum(x).alias(x) for x in names[1:]]).toArrow().sort_by("i")
         shared.unpersist()
-        if mean:
-            mean = np.array(sorted(tuple(r) for r in mean))
-            net.take(mean[:, 1:].ravel().astype(np.float32))
+        if mean.num_rows:
+            values = np.stack([mean.column(f"v{k}").to_numpy() for k in range(WIDTH)], axis=1)
+            net.take((values / mean.column("w").to_numpy()[:, None] * UNIT).ravel().astype(np.float32))
+            net.seen += mean.column("w")[0].as_py() // tasks
 
 
 @dataclass
@@ -205,17 +214,14 @@ class Model:
     index: dict[bytes, int]         # frequent words: place in the two arrays
     counts: np.ndarray
     outputs: np.ndarray             # output of each frequent word
-    classes: dict[str, int]         # first two letters: output
-    other: int                      # output of words of no such class
-    end: int                        # output of the end of a text
-    n_words: int                    # outputs below this are single words
-    class_total: np.ndarray         # smoothed count of each output's class; 1 for single words
-    tables: tuple[np.ndarray, np.ndarray] | None = None     # Network.result()
-    bias: np.ndarray | None = None
+    first: list[bytes]              # first word of each class in alphabetical order
+    width: int                      # outputs of a class; its first one is the rest
+    rest_total: np.ndarray          # smoothed count of the words that share each class's rest
+    params: list[np.ndarray] | None = None                 # of the trained network
 
     @property
-    def n_out(self) -> int:
-        return len(self.class_total)
+    def end(self) -> int:
+        return len(self.rest_total) * self.width
 
     def look_up(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """(outputs, places in the table or -1, the words not in the table in order)."""
@@ -225,32 +231,57 @@ class Model:
         missing = np.flatnonzero(at < 0).tolist()
         rare = [tokens[i] for i in missing]
         if rare:
-            out[missing] = [self.classes.get(t[:8].decode("utf-8", "ignore")[:2], self.other) for t in rare]
+            out[missing] = [class_of(self.first, t) * self.width for t in rare]
         return out, at, rare
 
+    def is_rest(self, outputs: np.ndarray) -> np.ndarray:
+        return (outputs % self.width == 0) & (outputs < self.end)
+
     def log_probs(self, sequences: list[np.ndarray]) -> np.ndarray:
         """Sum of the normalised log10 probabilities of each output sequence."""
+        r, c, q, bias, class_q, class_bias = self.params
+        left = r[None] * c[:, None]
+        unused = np.setdiff1d(np.arange(self.end), np.concatenate([self.outputs, np.arange(0, self.end, self.width)]))
+        bias = bias.copy()
+        bias[unused] = -1e9
         pad = np.full(CONTEXT, self.end, np.int64)
         stream = np.concatenate([x for s in sequences for x in (pad, s)])
         owner = np.concatenate([x for i, s in enumerate(sequences) for x in (np.full(CONTEXT, -1), np.full(len(s), i))])
         at = np.flatnonzero(owner >= 0)
         own = np.empty(len(at))
-        left, predicted = self.tables
-        block = max(64, BLOCK // self.n_out)
+        block = max(64, BLOCK * 16 // len(class_bias))
         for i in range(0, len(at), block):
             places = at[i:i + block]
+            target = stream[places]
             hidden = left[0][stream[places - 1]]
             for k in range(1, CONTEXT):
                 hidden += left[k][stream[places - 1 - k]]
-            s = hidden @ predicted.T
-            s += self.bias
-            s -= s.max(axis=1, keepdims=True)
-            own[i:i + block] = s[np.arange(len(places)), stream[places]]
-            np.exp(s, out=s)
-            own[i:i + block] -= np.log(s.sum(axis=1))
+            group = target // self.width
+            logs = _log_softmax(hidden @ class_q.T + class_bias, group)
+            order = np.argsort(group.astype(np.uint16) if len(class_bias) < 1 << 16 else group, kind="stable")
+            cuts = np.searchsorted(group[order], np.arange(len(class_bias)))
+            for k in range(len(class_bias) - 1):               # the end is alone in its class
+                rows = order[cuts[k]:cuts[k + 1]]
+                if len(rows):
+                    low, high = k * self.width, (k + 1) * self.width
+                    logs[rows] += _log_softmax(hidden[rows] @ q[low:high].T + bias[low:high], target[rows] - low)
+            own[i:i + block] = logs
         return np.bincount(owner[at], weights=own, minlength=len(sequences)) / np.log(10)
 
 
+def _log_softmax(scores: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Natural log of each row's normalised probability of its target; ``scores`` are overwritten."""
+    scores -= scores.max(axis=1, keepdims=True)
+    own = scores[np.arange(len(target)), target].astype(float)
+    np.exp(scores, out=scores)
+    return own - np.log(scores.sum(axis=1))
+
+
+def class_of(first: list[bytes], word: bytes) -> int:
+    """The class whose words stand around ``word`` in alphabetical order."""
+    return max(0, bisect_right(first, word) - 1)
+
+
 def _text() -> Column:
     return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
@@ -284,55 +315,71 @@ def frequent_words(counts: DataFrame, most: int) -> list:
     return sorted(rows, key=lambda r: (-r.c, r.word))
 
 
-def train(docs: DataFrame, counts: DataFrame, n_docs: int, n_words: int = 160, n_classes: int = 95,
-          table_words: int = 100_000) -> Model:
+def train(docs: DataFrame, counts: DataFrame, n_docs: int, n_words: int = BASE_WORDS, table_words: int = 100_000) -> Model:
     """Model from the training documents ``docs`` (doc_id, text), their word ``counts`` and number.
 
     The counts and the network cover every token of all training documents;
-    long texts are cut into pieces.  ``n_words`` and ``n_classes`` outputs hold
-    up to BASE_TOKENS training tokens and grow with their fourth root above.
+    long texts are cut into pieces.  Up to BASE_TOKENS training tokens ``n_words``
+    words have an output of their own, above as many times their fourth root.
     """
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     grown = max(1.0, ((sums.n or 0) + n_docs) / BASE_TOKENS) ** GROWTH
-    n_words, n_classes = int(n_words * grown), int(n_classes * grown)
+    n_words = int(n_words * grown)
     top = frequent_words(counts, max(table_words, n_words))
-    single = {r.word for r in top[:n_words]}
-    grouped = (counts.where(~F.col("word").isin(list(single))) if single else counts)
-    # classes by the first two letters: all sums, of which the largest classes stand alone
-    by_class = grouped.groupBy(F.substring("word", 1, 2).alias("first")).agg(
-        F.sum("c").alias("c"), F.count("*").alias("v"))
-    large = by_class.orderBy(F.desc("c"), "first").limit(n_classes).collect()
-    rest = by_class.agg(F.sum("c").alias("c"), F.sum("v").alias("v")).first()
-    classes = {r["first"]: len(single) + 1 + i for i, r in enumerate(large)}
-    end, other = len(single), len(single) + 1 + len(large)
-    class_total = np.ones(other + 1)
-    for r in large:
-        class_total[classes[r["first"]]] = r.c + SMOOTH * (r.v + 1)
-    class_total[other] = ((rest.c or 0) - sum(r.c for r in large)
-                          + SMOOTH * ((rest.v or 0) - sum(r.v for r in large) + 1))
-    outputs = np.array([i if i < len(single) else classes.get(r.word[:2], other) for i, r in enumerate(top)], np.int64)
+    single = sorted((r.word.encode(), r.c) for r in top[:n_words])
+    n_classes = max(1, math.isqrt(len(single)))
+    size = -(-len(single) // n_classes)
+    n_classes = -(-len(single) // size) if size else 1
+    width, first = size + 1, [w for w, _ in single[::max(size, 1)]] or [b""]
+    output = {w: i // size * width + 1 + i % size for i, (w, _) in enumerate(single)}
+    rest_c, rest_v = rest_counts(counts, set(output), first)
+    outputs = np.array([output.get(w) if w in output else class_of(first, w) * width for w in (r.word.encode() for r in top)], np.int64)
     model = Model(total=int(sums.n or 0) + n_docs, types=int(sums.v) + (n_docs > 0), end_count=n_docs,
                   index={r.word.encode(): i for i, r in enumerate(top)}, counts=np.array([r.c for r in top], float),
-                  outputs=outputs, classes=classes, other=other, end=end, n_words=len(single), class_total=class_total)
-    count = np.zeros(model.n_out)
-    count[:end] = [r.c for r in top[:end]]
-    count[end] = n_docs
-    for r in large:
-        count[classes[r["first"]]] = r.c
-    count[other] = (rest.c or 0) - sum(r.c for r in large)
-    net = Network(count, end)
+                  outputs=outputs, first=first, width=width, rest_total=rest_c + SMOOTH * (rest_v + 1))
+    count = np.zeros(model.end + 1)
+    count[np.arange(n_classes) * width] = rest_c
+    for w, c in single:
+        count[output[w]] = c
+    count[model.end] = n_docs
+    net = Network(count, width)
     if n_docs:
         shared = docs.sparkSession.sparkContext.broadcast(model)
 
-        def run(b: pa.RecordBatch) -> dict:
-            return {"out": [p for t in as_bytes(b.column(0)) for p in
-                            pieces(np.append(shared.value.look_up(tokens_of(t))[0], end).astype(np.int32), end)]}
-
-        fit(map_docs(docs.select(_text().alias("text")), run, "out array<int>"), net, model.total)
-    model.tables, model.bias = net.result()
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = shared.value
+            for b in batches:
+                ids, parts = [], []
+                for doc, t in zip(b.column(0).to_pylist(), as_bytes(b.column(1))):
+                    new = pieces(np.append(m.look_up(tokens_of(t))[0], m.end).astype(np.int32), m.end)
+                    parts += new
+                    ids += [doc] * len(new)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.list_(pa.int32()))], names=["doc_id", "out"])
+
+        small_batches(docs.sparkSession)
+        fit(docs.select("doc_id", _text().alias("text")).mapInArrow(run, "doc_id long, out array<int>"), net, model.total)
+    model.params = net.params
     return model
 
 
+def rest_counts(counts: DataFrame, single: set[bytes], first: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of the words that are not in ``single``: sum of the counts and number of words by class."""
+    def run(b: pa.RecordBatch) -> dict:
+        c, v = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        for word, n in zip(as_bytes(b.column(0)), b.column(1).to_pylist()):
+            if word not in single:
+                k = class_of(first, word)
+                c[k] += n
+                v[k] += 1
+        return {"k": np.arange(len(first), dtype=np.int32), "c": c, "v": v}
+
+    sums = map_docs(counts.select("word", "c"), run, "k int, c long, v long").groupBy("k").agg(F.sum("c"), F.sum("v"))
+    c, v = np.zeros(len(first)), np.zeros(len(first))
+    for k, n, m in sums.collect():
+        c[k], v[k] = n, m
+    return c, v
+
+
 def score(docs: DataFrame, learn: Column, **options) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs`` (doc_id, text).
 
@@ -352,7 +399,7 @@ def score(docs: DataFrame, learn: Column, **options) -> DataFrame:
 
     def run(b: pa.RecordBatch) -> dict:
         m = shared.value
-        log_c, log_class = np.log10(m.counts + SMOOTH), np.log10(m.class_total)
+        log_c, log_rest = np.log10(m.counts + SMOOTH), np.log10(m.rest_total)
         out: dict[str, list] = {c: [] for c in ("n_tokens", "known", "logs", "part", "rare", "times")}
         sequences: list[np.ndarray] = []
         for t in as_bytes(b.column(1)):
@@ -363,8 +410,8 @@ def score(docs: DataFrame, learn: Column, **options) -> DataFrame:
             out["n_tokens"].append(len(tokens) + 1)
             out["known"].append(len(found) + (m.end_count > 0))
             out["logs"].append(float(log_c[found].sum()) + np.log10(m.end_count + SMOOTH))
-            grouped = outputs[at >= 0] > m.end
-            out["part"].append(float(log_c[found[grouped]].sum() - log_class[outputs].sum()))
+            rest = m.is_rest(outputs)
+            out["part"].append(float(log_c[at[rest & (at >= 0)]].sum() - log_rest[outputs[rest] // m.width].sum()))
             out["rare"].append([xxhash.xxh64_intdigest(w, SEED) - (1 << 64) * (xxhash.xxh64_intdigest(w, SEED) >> 63) for w in freq])
             out["times"].append(list(freq.values()))
             sequences.append(np.append(outputs, m.end))

@@ -136,7 +136,7 @@ def test_op9_edge_rows_and_normalisation(spark, table_words):
     docs = edge(spark)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     learn = F.coalesce(F.col("doc_id") != 5, F.lit(True))
-    options = dict(table_words=table_words, n_words=2, n_classes=3)
+    options = dict(table_words=table_words, n_words=2)
     got = lbl.score(docs, learn, **options).collect()
     assert found(got) == brute_scores(rows, lambda d: d != 5)
     assert lbl.score(docs.limit(0), learn, **options).count() == 0
@@ -144,13 +144,67 @@ def test_op9_edge_rows_and_normalisation(spark, table_words):
     assert len(none) == 8 and all(r.n_known == 0 and r.train_tokens == 0 for r in none)
 
 
+def by_hand(model, outputs):
+    """Log10 probability of an output sequence by the definition, one product after another."""
+    r, c, q, bias, class_q, class_bias = (x.astype(float) for x in model.params)
+    used = {*model.outputs.tolist(), *range(0, model.end, model.width)}
+    past, total = [model.end] * lbl.CONTEXT, 0.0
+    for o in [*outputs, model.end]:
+        hidden = sum(r[past[-k]] * c[k - 1] for k in range(1, lbl.CONTEXT + 1))
+        weights = [math.exp(class_q[k] @ hidden + class_bias[k]) for k in range(len(class_bias))]
+        total += math.log10(weights[o // model.width] / sum(weights))
+        if o != model.end:
+            members = [x for x in range(o // model.width * model.width, (o // model.width + 1) * model.width) if x in used]
+            weights = {x: math.exp(q[x] @ hidden + bias[x]) for x in members}
+            total += math.log10(weights[o] / sum(weights.values()))
+        past.append(o)
+    return total
+
+
+def test_op9_score_by_hand(spark, med_docs):
+    """The whole score against the definition: network, classes, shares of the rest."""
+    data = [(d, t[:3000]) for d, t in med_docs[:120]] + [(500, "never seen words zzz"), (501, ""), (502, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    learn = F.col("doc_id") < 100
+    rows = docs.where(learn)
+    counts = lbl.count_words(rows)
+    model = lbl.train(rows, counts, rows.count(), n_words=300, table_words=1000)
+    by_word = {r.word.encode(): r.c for r in counts.collect()}
+    single = {w for w, i in model.index.items() if model.outputs[i] % model.width}
+    group_of = lambda w: max(k for k, f in enumerate(model.first) if k == 0 or f <= w)
+    rest = Counter()
+    for w, c in by_word.items():
+        if w not in single:
+            rest[group_of(w)] += c + 0.1
+    want = {}
+    for d, t in data:
+        shares, outputs = 0.0, []
+        for w in lbl.tokens_of((t or "").encode()):
+            outputs.append(int(model.outputs[model.index[w]]) if w in single else group_of(w) * model.width)
+            if w not in single:
+                shares += math.log10((by_word.get(w, 0) + 0.1) / (rest[group_of(w)] + 0.1))
+        want[d] = by_hand(model, outputs) + shares
+    got = {r.doc_id: r.score for r in lbl.score(docs, learn, n_words=300, table_words=1000).collect()}
+    assert all(abs(got[d] - want[d]) < 1e-3 * max(1, abs(want[d])) for d, _ in data)
+
+
+def test_op9_scores_do_not_depend_on_partitions(spark, med_docs):
+    docs = spark.createDataFrame([(d, t[:2000]) for d, t in med_docs[:300]], "doc_id long, text string")
+    one, four = ({r.doc_id: r.score for r in lbl.score(docs.repartition(n), F.col("doc_id") % 10 != 0, n_words=200).collect()}
+                 for n in (1, 4))
+    assert one.keys() == four.keys() and all(abs(one[d] - four[d]) < 1e-6 * abs(one[d]) for d in one)
+
+
 def test_nce_learns_what_follows():
     rng = np.random.default_rng(0)
-    texts = [np.append(np.tile([0, 1, 2, 3][k:] + [0, 1, 2, 3][:k], 30), 4) for k in rng.integers(0, 4, 60)]
-    tables, bias = lbl.train_nce(texts, 5, 4)
-    m = lbl.Model(0, 0, 0, {}, np.zeros(0), np.zeros(0, int), {}, 4, 4, 4, np.ones(5), tables, bias)
+    # outputs 1, 2 and 4, 5 in two classes of width 3, the end is 6
+    texts = [np.append(np.tile(np.roll([1, 4, 2, 5], -k), 60), 6) for k in rng.integers(0, 4, 200)]
+    net = lbl.Network(np.bincount(np.concatenate(texts), minlength=7), 3)
+    stream, at = lbl._stream([p for t in texts for p in lbl.pieces(t, 6)])
+    net.sweep(stream, at, rng)
+    m = lbl.Model(0, 0, 0, {}, np.zeros(0), np.array([1, 2, 4, 5]), [b"", b"m"], 3, np.ones(2), net.params)
     assert m.log_probs([texts[0]])[0] / len(texts[0]) > -0.1
-    total = sum(10 ** (m.log_probs([np.array([0, 1, x])])[0] - m.log_probs([np.array([0, 1])])[0]) for x in range(5))
+    total = sum(10 ** (m.log_probs([np.array([1, 4, x])])[0] - m.log_probs([np.array([1, 4])])[0]) for x in range(7))
     assert abs(total - 1) < 1e-4
 
 
@@ -160,11 +214,10 @@ def test_op9_fits_long_texts_and_grows(spark):
     scored = {r.doc_id: r for r in lbl.score(docs, F.col("doc_id") < 50, n_words=8).collect()}
     assert scored[99].score > 0.1 * scored[99].base_score                        # near-certain words, not shares
     learned = docs.where("doc_id < 50")
-    model = lbl.train(learned, lbl.count_words(learned), 10, n_words=3, n_classes=1)
-    assert model.n_words == 3
     more = learned.unionByName(learned.selectExpr("doc_id + 100 AS doc_id", "text")).unionByName(
         learned.selectExpr("doc_id + 200 AS doc_id", "text"))
-    assert lbl.train(more, lbl.count_words(more), 30, n_words=3, n_classes=1).n_words == 4
+    own = [len(set(lbl.train(x, lbl.count_words(x), n, n_words=3).outputs.tolist())) for x, n in ((learned, 10), (more, 30))]
+    assert own == [3 + 1, 4]                                                     # three words and a rest; then four words
 
 
 def test_pieces_keep_every_token():
