@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .narrowing import column_quantiles
 from .prices import clip, round_to
 
 
@@ -102,9 +103,7 @@ def exact_quantiles(long: DataFrame, probs: Sequence[float], key: str = "column"
 
 def exact_median(df: DataFrame, column: str) -> Column:
     """Scalar-subquery column holding the exact median of ``column`` (NULL if none)."""
-    long = df.select(F.lit(column).alias("column"), F.col(column).alias("value"))
-    med = exact_quantiles(long, [0.5])
-    return med.select(F.max("quantile")).scalar()
+    return column_quantiles(df, [column], [0.5]).select(F.col("q")[0]).scalar()
 
 
 def histogram(df: DataFrame, column: str, nbins: int) -> DataFrame:

@@ -1,9 +1,8 @@
 """Cleaning operators (C1-C10): per-row projections plus one median scalar.
 
-The operators are lazy ``DataFrame -> DataFrame`` projections, but for the
-catalog-wide median used to impute missing competitor means: an exact
-distributed quantile whose distinct values are written to the shared folder
-when ``impute_competitor_mean`` (or ``clean_catalog``) is called.
+The operators are lazy ``DataFrame -> DataFrame`` projections.  The catalog-wide
+median that fills missing competitor means is a scalar subquery, an exact
+quantile by three narrowing aggregates (``functions.narrowing``).
 """
 
 from __future__ import annotations
@@ -31,9 +30,10 @@ def competitor_mean(df: DataFrame, invalid: float = S.INVALID_PRICE_LIST_MEAN) -
                          price_list_mean(F.col("competitor_prices"), invalid))
 
 
-def impute_competitor_mean(df: DataFrame, column: str = "competitor_price_mean") -> DataFrame:
-    """Fill missing competitor means with the exact catalog median."""
-    med = exact_median(df, column)
+def impute_competitor_mean(df: DataFrame, column: str = "competitor_price_mean",
+                           median: float | None = None) -> DataFrame:
+    """Fill missing competitor means with the exact catalog median, or with ``median`` if it is known."""
+    med = exact_median(df, column) if median is None else F.lit(median)
     return df.withColumn(column, F.coalesce(F.col(column), med))
 
 
@@ -135,8 +135,8 @@ def clean_label(df: DataFrame, label: str | None, column: str = "optimal_price")
 
 
 def clean_catalog(raw: DataFrame, flags: str | None = "strict", label: str | None = "fill",
-                  impute: bool = True) -> DataFrame:
-    """Load-time cleaning: names, competitor mean (+median fill), flags, price.
+                  impute: bool = True, median: float | None = None) -> DataFrame:
+    """Load-time cleaning: names, competitor mean (+median fill, see C3), flags, price.
 
     ``flags="strict"`` is the optimizer application's rule (int, clipped),
     ``flags="lenient"`` the playground's (double, unparsable to 0), ``None``
@@ -146,7 +146,7 @@ def clean_catalog(raw: DataFrame, flags: str | None = "strict", label: str | Non
     df = clean_names(df)
     df = competitor_mean(df)
     if impute:
-        df = impute_competitor_mean(df)
+        df = impute_competitor_mean(df, median=median)
     return clean_flags(clean_label(df, label), flags)
 
 

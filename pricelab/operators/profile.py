@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions.prices import round_to, tiers
-from ..functions.stats import exact_quantiles, histogram, safe_corr, unpivot_values
+from ..functions.narrowing import column_quantiles
+from ..functions.stats import histogram, safe_corr, unpivot_values
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                  T.DoubleType, T.DecimalType)
@@ -126,34 +127,25 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None,
     """A5: count, mean, sample std, min, quartiles, max per numeric column.
 
     Quartiles are exact and interpolated (``approx=True`` switches to
-    ``percentile_approx`` sketches).  The moments are one partial aggregate
-    over the unpivoted values; the quartiles come from ``exact_quantiles``.
+    ``percentile_approx`` sketches).  The exact ones come from
+    ``column_quantiles``, whose first pass also takes the moments: three
+    aggregates over the rows, no unpivot, no sort, nothing run or written when called.
     """
     columns = list(columns) if columns is not None else numeric_columns(df)
-    long = unpivot_values(df, columns)
-    moments = long.groupBy("column").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    probs = [0.25, 0.5, 0.75]
+    probs, names = [0.25, 0.5, 0.75], ["q25", "q50", "q75"]
     if approx:
-        qs = long.groupBy("column").agg(
-            F.percentile_approx("value", probs, 10000).alias("qs"))
-        quart = qs.select("column", *[F.col("qs")[i].alias(n)
-                                      for i, n in enumerate(["q25", "q50", "q75"])])
+        long = unpivot_values(df, columns)
+        found = long.groupBy("column").agg(
+            F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+            F.min("value").alias("min"), F.max("value").alias("max"),
+            F.percentile_approx("value", probs, 10000).alias("q"))
+        found = _column_list(df, columns).join(found, "column", "left")
     else:
-        q = exact_quantiles(long, probs)
-        quart = q.groupBy("column").agg(*[
-            F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(n)
-            for p, n in zip(probs, ["q25", "q50", "q75"])])
-    cols = _column_list(df, columns)
-    out = cols.join(moments, "column", "left").join(quart, "column", "left")
-    return out.select(
-        "column", "ordinal", F.coalesce(F.col("count"), F.lit(0)).alias("count"),
-        *[_r(F.col(c), digits).alias(c) for c in ["mean", "std", "min", "q25", "q50", "q75", "max"]])
+        found = column_quantiles(df, columns, probs, moments=True)
+    found = found.select("*", *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
+    return found.select(
+        "column", "ordinal", F.coalesce(F.col("n"), F.lit(0)).alias("count"),
+        *[_r(F.col(c), digits).alias(c) for c in ["mean", "std", "min", *names, "max"]])
 
 
 def categorical_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -12,12 +12,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.cleaning import clean_catalog, clean_flags, clean_label
+from ..functions.narrowing import column_quantiles
+from ..operators.cleaning import clean_catalog, clean_flags, clean_label, competitor_mean
 from ..session import input_version, write_shared
 from ..sources.catalog import catalog_from_tables
 
 SOURCE_TABLES = ["part", "lineitem", "events", "supplier", "nation", "region"]
 _CACHE: dict[tuple, str] = {}
+_MEDIANS: dict[tuple, float | None] = {}
 
 
 def catalog_key(spark: SparkSession, sf_dir: str, kind: str) -> tuple:
@@ -59,6 +61,15 @@ def raw_catalog_path(spark: SparkSession, sf_dir: str) -> str:
     return _CACHE[catalog_key(spark, sf_dir, "raw")]
 
 
+def competitor_median(spark: SparkSession, sf_dir: str) -> float | None:
+    """Exact median of the catalog's known competitor means; found once per application and input."""
+    key = catalog_key(spark, sf_dir, "competitor-median")
+    if key not in _MEDIANS:
+        means = competitor_mean(raw_catalog(spark, sf_dir))
+        _MEDIANS[key] = column_quantiles(means, ["competitor_price_mean"], [0.5]).first()["q"][0]
+    return _MEDIANS[key]
+
+
 def cleaned_catalog(spark: SparkSession, sf_dir: str, flags: str = "strict",
                     cache: bool = True, label: str = "fill") -> DataFrame:
     """Catalog after load-time cleaning (strict flags = optimizer edition).
@@ -73,10 +84,11 @@ def cleaned_catalog(spark: SparkSession, sf_dir: str, flags: str = "strict",
     key = catalog_key(spark, sf_dir, "clean-core")
     core = _cached(spark, key)
     if core is None:
-        core = _store(clean_catalog(raw_catalog(spark, sf_dir), flags=None, label="null"), key,
-                      "catalog-clean-core")
+        core = _store(clean_catalog(raw_catalog(spark, sf_dir), flags=None, label="null",
+                                    median=competitor_median(spark, sf_dir)), key, "catalog-clean-core")
     return clean_flags(clean_label(core, label), flags)
 
 
 def clear_cache() -> None:
     _CACHE.clear()
+    _MEDIANS.clear()

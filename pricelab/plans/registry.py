@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from .. import streaming
 from ..functions.prices import round6, round_to
-from ..functions.stats import exact_quantiles, histogram
+from ..functions.stats import histogram
 from ..operators import cleaning as C
 from ..operators import features as Fe
 from ..operators import kpi as K
@@ -23,11 +24,13 @@ from ..operators import scenarios as J
 from ..operators import search as P
 from ..operators.model import (feature_importance, model_summary, score_catalog, top_drivers,
                                train_linear_model, train_price_model)
+from ..operators.model_tables import (importance_from_tables, load_forest, read_forest, save_forest,
+                                      score_from_tables)
 from ..session import materialize, scratch_path
-from ..sources.catalog import (read_catalog_csv, read_catalog_parquet, write_catalog_csv,
-                               write_report)
+from ..sources.catalog import (load_catalog_csv, read_catalog_csv, read_catalog_parquet, read_report_parts,
+                               write_catalog_csv, write_report, write_report_parts)
 from ..streaming.pricing import catalog_stream, pricing_kpi_stream, run_available
-from .catalog import catalog_key, cleaned_catalog, raw_catalog, raw_catalog_path
+from .catalog import catalog_key, cleaned_catalog, competitor_median, raw_catalog, raw_catalog_path
 from .params import (ENCODED_LOOKUP_COLUMNS, FEATURES_FIXED, LINEAR_SIGNALS, NA_CELLS, NO_MATCH_TERM,
                      SEARCH_LITERAL, SEARCH_REGEX, SEARCH_TERM, SIGNAL_WEIGHTS, WEIGHTED_SIGNALS)
 from .whatif import (forest_optimizer_pricing, forest_playground_pricing, optimizer_frame,
@@ -678,6 +681,26 @@ def q_model_roundtrip(spark, sf):
     return score_catalog(PipelineModel.load(path), clean)
 
 
+@register("forest_tables")
+def q_forest_tables(spark, sf):
+    """S2, M2, T1 with the forest as tables, held against the model object: products scored, products and
+    features whose number differs, trees, and nodes that no walk can reach."""
+    clean, model = _forest(spark, sf)
+    path = _MODELS[catalog_key(spark, sf, "forest-strict")]
+    tables = load_forest(spark, save_forest(read_forest(spark, path), scratch_path(spark, "forest-tables")))
+    theirs = score_catalog(model, clean).select("id", F.col("prediction").alias("p"))
+    scored = score_from_tables(tables, clean).join(theirs, "id", "full")
+    ours = importance_from_tables(tables).join(feature_importance(model).withColumnRenamed("importance", "i"), "feature", "full")
+    n_features = ours.select(F.count_if(F.coalesce(F.abs(F.col("importance") - F.col("i")) > 1e-9, F.lit(True)))).scalar()
+    children = tables.nodes.where("left >= 0").select("tree", F.explode(F.array("left", "right")).alias("node"))
+    lost = tables.nodes.where("node > 0").join(children, ["tree", "node"], "left_anti").select(F.count("*")).scalar()
+    n_trees = tables.nodes.select(F.count_distinct("tree")).scalar()
+    return scored.select(F.count("prediction").alias("n_products"),
+                         F.count_if(~F.col("prediction").eqNullSafe(F.col("p"))).alias("n_products_differ"),
+                         F.max(n_features).alias("n_features_differ"), F.max(n_trees).alias("n_trees"),
+                         F.max(lost).alias("n_nodes_lost"))
+
+
 @register("forest_pricing")
 def q_forest_pricing(spark, sf):
     """Playground flow with the trained forest: weighted vector (F4, calibrated
@@ -698,18 +721,124 @@ def q_forest_optimizer_pricing(spark, sf):
                      "revenue_impact", "profit_margin", "recommendation", "confidence", "strategy")
 
 
+def _broken_lines(raw):
+    """Three broken CSV rows made of the catalog's first products: cut short, too long, a signal that is no number."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("id", "articleType", "season")]
+    n = len(S.CATALOG_SCHEMA.fields)
+    lines = F.array(F.concat_ws(",", *cells), F.concat(F.concat_ws(",", *cells), F.lit("," * n)),
+                    F.concat_ws(",", cells[0], *[F.lit("many" if f.name == "demand" else "") for f in S.CATALOG_SCHEMA.fields[1:]]))
+    first = raw.orderBy("id").limit(1).select(F.posexplode(lines).alias("k", "value"))
+    header = raw.sparkSession.range(1).select(F.lit(-1).alias("k"), F.lit(",".join(S.CATALOG_SCHEMA.names)).alias("value"))
+    return header.unionByName(first).coalesce(1).sortWithinPartitions("k").select("value")
+
+
+@register("catalog_quarantine")
+def q_catalog_quarantine(spark, sf):
+    """S1, tolerant: the catalog's CSV files and one with three broken rows; the good rows are all
+    there, and the broken ones are in the quarantine table with their problems."""
+    raw = raw_catalog(spark, sf)
+    path = scratch_path(spark, "catalog-csv-dirty")
+    write_catalog_csv(raw, path)
+    _broken_lines(raw).write.mode("append").text(path)
+    load = load_catalog_csv(spark, path, scratch_path(spark, "catalog-loaded"), max_bad_share=0.5)
+    problems = load.quarantine.select(F.count("*").alias("n"), F.array_sort(F.collect_set(
+        F.regexp_extract(F.col("problems")[0], "^[^:]*", 0))).alias("kinds"))
+    n, kinds = problems.select("n").scalar(), problems.select(F.array_join("kinds", "; ")).scalar()
+    return load.good.select("*", n.alias("n_quarantined"), kinds.alias("problems"), F.lit(load.n_good).alias("n_good"))
+
+
+@register("report_sink_parts")
+def q_report_sink_parts(spark, sf):
+    """S3 by partition: a report by season written whole, then the run of one season again with other
+    numbers; the other seasons are as they were."""
+    rows = A.season_summary(cleaned_catalog(spark, sf, label="null")).withColumn("edition", F.lit(1))
+    path = scratch_path(spark, "report-parts")
+    write_report_parts(rows, path, ["season"], "all")
+    again = rows.where("season = 'Winter'").withColumn("edition", F.lit(2))
+    for _ in range(2):                                    # a run that is repeated changes nothing more
+        write_report_parts(again, path, ["season"], "winter")
+    return read_report_parts(spark, path).select(*rows.columns)
+
+
+# ---------------------------------------------------------------- streams with state
+_STREAMS: dict[tuple, str] = {}
+#: Load times of the three arrivals: the last one is late, but within the delay.
+_LOADED = ["2024-01-01 10:00:00", "2024-01-01 12:00:00", "2024-01-01 09:00:00"]
+
+
+def _arrive(raw, source, part):
+    """Write a third of the catalog (by id) as files that arrive now."""
+    rows = raw.where(F.pmod("id", F.lit(3)) == part).withColumn("loaded_at", F.lit(_LOADED[part]).cast("timestamp"))
+    rows.write.mode("append").parquet(source)
+
+
+def _stream_cells(spark, sf):
+    """The cell table after four micro-batches over the catalog's files: two arrivals, a late
+    one, and the first one a second time; each batch is a query of its own that restarts
+    from the checkpoint.  Built once per application and input."""
+    raw = raw_catalog(spark, sf)
+    key = catalog_key(spark, sf, "stream-cells")
+    if key not in _STREAMS:
+        source, table, ckpt = (scratch_path(spark, f"stream-cells-{x}") for x in ("source", "table", "checkpoint"))
+        for part in (0, 1, 2, 0):
+            _arrive(raw, source, part)
+            streaming.run_to_table(streaming.cells(streaming.arrivals(spark, source)), table, ckpt)
+        _STREAMS[key] = table
+    return streaming.newest_cells(spark, _STREAMS[key])
+
+
+@register("stream_category_stats")
+def q_stream_category_stats(spark, sf):
+    """A8 kept up to date by a stream with state."""
+    return streaming.category_stats(_stream_cells(spark, sf))
+
+
+@register("stream_overview")
+def q_stream_overview(spark, sf):
+    """A1, A2 kept up to date by the same stream."""
+    return streaming.overview(_stream_cells(spark, sf))
+
+
+@register("stream_season_summary")
+def q_stream_season_summary(spark, sf):
+    """A14 kept up to date by the same stream."""
+    return streaming.season_means(_stream_cells(spark, sf))
+
+
+@register("stream_category_distribution")
+def q_stream_category_distribution(spark, sf):
+    """A17 kept up to date by the same stream."""
+    return streaming.category_shares(_stream_cells(spark, sf))
+
+
+@register("stream_median_rank")
+def q_stream_median_rank(spark, sf):
+    """C3 in a stream: the median of merged sketches, held against the exact ranks of all values.
+
+    n_values and n_sketched: known competitor means, in the catalog and in the sketches;
+    within_bound: the sketch's median has a rank within its stated error of one half.
+    """
+    raw = raw_catalog(spark, sf)
+    source, table, sketches, ckpt = (scratch_path(spark, f"stream-median-{x}") for x in ("source", "table", "sketches", "checkpoint"))
+    for part in range(3):
+        _arrive(raw, source, part)
+        streaming.median_fill_stream(streaming.arrivals(spark, source), table, sketches, ckpt)
+    median = streaming.sketch_quantile(spark, sketches)
+    n = spark.read.parquet(sketches).select(F.sum(F.kll_sketch_get_n_double("sketch"))).scalar()
+    values = C.competitor_mean(raw).where("competitor_price_mean is not null").select("competitor_price_mean").withColumn("m", median)
+    v, m, error = F.col("competitor_price_mean"), F.col("m"), F.lit(streaming.RANK_ERROR)
+    below, upto = F.count_if(v < m) / F.count("*"), F.count_if(v <= m) / F.count("*")
+    return values.select(F.count("*").alias("n_values"), F.max(n).alias("n_sketched"),
+                         ((below <= 0.5 + error) & (upto >= 0.5 - error)).alias("within_bound"))
+
+
 @register("stream_pricing_kpis")
 def q_stream_kpis(spark, sf):
     """Streaming: the raw catalog files as a stream -> cleaning -> KPIs -> parquet sink."""
-    raw = raw_catalog(spark, sf)
     source = raw_catalog_path(spark, sf)
-    long = C.competitor_mean(raw).select(F.lit("m").alias("column"),
-                                         F.col("competitor_price_mean").alias("value"))
-    med_rows = exact_quantiles(long, [0.5]).collect()   # one row: the median
-    median = med_rows[0]["quantile"] if med_rows else None
     sink = scratch_path(spark, "stream-kpis")
     ckpt = scratch_path(spark, "stream-kpis-checkpoint")
     line = J.fit_price_line_values(cleaned_catalog(spark, sf, flags="lenient"))  # one row
     run_available(pricing_kpi_stream(catalog_stream(spark, source),
-                                     median, line), sink, ckpt)
+                                     competitor_median(spark, sf), line), sink, ckpt)
     return spark.read.parquet(sink)

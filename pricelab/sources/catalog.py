@@ -17,11 +17,11 @@ Dimension tables are joined by key and left to Spark's size-checked broadcast.
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import NamedTuple, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..schema import CATALOG_SCHEMA, NA_MARKERS
 from ..session import materialize
@@ -161,6 +161,20 @@ def catalog_from_tables(spark: SparkSession, sf_dir: str, materialize_base: bool
     return out
 
 
+def _text_schema(*more: str) -> StructType:
+    return StructType([StructField(n, StringType(), True) for n in (*(f.name for f in CATALOG_SCHEMA), *more)])
+
+
+def _csv(spark: SparkSession, mode: str, multi_line: bool):
+    return (spark.read.option("header", True).option("escape", '"').option("mode", mode).option("multiLine", multi_line))
+
+
+def _fits(field: StructField) -> Column:
+    """The cell as its column's type if it is a value of it, else NULL (also for a NaN, which is a missing mark)."""
+    value = F.col(f"`{field.name}`").try_cast(field.dataType)
+    return F.when(~F.isnan(value), value) if field.dataType == DoubleType() else value
+
+
 def read_catalog_csv(spark: SparkSession, path: str, na_values: Sequence[str] = NA_MARKERS,
                      multi_line: bool = False) -> DataFrame:
     """Catalog CSV scan with the declared schema (no inference, quoted list cells).
@@ -169,12 +183,60 @@ def read_catalog_csv(spark: SparkSession, path: str, na_values: Sequence[str] =
     does not fit its column's type fails the query.  ``multi_line`` reads
     quoted line breaks (a file is then not split).
     """
-    text = StructType([StructField(f.name, StringType(), True) for f in CATALOG_SCHEMA])
-    rows = (spark.read.schema(text)
-            .option("header", True).option("escape", '"').option("mode", "FAILFAST")
-            .option("multiLine", multi_line).csv(path))
-    return rows.select(*[F.when(~F.col(f.name).isin(list(na_values)), F.col(f.name))
-                         .cast(f.dataType).alias(f.name) for f in CATALOG_SCHEMA])
+    rows = _csv(spark, "FAILFAST", multi_line).schema(_text_schema()).csv(path)
+    out = []
+    for f in CATALOG_SCHEMA:
+        # most cells are values; only the others are held against the markers, and the cast fails on what is left
+        known = F.when(~F.col(f.name).isin(list(na_values)), F.col(f.name))
+        out.append((known if f.dataType == StringType() else F.coalesce(_fits(f), known.cast(f.dataType))).alias(f.name))
+    return rows.select(*out)
+
+
+class CatalogLoad(NamedTuple):
+    good: DataFrame         # rows of the declared schema
+    quarantine: DataFrame   # file, record (its text), problems (array of text)
+    n_good: int
+    n_quarantined: int
+
+
+def load_catalog_csv(spark: SparkSession, path: str, table_dir: str, na_values: Sequence[str] = NA_MARKERS,
+                     multi_line: bool = False, max_bad_share: float = 1.0) -> CatalogLoad:
+    """Tolerant load: broken rows go to a quarantine table and the others stay.
+
+    A row is broken if it has too few or too many cells, or a cell that is
+    neither a value of its column's type nor one of ``na_values``; ``problems``
+    names each.  The files are scanned once: typed and broken rows are written to
+    ``table_dir`` side by side (partition ``ok``), and an observation counts them on the way.
+    More than ``max_bad_share`` of broken rows raises, with both tables left to look at.
+    """
+    corrupt = "_corrupt_record"
+    rows = (_csv(spark, "PERMISSIVE", multi_line).option("columnNameOfCorruptRecord", corrupt)
+            .schema(_text_schema(corrupt)).csv(path).select("*", F.col("_metadata.file_path").alias("_file")))
+    problems = [F.when(F.col(corrupt).isNotNull(), F.lit("wrong number of cells"))]
+    typed = []
+    for f in CATALOG_SCHEMA:
+        text = F.col(f.name)
+        known = F.when(~text.isin(list(na_values)), text)
+        if f.dataType == StringType():
+            typed.append(known.alias(f.name))
+            continue
+        typed.append(_fits(f).alias(f.name))
+        odd = F.col(corrupt).isNull() & _fits(f).isNull() & known.isNotNull()
+        problems.append(F.when(odd, F.concat(F.lit(f"{f.name}: "), text)))
+    record = F.coalesce(F.col(corrupt), F.to_csv(F.struct(*[F.col(f.name) for f in CATALOG_SCHEMA])))
+    found = F.array_compact(F.array(*problems))
+    parsed = rows.select(*typed, found.alias("_problems"), F.when(F.size(found) > 0, record).alias("_record"),
+                         "_file", (F.size(found) == 0).alias("ok"))
+    seen = Observation()
+    counted = parsed.observe(seen, F.count_if("ok").alias("good"), F.count_if(~F.col("ok")).alias("bad"))
+    counted.write.mode("overwrite").partitionBy("ok").parquet(table_dir)
+    n_good, n_bad = int(seen.get["good"]), int(seen.get["bad"])
+    if n_bad > max_bad_share * (n_good + n_bad):
+        raise ValueError(f"{n_bad} of {n_good + n_bad} rows are broken; see {table_dir}/ok=false")
+    written = spark.read.schema(StructType([*CATALOG_SCHEMA.fields, *parsed.schema.fields[-4:]])).parquet(table_dir)
+    return CatalogLoad(written.where("ok").select(*[f.name for f in CATALOG_SCHEMA]),
+                       written.where("not ok").select(F.col("_file").alias("file"), F.col("_record").alias("record"),
+                                                      F.col("_problems").alias("problems")), n_good, n_bad)
 
 
 def read_catalog_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -189,3 +251,28 @@ def write_catalog_csv(df: DataFrame, path: str) -> None:
 def write_report(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Report sink: every report is a DataFrame; write it where the caller says."""
     df.write.mode("overwrite").format(fmt).save(path)
+
+
+def write_report_parts(df: DataFrame, path: str, parts: Sequence[str], run: str) -> None:
+    """Report sink by partition: only the parts that ``df`` has are replaced (dynamic overwrite).
+
+    A marker is written before (``_runs/<run>/begun``) and one after
+    (``_runs/<run>/done``), so read_report_parts() can tell a run that broke off.
+    Running the same ``run`` again replaces the same parts and its markers.
+    """
+    spark = df.sparkSession
+    mark = spark.range(1).select(F.lit(",".join(parts)).alias("value"))
+    mark.write.mode("overwrite").text(f"{path}/_runs/{run}/begun")
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(f"{path}/rows")
+    mark.write.mode("overwrite").text(f"{path}/_runs/{run}/done")
+
+
+def read_report_parts(spark: SparkSession, path: str) -> DataFrame:
+    """The partitioned report; raises if a run has begun and not ended."""
+    jvm = spark.sparkContext._jvm
+    runs = jvm.org.apache.hadoop.fs.Path(f"{path}/_runs")
+    fs = runs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for run in fs.listStatus(runs):
+        if not fs.exists(jvm.org.apache.hadoop.fs.Path(run.getPath(), "done/_SUCCESS")):
+            raise RuntimeError(f"run {run.getPath().getName()} of {path} has begun and not ended: run it again")
+    return spark.read.parquet(f"{path}/rows")
