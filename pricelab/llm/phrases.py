@@ -225,3 +225,15 @@ def cut_repeats(docs: DataFrame, span: int = 20, carry: list[str] = (), group_li
     return map_docs(joined, run, schema).select(
         "row.doc_id", "n_words", "n_removed", "kept_sha256",
         F.when(~F.col("row.__null"), F.col("kept")).alias("kept"), *[F.col(f"row.`{c}`") for c in carry])
+
+
+def without_repeats(docs: DataFrame, span: int = 20, group_limit: int = 5_000) -> DataFrame:
+    """``docs`` (doc_id, text and any columns) with the texts of cut_repeats(); n_chars, if there
+    is such a column, is the length of a text that lost words.  Every row stays."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    given = [F.struct(*[F.col(f"`{c}`") for c in others]).alias("given")] if others else []
+    cut = cut_repeats(docs.select("doc_id", "text", *given), span, ["given"] if others else [], group_limit)
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept")}
+    if "n_chars" in others:
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("given.n_chars"))
+    return cut.select(*[new.get(c, F.col(f"given.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

@@ -264,3 +264,18 @@ def representatives(docs: DataFrame, shingle: int = 3, max_bits: int = 3, cell_l
     return (classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
             .groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("rep").alias("rep"))
             .select("rep.did", "rep.th"))
+
+
+def one_row_each(kept: DataFrame) -> DataFrame:
+    """One row of each document (doc_id and text): the one of the smallest hash, if rows repeat."""
+    by_id, by_text = did(), text_hash()
+    often = kept.groupBy(by_id.alias("__did"), by_text.alias("__th")).agg(F.count("*").alias("n")).where("n > 1")
+    often = materialize(often.select("__did", "__th"), "repeated-rows")
+    if often.isEmpty():
+        return kept
+    same = (by_id == often["__did"]) & (by_text == often["__th"])
+    many = kept.join(often, same, "left_semi")
+    first = (many.groupBy(by_id.alias("__did"), by_text.alias("__th"))
+             .agg(F.min_by(F.struct(*kept.columns), F.xxhash64(*kept.columns)).alias("row"))
+             .select("row.*"))
+    return kept.join(often, same, "left_anti").unionByName(first)

@@ -40,10 +40,12 @@ def test_stages_and_run(spark):
 
 
 def test_odd_rows_go_through(spark, tmp_path):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, z string, row int"
-    rows = [(1, "the cat sat on the mat and so did the dog", "en", "s", 1, None, 1), (None, None, None, None, None, "a", None),
-            (2, "", "en", None, 0, "b", 2), (1, "der hund sitzt auf der matte und bellt laut", "de", "s", 2, "c", 3),
-            (1, "the cat sat on the mat and so did the dog", "en", "s", 1, None, 1), (5, "12 %%% 34", "en", "s", 3, "d", 4)]
+    more = ["kept", "n_words", "n_removed", "kept_sha256", "__null", "__did", "__th", "z", "n", "given"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row int, " + ", ".join(f"`{c}` string" for c in more)
+    rows = [(1, "the cat sat on the mat and so did the dog", "en", "s", 1, 1), (None, None, None, None, None, None),
+            (2, "", "en", None, 0, 2), (1, "der hund sitzt auf der matte und bellt laut", "de", "s", 2, 3),
+            (1, "the cat sat on the mat and so did the dog", "en", "s", 1, 1), (5, "12 %%% 34", "en", "s", 3, 4)]
+    rows = [(*r, *[f"{c}{r[5]}" for c in more]) for r in rows]
     for data in (rows, []):
         docs = spark.createDataFrame(data, schema)
         (tmp_path / str(len(data))).mkdir()
@@ -56,6 +58,7 @@ def test_odd_rows_go_through(spark, tmp_path):
         kept = [r.doc_id for r in docs.collect()]
         assert P.STAGES[-1][1](spark, docs, "").count() == len(kept)
         assert kept == [] if not data else set(kept) == {1}
+        assert {tuple(r)[6:] for r in docs.collect()} == {r[6:] for r in data if r[0] == 1}
 
 
 def test_near_dedup_keeps_one_row_of_each_group(spark):

@@ -52,3 +52,20 @@ def test_shared_passages_and_edge_rows(spark):
         got = suffixes.repeated_passages(df, group_limit=limit).collect()
         assert check(rows, got)
     assert suffixes.repeated_passages(df.limit(0)).count() == 0
+
+
+def test_rows_do_not_depend_on_partitions_or_limits(spark):
+    """One passage in twelve documents is eleven rows, however the documents are dealt out."""
+    rng = random.Random(5)
+    passage = " ".join(f"p{rng.randrange(5000)}" for _ in range(400))
+    rows = [(i, f"{' '.join(f'a{i}x{rng.randrange(99)}' for _ in range(30))} {passage} end{i}") for i in range(12)]
+    rows += [(100 + i, " ".join(f"p{rng.randrange(40)}" for _ in range(20)) + " " + passage[60 * i:]) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = set()
+    for parts in (1, 2, 4, 20):
+        for limit in (5_000, 3):
+            got = suffixes.repeated_passages(df.repartition(parts), group_limit=limit).collect()
+            assert check(rows, got)
+            assert sorted((r.doc_id, r.first_doc_id) for r in got if r.doc_id < 12) == [(i, 0) for i in range(1, 12)]
+            seen.add(tuple(sorted(map(tuple, got))))
+    assert len(seen) == 1
