@@ -18,21 +18,6 @@ from pricelab.session import materialize
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def one_row_each(kept: DataFrame) -> DataFrame:
-    """One row of each document (doc_id and text): the one of the smallest hash, if rows repeat."""
-    did, th = common.did(), simhash.text_hash()
-    often = kept.groupBy(did.alias("__did"), th.alias("__th")).agg(F.count("*").alias("n")).where("n > 1")
-    often = materialize(often.select("__did", "__th"), "repeated-rows")
-    if often.isEmpty():
-        return kept
-    same = (did == often["__did"]) & (th == often["__th"])
-    many = kept.join(often, same, "left_semi")
-    first = (many.groupBy(did.alias("__did"), th.alias("__th"))
-             .agg(F.min_by(F.struct(*kept.columns), F.xxhash64(*kept.columns)).alias("row"))
-             .select("row.*"))
-    return kept.join(often, same, "left_anti").unionByName(first)
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in none of the labelled languages, without a letter or without a text go.
 
@@ -48,7 +33,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     counts as the largest), of rows that share that id the smallest text hash."""
     keep = simhash.representatives(docs, shingle=3, max_bits=3).toDF("__did", "__th")
     same = (common.did() == keep["__did"]) & (simhash.text_hash() == keep["__th"])
-    return one_row_each(docs.join(keep, same, "left_semi"))
+    return simhash.one_row_each(docs.join(keep, same, "left_semi"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,12 +42,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A text that loses words is the others joined by one space, and n_chars is
     its new length; every document stays, even if no word does.
     """
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    cut = phrases.cut_repeats(docs, span=20, carry=others)
-    new = {"text": F.col("kept")}
-    if "n_chars" in others:
-        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("n_chars"))
-    return cut.select(*[new.get(c, F.col(f"`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    return phrases.without_repeats(docs, span=20)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
