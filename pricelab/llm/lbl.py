@@ -36,14 +36,16 @@ from .common import as_bytes, map_docs, small_batches, words
 CONTEXT = 4
 SMOOTH = 0.1
 SEED = 42
-#: Scores held at a time when texts are scored.
-BLOCK = 1 << 20
-#: Training: outputs of a piece, tokens of a task, tokens mixed in a task, rounds, columns of a row of parameters.
-PIECE, TASK_TOKENS, SHUFFLED, ROUNDS, WIDTH = 2048, 10_000_000, 400_000, 4, 32
+#: Places scored at a time, and scores held at a time (they stay in the processor's cache).
+BLOCK, CACHED = 1 << 18, 1 << 17
+#: Training: outputs of a piece, tokens of a task, tokens mixed in a task, columns of a row of parameters.
+PIECE, TASK_TOKENS, SHUFFLED, WIDTH = 2048, 2_500_000, 400_000, 32
+#: 64ths of the pieces that the rounds end with.
+ROUNDS = (1, 16, 32, 48, 64)
 #: Parameters are summed as whole multiples of this, so that their mean does not depend on the order.
 UNIT = 2.0 ** -16
-#: Words with an output of their own up to so many training tokens; their number grows with the fourth root.
-BASE_TOKENS, BASE_WORDS, GROWTH = 400_000, 5000, 0.25
+#: Words with an output of their own up to so many training tokens; their number grows with the eighth root.
+BASE_TOKENS, BASE_WORDS, GROWTH = 400_000, 5000, 0.125
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
@@ -55,12 +57,13 @@ class Network:
     """Log-bilinear model of output sequences.  The output k of class c has the number c * width + k,
     the end of a text is a class and an output of its own and the last number.  After the outputs
     c1.. the hidden vector is the sum of r[c_i] * c[i]; class and output score bias + q . hidden.
-    Both levels are trained by NCE with Adagrad; the noise is the unigram of classes and of outputs.
+    Both levels are trained by NCE with Adagrad (one step size for each row); the noise is the
+    unigram of classes and of outputs.
     """
     #: Noise drawn for a batch of places, which share it: outputs and classes.
-    NOISE, CLASS_NOISE, RATE, SIZE = 48, 24, 0.15, 24
-    #: Places of a batch: a share of those seen before, within bounds.
-    SHARE, BATCH = 0.001, (16, 2048)
+    NOISE, CLASS_NOISE, RATE, SIZE = 16, 8, 0.2, 16
+    #: Places of a batch: a share of those seen before, within bounds; places that follow each other in a batch.
+    SHARE, BATCH, RUN = 0.0005, (16, 4096), 16
 
     def __init__(self, counts: np.ndarray, width: int, seed: int = 7):
         rng = np.random.default_rng(seed)
@@ -72,60 +75,78 @@ class Network:
         self.params = [(rng.standard_normal((n, size)) * 0.1).astype(np.float32),     # r: context outputs
                        np.full((CONTEXT, size), 1 / CONTEXT, np.float32),
                        (rng.standard_normal((n, size)) * 0.1).astype(np.float32),     # q: outputs
-                       np.log(self.unigram).astype(np.float32),
+                       np.log(self.unigram).astype(np.float32)[:, None],
                        (rng.standard_normal((len(self.groups), size)) * 0.1).astype(np.float32),     # q: classes
-                       np.log(self.groups).astype(np.float32)]
-        self.past = [np.full_like(x, 1e-2) for x in self.params]
+                       np.log(self.groups).astype(np.float32)[:, None]]
+        self.past = [np.full((len(x), 1), 1e-2, np.float32) for x in self.params]
 
-    def sweep(self, stream: np.ndarray, at: np.ndarray, rng: np.random.Generator) -> None:
-        """One pass over the places ``at`` of ``stream``, each with CONTEXT outputs before it."""
+    def sweep(self, parts: list[np.ndarray], rng: np.random.Generator) -> int:
+        """One pass over the places of ``parts``, pieces with CONTEXT outputs before them; returns their number.
+
+        The places go in runs of RUN that follow each other, in random order, so an output that stands
+        in several contexts of a run is looked up once.
+        """
         r, c, *_ = self.params
         levels = [(2, np.log(self.NOISE * self.unigram).astype(np.float32), np.cumsum(self.unigram), self.NOISE),
                   (4, np.log(self.CLASS_NOISE * self.groups).astype(np.float32), np.cumsum(self.groups), self.CLASS_NOISE)]
+        stream, starts, real = _runs(parts, self.RUN, self.end)
         stream = stream.astype(self.small)
         group_of = (stream // self.width).astype(self.small)
-        order = rng.permutation(at)
-        before = np.arange(1, CONTEXT + 1)[:, None]
+        starts = starts[rng.permutation(len(starts))]
+        ahead = np.arange(self.RUN + CONTEXT)
         i = 0
-        while i < len(order):
-            places = order[i:i + int(np.clip(self.seen * self.SHARE, *self.BATCH))]
-            i += len(places)
-            self.seen += len(places)
-            context = stream[places - before]
-            rc = r[context]
-            hidden = np.einsum("kbe,ke->be", rc, c)
+        while i < len(starts):
+            n = max(1, int(np.clip(self.seen * self.SHARE, *self.BATCH)) // self.RUN)
+            at = starts[i:i + n, None] + ahead
+            i += n
+            weight = real[at[:, CONTEXT:]].ravel()
+            self.seen += int(weight.sum())
+            rows = stream[at]
+            rc = r.take(rows, axis=0)
+            hidden = sum(rc[:, CONTEXT - k:CONTEXT - k + self.RUN] * c[k - 1] for k in range(1, CONTEXT + 1))
+            hidden = hidden.reshape(-1, self.SIZE)
             gh = 0
-            for (k, log_noise, bound, n_noise), target in zip(levels, (stream[places], group_of[places])):
+            for (k, log_noise, bound, n_noise), goal in zip(levels, (rows[:, CONTEXT:].ravel(), group_of[at[:, CONTEXT:]].ravel())):
                 noise = np.searchsorted(bound, rng.random(n_noise) * bound[-1]).clip(0, len(bound) - 1)
-                gh = gh + self._contrast(k, log_noise, target, noise, hidden)
-            gc = np.einsum("kbe,be->ke", rc, gh)
-            gr = gh[None] * c[:, None]
-            self._step(0, *_summed(context.ravel(), gr.reshape(-1, self.SIZE)))
+                gh = gh + self._contrast(k, log_noise, goal, noise, hidden, weight)
+            gh = gh.reshape(-1, self.RUN, self.SIZE)
+            gr, gc = np.zeros_like(rc), np.empty_like(c)
+            for k in range(1, CONTEXT + 1):
+                part = slice(CONTEXT - k, CONTEXT - k + self.RUN)
+                gc[k - 1] = (rc[:, part] * gh).reshape(-1, self.SIZE).sum(axis=0)
+                gr[:, part] += gh * c[k - 1]
+            self._step(0, *_summed(rows[:, :-1].ravel(), gr[:, :-1].reshape(-1, self.SIZE)))
             self._step(1, slice(None), gc)
+        return int(real.sum())
 
-    def _contrast(self, k: int, log_noise: np.ndarray, target: np.ndarray, noise: np.ndarray, hidden: np.ndarray) -> np.ndarray:
+    def _contrast(self, k: int, log_noise: np.ndarray, target: np.ndarray, noise: np.ndarray, hidden: np.ndarray,
+                  weight: np.ndarray) -> np.ndarray:
         """One update of outputs ``k`` and their bias; returns the gradient of ``hidden``."""
         q, bias = self.params[k:k + 2]
-        scale = np.float32(1 / np.sqrt(len(target)))
-        qt, qn = q[target], q[noise]
-        s = np.einsum("be,be->b", hidden, qt) + (bias[target] - log_noise[target])
-        gt = scale / (1 + np.exp(np.clip(s, -30, 30)))
-        s = hidden @ qn.T + (bias[noise] - log_noise[noise])
-        gn = np.exp(-np.clip(s, -30, 30, out=s), out=s)
+        scale = weight / np.float32(np.sqrt(len(target)))
+        qt, qn = q.take(target, axis=0), q[noise]
+        s = np.einsum("be,be->b", hidden, qt) + (bias.take(target) - log_noise.take(target))
+        gt = (scale / (1 + np.exp(np.clip(s, -30, 30))))[:, None]
+        s = hidden @ qn.T
+        s += bias[noise, 0] - log_noise[noise]
+        np.clip(s, -30, 30, out=s)
+        gn = np.exp(np.negative(s, out=s), out=s)
         gn += 1
-        gn = np.divide(-scale, gn, out=gn)
-        gh = gt[:, None] * qt + gn @ qn
-        rows, gq, gb = _summed(target, gt[:, None] * hidden, gt)
-        rows, gq, gb = _summed(np.concatenate([rows, noise.astype(rows.dtype)]), np.concatenate([gq, gn.T @ hidden]),
-                               np.concatenate([gb, gn.sum(axis=0)]))
+        gn = np.divide(-scale[:, None], gn, out=gn)
+        gh = gt * qt
+        gh += gn @ qn
+        rows, gq, gb = _summed(target, gt * hidden, gt)
+        self._step(k, rows, gq)
+        self._step(k + 1, rows, gb)
+        rows, gq, gb = _summed(noise, gn.T @ hidden, gn.sum(axis=0)[:, None])
         self._step(k, rows, gq)
         self._step(k + 1, rows, gb)
         return gh
 
     def _step(self, k: int, rows, grad: np.ndarray) -> None:
-        past = self.past[k][rows] + grad * grad
+        past = self.past[k][rows] + np.einsum("ij,ij->i", grad, grad)[:, None] / np.float32(grad.shape[1])
         self.past[k][rows] = past
-        self.params[k][rows] += self.RATE * grad / np.sqrt(past)
+        self.params[k][rows] += np.float32(self.RATE) * grad / np.sqrt(past)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in (*self.params, *self.past)])
@@ -142,7 +163,7 @@ def _summed(rows: np.ndarray, *grads: np.ndarray) -> tuple[np.ndarray, ...]:
     order = np.argsort(rows, kind="stable")
     rows = rows[order]
     first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    return (rows[first], *(np.add.reduceat(g[order], first, axis=0) for g in grads))
+    return (rows[first], *(np.add.reduceat(g.take(order, axis=0), first, axis=0) for g in grads))
 
 
 def pieces(out: np.ndarray, end: int, most: int = PIECE) -> list[np.ndarray]:
@@ -151,27 +172,38 @@ def pieces(out: np.ndarray, end: int, most: int = PIECE) -> list[np.ndarray]:
     return [padded[i:i + CONTEXT + most] for i in range(0, len(out), most)]
 
 
-def _stream(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The pieces one after another, and the places in it to predict."""
-    inside = np.concatenate([np.arange(len(p)) >= CONTEXT for p in parts])
-    return np.concatenate(parts), np.flatnonzero(inside)
+def _runs(parts: list[np.ndarray], run: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces one after another, each filled up with ``end`` to whole runs of ``run`` places;
+    starts (of the context) of the runs; which numbers of the stream are places to predict."""
+    sizes = np.array([len(p) for p in parts])
+    whole = -(-(sizes - CONTEXT) // run)
+    begin = np.cumsum(CONTEXT + whole * run) - CONTEXT - whole * run
+    stream = np.full(int((CONTEXT + whole * run).sum()), end, np.int64)
+    real = np.zeros(len(stream), np.float32)
+    for at, p in zip(begin.tolist(), parts):
+        stream[at:at + len(p)] = p
+        real[at + CONTEXT:at + len(p)] = 1
+    starts = np.repeat(begin, whole) + run * (np.arange(whole.sum()) - np.repeat(np.cumsum(whole) - whole, whole))
+    return stream, starts, real
 
 
 def fit(sequences: DataFrame, net: Network, n_tokens: int) -> None:
-    """Train ``net`` on all pieces ``out`` of ``sequences`` (doc_id, out), each in one of ROUNDS rounds of Spark tasks.
+    """Train ``net`` on all pieces ``out`` of ``sequences`` (doc_id, out), each in one round of Spark tasks.
 
     In a round every task trains a copy of the network on its share of the
-    pieces, and the copies' weighted mean is the next round's network.  Pieces
-    are dealt by hash and sorted, and the mean is taken of whole numbers, so
-    the network does not depend on how the rows came.
+    pieces, and the copies' weighted mean is the next round's network.  The first
+    round takes a small share of the pieces, in small batches.  Pieces are dealt by
+    hash and sorted, and the mean is taken of whole numbers, so the network does
+    not depend on how the rows came.
     """
     spark = sequences.sparkSession
-    rows = materialize(sequences.select("out", F.xxhash64("doc_id", "out").alias("key")), "lm-pieces")
-    tasks = max(1, round(n_tokens / TASK_TOKENS))
     names = ["i", "w", *(f"v{k}" for k in range(WIDTH))]
     schema = "i int, " + ", ".join(f"{x} long" for x in names[1:])
-    for j in range(ROUNDS):
+    keyed = sequences.select("out", F.xxhash64("doc_id", "out").alias("key"))
+    share = F.pmod(F.shiftright("key", 32), F.lit(ROUNDS[-1]))
+    for j, (low, high) in enumerate(zip((0, *ROUNDS), ROUNDS)):
         shared = spark.sparkContext.broadcast(net)
+        tasks = max(1, round(n_tokens * (high - low) / ROUNDS[-1] / TASK_TOKENS))
 
         def run(batches: Iterator[pa.RecordBatch], j: int = j, shared=shared) -> Iterator[pa.RecordBatch]:
             own = copy.deepcopy(shared.value)
@@ -183,20 +215,17 @@ def fit(sequences: DataFrame, net: Network, n_tokens: int) -> None:
                     held.append(p)
                     size += len(p)
                     if size >= SHUFFLED:
-                        stream, at = _stream(held)
-                        own.sweep(stream, at, rng)
-                        done, held, size = done + len(at), [], 0
+                        done += own.sweep(held, rng)
+                        held, size = [], 0
             if held:
-                stream, at = _stream(held)
-                own.sweep(stream, at, rng)
-                done += len(at)
+                done += own.sweep(held, rng)
             if done:
                 flat = np.rint(own.flat().astype(float) * (done / UNIT)).astype(np.int64)
                 flat = np.concatenate([flat, np.zeros(-len(flat) % WIDTH, np.int64)]).reshape(-1, WIDTH)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(np.full(len(flat), done)),
                                                   *(pa.array(flat[:, k]) for k in range(WIDTH))], names=names)
 
-        dealt = (rows.where(F.pmod(F.shiftright("key", 32), F.lit(ROUNDS)) == j)
+        dealt = (keyed.where((share >= low) & (share < high))
                  .repartition(tasks, "key").sortWithinPartitions("key", "out").select("out"))
         mean = dealt.mapInArrow(run, schema).groupBy("i").agg(*[F.sum(x).alias(x) for x in names[1:]]).toArrow().sort_by("i")
         shared.unpersist()
@@ -237,44 +266,55 @@ class Model:
     def is_rest(self, outputs: np.ndarray) -> np.ndarray:
         return (outputs % self.width == 0) & (outputs < self.end)
 
-    def log_probs(self, sequences: list[np.ndarray]) -> np.ndarray:
-        """Sum of the normalised log10 probabilities of each output sequence."""
+    def log_probs(self, parts: list[np.ndarray]) -> np.ndarray:
+        """Sum of the normalised log10 probabilities of each piece's outputs, given the CONTEXT before them."""
         r, c, q, bias, class_q, class_bias = self.params
         left = r[None] * c[:, None]
         unused = np.setdiff1d(np.arange(self.end), np.concatenate([self.outputs, np.arange(0, self.end, self.width)]))
         bias = bias.copy()
         bias[unused] = -1e9
-        pad = np.full(CONTEXT, self.end, np.int64)
-        stream = np.concatenate([x for s in sequences for x in (pad, s)])
-        owner = np.concatenate([x for i, s in enumerate(sequences) for x in (np.full(CONTEXT, -1), np.full(len(s), i))])
-        at = np.flatnonzero(owner >= 0)
+        sizes = np.array([len(p) for p in parts])
+        stream = np.concatenate(parts)
+        owner = np.repeat(np.arange(len(parts)), sizes)
+        at = np.flatnonzero(np.arange(len(stream)) - np.repeat(np.cumsum(sizes) - sizes, sizes) >= CONTEXT)
         own = np.empty(len(at))
-        block = max(64, BLOCK * 16 // len(class_bias))
-        for i in range(0, len(at), block):
-            places = at[i:i + block]
+        for i in range(0, len(at), BLOCK):
+            places = at[i:i + BLOCK]
             target = stream[places]
-            hidden = left[0][stream[places - 1]]
+            hidden = left[0].take(stream[places - 1], axis=0)
             for k in range(1, CONTEXT):
-                hidden += left[k][stream[places - 1 - k]]
+                hidden += left[k].take(stream[places - 1 - k], axis=0)
             group = target // self.width
-            logs = _log_softmax(hidden @ class_q.T + class_bias, group)
+            logs = own[i:i + BLOCK]
+            logs[:] = _log_softmax(hidden, class_q, class_bias[:, 0], group)
             order = np.argsort(group.astype(np.uint16) if len(class_bias) < 1 << 16 else group, kind="stable")
             cuts = np.searchsorted(group[order], np.arange(len(class_bias)))
             for k in range(len(class_bias) - 1):               # the end is alone in its class
                 rows = order[cuts[k]:cuts[k + 1]]
                 if len(rows):
                     low, high = k * self.width, (k + 1) * self.width
-                    logs[rows] += _log_softmax(hidden[rows] @ q[low:high].T + bias[low:high], target[rows] - low)
-            own[i:i + block] = logs
-        return np.bincount(owner[at], weights=own, minlength=len(sequences)) / np.log(10)
-
-
-def _log_softmax(scores: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural log of each row's normalised probability of its target; ``scores`` are overwritten."""
-    scores -= scores.max(axis=1, keepdims=True)
-    own = scores[np.arange(len(target)), target].astype(float)
-    np.exp(scores, out=scores)
-    return own - np.log(scores.sum(axis=1))
+                    logs[rows] += _log_softmax(hidden.take(rows, axis=0), q[low:high], bias[low:high, 0], target[rows] - low)
+        return np.bincount(owner[at], weights=own, minlength=len(parts)) / np.log(10)
+
+
+def _log_softmax(hidden: np.ndarray, q: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Natural log of each row's normalised probability of its target, some rows at a time."""
+    out = np.empty(len(target))
+    step = max(16, CACHED // len(bias))
+    q, bias, ones = np.ascontiguousarray(q.T), bias[None], np.ones(len(bias), np.float32)
+    for i in range(0, len(target), step):
+        scores = hidden[i:i + step] @ q
+        scores += bias
+        own = scores[np.arange(len(scores)), target[i:i + step]].astype(float)
+        with np.errstate(over="ignore"):
+            total = (np.exp(scores) @ ones).astype(float)
+        odd = ~((total > 1e-30) & (total < 1e37))              # scores far from 0: once more, from the largest on
+        if odd.any():
+            top = scores[odd].max(axis=1).astype(float)
+            total[odd] = np.exp(scores[odd] - top[:, None]).sum(axis=1)
+            own[odd] -= top
+        out[i:i + step] = own - np.log(total)
+    return out
 
 
 def class_of(first: list[bytes], word: bytes) -> int:
@@ -315,12 +355,12 @@ def frequent_words(counts: DataFrame, most: int) -> list:
     return sorted(rows, key=lambda r: (-r.c, r.word))
 
 
-def train(docs: DataFrame, counts: DataFrame, n_docs: int, n_words: int = BASE_WORDS, table_words: int = 100_000) -> Model:
-    """Model from the training documents ``docs`` (doc_id, text), their word ``counts`` and number.
+def outputs_of(counts: DataFrame, n_docs: int, n_words: int = BASE_WORDS,
+               table_words: int = 100_000) -> tuple[Model, Network]:
+    """Model without parameters, and an untrained network, from the word ``counts`` of ``n_docs`` documents.
 
-    The counts and the network cover every token of all training documents;
-    long texts are cut into pieces.  Up to BASE_TOKENS training tokens ``n_words``
-    words have an output of their own, above as many times their fourth root.
+    Up to BASE_TOKENS training tokens ``n_words``
+    words have an output of their own, above that with their eighth root.
     """
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     grown = max(1.0, ((sums.n or 0) + n_docs) / BASE_TOKENS) ** GROWTH
@@ -342,26 +382,56 @@ def train(docs: DataFrame, counts: DataFrame, n_docs: int, n_words: int = BASE_W
     for w, c in single:
         count[output[w]] = c
     count[model.end] = n_docs
-    net = Network(count, width)
-    if n_docs:
-        shared = docs.sparkSession.sparkContext.broadcast(model)
+    return model, Network(count, width)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = shared.value
-            for b in batches:
-                ids, parts = [], []
-                for doc, t in zip(b.column(0).to_pylist(), as_bytes(b.column(1))):
-                    new = pieces(np.append(m.look_up(tokens_of(t))[0], m.end).astype(np.int32), m.end)
-                    parts += new
-                    ids += [doc] * len(new)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.list_(pa.int32()))], names=["doc_id", "out"])
-
-        small_batches(docs.sparkSession)
-        fit(docs.select("doc_id", _text().alias("text")).mapInArrow(run, "doc_id long, out array<int>"), net, model.total)
+
+def looked_up(rows: DataFrame, model: Model) -> DataFrame:
+    """Pieces (row, learn, doc_id, out) of the output sequences of all ``rows`` (row, learn, doc_id, text), written;
+    a row's first piece also has what its tokens' counts give (n_tokens, known, logs, part, rare, times)."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    kinds = {"row": pa.int64(), "learn": pa.bool_(), "doc_id": pa.int64(), "out": pa.list_(pa.int32()), "n_tokens": pa.int64(),
+             "known": pa.int64(), "logs": pa.float64(), "part": pa.float64(), "rare": pa.list_(pa.int64()), "times": pa.list_(pa.int32())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, digest = shared.value, xxhash.xxh64_intdigest
+        log_c, log_rest = np.log10(m.counts + SMOOTH), np.log10(m.rest_total)
+        for b in batches:
+            out: dict[str, list] = {c: [] for c in kinds}
+            for row, learn, doc, t in zip(*(b.column(i).to_pylist() for i in range(3)), as_bytes(b.column(3))):
+                tokens = tokens_of(t)
+                outputs, at, rare = m.look_up(tokens)
+                found, rest, freq = at[at >= 0], m.is_rest(outputs), Counter(rare)
+                first = (len(tokens) + 1, len(found) + (m.end_count > 0), float(log_c[found].sum()) + np.log10(m.end_count + SMOOTH),
+                         float(log_c[at[rest & (at >= 0)]].sum() - log_rest[outputs[rest] // m.width].sum()),
+                         [h - (h >> 63 << 64) for h in (digest(w, SEED) for w in freq)], list(freq.values()))
+                for piece in pieces(np.append(outputs, m.end).astype(np.int32), m.end):
+                    for c, v in zip(out, (row, learn, doc, piece, *first)):
+                        out[c].append(v)
+                    first = (None,) * len(first)
+            yield pa.RecordBatch.from_arrays([pa.array(v, kinds[c]) for c, v in out.items()], names=list(out))
+
+    small_batches(rows.sparkSession)
+    return materialize(rows.select("row", "learn", "doc_id", "text").mapInArrow(
+        run, "row long, learn boolean, doc_id long, out array<int>, n_tokens long, known long, logs double, part double, "
+             "rare array<long>, times array<int>"), "lm-pieces")
+
+
+def train(docs: DataFrame, counts: DataFrame, n_docs: int, **options) -> Model:
+    """Model from the training documents ``docs`` (doc_id, text), their word ``counts`` and number.
+
+    The counts and the network cover every token of all training documents; long texts are cut into pieces.
+    """
+    model, net = outputs_of(counts, n_docs, **options)
+    fit(looked_up(_rows(docs, F.lit(True)), model), net, model.total)
     model.params = net.params
     return model
 
 
+def _rows(docs: DataFrame, learn: Column) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(learn, F.lit(False)).alias("learn"),
+                       F.col("doc_id").cast("long").alias("doc_id"), _text().alias("text"))
+
+
 def rest_counts(counts: DataFrame, single: set[bytes], first: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Of the words that are not in ``single``: sum of the counts and number of words by class."""
     def run(b: pa.RecordBatch) -> dict:
@@ -389,39 +459,24 @@ def score(docs: DataFrame, learn: Column, **options) -> DataFrame:
     and null doc_ids are returned as given; other columns are not looked at.
     An empty table gives no rows; without training rows every word is unknown.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text().alias("text"))
-    learned = rows.where(learn)
+    rows = _rows(docs, learn)
+    learned = rows.where("learn")
     n_docs = learned.count()
     counts = materialize(count_words(learned), "word-counts")
-    model = train(learned, counts, n_docs, **options)
+    model, net = outputs_of(counts, n_docs, **options)
+    found = looked_up(rows, model)
+    fit(found.where("learn"), net, model.total)
+    model.params = net.params
     shared = docs.sparkSession.sparkContext.broadcast(model)
     types = model.total + SMOOTH * (model.types + 1)
 
     def run(b: pa.RecordBatch) -> dict:
-        m = shared.value
-        log_c, log_rest = np.log10(m.counts + SMOOTH), np.log10(m.rest_total)
-        out: dict[str, list] = {c: [] for c in ("n_tokens", "known", "logs", "part", "rare", "times")}
-        sequences: list[np.ndarray] = []
-        for t in as_bytes(b.column(1)):
-            tokens = tokens_of(t)
-            outputs, at, rare = m.look_up(tokens)
-            found = at[at >= 0]
-            freq = Counter(rare)
-            out["n_tokens"].append(len(tokens) + 1)
-            out["known"].append(len(found) + (m.end_count > 0))
-            out["logs"].append(float(log_c[found].sum()) + np.log10(m.end_count + SMOOTH))
-            rest = m.is_rest(outputs)
-            out["part"].append(float(log_c[at[rest & (at >= 0)]].sum() - log_rest[outputs[rest] // m.width].sum()))
-            out["rare"].append([xxhash.xxh64_intdigest(w, SEED) - (1 << 64) * (xxhash.xxh64_intdigest(w, SEED) >> 63) for w in freq])
-            out["times"].append(list(freq.values()))
-            sequences.append(np.append(outputs, m.end))
-        out["part"] = [p + s for p, s in zip(out["part"], _by_size(m, sequences))]
-        return {"doc_id": b.column(0), **out}
-
-    scored = map_docs(rows, run, "doc_id long, n_tokens long, known long, logs double, part double, "
-                                 "rare array<long>, times array<int>")
-    scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored-rows")
-    rare = (scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x"))
+        column = b.column(1)
+        values, ends = column.flatten().to_numpy(), np.cumsum(pa.compute.list_value_length(column).to_numpy())
+        return {"row": b.column(0), "log": _by_size(shared.value, np.split(values, ends[:-1]))}
+
+    logs_of = map_docs(found.select("row", "out"), run, "row long, log double").groupBy("row").agg(F.sum("log").alias("log"))
+    rare = (found.where("n_tokens is not null").select("row", F.explode(F.arrays_zip("rare", "times")).alias("x"))
             .select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times")))
     by_hash = counts.select(F.xxhash64("word").alias("word"), "c")
     c = F.coalesce(F.col("c"), F.lit(0))
@@ -429,22 +484,23 @@ def score(docs: DataFrame, learn: Column, **options) -> DataFrame:
             .groupBy("row").agg(F.sum(F.col("times") * F.log10(c + SMOOTH)).alias("rest"),
                                 F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more")))
     more, logs = F.coalesce("more", F.lit(0)), F.coalesce("rest", F.lit(0.0))
-    return (scored.select("row", "doc_id", "n_tokens", "known", "logs", "part").join(rest, "row", "left")
+    scored = found.where("n_tokens is not null").select("row", "doc_id", "n_tokens", "known", "logs", "part")
+    return (scored.join(logs_of, "row").join(rest, "row", "left")
             .select("doc_id", "n_tokens", (F.col("known") + more).alias("n_known"),
                     F.lit(model.total).cast("long").alias("train_tokens"),
                     (F.col("logs") + logs - F.col("n_tokens") * float(np.log10(types))).alias("base_score"),
-                    (F.col("part") + logs).alias("score")))
+                    (F.col("part") + F.col("log") + logs).alias("score")))
 
 
-def _by_size(model: Model, sequences: list[np.ndarray], most: int = 500_000) -> list[float]:
-    """Log10 probabilities of the sequences, some hundred thousand tokens at a time."""
+def _by_size(model: Model, parts: list[np.ndarray], most: int = 500_000) -> list[float]:
+    """Log10 probabilities of the pieces, some hundred thousand outputs at a time."""
     out: list[float] = []
     i = 0
-    while i < len(sequences):
+    while i < len(parts):
         j, n = i, 0
-        while j < len(sequences) and (j == i or n + len(sequences[j]) <= most):
-            n += len(sequences[j])
+        while j < len(parts) and (j == i or n + len(parts[j]) <= most):
+            n += len(parts[j])
             j += 1
-        out += model.log_probs(sequences[i:j]).tolist()
+        out += model.log_probs(parts[i:j]).tolist()
         i = j
     return out

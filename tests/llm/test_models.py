@@ -147,6 +147,7 @@ def test_op9_edge_rows_and_normalisation(spark, table_words):
 def by_hand(model, outputs):
     """Log10 probability of an output sequence by the definition, one product after another."""
     r, c, q, bias, class_q, class_bias = (x.astype(float) for x in model.params)
+    bias, class_bias = bias[:, 0], class_bias[:, 0]
     used = {*model.outputs.tolist(), *range(0, model.end, model.width)}
     past, total = [model.end] * lbl.CONTEXT, 0.0
     for o in [*outputs, model.end]:
@@ -200,11 +201,11 @@ def test_nce_learns_what_follows():
     # outputs 1, 2 and 4, 5 in two classes of width 3, the end is 6
     texts = [np.append(np.tile(np.roll([1, 4, 2, 5], -k), 60), 6) for k in rng.integers(0, 4, 200)]
     net = lbl.Network(np.bincount(np.concatenate(texts), minlength=7), 3)
-    stream, at = lbl._stream([p for t in texts for p in lbl.pieces(t, 6)])
-    net.sweep(stream, at, rng)
+    net.sweep([p for t in texts for p in lbl.pieces(t, 6)], rng)
     m = lbl.Model(0, 0, 0, {}, np.zeros(0), np.array([1, 2, 4, 5]), [b"", b"m"], 3, np.ones(2), net.params)
-    assert m.log_probs([texts[0]])[0] / len(texts[0]) > -0.1
-    total = sum(10 ** (m.log_probs([np.array([1, 4, x])])[0] - m.log_probs([np.array([1, 4])])[0]) for x in range(7))
+    logs = lambda outputs: m.log_probs(lbl.pieces(np.array(outputs), 6)).sum()
+    assert logs(texts[0]) / len(texts[0]) > -0.1
+    total = sum(10 ** (logs([1, 4, x]) - logs([1, 4])) for x in range(7))
     assert abs(total - 1) < 1e-4
 
 
