@@ -38,12 +38,12 @@ SMOOTH = 0.1
 SEED = 42
 #: Places scored at a time, and scores held at a time (they stay in the processor's cache).
 BLOCK, CACHED = 1 << 18, 1 << 17
-#: Training: outputs of a piece, tokens of a task, tokens mixed in a task, columns of a row of parameters.
-PIECE, TASK_TOKENS, SHUFFLED, WIDTH = 2048, 2_500_000, 400_000, 32
+#: Training: outputs of a piece, tokens of a task, tokens mixed in a task, parameters in a row of what a task sends.
+PIECE, TASK_TOKENS, SHUFFLED, WIDTH = 2048, 2_500_000, 400_000, 16
 #: 64ths of the pieces that the rounds end with.
 ROUNDS = (1, 16, 32, 48, 64)
-#: Parameters are summed as whole multiples of this, so that their mean does not depend on the order.
-UNIT = 2.0 ** -16
+#: Changes of parameters are summed as whole multiples of this, so that their mean does not depend on the order.
+UNIT = 2.0 ** -10
 #: Words with an output of their own up to so many training tokens; their number grows with the eighth root.
 BASE_TOKENS, BASE_WORDS, GROWTH = 400_000, 5000, 0.125
 
@@ -193,11 +193,11 @@ def fit(sequences: DataFrame, net: Network, n_tokens: int) -> None:
     In a round every task trains a copy of the network on its share of the
     pieces, and the copies' weighted mean is the next round's network.  The first
     round takes a small share of the pieces, in small batches.  Pieces are dealt by
-    hash and sorted, and the mean is taken of whole numbers, so the network does
-    not depend on how the rows came.
+    hash and sorted, tasks send what they changed, and the mean is taken of whole
+    numbers, so the network does not depend on how the rows came.
     """
     spark = sequences.sparkSession
-    names = ["i", "w", *(f"v{k}" for k in range(WIDTH))]
+    names = ["i", *(f"v{k}" for k in range(WIDTH))]
     schema = "i int, " + ", ".join(f"{x} long" for x in names[1:])
     keyed = sequences.select("out", F.xxhash64("doc_id", "out").alias("key"))
     share = F.pmod(F.shiftright("key", 32), F.lit(ROUNDS[-1]))
@@ -219,20 +219,25 @@ def fit(sequences: DataFrame, net: Network, n_tokens: int) -> None:
                         held, size = [], 0
             if held:
                 done += own.sweep(held, rng)
-            if done:
-                flat = np.rint(own.flat().astype(float) * (done / UNIT)).astype(np.int64)
-                flat = np.concatenate([flat, np.zeros(-len(flat) % WIDTH, np.int64)]).reshape(-1, WIDTH)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(np.full(len(flat), done)),
-                                                  *(pa.array(flat[:, k]) for k in range(WIDTH))], names=names)
+            if done:                                            # what changed, and a row -1 of the weight and 1 copy
+                change = np.rint((own.flat().astype(float) - shared.value.flat()) * (done / UNIT)).astype(np.int64)
+                change = np.concatenate([change, np.zeros(-len(change) % WIDTH, np.int64)]).reshape(-1, WIDTH)
+                at = np.flatnonzero(change.any(axis=1))
+                change = np.concatenate([np.array([[done, 1] + [0] * (WIDTH - 2)]), change[at]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, at), pa.int32()), *(pa.array(x) for x in change.T.copy())], names=names)
 
         dealt = (keyed.where((share >= low) & (share < high))
                  .repartition(tasks, "key").sortWithinPartitions("key", "out").select("out"))
-        mean = dealt.mapInArrow(run, schema).groupBy("i").agg(*[F.sum(x).alias(x) for x in names[1:]]).toArrow().sort_by("i")
+        sums = dealt.mapInArrow(run, schema).groupBy("i").agg(*[F.sum(x).alias(x) for x in names[1:]]).toArrow().sort_by("i")
         shared.unpersist()
-        if mean.num_rows:
-            values = np.stack([mean.column(f"v{k}").to_numpy() for k in range(WIDTH)], axis=1)
-            net.take((values / mean.column("w").to_numpy()[:, None] * UNIT).ravel().astype(np.float32))
-            net.seen += mean.column("w")[0].as_py() // tasks
+        if sums.num_rows:
+            weight, copies = sums.column("v0")[0].as_py(), sums.column("v1")[0].as_py()
+            flat = net.flat().astype(float)
+            flat = np.concatenate([flat, np.zeros(-len(flat) % WIDTH)]).reshape(-1, WIDTH)
+            at = sums.column("i").to_numpy()[1:]
+            flat[at] += np.stack([sums.column(x).to_numpy()[1:] for x in names[1:]], axis=1) * (UNIT / weight)
+            net.take(flat.ravel().astype(np.float32))
+            net.seen += weight // copies
 
 
 @dataclass
