@@ -50,16 +50,17 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
-def map_docs(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str | StructType) -> DataFrame:
+def map_docs(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str | StructType, rows: int = 0) -> DataFrame:
     """mapInArrow with ``fn`` giving a batch's output columns by the names of ``schema``.
 
-    Batches that give no rows are skipped.
+    Batches that give no rows are skipped.  Batches of short rows are put
+    together until they have ``rows`` rows.
     """
     small_batches(df.sparkSession)
     arrow = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _joined(batches, rows) if rows else batches:
             if b.num_rows:
                 cols = fn(b)
                 out = pa.RecordBatch.from_arrays(
@@ -70,6 +71,17 @@ def map_docs(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str |
     return df.mapInArrow(run, schema)
 
 
+def _joined(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if held and (whole := pa.Table.from_batches(held).combine_chunks().to_batches()):
+        yield whole[0]
+
+
 def filter_docs(df: DataFrame, keep: Callable[[list], list[bool]], text: str = "text") -> DataFrame:
     """Rows of ``df`` whose text ``keep`` accepts, batch by batch, with all their columns."""
     small_batches(df.sparkSession)

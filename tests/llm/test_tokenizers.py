@@ -1,6 +1,8 @@
 """Operators 4 and 5 against the public tokenizer libraries, and exact round trips."""
 import base64
 import hashlib
+import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -99,3 +101,19 @@ def test_queue_pops_lowest_rank_first():
 def test_very_long_pre_token(n):
     ids = CODEC.encode("ab" * (n // 2))
     assert CODEC.decode(ids) == b"ab" * (n // 2)
+
+
+def test_each_pre_token_is_counted_once(spark):
+    """One row for each distinct pre-token of the corpus, with all its occurrences; the join gives the same for any table."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["a", "bb", "ccé", "日本", "x" * 30, ""]) + str(rng.randrange(30)) * rng.randrange(2) for _ in range(rng.randrange(40))))
+            for i in range(300)] + [(None, None), (7, ""), (7, "  lead and  trail  "), (8, "tab\tand\nline ")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_tokens int").repartition(5)
+    want = Counter(p for _, t in rows for p in tokencount.PieceCounter.pre_tokens(t or ""))
+    table = tokencount.pre_token_table(df, MODEL).collect()
+    assert len({r.h for r in table}) == len(table) == len(want) and sorted(r.n for r in table) == sorted(want.values())
+    assert {r.h: r.pieces for r in table} == dict(zip(tokencount.hashes(list(want)).tolist(), COUNTER.count_pieces(list(want))))
+    expect = sorted((str(d), len((t or "").encode()), len(SP.encode(t or ""))) for d, t in rows)
+    for size in (0, 10, 40, 10 ** 6):
+        got = tokencount.token_counts(df, MODEL, table_size=size).collect()
+        assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in got) == expect
