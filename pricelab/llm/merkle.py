@@ -12,11 +12,11 @@ tell equality, the sections that differ and the share of leaves in common.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -136,19 +136,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _bounds(docs: DataFrame, buckets: int) -> list[tuple[int, int]]:
-    """Smallest (did, th) of each of about ``buckets`` ranges of doc_id, ascending."""
+    """Smallest (did, th) of each of about ``buckets`` ranges of (doc_id, text hash), ascending.
+
+    A doc_id that several quantiles fall on (null ids, or one id with very many
+    texts) is cut by its text hashes, which are spread evenly.
+    """
     cuts = docs.approxQuantile("did", [i / buckets for i in range(1, buckets)], 0.2 / buckets) if buckets > 1 else []
-    edges = np.array(sorted({int(c) for c in cuts}), np.int64)
+    edges = [(d, -(1 << 63) + (1 << 64) * j // n) for d, n in sorted(Counter(min(int(c), MAX_ID) for c in cuts).items()) for j in range(n)]
 
     def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low: dict[int, tuple[int, int]] = {}
         for b in batches:
-            ids, th = b.column(0).to_numpy(), b.column(1).to_numpy()
-            order = np.lexsort((th, ids))
-            ids, th = ids[order], th[order]
-            bucket = np.searchsorted(edges, ids, side="right")
-            for k, i in zip(*np.unique(bucket, return_index=True)):
-                low[int(k)] = min(low.get(int(k), (MAX_ID, MAX_ID)), (int(ids[i]), int(th[i])))
+            for key in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                k = bisect_right(edges, key)
+                low[k] = min(low.get(k, key), key)
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(low), pa.int32()), pa.array([d for d, _ in low.values()], pa.int64()),
              pa.array([t for _, t in low.values()], pa.int64())], names=["bucket", "did", "th"])
@@ -172,7 +173,7 @@ def edited_fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFram
     follows itself.  Other columns are not looked at.  An empty table gives no
     rows.
 
-    Texts are dealt once, by ranges of doc_id whose bounds the driver holds (a
+    Texts are dealt once, by ranges of doc_id and text hash whose bounds the driver holds (a
     few for each shuffle partition); the first document of a range is also
     sent behind the range before it.  Within a range rows stream in order.
     """
@@ -182,20 +183,18 @@ def edited_fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFram
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), did().alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
     low = _bounds(rows.select("did", "th"), buckets)
-    low_did = np.array([d for d, _ in low], np.int64)
     firsts = {key: i for i, key in enumerate(low)}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            ids, th = b.column(1).to_numpy(), b.column(2).to_numpy()
-            bucket = np.searchsorted(low_did, ids, side="right") - 1
+            keys = list(zip(b.column(1).to_pylist(), b.column(2).to_pylist()))
+            bucket = [bisect_right(low, key) - 1 for key in keys]
             data = [pack(t.encode("utf-8", "surrogatepass")) for t in b.column(3).to_pylist()]
-            ahead = [(i, k) for i, key in enumerate(zip(ids.tolist(), th.tolist()))
-                     if (k := firsts.get(key)) is not None]
+            ahead = [(i, k) for i, key in enumerate(keys) if (k := firsts.get(key)) is not None]
             take = pa.array([*range(b.num_rows), *(i for i, _ in ahead)], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([*bucket.tolist(), *((k - 1) % len(low) for _, k in ahead)], pa.int32()),
+                [pa.array([*bucket, *((k - 1) % len(low) for _, k in ahead)], pa.int32()),
                  pa.array([False] * b.num_rows + [True] * len(ahead)),
                  b.column(0).take(take), b.column(1).take(take), b.column(2).take(take),
                  pa.array(data, pa.binary()).take(take)],

@@ -52,6 +52,17 @@ def test_edge_rows(spark):
     assert sorted(str(r.doc_id) for r in got) == ["2", "2", "None"]
 
 
+def test_one_id_with_very_many_texts(spark):
+    """Null ids, or one id, for most rows: cut by text hash, neighbours as in one bucket."""
+    for hot in (None, 5):
+        rows = [(hot, f"text {i} " * (i % 7)) for i in range(300)] + [(i, f"own {i}") for i in range(20)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        one, many = (result(merkle.edited_fingerprints(df, n)) for n in (1, 24))
+        assert one == many and len(one) == len(rows)
+        low = merkle._bounds(df.selectExpr("coalesce(doc_id, 9223372036854775807) AS did", "xxhash64(text) AS th"), 24)
+        assert len(low) > 12 and low == sorted(low)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="ab \n", max_size=80), st.text(alphabet="ab \n", max_size=80))
 def test_equal_fingerprints_are_equal_texts(a, b):
