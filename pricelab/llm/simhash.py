@@ -228,6 +228,10 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 3, cell_limit: int = 20_00
             .mapInArrow(_cell_links(max_bits), "a long, b long"))
 
 
+#: Tasks that the documents of one fingerprint are spread over when they get their component.
+SALTS = 16
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3,
                     cell_limit: int = 20_000) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs`` (doc_id, text).
@@ -246,9 +250,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3,
     linked = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp")
     ids = linked.groupBy("root").agg(F.min("rep").alias("low"))
     linked = linked.join(ids, "root").select("fp", "low")
+    # documents of one fingerprint may be a third of all: each class stands under every salt
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
     reps = (classes.join(linked, "fp", "left")
-            .select("fp", F.coalesce("low", "rep").alias("component_id")))
-    return (fps.join(reps, "fp")
+            .select("fp", F.coalesce("low", "rep").alias("component_id"), F.explode(salts).alias("salt")))
+    salted = fps.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return (salted.join(reps, ["fp", "salt"])
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                     "component_id"))
 

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from pricelab.llm import simhash
 from pricelab.llm.queries import QUERIES
@@ -99,3 +100,13 @@ def test_dense_group_and_block_pairs(spark, bits):
                 p[max(a, b)] = min(a, b)
             return [find(i) for i in range(len(fps))]
         assert parts((idx[a], idx[b]) for a, b in links) == parts(near)
+
+
+def test_many_documents_of_one_fingerprint(spark):
+    """All copies get their component, and no task of the last join holds them all."""
+    rows = [(i, "one and the same text for very many documents") for i in range(4000)] + [(5000, "another one entirely, alone here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.near_duplicates(df)
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(i, 0) for i in range(4000)] + [(5000, 5000)]
+    salts = df.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(simhash.SALTS))).groupBy("salt").count().collect()
+    assert len(salts) == simhash.SALTS and max(r["count"] for r in salts) < 1000
