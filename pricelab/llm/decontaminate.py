@@ -41,16 +41,17 @@ def normal_words(text: str | None) -> list[bytes]:
 def window_fingerprints(shingles: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     """SimHash of the n shingle hashes from each of ``starts`` on."""
     out = np.zeros(len(starts), np.uint64)
-    step = 4096
-    for i in range(0, len(starts), step):
-        s = starts[i:i + step]
-        base = int(s[0])
-        bits = np.unpackbits(shingles[base:int(s[-1]) + n].astype(">u8").view(np.uint8)).reshape(-1, 64)
+    step, i = 4096, 0
+    while i < len(starts):             # a bounded stretch at a time, however far the starts lie apart
+        base = int(starts[i])
+        j = int(np.searchsorted(starts, base + step))
+        s = starts[i:j] - base
+        bits = np.unpackbits(shingles[base:base + int(s[-1]) + n].astype(">u8").view(np.uint8)).reshape(-1, 64)
         sums = np.zeros((len(bits) + 1, 64), np.int32)
         np.cumsum(bits, axis=0, out=sums[1:])
-        s = s - base
         ones = 2 * (sums[s + n] - sums[s]) > n
-        out[i:i + step] = np.packbits(ones, axis=1).view(">u8").ravel()
+        out[i:j] = np.packbits(ones, axis=1).view(">u8").ravel()
+        i = j
     return out
 
 
@@ -154,8 +155,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     that holds a benchmark item (item_id, text), one row for each document and item.  A document of
     fewer words than an item is one window, of all its words.
 
-    Words are lower-cased, without ASCII punctuation.  Items of fewer words
-    than a shingle, null and empty ones match nothing; a null or empty text
+    Words are lower-cased, without ASCII punctuation.  An item of fewer words
+    than a shingle is one shingle, its whole sequence; null and empty ones match nothing; a null or empty text
     holds nothing.  Items with one text are found each under its own id; a
     null item_id or doc_id is returned as null.  Repeated documents are
     returned as often as given.  Other columns are not looked at.  An empty
@@ -194,18 +195,24 @@ def _search(shared, threshold: float):
 
 
 def _blocks(benchmark: DataFrame, shingle: int, block_words: int) -> Iterator[Index]:
-    """Indexes of the items, at most ``block_words`` words (or one item) in each."""
-    block: list[tuple[int, list[bytes]]] = []
-    size = 0
+    """Indexes of the items, at most ``block_words`` words (or one item) in each.  Items of fewer
+    words than a shingle have indexes of their own, whose shingle is the whole item."""
+    blocks: dict[int, list[tuple[int, list[bytes]]]] = {}
+    sizes: Counter = Counter()
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text")
     for item_id, text in items.toLocalIterator():
         tokens = normal_words(text)
-        if len(tokens) < shingle:
+        k = min(len(tokens), shingle)
+        if not k:
             continue
-        if block and size + len(tokens) > block_words:
-            yield Index([i for i, _ in block], [t for _, t in block], shingle)
-            block, size = [], 0
-        block.append((item_id, tokens))
-        size += len(tokens)
-    if block:
-        yield Index([i for i, _ in block], [t for _, t in block], shingle)
+        if sizes[k] and sizes[k] + len(tokens) > block_words:
+            yield _index(blocks.pop(k), k)
+            sizes[k] = 0
+        blocks.setdefault(k, []).append((item_id, tokens))
+        sizes[k] += len(tokens)
+    for k, block in sorted(blocks.items()):
+        yield _index(block, k)
+
+
+def _index(block: list[tuple[int, list[bytes]]], shingle: int) -> Index:
+    return Index([i for i, _ in block], [t for _, t in block], shingle)

@@ -92,6 +92,28 @@ def test_no_window_at_the_threshold_is_lost():
         assert got.keys() == {x[1] for x in want} == {i}
 
 
+def test_items_shorter_than_a_shingle(spark):
+    """They match where their whole sequence stands."""
+    items = spark.createDataFrame([(1, "Four words, it is!"), (2, "one"), (3, "..."), (4, "Four words it was")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x four words it is y z"), (2, "four words it"), (3, "four it words is"), (4, "One"), (5, "done"), (6, "")],
+                                 "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.start_word, r.n_words) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(1, 1, 1, 4), (4, 2, 0, 1)}
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, items).collect()) == [2, 3, 5, 6]
+
+
+def test_fingerprints_of_scattered_windows():
+    """A long text whose windows lie far apart is handled a stretch at a time, with the same result."""
+    import numpy as np
+    rng = np.random.default_rng(1)
+    shingles = rng.integers(0, 1 << 63, 300_000).astype(np.uint64)
+    starts = np.unique(np.concatenate([rng.integers(0, 299_900, 300), np.arange(5000, 5300)]))
+    got = decontaminate.window_fingerprints(shingles, starts, 40)
+    for s, g in zip(starts[::37].tolist(), got[::37].tolist()):
+        ones = [sum(int(x) >> b & 1 for x in shingles[s:s + 40]) * 2 > 40 for b in range(64)]
+        assert g == sum(1 << b for b, one in enumerate(ones) if one)
+
+
 def test_documents_shorter_than_an_item(spark):
     item = [f"w{i}" for i in range(50)]
     docs = [(1, " ".join(item[:-1])), (2, " ".join(item[4:])), (3, " ".join(item[:30])), (4, "w0 w1"), (5, " ".join(item))]
