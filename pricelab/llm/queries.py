@@ -101,6 +101,66 @@ QUERIES = {f.__name__: f for f in (
 
 #: DuckDB twins of the queries that SQL can express.
 SQL: dict[str, str] = {
+    # the grammar's states forward, turn by turn: cheapest least (cost, audit, text) of each
+    "op11_conversation_repair": r"""
+        WITH RECURSIVE given AS (
+          SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+          FROM conversations),
+        keys AS (
+          SELECT k, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(k[i]) AS BIGINT))),
+                        lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 20 AS m
+          FROM (SELECT DISTINCT k FROM given)),
+        damaged AS (
+          SELECT conv_id, turn, CASE WHEN m = 4 THEN 'user' ELSE role END AS role,
+                 CASE WHEN m = 1 THEN '' WHEN m = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                 unnest(range(CASE WHEN m = 3 THEN 2 ELSE 1 END)) AS copy
+          FROM given JOIN keys USING (k) WHERE m <> 0),
+        numbered AS (
+          SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+                 row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+                 regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS ink FROM damaged),
+        rows_ AS (
+          SELECT conv_id, i, turn, role, text, left(role, 1) AS r,
+                 CASE WHEN ink = '' THEN 'b' WHEN again THEN 'd' WHEN right(ink, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '.' END AS fault,
+                 lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM numbered),
+        ins(q, p, edits, added, c) AS (VALUES
+          (0, 0, '', '', 0), (1, 1, '', '', 0), (2, 2, '', '', 0), (3, 3, '', '', 0),
+          (0, 2, 'I', chr(10) || 'user:', 5), (1, 2, 'I', chr(10) || 'user:', 5), (3, 2, 'I', chr(10) || 'user:', 5), (2, 3, 'I', chr(10) || 'assistant:', 5),
+          (0, 3, 'II', chr(10) || 'user:' || chr(10) || 'assistant:', 10), (1, 3, 'II', chr(10) || 'user:' || chr(10) || 'assistant:', 10),
+          (3, 3, 'II', chr(10) || 'user:' || chr(10) || 'assistant:', 10), (2, 2, 'II', chr(10) || 'assistant:' || chr(10) || 'user:', 10)),
+        steps(p, r, n) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+        walk AS (
+          SELECT DISTINCT conv_id, 0 AS i, 0 AS q, {'c': CAST(0 AS BIGINT), 'a': '', 't': ''} AS best FROM rows_
+          UNION ALL
+          SELECT conv_id, i, q, min({'c': c, 'a': a, 't': t}) AS best FROM (
+            SELECT w.conv_id, x.i, e.n AS q, w.best.c + ins.c + e.cost AS c, w.best.a || ins.edits || e.edit AS a, w.best.t || ins.added || e.t AS t
+            FROM walk AS w JOIN rows_ AS x ON x.conv_id IS NOT DISTINCT FROM w.conv_id AND x.i = w.i + 1 JOIN ins ON ins.q = w.q
+            JOIN (SELECT y.conv_id, y.i, s.p, s.n, 'K' AS edit, CASE WHEN y.fault = 't' THEN 5 ELSE 0 END AS cost, chr(10) || y.role || ':' || y.text AS t
+                  FROM rows_ AS y JOIN steps AS s ON s.r = y.r WHERE y.fault IN ('.', 't')
+                  UNION ALL
+                  SELECT y.conv_id, y.i, s.p, s.n, 'R', CASE WHEN y.fault = 't' THEN 6 ELSE 1 END,
+                         chr(10) || CASE WHEN s.r = 'u' THEN 'user:' ELSE 'assistant:' END || y.text
+                  FROM rows_ AS y JOIN steps AS s ON s.r <> 's' WHERE y.fault IN ('.', 't')
+                  UNION ALL
+                  SELECT y.conv_id, y.i, s.p, s.p, 'D', 2, '' FROM rows_ AS y, (VALUES (0), (1), (2), (3)) AS s(p)) AS e
+              ON e.conv_id IS NOT DISTINCT FROM x.conv_id AND e.i = x.i AND e.p = ins.p)
+          GROUP BY conv_id, i, q),
+        counts AS (
+          SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                 count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate,
+                 count(*) FILTER (WHERE fault = 't') AS truncated,
+                 count(*) FILTER (WHERE before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal
+          FROM rows_ GROUP BY conv_id),
+        closed AS (
+          SELECT w.conv_id, min({'c': w.best.c + ins.c, 'a': w.best.a || ins.edits, 't': w.best.t || ins.added}) AS best
+          FROM walk AS w JOIN counts AS n ON n.conv_id IS NOT DISTINCT FROM w.conv_id AND n.n = w.i JOIN ins ON ins.q = w.q AND ins.p IN (0, 3)
+          GROUP BY w.conv_id)
+        SELECT g.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+               coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost,
+               coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.t, 2), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM given) AS g LEFT JOIN counts AS c ON c.conv_id IS NOT DISTINCT FROM g.conv_id
+        LEFT JOIN closed AS d ON d.conv_id IS NOT DISTINCT FROM g.conv_id""",
     "op8_substring_dedup": r"""
         WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
         windows AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS phrase

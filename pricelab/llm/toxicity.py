@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -36,8 +37,6 @@ FOREIGN = re.compile("[^\u0000-ɏ]")
 LEET_IN_WORD = re.compile(r"(?<=[^\W\d_])[0-9@$!|+](?=[^\W\d_])|(?<!\S)[0-9@$!|+](?=[^\W\d_])"
                           r"|(?<=[^\W\d_])[0-9@$!|+]{2}(?=[^\W\d_])")
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Phrases in which a word of a lexicon means no harm; more are learned.
-EXCEPTIONS = ("clown fish", "trash can", "trash bin", "trash bag", "pond scum", "sore loser")
 
 
 def fold(text: str | None) -> str:
@@ -130,7 +129,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, max_docs: int = 20_000, max_terms: int = 600,
-          min_docs: int = 5, shortest: int = 4, longest: int = 9) -> Lexicon:
+          min_docs: int = 5, shortest: int = 4, longest: int = 9, exceptions: Sequence[str] = ()) -> Lexicon:
     """Lexicon learned from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic) where ``learn``
     (a condition on doc_id) holds.
 
@@ -140,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, max_docs: int = 20_
     entries that occur in ``min_docs`` toxic documents), the rest the logistic
     fit.  Repeated texts count once.  Null labels, texts and ids are not
     learned from; with no toxic or no other document the score is the share
-    of toxic ones.
+    of toxic ones.  ``exceptions``: phrases in which an entry means no harm, beside those learned here.
     """
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learn)
     usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -174,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, max_docs: int = 20_
              .where((F.col("weight") > 1.5) & (F.col("weight") / spread > 3.0))
              .orderBy(F.desc(F.col("weight") * F.sqrt("toxic")), "term").limit(4 * max_terms).collect())
     lexicon = Lexicon(prune({r.term: (r.weight, r.toxic) for r in found}, max_terms),
-                      [*EXCEPTIONS, *learned_exceptions(first, {r.term for r in found})])
+                      [*exceptions, *learned_exceptions(first, {r.term for r in found})])
     rest = sample.where(part == 2).select("text", "toxic").dropDuplicates(["text"])
 
     def vectors(b: pa.RecordBatch) -> dict:

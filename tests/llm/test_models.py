@@ -37,7 +37,7 @@ def test_op3_query(spark):
 
 
 def test_folding_and_exceptions(spark):
-    lex = toxicity.Lexicon({" idiot ": 5.0, " stup": 4.0, " clown ".replace("l", "i"): 5.0}, list(toxicity.EXCEPTIONS),
+    lex = toxicity.Lexicon({" idiot ": 5.0, " stup": 4.0, " clown ".replace("l", "i"): 5.0}, ["clown fish", "trash can"],
                            np.array([-2.0, 0, 3.0, 0]))
     for t in ("an idiot", "an IDIOT!!", "an id1ot", "an 1d10t", "ｉｄｉｏｔ", "an іdіоt", "idi​ot", "$tupid!", "stupidity"):
         assert lex.scores([t])[0] > 0.5, t
@@ -47,6 +47,37 @@ def test_folding_and_exceptions(spark):
     assert toxicity.fold("loser$$$ 100% a1b") == " ioser aib "
 
 
+def plain_score(lex, text):
+    """The score by searching the folded text for one entry after another."""
+    folded = toxicity.fold(text)
+
+    def places(term):
+        at = folded.find(term)
+        while at >= 0:
+            yield at
+            at = folded.find(term, at + 1)
+
+    best = {}
+    for t, w in lex.weights.items():
+        for p in places(t):
+            best[p] = max(best.get(p, 0.0), w)
+    for e in map(toxicity.fold, lex.exceptions):
+        for p in places(e):
+            best = {q: w for q, w in best.items() if not p <= q < p + len(e) - 1}
+    total, n = sum(best.values()), len(folded.split())
+    x = [1.0, math.log1p(total), 20 * total / (n + 20), max(best.values(), default=0.0)]
+    return 1 / (1 + math.exp(-max(-30, min(30, float(np.dot(x, lex.coef))))))
+
+
+def test_op3_equals_a_plain_search(spark, med_docs):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    lex = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"), F.expr("crc32(cast(cast(doc_id as string) as binary)) % 5 != 0"),
+                         min_docs=2, exceptions=("clown fish", next(t for _, t in med_docs if t)[:12]))
+    assert lex.weights and lex.exceptions
+    got = {r.doc_id: r.score for r in toxicity.score(docs, lex).collect()}
+    assert all(abs(got[d] - plain_score(lex, t)) < 1e-9 for d, t in med_docs)
+
+
 def test_op3_edge_rows(spark):
     docs = edge(spark)
     labels = spark.createDataFrame([(4, 1, "x"), (5, 0, None), (None, 1, "x"), (77, None, "x")], "doc_id long, toxic int, text string")
