@@ -10,6 +10,7 @@ leak out.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
-from ..functions.prices import round_to, tiers
 from ..functions.narrowing import column_quantiles
+from ..functions.prices import round_to, tiers
 from ..functions.stats import histogram, safe_corr, unpivot_values
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
@@ -29,6 +30,10 @@ def _r(c: Column, digits: int | None) -> Column:
     return c if digits is None else round_to(c, digits)
 
 
+#: Column pairs of one correlation aggregate.
+PAIRS = 6
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC_TYPES)]
 
@@ -200,27 +205,24 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] = S.CORRELATION_COL
                        digits: int | None = 6) -> DataFrame:
     """A10: pairwise-complete Pearson matrix as (a, b, r); empty below ``min_columns``.
 
-    Every row is expanded into one ``(pair, x, y)`` row per column pair
-    (diagonal included) and grouped by pair: a narrow, code-generated partial
-    aggregate with one group per pair, instead of one very wide aggregate that
-    falls out of whole-stage codegen.  The result is mirrored.
+    The pairs (diagonal included) go a few at a time into aggregates without
+    grouping, each narrow enough for generated code; one row a task is
+    exchanged.  The result is mirrored.
     """
     cols = [c for c in columns if c in df.columns]
     spark = df.sparkSession
     if len(cols) < min_columns:
         return spark.range(0).select(F.lit("").alias("a"), F.lit("").alias("b"),
                                      F.lit(0.0).alias("r"))
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    cells = F.array(*[F.struct(F.lit(k).alias("pair"), F.col(cols[i]).cast("double").alias("x"),
-                               F.col(cols[j]).cast("double").alias("y"))
-                      for k, (i, j) in enumerate(pairs)])
-    long = df.select(F.explode(cells).alias("c")).select("c.*")
-    per = long.groupBy("pair").agg(safe_corr(F.col("y"), F.col("x")).alias("r"))
-    a_names = F.array(*[F.lit(cols[i]) for i, _ in pairs])
-    b_names = F.array(*[F.lit(cols[j]) for _, j in pairs])
-    idx = (F.col("pair") + 1).cast("int")
-    named = per.select(F.element_at(a_names, idx).alias("a"), F.element_at(b_names, idx).alias("b"),
-                       _r(F.col("r"), digits).alias("r"))
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    # a few pairs in one aggregate stay in generated code; no row is copied for a pair
+    parts = []
+    for k in range(0, len(pairs), PAIRS):
+        few = pairs[k:k + PAIRS]
+        one = df.select(*[safe_corr(F.col(b).cast("double"), F.col(a).cast("double")).alias(f"r{n}") for n, (a, b) in enumerate(few)])
+        parts.append(one.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), _r(F.col(f"r{n}"), digits).alias("r"))
+                                                   for n, (a, b) in enumerate(few)]))))
+    named = reduce(DataFrame.unionByName, parts)
     # mirror the few result rows, not the input
     a, b, r = F.col("a"), F.col("b"), F.col("r")
     both = F.when(a == b, F.array(F.struct(a, b, r))).otherwise(

@@ -7,6 +7,8 @@ independently of the Spark code, from the operator's specification.
 
 from __future__ import annotations
 
+import re
+
 # The SQL side's own rule of a numeric list: the whole text at once (DuckDB's regular
 # expressions run in linear time without recursion).
 _NUMBER = (r"[+-]?(0+|[1-9][0-9]*(_[0-9]+)*"
@@ -351,7 +353,7 @@ for _key in ["dataset_shape", "dataset_overview", "missing_by_column", "missing_
     SQL[_key] = _PREFIX + SQL[_key][len(_PREFIX):].replace("FROM clean", "FROM prof")
 
 # ---------------------------------------------------------------- editions / frames
-from .plans.params import (ENCODED_LOOKUP_COLUMNS, FEATURES_FIXED, LINEAR_SIGNALS,  # noqa: E402
+from .plans.params import (ENCODED_LOOKUP_COLUMNS, FEATURES_FIXED, INDEX_TERMS, LINEAR_SIGNALS,  # noqa: E402
                            NO_MATCH_TERM, SEARCH_LITERAL, SEARCH_REGEX, SEARCH_TERM,
                            SIGNAL_WEIGHTS, WEIGHTED_SIGNALS)
 
@@ -720,6 +722,14 @@ SQL["stream_pricing_kpis"] = qf(
     f"{r6(_score())} AS score, {_score_level(_score())} AS score_level, "
     f"{r6(_POS)} AS competitor_position FROM pg")
 
+SQL["forest_interval_sweep"] = ("SELECT 101 * count(*) AS n_rows, count(*) AS n_products, CAST(0 AS BIGINT) AS n_differ FROM part")
+SQL["distinct_sketches"] = q(" UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS unique_values, count(*) AS n_rows, true AS within_bound, "
+    f"true AS both_loads_new FROM raw_catalog" for c in RAW_COLUMNS if c not in NUMERIC_CLEAN or c in ("holiday", "weekend", "weekday", "optimal_price")))
+_TERMS = [SEARCH_TERM, SEARCH_REGEX, re.escape(SEARCH_LITERAL), NO_MATCH_TERM, *INDEX_TERMS]
+SQL["search_by_trigrams"] = q(" UNION ALL ".join(
+    f"SELECT '{name}' AS term, id, productDisplayName FROM clean WHERE regexp_matches(productDisplayName, '{t}', 'i')"
+    for name, t in zip([SEARCH_TERM, SEARCH_REGEX, SEARCH_LITERAL, NO_MATCH_TERM, *INDEX_TERMS], _TERMS)))
 SQL["forest_tables"] = ("SELECT count(*) AS n_products, CAST(0 AS BIGINT) AS n_products_differ, CAST(0 AS BIGINT) AS "
                         "n_features_differ, CAST(50 AS BIGINT) AS n_trees, CAST(0 AS BIGINT) AS n_nodes_lost FROM part")
 

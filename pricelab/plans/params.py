@@ -3,6 +3,8 @@
 SEARCH_TERM = "ring"
 SEARCH_REGEX = "^(RED|blue) r.ng$"
 SEARCH_LITERAL = "g (V1.5)"
+#: More expressions for the name index: without a trigram, with a group, a class, something optional, an alternative.
+INDEX_TERMS = ["ri", "s(mal|hin).* widget", "[rb].. ring", "cold? w+idget$", "ring|bolt", "^SMALL .*"]
 NO_MATCH_TERM = "zzz-no-such-product"
 
 # A model's feature list (an artifact of training): numeric signals, one signal

@@ -6,6 +6,7 @@ the library operator over the whole catalog.  Keys match ``pricelab.oracle``.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Callable
 
 from pyspark.ml import PipelineModel
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from .. import streaming
+from ..functions.distinct import add_files, distinct_counts, error_bound
 from ..functions.prices import round6, round_to
 from ..functions.stats import histogram
 from ..operators import cleaning as C
@@ -22,16 +24,17 @@ from ..operators import kpi as K
 from ..operators import profile as A
 from ..operators import scenarios as J
 from ..operators import search as P
-from ..operators.model import (feature_importance, model_summary, score_catalog, top_drivers,
-                               train_linear_model, train_price_model)
-from ..operators.model_tables import (importance_from_tables, load_forest, read_forest, save_forest,
+from ..operators.model import (categorical_inputs, design_matrix, feature_importance, model_summary, numeric_inputs,
+                               predict_features, score_catalog, top_drivers, train_linear_model, train_price_model)
+from ..operators.model_tables import (importance_from_tables, interval_sweep, load_forest, read_forest, save_forest,
                                       score_from_tables)
+from ..operators.name_index import build_index, search_by_index
 from ..session import materialize, scratch_path
 from ..sources.catalog import (load_catalog_csv, read_catalog_csv, read_catalog_parquet, read_report_parts,
                                write_catalog_csv, write_report, write_report_parts)
 from ..streaming.pricing import catalog_stream, pricing_kpi_stream, run_available
 from .catalog import catalog_key, cleaned_catalog, competitor_median, raw_catalog, raw_catalog_path
-from .params import (ENCODED_LOOKUP_COLUMNS, FEATURES_FIXED, LINEAR_SIGNALS, NA_CELLS, NO_MATCH_TERM,
+from .params import (ENCODED_LOOKUP_COLUMNS, FEATURES_FIXED, INDEX_TERMS, LINEAR_SIGNALS, NA_CELLS, NO_MATCH_TERM,
                      SEARCH_LITERAL, SEARCH_REGEX, SEARCH_TERM, SIGNAL_WEIGHTS, WEIGHTED_SIGNALS)
 from .whatif import (forest_optimizer_pricing, forest_playground_pricing, optimizer_frame,
                      playground_frame)
@@ -214,6 +217,16 @@ def q_search_literal(spark, sf):
     return P.search_products(df, SEARCH_LITERAL, literal=True).select("id", "productDisplayName")
 
 
+@register("search_by_trigrams")
+def q_search_by_trigrams(spark, sf):
+    """P1 over trigram posting lists: every test term, also one that has no trigram."""
+    df = cleaned_catalog(spark, sf)
+    index = build_index(df, scratch_path(spark, "name-index"))
+    terms = [(SEARCH_TERM, False), (SEARCH_REGEX, False), (SEARCH_LITERAL, True), (NO_MATCH_TERM, False), *((t, False) for t in INDEX_TERMS)]
+    parts = [search_by_index(df, index, t, lit).select(F.lit(t).alias("term"), "id", "productDisplayName") for t, lit in terms]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @register("distinct_names_first_n")
 def q_first_names(spark, sf):
     return P.first_names(cleaned_catalog(spark, sf), S.NAME_LIST_SIZE)
@@ -701,6 +714,19 @@ def q_forest_tables(spark, sf):
                          F.max(lost).alias("n_nodes_lost"))
 
 
+@register("forest_interval_sweep")
+def q_forest_interval_sweep(spark, sf):
+    """J4 of the forest by intervals between split points, held against the model object swept position by position."""
+    clean, model = _forest(spark, sf)
+    tables = read_forest(spark, _MODELS[catalog_key(spark, sf, "forest-strict")])
+    ours = interval_sweep(tables, clean, "demand", 0.0, 1.0, 0.01).select("id", "step", F.col("prediction").alias("p"))
+    swept = J.sensitivity_sweep(design_matrix(clean, numeric_inputs(model), categorical_inputs(model)), "demand", 0.0, 1.0, 0.01)
+    theirs = predict_features(model, swept, keep=("id", "step"))
+    both = theirs.join(ours, ["id", "step"], "full")
+    return both.select(F.count("p").alias("n_rows"), F.count_distinct("id").alias("n_products"),
+                       F.count_if(~F.col("p").eqNullSafe(F.col("prediction"))).alias("n_differ"))
+
+
 @register("forest_pricing")
 def q_forest_pricing(spark, sf):
     """Playground flow with the trained forest: weighted vector (F4, calibrated
@@ -747,6 +773,24 @@ def q_catalog_quarantine(spark, sf):
     return load.good.select("*", n.alias("n_quarantined"), kinds.alias("problems"), F.lit(load.n_good).alias("n_good"))
 
 
+@register("distinct_sketches")
+def q_distinct_sketches(spark, sf):
+    """A2, A6 by sketches kept by file: the catalog comes in two loads, of which the second sketches only the new
+    files; the exact count of every text column and whether the estimate is within its error."""
+    raw, source, table = raw_catalog(spark, sf), scratch_path(spark, "sketch-source"), scratch_path(spark, "sketches")
+    columns = A.text_columns(raw)
+    n_files = []
+    for part in (0, 1):
+        raw.where(F.pmod("id", F.lit(2)) == part).write.mode("append").parquet(source)
+        n_files.append(add_files(spark, source, raw.schema, table, columns))
+    exact = A.categorical_summary(raw, columns).select("column", "unique_values")
+    both = exact.join(distinct_counts(spark, table, columns), "column")
+    off = F.abs(F.col("estimate") - F.col("unique_values"))
+    return both.select("column", "unique_values", F.col("n_rows"),
+                       (off <= F.greatest(F.lit(1.0), F.col("unique_values") * F.lit(error_bound()))).alias("within_bound"),
+                       F.lit(min(n_files) > 0).alias("both_loads_new"))
+
+
 @register("report_sink_parts")
 def q_report_sink_parts(spark, sf):
     """S3 by partition: a report by season written whole, then the run of one season again with other

@@ -33,3 +33,22 @@ def test_scoring_needs_no_python_and_no_join(spark, clean_small):
     model.save(path)
     plan = score_from_tables(read_forest(spark, path), clean_small)._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_interval_sweep_equals_the_swept_model(spark, clean_small):
+    from pricelab.operators.model_tables import interval_sweep, sweep_intervals
+    from pricelab.operators.scenarios import sensitivity_sweep
+    model = M.train_price_model(clean_small, num_trees=6, max_depth=4)
+    path = scratch_path(spark, "t-model")
+    model.save(path)
+    tables = read_forest(spark, path)
+    few = clean_small.where("id < 40")
+    for signal, lo, hi, step in (("demand", 0.0, 1.0, 0.01), ("inventory", 0.2, 0.7, 0.05), ("ratings", 1.0, 5.0, 2.0)):
+        rows = M.design_matrix(few, M.numeric_inputs(model), M.categorical_inputs(model))
+        swept = sensitivity_sweep(rows, signal, lo, hi, step)
+        want = {(r.id, r.step): r.prediction for r in M.predict_features(model, swept, keep=("id", "step")).collect()}
+        rows = interval_sweep(tables, few, signal, lo, hi, step).collect()
+        assert {(r.id, r.step): r.prediction for r in rows} == want and len(rows) == 40 * (round((hi - lo) / step) + 1)
+        assert {(r.step, r[signal]) for r in rows} == {(r.step, r[signal]) for r in swept.select("step", signal).distinct().collect()}
+    parts = spark.range(1).select(sweep_intervals(tables, "demand", 0.0, 1.0, 0.01).alias("p")).first()["p"]
+    assert len(parts) < 101 and sum(len(p["steps"]) for p in parts) == 101      # fewer scores than positions
