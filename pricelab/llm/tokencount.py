@@ -149,7 +149,7 @@ def frequent(table: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray]:
     return least, h, pieces
 
 
-def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, table_size: int = 2_000_000) -> DataFrame:
+def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, table_size: int = 4_000_000) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row of ``docs`` (doc_id, text).
 
     ``model_path`` names a SentencePiece model file that every executor can
