@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.narrowing import column_quantiles
-from ..operators.cleaning import clean_catalog, clean_flags, clean_label, competitor_mean
+from ..operators.cleaning import clean_catalog, clean_flags, clean_label, impute_competitor_mean
 from ..session import input_version, write_shared
 from ..sources.catalog import catalog_from_tables
 
@@ -61,11 +61,21 @@ def raw_catalog_path(spark: SparkSession, sf_dir: str) -> str:
     return _CACHE[catalog_key(spark, sf_dir, "raw")]
 
 
+def _clean_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned catalog as written: price lists parsed once, missing competitor means not filled yet."""
+    key = catalog_key(spark, sf_dir, "clean-core")
+    core = _cached(spark, key)
+    if core is None:
+        core = _store(clean_catalog(raw_catalog(spark, sf_dir), flags=None, label="null", impute=False),
+                      key, "catalog-clean-core")
+    return core
+
+
 def competitor_median(spark: SparkSession, sf_dir: str) -> float | None:
     """Exact median of the catalog's known competitor means; found once per application and input."""
     key = catalog_key(spark, sf_dir, "competitor-median")
     if key not in _MEDIANS:
-        means = competitor_mean(raw_catalog(spark, sf_dir))
+        means = _clean_core(spark, sf_dir)
         _MEDIANS[key] = column_quantiles(means, ["competitor_price_mean"], [0.5]).first()["q"][0]
     return _MEDIANS[key]
 
@@ -74,18 +84,14 @@ def cleaned_catalog(spark: SparkSession, sf_dir: str, flags: str = "strict",
                     cache: bool = True, label: str = "fill") -> DataFrame:
     """Catalog after load-time cleaning (strict flags = optimizer edition).
 
-    The editions share one written core (names, imputed competitor mean; the
-    median is computed once); the flag rule and the label's fill value are a
-    projection.  ``label="null"`` leaves an unparsable label missing, as the
-    data profile shows it.
+    The editions share one written core (names, competitor mean before the fill);
+    the median that fills it, found once from that core, the flag rule and the
+    label's fill value are a projection.  ``label="null"`` leaves an unparsable
+    label missing, as the data profile shows it.
     """
     if not cache:
         return clean_catalog(raw_catalog(spark, sf_dir, cache=False), flags=flags, label=label)
-    key = catalog_key(spark, sf_dir, "clean-core")
-    core = _cached(spark, key)
-    if core is None:
-        core = _store(clean_catalog(raw_catalog(spark, sf_dir), flags=None, label="null",
-                                    median=competitor_median(spark, sf_dir)), key, "catalog-clean-core")
+    core = impute_competitor_mean(_clean_core(spark, sf_dir), median=competitor_median(spark, sf_dir))
     return clean_flags(clean_label(core, label), flags)
 
 

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricelab.functions.prices import round_to_long
+from pricelab.plans import catalog
 from pricelab.sources.catalog import catalog_base
 
 from paths import SF_SMALL
@@ -48,3 +49,14 @@ def test_per_part_sums_are_exact(spark, tmp_path):
     assert one.freight == pytest.approx((200000 * 8 + 2000 * 1 + 1000 * 50) / 10000 / 4 / 100)
     assert three.freight == 2 * 90_000_000_000 * 99 / 10000 / 2 / 100 and three.units == ["90000000"]
     assert rows[2].n_lines is None and rows[2].units is None and rows[None].c is None
+
+
+def test_price_lists_are_parsed_once(spark, monkeypatch):
+    seen = []
+    real = catalog.column_quantiles
+    monkeypatch.setattr(catalog, "column_quantiles", lambda df, *a: (seen.append(df), real(df, *a))[1])
+    monkeypatch.setattr(catalog, "_MEDIANS", {})
+    filled = catalog.cleaned_catalog(spark, SF_SMALL)
+    for df in (*seen, filled):
+        assert "RLIKE" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert len(seen) == 1 and filled.where("competitor_price_mean IS NULL").count() == 0
