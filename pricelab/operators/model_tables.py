@@ -12,9 +12,10 @@ the vocabulary goes through the driver.
 from __future__ import annotations
 
 import json
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .model import ONE_HOT, design_matrix
@@ -145,18 +146,39 @@ def sweep_intervals(tables: ForestTables, signal: str, lo: float, hi: float, ste
     return parts.select(F.sort_array(F.collect_list(F.struct("value", "steps")))).scalar()
 
 
+def forest_expression(tables: ForestTables) -> Column:
+    """Mean of the trees' leaves as one nested condition over the signal and category columns: compiled, where
+    an array of trees beside each row is walked by interpreted functions.  Its size is that of the forest
+    (trees x 2^depth, whatever the number of levels or products), and so is what the driver reads for it."""
+    trees: dict[int, dict[int, Row]] = {}
+    for n in tables.nodes.collect():
+        trees.setdefault(n.tree, {})[n.node] = n
+
+    def goes_left(n: Row) -> Column:
+        if n.signal is not None:
+            return F.col(tables.signals[n.signal]) <= F.lit(n.threshold)
+        at_level = F.col(tables.columns[n.column_no]).eqNullSafe(F.lit(n.level))
+        return F.when(at_level, F.lit(n.level_left)).otherwise(F.lit(n.other_left))
+
+    def walk(nodes: dict[int, Row], at: int) -> Column:
+        n = nodes[at]
+        if n.left < 0:
+            return F.lit(n.value)
+        return F.when(goes_left(n), walk(nodes, n.left)).otherwise(walk(nodes, n.right))
+
+    return reduce(lambda s, t: s + walk(trees[t], 0), sorted(trees), F.lit(0.0)) / F.lit(len(trees))
+
+
 def interval_sweep(tables: ForestTables, df: DataFrame, signal: str, lo: float = 0.0, hi: float = 1.0,
                    step: float = 0.01) -> DataFrame:
     """J4 with the forest: ``(id, step, <signal>, prediction)`` of every product at every slider position.
 
     A product is scored once for each interval between split points that holds a position, not once
-    a position; the scores are then dealt out to the positions.  No join, no shuffle of the products.
+    a position; the scores are then dealt out to the positions.  No join, no shuffle of the products,
+    and nothing as large as the forest in a row.
     """
     rows = design_matrix(df, tables.signals, tables.columns)
-    cells = [F.col("part.value") if s == signal else F.col(s) for s in tables.signals]
-    rows = rows.withColumns({"trees": _trees(tables.nodes), "parts": sweep_intervals(tables, signal, lo, hi, step)})
-    rows = rows.select("*", F.explode("parts").alias("part")).select(
-        "id", "trees", "part.steps", F.array(*cells).alias("signals"),
-        (F.array(*tables.columns) if tables.columns else F.array().cast("array<string>")).alias("levels"))
-    scored = rows.select("id", "steps", forest_prediction(F.col("signals"), F.col("levels"), F.col("trees"), tables.depth).alias("prediction"))
+    parts = rows.withColumn("parts", sweep_intervals(tables, signal, lo, hi, step)).select("*", F.explode("parts").alias("part"))
+    at = parts.select("id", "part.steps", *[F.col("part.value").alias(s) if s == signal else F.col(s) for s in tables.signals], *tables.columns)
+    scored = at.select("id", "steps", forest_expression(tables).alias("prediction"))
     return scored.select("id", F.explode("steps").alias("s"), "prediction").select("id", "s.step", F.col("s.value").alias(signal), "prediction")

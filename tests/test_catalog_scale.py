@@ -60,3 +60,16 @@ def test_price_lists_are_parsed_once(spark, monkeypatch):
     for df in (*seen, filled):
         assert "RLIKE" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert len(seen) == 1 and filled.where("competitor_price_mean IS NULL").count() == 0
+
+
+def test_sweep_rows_carry_no_forest(spark, clean_small):
+    """The trees are a condition over the columns: no row holds them and no lambda walks them."""
+    from pricelab.operators import model as M
+    from pricelab.operators.model_tables import interval_sweep, read_forest
+    from pricelab.session import scratch_path
+    path = scratch_path(spark, "t-model")
+    M.train_price_model(clean_small, num_trees=3, max_depth=3).save(path)
+    swept = interval_sweep(read_forest(spark, path), clean_small, "demand")
+    plan = swept._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(trees" not in plan and "level_left" not in plan
+    assert swept.count() == 101 * clean_small.count()
