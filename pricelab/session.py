@@ -12,6 +12,7 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -97,6 +98,23 @@ def input_version(spark: SparkSession, path: str) -> tuple | None:
                         for f in fs.listStatus(hadoop)))
 
 
+@contextmanager
+def bounded_splits(spark: SparkSession, most: int):
+    """Files scanned inside come in splits of at most ``most`` bytes (or the session's own bound, if that is less).
+
+    For a step whose memory in a task grows with the rows of its split.  A row group of
+    parquet is never split.  The session's setting is put back at the end.
+    """
+    key = "spark.sql.files.maxPartitionBytes"
+    own = spark.conf.get(key)
+    n_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(own)
+    spark.conf.set(key, str(min(most, n_bytes)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
+
+
 def materialize(df, name: str):
     """Write ``df`` as parquet to a fresh path in the shared folder and read it back.
 

@@ -10,7 +10,10 @@ aggregated per part with partial aggregation before the one shuffle (a part
 holding a third of all lines costs one map-side combine, not one hot task); the
 distinct unit prices are a set in that aggregate (bounded by the distinct prices
 of the part).  The per-part aggregates of lines and events are joined by merging:
-they grow with the input, so none is sent through the driver.  The catalog-wide
+they grow with the input, so none is sent through the driver.  A task that meets many
+parts sorts its lines before it combines them, so the lines are written per part
+from splits of ``LINE_SPLIT`` bytes: more lines make more tasks, not larger sorts that
+spill.  The catalog-wide
 maxima used for normalisation are one scalar subquery (one row) over the
 materialized per-part aggregate, so lineitem is aggregated exactly once.
 Dimension tables are joined by key and left to Spark's size-checked broadcast.
@@ -26,7 +29,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..functions.prices import round_to_long
 from ..schema import CATALOG_SCHEMA, NA_MARKERS
-from ..session import materialize
+from ..session import bounded_splits, materialize
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -36,6 +39,8 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 SEASON_BY_REMAINDER = ["Winter", "Spring", "Summer", "Fall"]
 #: The lower 32 bits of a long.
 LOW_HALF = (1 << 32) - 1
+#: Bytes of a split of the lines: nearly two million lines, some 300 MB where a task sorts them by part.
+LINE_SPLIT = 32 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,7 +111,8 @@ def catalog_from_tables(spark: SparkSession, sf_dir: str, materialize_base: bool
     """
     base = catalog_base(spark, sf_dir)
     if materialize_base:
-        base = materialize(base, "catalog-base")
+        with bounded_splits(spark, LINE_SPLIT):
+            base = materialize(base, "catalog-base")
 
     # one scalar subquery (a single row) for all normalisation maxima
     mx = base.select(F.struct(F.max("qty").alias("q"), F.max("c").alias("c"),

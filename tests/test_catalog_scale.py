@@ -1,9 +1,11 @@
-"""The catalog is built with one exchange of the lines, and its price lists are parsed once."""
+"""The catalog is built with one exchange of the lines, in bounded splits, and its price lists are parsed once."""
 import pytest
 from pyspark.sql import functions as F
 
 from pricelab.functions.prices import round_to_long
 from pricelab.plans import catalog
+from pricelab.session import bounded_splits
+from pricelab.sources import catalog as source
 from pricelab.sources.catalog import catalog_base
 
 from paths import SF_SMALL
@@ -51,6 +53,41 @@ def test_per_part_sums_are_exact(spark, tmp_path):
     assert rows[2].n_lines is None and rows[2].units is None and rows[None].c is None
 
 
+SPLIT = "spark.sql.files.maxPartitionBytes"
+
+
+def test_lines_are_combined_in_bounded_splits(spark, monkeypatch):
+    """However many lines there are, a task that sorts them by part gets one bounded split of them."""
+    seen, own = [], spark.conf.get(SPLIT)
+    real = source.materialize
+    monkeypatch.setattr(source, "materialize", lambda df, name: (seen.append(spark.conf.get(SPLIT)), real(df, name))[1])
+    rows = source.catalog_from_tables(spark, SF_SMALL)
+    assert seen == [str(source.LINE_SPLIT)] and spark.conf.get(SPLIT) == own
+    assert rows.count() == source.read_table(spark, SF_SMALL, "part").count()
+
+
+def test_bounded_splits_are_for_the_scans_inside(spark, tmp_path):
+    spark.range(200_000).coalesce(1).write.parquet(f"{tmp_path}/t")
+    own = spark.conf.get(SPLIT)
+
+    def tasks():
+        return spark.read.parquet(f"{tmp_path}/t").rdd.getNumPartitions()
+
+    outside = tasks()
+    with pytest.raises(RuntimeError, match="lost"):
+        with bounded_splits(spark, 1 << 15):
+            inside = tasks()
+            raise RuntimeError("lost")
+    assert inside > outside == tasks() and spark.conf.get(SPLIT) == own
+    try:
+        spark.conf.set(SPLIT, "16KB")                               # a session's own lower bound stays
+        with bounded_splits(spark, 1 << 15):
+            assert spark.conf.get(SPLIT) == "16384"
+        assert spark.conf.get(SPLIT) == "16KB"
+    finally:
+        spark.conf.set(SPLIT, own)
+
+
 def test_price_lists_are_parsed_once(spark, monkeypatch):
     seen = []
     real = catalog.column_quantiles
