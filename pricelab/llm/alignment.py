@@ -7,7 +7,7 @@ that shift and jumped over; where they part, the side that ends first goes on
 until both end together, which closes an irregular group and sets the shift
 anew.  It runs on the new chunks of a block of texts, one after another as one
 pair of arrays (every chunk's end is a common end); a chunk's groups are
-remembered, so a document's groups are those of its chunks.
+remembered as rows of arrays, so a document's groups are those of its chunks.
 
 Id pairs are counted corpus-wide by Spark: one row for each document and
 distinct pair, combined before the shuffle.  The most frequent pairs (a bounded
@@ -19,7 +19,7 @@ import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from operator import mul
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,117 +33,168 @@ from pyspark.sql.types import StructType
 from ..session import materialize
 from .chunks import ByteTokens, PieceTokens, cut
 from .common import map_docs, small_batches
-from .rankqueue import Recent
 
 ALIGNED = ("row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, "
            "groups string, pairs array<long>, times array<long>")
 
 
-def aligned(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+def aligned(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Where the groups end in ``a`` and in ``b`` (positions behind their last tokens).
 
     ``a`` and ``b`` are rising ends over the same bytes, so their last values are equal.
     """
-    to_a, to_b = [], []
+    odd = []                                                   # irregular groups: from and to in a, from and to in b
     arr_a, arr_b = np.asarray(a, np.int64), np.asarray(b, np.int64)
-    i, j, n, m = 0, 0, len(a), len(b)
+    i, j, n, run = 0, 0, len(a), 0
     while i < n:
-        step = 1
-        while True:                                            # a one-to-one stretch at shift j - i
-            w = min(step, n - i, m - j)
-            if step < 16:
-                k = 0
-                while k < w and a[i + k] == b[j + k]:
-                    k += 1
-            else:
+        if a[i] == b[j]:                                       # a one-to-one stretch at shift j - i
+            i, j, run = i + 1, j + 1, run + 1
+            if run < 16:
+                continue
+            step = 16
+            while i < n:
+                w = min(step, n - i, len(b) - j)
                 differ = arr_a[i:i + w] != arr_b[j:j + w]
                 k = int(differ.argmax()) if differ.any() else w
-            to_a.extend(range(i + 1, i + k + 1))
-            to_b.extend(range(j + 1, j + k + 1))
-            i, j = i + k, j + k
-            if k < step:
-                break
-            step *= 2
-        if i < n:                                              # an irregular group
-            while a[i] != b[j]:
-                if a[i] < b[j]:
+                i, j = i + k, j + k
+                if k < step:
+                    break
+                step *= 2
+            run = 0
+        else:                                                  # an irregular group
+            from_i, from_j, run = i, j, 0
+            x, y = a[i], b[j]
+            while x != y:
+                if x < y:
                     i += 1
+                    x = a[i]
                 else:
                     j += 1
+                    y = b[j]
             i, j = i + 1, j + 1
-            to_a.append(i)
-            to_b.append(j)
-    return to_a, to_b
+            odd.append((from_i, i, from_j, j))
+    odd = np.array(odd, np.int64).reshape(-1, 4)
+    return _ends(n, odd[:, 0], odd[:, 1]), _ends(len(b), odd[:, 2], odd[:, 3])
+
+
+def _ends(n: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """1 to ``n`` without what lies between each ``low`` and ``high``."""
+    inner = np.zeros(n + 1, np.int64)
+    np.add.at(inner, low + 1, 1)
+    np.add.at(inner, high, -1)
+    return np.flatnonzero(np.cumsum(inner)[1:] == 0) + 1
+
+
+class Memory:
+    """What is known of chunks, as arrays; forgets those not met for longest."""
+
+    def __init__(self, size: int):
+        self.size, self.now = size, 0
+        self.row: dict[str, int] = {}
+        self.texts: list[str] = []                             # groups as text
+        self.counts = np.zeros((0, 4), np.int64)               # tokens in A and B, groups, links; zeros if B's bytes differ
+        self.n_codes = self.start = self.used = np.zeros(0, np.int64)
+        self.codes = self.times = np.zeros(0, np.int64)        # codes of linked id pairs, how often each is linked
+
+    def rows(self, chunks: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.row.get, chunks, repeat(-1)), np.int64, len(chunks))
+
+    def add(self, chunks: list[str], texts: list[str], *arrays: np.ndarray) -> None:
+        """``arrays``: counts, n_codes, codes and times of new ``chunks``."""
+        self.row.update(zip(chunks, range(len(self.row), len(self.row) + len(chunks))))
+        self.texts += texts
+        self.counts, self.n_codes, self.codes, self.times = (
+            np.concatenate(x) for x in zip((self.counts, self.n_codes, self.codes, self.times), arrays))
+        self.start = np.cumsum(self.n_codes) - self.n_codes
+        self.used = np.concatenate([self.used, np.zeros(len(chunks), np.int64)])
+
+    def code_places(self, rows: np.ndarray) -> np.ndarray:
+        """Places of the codes of all ``rows``, one row after another."""
+        n = self.n_codes[rows]
+        return np.repeat(self.start[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+    def turn(self, rows: np.ndarray) -> None:
+        """To be called after each block, with the rows it used."""
+        self.now += 1
+        self.used[rows] = self.now
+        if len(self.row) <= self.size:
+            return
+        half = self.size // 2
+        kept = np.flatnonzero(self.used >= np.partition(self.used, len(self.used) - half)[len(self.used) - half])
+        chunks, places, at = list(self.row), self.code_places(kept), kept.tolist()
+        self.row = {chunks[k]: i for i, k in enumerate(at)}
+        self.texts = [self.texts[k] for k in at]
+        self.counts, self.n_codes, self.used = self.counts[kept], self.n_codes[kept], self.used[kept]
+        self.codes, self.times = self.codes[places], self.times[places]
+        self.start = np.cumsum(self.n_codes) - self.n_codes
 
 
 class Aligner:
     """Groups of chunks under two tokenizers; remembers a bounded number of chunks."""
 
-    REMEMBER, BLOCK = 150_000, 2_000_000
+    #: Chunks remembered, characters handled at a time, and links of a group that are listed before equal ones are counted.
+    REMEMBER, BLOCK, LISTED = 300_000, 2_000_000, 64
 
     def __init__(self, path_a: str, pattern: str, path_b: str):
         self.a, self.b = ByteTokens(path_a, pattern), PieceTokens(path_b)
-        self.names = [[str(i) for i in range(side.n_ids)] for side in (self.a, self.b)]
-        self.recent = Recent(self.REMEMBER)
-
-    def _learn(self, keys: set) -> None:
-        """Remember of each new chunk: tokens in A and B, groups, links, groups as text,
-        linked id pairs and how often each; None if the bytes of B's tokens differ."""
-        new = self.recent.missing(keys)
-        if not new:
-            return
+        self.labels = [f"{i}{mark}" for n, marks in ((self.a.n_ids, ",|"), (self.b.n_ids, ",;")) for mark in marks for i in range(n)]
+        self.label_width = np.fromiter(map(len, self.labels), np.int64, len(self.labels))
+        self.memory = Memory(self.REMEMBER)
+
+    def _learn(self, new: list[str]) -> tuple:
+        """What Memory.add() takes of the ``new`` chunks."""
         chunks = [" " + k for k in new]
         ids_b, n_b, same = self.b.encode(chunks)
-        put = self.recent.new
-        put.update((k, None) for k, s in zip(new, same.tolist()) if not s)
-        keep = np.repeat(same, n_b)
-        ids_b, n_b = ids_b[keep], n_b[same]
-        new = [k for k, s in zip(new, same.tolist()) if s]
-        ids_a, n_a = self.a.encode([c for c, s in zip(chunks, same.tolist()) if s])
-        to_a, to_b = (np.array(x, np.int64) for x in aligned(
-            np.cumsum(self.a.width[ids_a]).tolist(), np.cumsum(self.b.width[ids_b]).tolist()))
-        texts, codes, times, ends = self._groups(ids_a, ids_b, to_a, to_b)
+        if not same.all():
+            ids_b, n_b = ids_b[np.repeat(same, n_b)], n_b[same]
+            chunks = [c for c, s in zip(chunks, same.tolist()) if s]
+        ids_a, n_a = self.a.encode(chunks)
+        to_a, to_b = aligned(np.cumsum(self.a.width[ids_a]).tolist(), np.cumsum(self.b.width[ids_b]).tolist())
+        size, codes, times = self._pairs(ids_a, ids_b, to_a, to_b)
         last = np.searchsorted(to_a, np.cumsum(n_a), side="right")        # groups up to each chunk's end
-        cuts = np.concatenate([[0], ends])[last]
-        total = np.concatenate([[0], np.cumsum(times)])[cuts]
-        codes, times = codes.tobytes(), times.tobytes()
-        g = low = links = 0
-        for k, n, m, h, high, upto in zip(new, n_a.tolist(), n_b.tolist(), last.tolist(), cuts.tolist(), total.tolist()):
-            put[k] = n, m, h - g, upto - links, ";".join(texts[g:h]), codes[8 * low:8 * high], times[8 * low:8 * high]
-            g, low, links = h, high, upto
-
-    def _groups(self, ids_a: np.ndarray, ids_b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray):
-        """Of groups that end at ``to_a`` and ``to_b``: each one's text; the codes of all groups' id
-        pairs one after another, how often each is linked, and each group's end among them."""
-        from_a, from_b = (np.concatenate([[0], x[:-1]]) for x in (to_a, to_b))
-        sizes = np.ones(len(to_a), np.int64)
-        irregular = np.flatnonzero((to_a - from_a != 1) | (to_b - from_b != 1))
-        lead_a, lead_b = (ids[x] if len(x) else x for ids, x in ((ids_a, from_a), (ids_b, from_b)))
-        name_a, name_b, width = self.names[0], self.names[1], self.b.n_ids
-        texts = [f"{name_a[x]}|{name_b[y]}" for x, y in zip(lead_a.tolist(), lead_b.tolist())]
-        list_a, list_b = ids_a.tolist(), ids_b.tolist()
-        more, often, size = [], [], []
-        for g, i, u, j, v in zip(*(x.tolist() for x in (irregular, from_a[irregular], to_a[irregular],
-                                                        from_b[irregular], to_b[irregular]))):
-            xs, ys = list_a[i:u], list_b[j:v]
-            texts[g] = f"{','.join([name_a[x] for x in xs])}|{','.join([name_b[y] for y in ys])}"
-            if len(set(xs)) == len(xs) and len(set(ys)) == len(ys):
-                pairs = [x * width + y for x in xs for y in ys]
-                often += [1] * len(pairs)
-            else:
-                ys = Counter(ys).items()
-                pairs, counts = zip(*((x * width + y, p * q) for x, p in Counter(xs).items() for y, q in ys))
-                often += counts
-            more += pairs
-            size.append(len(pairs))
-        sizes[irregular] = size
-        ends = np.cumsum(sizes)
-        codes, times = np.repeat(lead_a * width + lead_b, sizes), np.ones(int(sizes.sum()), np.int64)
-        if size:
-            size = np.array(size)
-            at = np.repeat(ends[irregular] - np.cumsum(size), size) + np.arange(len(more))
-            codes[at], times[at] = more, often
-        return texts, codes, times, ends
+        upto = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[last], prepend=0)
+        links = np.diff(to_a, prepend=0) * np.diff(to_b, prepend=0)
+        counts, n_codes = np.zeros((len(new), 4), np.int64), np.zeros(len(new), np.int64)
+        counts[same] = np.stack([n_a, n_b, np.diff(last, prepend=0), upto(links)], axis=1)
+        n_codes[same] = upto(size)
+        texts = np.full(len(new), "", object)
+        texts[same] = self._texts(ids_a, ids_b, to_a, to_b, np.cumsum(n_a + n_b))
+        return texts.tolist(), counts, n_codes, codes, times
+
+    def _texts(self, ids_a: np.ndarray, ids_b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray, ends: np.ndarray) -> list[str]:
+        """Text of the groups of each chunk; ``ends``: tokens in A and B up to each chunk's end."""
+        from_a, from_b = (np.concatenate([[0], x])[:-1] for x in (to_a, to_b))
+        label = np.empty(len(ids_a) + len(ids_b), np.int64)    # of A's, then B's tokens of each group in turn
+        label[np.arange(len(ids_a)) + np.repeat(from_b, to_a - from_a)] = ids_a
+        label[np.arange(len(ids_b)) + np.repeat(to_a, to_b - from_b)] = ids_b + 2 * self.a.n_ids
+        label[to_a - 1 + from_b] += self.a.n_ids
+        label[to_b - 1 + to_a] += self.b.n_ids
+        text = "".join(map(self.labels.__getitem__, label.tolist()))
+        high = np.cumsum(self.label_width[label])[ends - 1]
+        return [text[i:j] for i, j in zip([0, *high.tolist()], (high - 1).tolist())]
+
+    def _pairs(self, ids_a: np.ndarray, ids_b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray):
+        """Of groups that end at ``to_a`` and ``to_b``: each one's number of id pairs listed, the pairs'
+        codes one group after another, and how often each is linked."""
+        from_a, from_b = (np.concatenate([[0], x])[:-1] for x in (to_a, to_b))
+        m, width = to_b - from_b, self.b.n_ids
+        size = (to_a - from_a) * m
+        large = np.flatnonzero(size > self.LISTED)
+        more, often = [], []
+        for g in large.tolist():
+            xs, ys = (Counter(ids[i:u].tolist()).items() for ids, i, u in ((ids_a, from_a[g], to_a[g]), (ids_b, from_b[g], to_b[g])))
+            more += [x * width + y for x, _ in xs for y, _ in ys]
+            often += [p * q for _, p in xs for _, q in ys]
+            size[g] = len(xs) * len(ys)
+        group = np.repeat(np.arange(len(size)), size)
+        x, y = np.divmod(np.arange(len(group)) - np.repeat(np.cumsum(size) - size, size), m[group])
+        listed = np.ones(len(size), bool)
+        listed[large] = False
+        listed, codes, times = listed[group], np.empty(len(group), np.int64), np.ones(len(group), np.int64)
+        x, y = (from_a[group] + x)[listed], (from_b[group] + y)[listed]
+        codes[listed] = ids_a[x] * width + ids_b[y]
+        codes[~listed], times[~listed] = more, often
+        return size, codes, times
 
     def documents(self, texts: list[str]) -> Iterator[tuple]:
         """Of each text (n_a, n_b, n_groups, n_links, groups, pairs, times), pairs rising and
@@ -160,27 +211,48 @@ class Aligner:
                     s[0] = s[0][1:]
                 elif s:
                     del s[0]
-            self._learn(set().union(*split))
-            get = self.recent.new.__getitem__
-            for s in split:
-                yield self._document(s, get)
-            self.recent.turn()
+            yield from self._block(split)
             i = j
 
-    @staticmethod
-    def _document(chunks: list[str], get) -> tuple:
-        freq = Counter(chunks)
-        known = list(map(get, freq))
-        if not known or None in known:
-            return 0, 0, 0, 0, "", [], []
-        *counts, _, pairs, times = zip(*known)
-        counts = [sum(map(mul, c, freq.values())) for c in counts]
-        often = np.fromiter(freq.values(), np.int64, len(freq))
-        codes = np.frombuffer(b"".join(pairs), np.int64)
-        weight = np.frombuffer(b"".join(times), np.int64) * np.repeat(often, [len(p) // 8 for p in pairs])
-        codes, at = np.unique(codes, return_inverse=True)
-        weight = np.bincount(at, weight, len(codes)).astype(np.int64)
-        return *counts, ";".join([get(c)[4] for c in chunks]), codes, weight
+    def _block(self, split: list[list[str]]) -> Iterator[tuple]:
+        known, chunks = self.memory, list(chain.from_iterable(split))
+        rows = known.rows(chunks)
+        unknown = np.flatnonzero(rows < 0)
+        if len(unknown):
+            chunks = list(map(chunks.__getitem__, unknown.tolist()))
+            new = list(dict.fromkeys(chunks))
+            known.add(new, *self._learn(new))
+            rows[unknown] = known.rows(chunks)
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        ends, docs = np.cumsum(sizes), np.arange(len(split))
+        total = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(known.counts[rows], axis=0)])
+        counts = total[ends] - total[ends - sizes]
+        doc = np.repeat(docs, sizes)
+        none = sizes == 0
+        none[doc[known.counts[rows, 0] == 0]] = True
+        doc, codes, times = self._linked(doc, rows)
+        cuts = np.searchsorted(doc, np.append(docs, len(split))).tolist()
+        all_rows, text = rows.tolist(), known.texts.__getitem__
+        for k, (c, odd, end) in enumerate(zip(counts.tolist(), none.tolist(), ends.tolist())):
+            if odd:
+                yield 0, 0, 0, 0, "", [], []
+            else:
+                part = slice(cuts[k], cuts[k + 1])
+                yield *c, ";".join(map(text, all_rows[end - len(split[k]):end])), codes[part], times[part]
+        known.turn(rows)
+
+    def _linked(self, doc: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct id pairs of the documents ``doc`` that hold the chunks ``rows``: document, code, links."""
+        known, span = self.memory, self.a.n_ids * self.b.n_ids
+        key, often = np.unique(doc * max(1, len(known.row)) + rows, return_counts=True)
+        doc, rows = np.divmod(key, max(1, len(known.row)))
+        at, n = known.code_places(rows), known.n_codes[rows]
+        key = np.repeat(doc, n) * span + known.codes[at]
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else order
+        times = (np.repeat(often, n) * known.times[at])[order]
+        return *np.divmod(key[first], span), np.add.reduceat(times, first) if len(key) else times
 
 
 @lru_cache(maxsize=2)

@@ -52,7 +52,7 @@ def blocks(chunks: list[str], size: int = BLOCK) -> Iterator[tuple[int, int]]:
 
 
 def byte_lengths(chunks: list[str]) -> np.ndarray:
-    return np.fromiter((len(c) if c.isascii() else len(c.encode()) for c in chunks), np.int64, len(chunks))
+    return np.fromiter(map(len, map(str.encode, chunks)), np.int64, len(chunks))
 
 
 def byte_alphabet() -> dict[str, int]:

@@ -1,8 +1,10 @@
 """Cross-tokenizer alignment against the definition, by the tokenizers' own libraries."""
+import cProfile
 import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -95,3 +97,38 @@ def test_run_skipping_finds_all_common_ends():
 def aligned_ends(a, b):
     to_a, to_b = alignment.aligned(a, b)
     return [a[i - 1] for i in to_a], [b[j - 1] for j in to_b]
+
+
+def new_aligner():
+    return alignment.Aligner(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN,
+                             public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def test_known_chunks_cost_no_python_call(med_docs):
+    """Work in Python goes by block and document, not by chunk or token."""
+    texts, worker = [t or "" for _, t in med_docs[:300]], new_aligner()
+    first = list(worker.documents(texts))
+    profile = cProfile.Profile()
+    again = profile.runcall(lambda: list(worker.documents(texts)))
+    calls = sum(x.callcount for x in profile.getstats())
+    assert calls < 0.2 * sum(len(t.split(" ")) for t in texts)
+    assert [x[:5] for x in again] == [x[:5] for x in first]
+
+
+def test_forgotten_chunks_are_learned_again(med_docs):
+    texts = [t or "" for _, t in med_docs[:200]] + ODD[5:]
+    worker, small = new_aligner(), new_aligner()
+    small.BLOCK, small.memory.size = 5000, 50
+    plain = lambda rows: [(*r[:5], list(r[5]), list(r[6])) for r in rows]
+    assert plain(small.documents(texts)) == plain(worker.documents(texts))
+    assert len(small.memory.row) < len(worker.memory.row)
+
+
+def test_links_of_large_groups_are_counted_not_listed():
+    worker = new_aligner()
+    worker.LISTED = 3
+    got = worker._pairs(np.array([7, 7, 8, 9]), np.array([1, 2, 2, 3]), np.array([3, 4]), np.array([3, 4]))
+    width = worker.b.n_ids
+    pairs = dict(zip(got[1].tolist(), got[2].tolist()))
+    assert got[0].tolist() == [4, 1]
+    assert pairs == {7 * width + 1: 2, 7 * width + 2: 4, 8 * width + 1: 1, 8 * width + 2: 2, 9 * width + 3: 1}
