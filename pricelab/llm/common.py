@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -50,6 +52,15 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+def portions(b: pa.RecordBatch, text: int, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, some ``most`` bytes of its column ``text`` at a time."""
+    ends, i = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while i < b.num_rows:
+        j = max(i + 1, int(np.searchsorted(ends, most + (ends[i - 1] if i else 0), side="right")))
+        yield b.slice(i, j - i)
+        i = j
+
+
 def map_docs(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str | StructType, rows: int = 0) -> DataFrame:
     """mapInArrow with ``fn`` giving a batch's output columns by the names of ``schema``.
 

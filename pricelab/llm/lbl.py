@@ -19,19 +19,19 @@ from __future__ import annotations
 import copy
 import math
 from bisect import bisect_right
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import as_bytes, map_docs, small_batches, words
+from .common import map_docs, portions, small_batches, words
 
 CONTEXT = 4
 SMOOTH = 0.1
@@ -53,6 +53,19 @@ def tokens_of(text: bytes | None) -> list[bytes]:
     return words(text.lower()) if text else []
 
 
+def tokens_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Tokens of all ``texts``, as ``tokens_of`` gives them, one after another, and each text's number of them.
+
+    Arrow's kernel cuts at runs of the same six bytes, but also gives what is empty before the first and
+    behind the last run; that is left out.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    tokens, ends = lists.flatten(), np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    real = pc.not_equal(pc.binary_length(tokens), 0)
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    return tokens.filter(real), np.diff(before[ends], prepend=0)
+
+
 class Network:
     """Log-bilinear model of output sequences.  The output k of class c has the number c * width + k,
     the end of a text is a class and an output of its own and the last number.  After the outputs
@@ -94,6 +107,8 @@ class Network:
         group_of = (stream // self.width).astype(self.small)
         starts = starts[rng.permutation(len(starts))]
         ahead = np.arange(self.RUN + CONTEXT)
+        # a run stands in one row; where the outputs k before its places stand in the row of its context
+        before = [slice((CONTEXT - k) * self.SIZE, (CONTEXT - k + self.RUN) * self.SIZE) for k in range(1, CONTEXT + 1)]
         i = 0
         while i < len(starts):
             n = max(1, int(np.clip(self.seen * self.SHARE, *self.BATCH)) // self.RUN)
@@ -101,22 +116,24 @@ class Network:
             i += n
             weight = real[at[:, CONTEXT:]].ravel()
             self.seen += int(weight.sum())
-            rows = stream[at]
-            rc = r.take(rows, axis=0)
-            hidden = sum(rc[:, CONTEXT - k:CONTEXT - k + self.RUN] * c[k - 1] for k in range(1, CONTEXT + 1))
+            rows, places = stream.take(at), at[:, CONTEXT:]
+            context = rows[:, :-1].ravel()
+            rc, factors = r.take(context, axis=0).reshape(len(at), -1), np.tile(c, self.RUN)
+            hidden = rc[:, before[0]] * factors[0]
+            for own, factor in zip(before[1:], factors[1:]):
+                hidden += rc[:, own] * factor
             hidden = hidden.reshape(-1, self.SIZE)
-            gh = 0
-            for (k, log_noise, bound, n_noise), goal in zip(levels, (rows[:, CONTEXT:].ravel(), group_of[at[:, CONTEXT:]].ravel())):
+            gh = np.zeros_like(hidden)
+            for (k, log_noise, bound, n_noise), goal in zip(levels, (rows[:, CONTEXT:].ravel(), group_of.take(places).ravel())):
                 noise = np.searchsorted(bound, rng.random(n_noise) * bound[-1]).clip(0, len(bound) - 1)
-                gh = gh + self._contrast(k, log_noise, goal, noise, hidden, weight)
-            gh = gh.reshape(-1, self.RUN, self.SIZE)
+                gh += self._contrast(k, log_noise, goal, noise, hidden, weight)
+            gh = gh.reshape(len(at), -1)
             gr, gc = np.zeros_like(rc), np.empty_like(c)
-            for k in range(1, CONTEXT + 1):
-                part = slice(CONTEXT - k, CONTEXT - k + self.RUN)
-                gc[k - 1] = (rc[:, part] * gh).reshape(-1, self.SIZE).sum(axis=0)
-                gr[:, part] += gh * c[k - 1]
-            self._step(0, *_summed(rows[:, :-1].ravel(), gr[:, :-1].reshape(-1, self.SIZE)))
-            self._step(1, slice(None), gc)
+            for k, (own, factor) in enumerate(zip(before, factors)):
+                gc[k] = np.einsum("ij->j", (rc[:, own] * gh).reshape(-1, self.SIZE))
+                gr[:, own] += gh * factor
+            self._step(0, *_summed(context, gr.reshape(-1, self.SIZE)))
+            self._step(1, np.arange(CONTEXT), gc)
         return int(real.sum())
 
     def _contrast(self, k: int, log_noise: np.ndarray, target: np.ndarray, noise: np.ndarray, hidden: np.ndarray,
@@ -124,29 +141,30 @@ class Network:
         """One update of outputs ``k`` and their bias; returns the gradient of ``hidden``."""
         q, bias = self.params[k:k + 2]
         scale = weight / np.float32(np.sqrt(len(target)))
-        qt, qn = q.take(target, axis=0), q[noise]
-        s = np.einsum("be,be->b", hidden, qt) + (bias.take(target) - log_noise.take(target))
+        qt, qn, base = q.take(target, axis=0), q[noise], bias[:, 0] - log_noise
+        s = np.einsum("be,be->b", hidden, qt) + base.take(target)
         gt = (scale / (1 + np.exp(np.clip(s, -30, 30))))[:, None]
-        s = hidden @ qn.T
-        s += bias[noise, 0] - log_noise[noise]
-        np.clip(s, -30, 30, out=s)
-        gn = np.exp(np.negative(s, out=s), out=s)
+        gn = np.ascontiguousarray((hidden @ -qn.T).T)          # a row for each noise output
+        gn -= base[noise][:, None]
+        np.clip(gn, -30, 30, out=gn)
+        np.exp(gn, out=gn)
         gn += 1
-        gn = np.divide(-scale[:, None], gn, out=gn)
+        np.divide(-scale, gn, out=gn)
         gh = gt * qt
-        gh += gn @ qn
+        gh += gn.T @ qn
         rows, gq, gb = _summed(target, gt * hidden, gt)
         self._step(k, rows, gq)
         self._step(k + 1, rows, gb)
-        rows, gq, gb = _summed(noise, gn.T @ hidden, gn.sum(axis=0)[:, None])
+        rows, gq, gb = _summed(noise, gn @ hidden, np.add.accumulate(gn, axis=1)[:, -1:])
         self._step(k, rows, gq)
         self._step(k + 1, rows, gb)
         return gh
 
-    def _step(self, k: int, rows, grad: np.ndarray) -> None:
-        past = self.past[k][rows] + np.einsum("ij,ij->i", grad, grad)[:, None] / np.float32(grad.shape[1])
-        self.past[k][rows] = past
-        self.params[k][rows] += np.float32(self.RATE) * grad / np.sqrt(past)
+    def _step(self, k: int, rows: np.ndarray, grad: np.ndarray) -> None:
+        past, x = self.past[k], self.params[k]
+        new = past.take(rows) + np.einsum("ij,ij->i", grad, grad) / np.float32(grad.shape[1])
+        past[rows, 0] = new
+        x[rows] = x.take(rows, axis=0) + np.float32(self.RATE) * grad / np.sqrt(new)[:, None]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in (*self.params, *self.past)])
@@ -210,7 +228,7 @@ def fit(sequences: DataFrame, net: Network, n_tokens: int) -> None:
             rng, done, held, size = np.random.default_rng([SEED, j]), 0, [], 0
             for b in batches:
                 column = b.column(0)
-                values, ends = column.flatten().to_numpy(), np.cumsum(pa.compute.list_value_length(column).to_numpy())
+                values, ends = column.flatten().to_numpy(), np.cumsum(pc.list_value_length(column).to_numpy())
                 for p in np.split(values, ends[:-1]) if len(ends) else ():
                     held.append(p)
                     size += len(p)
@@ -257,17 +275,6 @@ class Model:
     def end(self) -> int:
         return len(self.rest_total) * self.width
 
-    def look_up(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """(outputs, places in the table or -1, the words not in the table in order)."""
-        get = self.index.get
-        at = np.fromiter((get(t, -1) for t in tokens), np.int64, len(tokens))
-        out = self.outputs[at] if len(self.outputs) else np.zeros(len(at), np.int64)
-        missing = np.flatnonzero(at < 0).tolist()
-        rare = [tokens[i] for i in missing]
-        if rare:
-            out[missing] = [class_of(self.first, t) * self.width for t in rare]
-        return out, at, rare
-
     def is_rest(self, outputs: np.ndarray) -> np.ndarray:
         return (outputs % self.width == 0) & (outputs < self.end)
 
@@ -327,6 +334,21 @@ def class_of(first: list[bytes], word: bytes) -> int:
     return max(0, bisect_right(first, word) - 1)
 
 
+def classes_of(first: list[bytes], words: list[bytes]) -> np.ndarray:
+    return np.maximum(np.fromiter(map(bisect_right, repeat(first), words), np.int64, len(words)) - 1, 0)
+
+
+def _cut(column: pa.Array) -> list[bytes]:
+    """As ``as_bytes`` of a column without nulls, for many short words: cut from one string, as the offsets say."""
+    column = column.cast(pa.large_string()).cast(pa.large_binary())
+    if not len(column):
+        return []
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int64, len(column) + 1, 8 * column.offset).tolist()
+    data = data.to_pybytes() if data else b""
+    return [data[i:j] for i, j in zip(ends, ends[1:])]
+
+
 def _text() -> Column:
     return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
@@ -334,10 +356,8 @@ def _text() -> Column:
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, c): how often each word occurs in ``docs`` (text), combined before the shuffle."""
     def run(b: pa.RecordBatch) -> dict:
-        counts: Counter = Counter()
-        for t in as_bytes(b.column(0)):
-            counts.update(tokens_of(t))
-        return {"word": [w.decode() for w in counts], "c": list(counts.values())}
+        counts = pc.value_counts(tokens_in(b.column(0))[0])
+        return {"word": counts.field(0), "c": counts.field(1)}
 
     return map_docs(docs.select(_text().alias("text")), run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -390,6 +410,47 @@ def outputs_of(counts: DataFrame, n_docs: int, n_words: int = BASE_WORDS,
     return model, Network(count, width)
 
 
+class Table:
+    """The words of a model's table, to look up the tokens of many texts at once."""
+
+    def __init__(self, model: Model):
+        self.model, self.words = model, pa.array([w.decode() for w in model.index], pa.string())
+        # of each word of the table, and at last of none: output, log of the count, log of the count's share of a rest
+        self.outputs = np.append(model.outputs, 0).astype(np.int32)
+        self.logs = np.append(np.log10(model.counts + SMOOTH), 0.0)
+        self.log_rest = np.log10(model.rest_total)
+        rest = model.is_rest(self.outputs)
+        rest[-1] = False
+        self.shares = np.zeros(len(rest))
+        self.shares[rest] = self.logs[rest] - self.log_rest[self.outputs[rest] // model.width]
+
+    def described(self, texts: pa.Array) -> tuple[list[np.ndarray], list[pa.Array]]:
+        """Each text's outputs with the end, and the columns n_tokens, known, logs, part, rare, times of ``looked_up``."""
+        m, n = self.model, len(texts)
+        tokens, sizes = tokens_in(texts)
+        at = pc.fill_null(pc.index_in(tokens, value_set=self.words.cast(tokens.type)), -1).to_numpy()
+        doc, missing = np.repeat(np.arange(n), sizes), np.flatnonzero(at < 0)
+        outputs, shares = self.outputs.take(at, mode="wrap"), self.shares.take(at, mode="wrap")
+        distinct = pc.dictionary_encode(tokens.take(pa.array(missing)))
+        number, distinct = distinct.indices.to_numpy(), _cut(distinct.dictionary)
+        group = classes_of(m.first, distinct)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct, repeat(SEED)), np.uint64, len(distinct)).view(np.int64)
+        outputs[missing] = (group * m.width)[number]
+        shares[missing] = -self.log_rest[group][number]
+        rare = doc[missing]
+        known = sizes - np.bincount(rare, minlength=n) + (m.end_count > 0)
+        logs = np.bincount(doc, weights=self.logs.take(at, mode="wrap"), minlength=n) + np.log10(m.end_count + SMOOTH)
+        part = np.bincount(doc, weights=shares, minlength=n)
+        keys, times = np.unique(rare * max(1, len(distinct)) + number, return_counts=True)
+        rare, number = np.divmod(keys, max(1, len(distinct)))
+        cuts = pa.array(np.searchsorted(rare, np.arange(n + 1)), pa.int32())
+        lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (hashes[number], times.astype(np.int32))]
+        ends = np.cumsum(sizes + 1)
+        stream = np.full(len(tokens) + n, m.end, np.int32)
+        stream[np.arange(len(tokens)) + doc] = outputs
+        return np.split(stream, ends[:-1]), [*map(pa.array, (sizes + 1, known, logs, part)), *lists]
+
+
 def looked_up(rows: DataFrame, model: Model) -> DataFrame:
     """Pieces (row, learn, doc_id, out) of the output sequences of all ``rows`` (row, learn, doc_id, text), written;
     a row's first piece also has what its tokens' counts give (n_tokens, known, logs, part, rare, times)."""
@@ -398,22 +459,18 @@ def looked_up(rows: DataFrame, model: Model) -> DataFrame:
              "known": pa.int64(), "logs": pa.float64(), "part": pa.float64(), "rare": pa.list_(pa.int64()), "times": pa.list_(pa.int32())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, digest = shared.value, xxhash.xxh64_intdigest
-        log_c, log_rest = np.log10(m.counts + SMOOTH), np.log10(m.rest_total)
+        table = Table(shared.value)
         for b in batches:
-            out: dict[str, list] = {c: [] for c in kinds}
-            for row, learn, doc, t in zip(*(b.column(i).to_pylist() for i in range(3)), as_bytes(b.column(3))):
-                tokens = tokens_of(t)
-                outputs, at, rare = m.look_up(tokens)
-                found, rest, freq = at[at >= 0], m.is_rest(outputs), Counter(rare)
-                first = (len(tokens) + 1, len(found) + (m.end_count > 0), float(log_c[found].sum()) + np.log10(m.end_count + SMOOTH),
-                         float(log_c[at[rest & (at >= 0)]].sum() - log_rest[outputs[rest] // m.width].sum()),
-                         [h - (h >> 63 << 64) for h in (digest(w, SEED) for w in freq)], list(freq.values()))
-                for piece in pieces(np.append(outputs, m.end).astype(np.int32), m.end):
-                    for c, v in zip(out, (row, learn, doc, piece, *first)):
-                        out[c].append(v)
-                    first = (None,) * len(first)
-            yield pa.RecordBatch.from_arrays([pa.array(v, kinds[c]) for c, v in out.items()], names=list(out))
+            for some in portions(b, 3):
+                outputs, first = table.described(some.column(3))
+                parts = [pieces(x, table.model.end) for x in outputs]
+                of = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+                later, parts = np.diff(of, prepend=-1) == 0, [p for x in parts for p in x]
+                ends = np.cumsum([0, *map(len, parts)])
+                columns = [some.column(i).take(pa.array(of)) for i in range(3)]
+                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts))))
+                columns += [x.take(pa.array(of, mask=later)) for x in first]
+                yield pa.RecordBatch.from_arrays([x.cast(t) for x, t in zip(columns, kinds.values())], names=list(kinds))
 
     small_batches(rows.sparkSession)
     return materialize(rows.select("row", "learn", "doc_id", "text").mapInArrow(
@@ -440,14 +497,13 @@ def _rows(docs: DataFrame, learn: Column) -> DataFrame:
 def rest_counts(counts: DataFrame, single: set[bytes], first: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Of the words that are not in ``single``: sum of the counts and number of words by class."""
     def run(b: pa.RecordBatch) -> dict:
-        c, v = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
-        for word, n in zip(as_bytes(b.column(0)), b.column(1).to_pylist()):
-            if word not in single:
-                k = class_of(first, word)
-                c[k] += n
-                v[k] += 1
-        return {"k": np.arange(len(first), dtype=np.int32), "c": c, "v": v}
+        others = b.filter(pc.invert(pc.is_in(b.column(0), value_set=own.cast(b.column(0).type))))
+        k, n = classes_of(first, _cut(others.column(0))), others.column(1).to_numpy()
+        c = np.zeros(len(first), np.int64)
+        np.add.at(c, k, n)
+        return {"k": np.arange(len(first), dtype=np.int32), "c": c, "v": np.bincount(k, minlength=len(first))}
 
+    own = pa.array([w.decode() for w in single], pa.string())
     sums = map_docs(counts.select("word", "c"), run, "k int, c long, v long").groupBy("k").agg(F.sum("c"), F.sum("v"))
     c, v = np.zeros(len(first)), np.zeros(len(first))
     for k, n, m in sums.collect():
@@ -477,7 +533,7 @@ def score(docs: DataFrame, learn: Column, **options) -> DataFrame:
 
     def run(b: pa.RecordBatch) -> dict:
         column = b.column(1)
-        values, ends = column.flatten().to_numpy(), np.cumsum(pa.compute.list_value_length(column).to_numpy())
+        values, ends = column.flatten().to_numpy(), np.cumsum(pc.list_value_length(column).to_numpy())
         return {"row": b.column(0), "log": _by_size(shared.value, np.split(values, ends[:-1]))}
 
     logs_of = map_docs(found.select("row", "out"), run, "row long, log double").groupBy("row").agg(F.sum("log").alias("log"))

@@ -4,10 +4,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pricelab.llm import langid, lbl, toxicity
+from pricelab.llm.common import portions
 from pricelab.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -257,3 +259,46 @@ def test_pieces_keep_every_token():
     parts = lbl.pieces(out, 9999)
     assert np.array_equal(np.concatenate([p[lbl.CONTEXT:] for p in parts]), out)
     assert all(np.array_equal(p[:lbl.CONTEXT], q[-lbl.CONTEXT:]) for p, q in zip(parts[1:], parts))
+
+
+ODD_TEXTS = ["", " ", "a", " The the\tTHE \n\r\x0b\x0cend ", "É é ÀB c\x1cd x", "new1 new1 the new2", "\n\n", None, "x" * 9000 + " the" * 5000]
+
+
+def test_op9_tokens_of_many_texts_are_those_of_each():
+    for kind in (pa.string(), pa.large_string()):
+        tokens, sizes = lbl.tokens_in(pa.array(ODD_TEXTS, kind))
+        want = [lbl.tokens_of(t.encode() if t else None) for t in ODD_TEXTS]
+        assert [t.encode() for t in tokens.to_pylist()] == [t for x in want for t in x] and sizes.tolist() == [len(x) for x in want]
+        assert [t.encode() for t in tokens.to_pylist()[3:]] == lbl._cut(tokens.slice(3)) and lbl._cut(tokens.slice(0, 0)) == []
+    part = pa.record_batch({"text": pa.array(ODD_TEXTS)})
+    split = [*portions(part, 0, 10)]
+    assert pa.Table.from_batches(split).to_pylist() == part.to_pylist() and len(split) > 2
+
+
+def test_op9_words_are_looked_up_once_for_many_texts(monkeypatch):
+    """Each distinct word out of the table is hashed once for all texts; what comes out is that of each text alone."""
+    digest, asked = lbl.xxhash.xxh64_intdigest, []
+    monkeypatch.setattr(lbl.xxhash, "xxh64_intdigest", lambda w, seed: asked.append(w) or digest(w, seed))
+    m = lbl.Model(9, 5, 4, {b"the": 0, b"a": 1, b"end": 2}, np.array([7.0, 3, 2]), np.array([2, 1, 3]), [b"a", b"the"], 3, np.array([2.5, 1.5]))
+    texts = [t or "" for t in ODD_TEXTS] * 3
+    outputs, columns = lbl.Table(m).described(pa.array(texts))
+    assert len(asked) == len(set(asked))
+    for t, out, *got in zip(texts, outputs, *(c.to_pylist() for c in columns), strict=True):
+        tokens = lbl.tokens_of(t.encode())
+        rest = lambda w: lbl.class_of(m.first, w) * m.width
+        assert out.tolist() == [int(m.outputs[m.index[w]]) if w in m.index else rest(w) for w in tokens] + [m.end]
+        known, other = [w for w in tokens if w in m.index], Counter(w for w in tokens if w not in m.index)
+        logs = {w: math.log10(m.counts[i] + 0.1) for w, i in m.index.items()}
+        part = sum(logs.get(w, 0) - math.log10(m.rest_total[o // 3]) for w, o in zip(tokens, out.tolist()) if o % 3 == 0)
+        assert got[0] == len(tokens) + 1 and got[1] == len(known) + 1
+        assert math.isclose(got[2], sum(map(logs.get, known)) + math.log10(4.1)) and math.isclose(got[3], part, abs_tol=1e-9)
+        assert dict(zip(*got[4:], strict=True)) == {(h := digest(w, 42)) - (h >> 63 << 64): n for w, n in other.items()}
+
+
+def test_op9_sums_of_rows():
+    rng = np.random.default_rng(3)
+    rows, grad, one = rng.integers(0, 40, 700), rng.standard_normal((700, 16)).astype(np.float32), np.ones((700, 1), np.float32)
+    found, total, n = lbl._summed(rows, grad, one)
+    assert found.tolist() == sorted(set(rows.tolist())) and total.dtype == n.dtype == np.float32
+    assert n[:, 0].tolist() == np.bincount(rows)[found].tolist()
+    assert np.allclose(total, [grad[rows == k].sum(axis=0) for k in found], atol=1e-4)
